@@ -167,9 +167,14 @@ def copies(doc_id: Column, rate: Column) -> Column:
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
     """``docs`` with each row as often as its rate says: the columns stay as they are, no text is shuffled."""
     mixture, _ = fit(saved(measured(docs)), labels, targets)
-    columns = [F.col(f"`{c}`") for c in docs.columns]
+    # columns go by number meanwhile, so that no name can clash
+    columns = [f"c{k}" for k in range(len(docs.columns))]
+    at = {c: k for k, c in enumerate(docs.columns)}
     # the row number keeps the optimizer from copying the measures into every place that uses them
-    seen = docs.select(*columns, F.monotonically_increasing_id().alias("loom_n"), *[c.alias(k) for k, c in measures(F.col("text")).items()])
+    seen = docs.toDF(*columns).select(
+        *columns, F.monotonically_increasing_id().alias("loom_n"), *[c.alias(k) for k, c in measures(F.col(f"c{at['text']}")).items()]
+    )
     rated = mixture.with_posteriors(seen).select(*columns, mixture.rate().alias("loom_rate"))
-    drawn = rated.select(*columns, copies(F.col("doc_id"), F.col("loom_rate")).alias("loom_copies")).where("loom_copies > 0")
-    return drawn.select(*columns, F.explode(F.sequence(F.lit(1), F.col("loom_copies"))).alias("loom_copy")).select(*columns)
+    drawn = rated.select(*columns, copies(F.col(f"c{at['doc_id']}"), F.col("loom_rate")).alias("loom_copies")).where("loom_copies > 0")
+    every = drawn.select(*columns, F.explode(F.sequence(F.lit(1), F.col("loom_copies"))).alias("loom_copy"))
+    return every.select(*columns).toDF(*docs.columns)

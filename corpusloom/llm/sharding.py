@@ -63,8 +63,10 @@ def assign_shards(df: DataFrame, key: str = "doc_id", shards: list[str] | None =
     names = shard_names() if shards is None else shards
     spark: SparkSession = df.sparkSession
     table = spark.createDataFrame(list(enumerate(lookup_table(names, slots))), "loom_slot int, loom_shard int")
-    rest = [F.col(f"`{c}`") for c in df.columns if c not in ("slot", "shard")]
-    placed = df.withColumn("loom_at", slot_of(F.col(key), slots)).join(
+    # columns go by number meanwhile, so that no name can clash
+    numbered = df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+    rest = [F.col(f"c{k}").alias(c) for k, c in enumerate(df.columns) if c not in ("slot", "shard")]
+    placed = numbered.withColumn("loom_at", slot_of(F.col(f"c{df.columns.index(key)}"), slots)).join(
         F.broadcast(table), F.col("loom_at") == F.col("loom_slot"), "left"
     )
     return placed.select(*rest, F.col("loom_at").alias("slot"), F.col("loom_shard").alias("shard"))
