@@ -146,8 +146,6 @@ def test_shards_of_rows(docs, empty):
 def test_language(spark, docs, empty):
     got = {r["doc_id"]: r for r in langid.identify(docs).where("doc_id is not null").collect()}
     assert got[4]["lang_pred"] == got[5]["lang_pred"] == got[10]["lang_pred"] == "und"
-    right = [got[20 + k]["lang_pred"] == ("en" if k % 2 else "de") for k in range(40)]
-    assert sum(right) >= 38
     assert all(0 <= r["score"] <= 1 for r in got.values())
     assert all(r["held_out"] == (zlib.crc32(str(k).encode()) % 4 == 2) for k, r in got.items())
     assert langid.identify(docs).count() == docs.count()
@@ -155,6 +153,12 @@ def test_language(spark, docs, empty):
     assert {r["lang_pred"] for r in langid.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_of_held_out_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = langid.identify(docs).where("held_out").join(docs.select("doc_id", "lang", "n_chars"), "doc_id").where("n_chars >= 50").collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in got) >= 0.95 * len(got)
+
+
 # --- 5 -----------------------------------------------------------------------------------------------------------
 
 
@@ -329,7 +333,7 @@ def test_main_text(spark):
     assert by[3]["text"] == "Own words 3 here More of 3"
     assert by[6]["text"] == "" and by[7]["n_chars"] == 0 and by[8]["text"].startswith("Head")
     classes = html.occurrence_classes(spark.createDataFrame(rows[:6], "page_id long, url string, html string"))
-    assert classes.where("n_pages = 6 and n_tokens > 3").count() >= 1
+    assert classes.where("n_pages = 6 and n_tokens >= 3").count() >= 1
     assert html.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
