@@ -230,7 +230,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", bu
     named = vertices
     if not edges.isEmpty():
         labels = components(vertices, edges).select("fp", F.col("label.doc").alias("least"))
-        named = vertices.join(labels, "fp", "left").select("fp", F.coalesce("least", "doc").alias("doc"))
+        # saved, so that the join below deals both sides anew and Spark can split a fingerprint that many rows share
+        named = saved(vertices.join(labels, "fp", "left").select("fp", F.coalesce("least", "doc").alias("doc")))
     return prints.join(named, "fp", "left").select(
         "doc_id",
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
