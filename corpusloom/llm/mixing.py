@@ -174,7 +174,8 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
     seen = docs.toDF(*columns).select(
         *columns, F.monotonically_increasing_id().alias("loom_n"), *[c.alias(k) for k, c in measures(F.col(f"c{at['text']}")).items()]
     )
-    rated = mixture.with_posteriors(seen).select(*columns, mixture.rate().alias("loom_rate"))
+    # and so does this one for the rate, which the filter below would otherwise spell out in full
+    rated = mixture.with_posteriors(seen).select(*columns, F.monotonically_increasing_id().alias("loom_n"), mixture.rate().alias("loom_rate"))
     drawn = rated.select(*columns, copies(F.col(f"c{at['doc_id']}"), F.col("loom_rate")).alias("loom_copies")).where("loom_copies > 0")
     every = drawn.select(*columns, F.explode(F.sequence(F.lit(1), F.col("loom_copies"))).alias("loom_copy"))
     return every.select(*columns).toDF(*docs.columns)
