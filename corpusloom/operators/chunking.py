@@ -37,7 +37,9 @@ def chunk_id(source_id: Column, index: Column, text: Column) -> Column:
 def chunk_corpus(opinions: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
     """Chunk rows of opinions (id, text and, where there, source_dataset and metadata); texts without tokens give none."""
     carried = [c for c in ("source_dataset", "metadata") if c in opinions.columns]
-    rows = opinions.select(F.col("id").cast("string").alias("source_id"), *carried, F.explode(chunk_windows(ws_tokens(F.col("text")), size, overlap)).alias("w"))
+    # the text is split once, before its windows are cut
+    split = opinions.select(F.col("id").cast("string").alias("source_id"), *carried, ws_tokens(F.col("text")).alias("loom_tokens")).where(F.size("loom_tokens") > 0)
+    rows = split.select("source_id", *carried, F.explode(chunk_windows(F.col("loom_tokens"), size, overlap)).alias("w"))
     text = F.trim(F.array_join("w.tokens", " "))
     return rows.select(
         chunk_id(F.col("source_id"), F.col("w.chunk_index"), text).alias("id"), "source_id", *carried, "w.chunk_index", "w.token_start", "w.token_end",

@@ -31,8 +31,14 @@ def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """Rows of a table of few files dealt out to all cores; a table of many files stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _opinions(spark: SparkSession, d: str) -> DataFrame:
-    docs = _read(spark, d, "documents").where("doc_id is not null and text is not null")
+    docs = _spread(_read(spark, d, "documents")).where("doc_id is not null and text is not null")
     meta = F.struct(F.col("source").alias("case_name"), F.array("lang", "source").alias("citations"))
     return docs.select(F.col("doc_id").cast("string").alias("id"), F.col("doc_id").alias("record_index"), "text", meta.alias("metadata"))
 
