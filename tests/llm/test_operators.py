@@ -318,17 +318,20 @@ def test_quality_rules(docs, empty, rng):
 # --- 9 -----------------------------------------------------------------------------------------------------------
 
 
-def test_main_text(spark):
+def test_main_text(spark, monkeypatch):
     page = (
         "<html><head><title>T</title><script>var t='</p>';</script></head><body><nav><ul><li><a>Home</a></li></ul></nav><!-- ad -->"
         "<div class='ad'>Buy</div><article><h1>Head &amp; tail</h1><p><b>First  one<br><p>Sec<i>ond</i> a &lt; b</p>"
         "<div class='comments'><p>no</p></div></article><aside>side</aside><form>f</form><footer>&copy; x</footer>"
     )
-    assert html.extract(page, set(), None) == "Head & tail First one Second a < b"
+    assert html.extract(page, set(), "/article") == html.extract(page, set(), None) == "Head & tail First one Second a < b"
     plain = [f"<body><div id='top'>Site name</div><div class='body'><p>Own words {k} here</p><p>More of {k}</p></div><div id='x'>Contact us</div></body>" for k in range(6)]
     rows = [(k, f"http://a.org/{k}", h) for k, h in enumerate(plain)] + [(6, None, None), (7, "http://a.org/q", ""), (7, "http://a.org/q", ""), (8, "x", page)]
-    got = html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = html.main_text(table).collect()
     assert len(got) == len(rows)
+    monkeypatch.setattr(html, "BROADCAST_BYTES", -1)
+    assert sorted(map(str, html.main_text(table).collect())) == sorted(map(str, got))
     by = {r["page_id"]: r for r in got}
     assert by[3]["text"] == "Own words 3 here More of 3"
     assert by[6]["text"] == "" and by[7]["n_chars"] == 0 and by[8]["text"].startswith("Head")
