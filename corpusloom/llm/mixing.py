@@ -170,12 +170,10 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
     # columns go by number meanwhile, so that no name can clash
     columns = [f"c{k}" for k in range(len(docs.columns))]
     at = {c: k for k, c in enumerate(docs.columns)}
-    # the row number keeps the optimizer from copying the measures into every place that uses them
-    seen = docs.toDF(*columns).select(
-        *columns, F.monotonically_increasing_id().alias("loom_n"), *[c.alias(k) for k, c in measures(F.col(f"c{at['text']}")).items()]
-    )
-    # and so does this one for the rate, which the filter below would otherwise spell out in full
+    seen = docs.toDF(*columns).select(*columns, *[c.alias(k) for k, c in measures(F.col(f"c{at['text']}")).items()])
+    # the row number keeps filters above the rate, which they would otherwise spell out in full down at the scan
     rated = mixture.with_posteriors(seen).select(*columns, F.monotonically_increasing_id().alias("loom_n"), mixture.rate().alias("loom_rate"))
-    drawn = rated.select(*columns, copies(F.col(f"c{at['doc_id']}"), F.col("loom_rate")).alias("loom_copies")).where("loom_copies > 0")
+    number = F.when(F.col("loom_n") >= 0, copies(F.col(f"c{at['doc_id']}"), F.col("loom_rate")))
+    drawn = rated.select(*columns, number.alias("loom_copies")).where("loom_copies > 0")
     every = drawn.select(*columns, F.explode(F.sequence(F.lit(1), F.col("loom_copies"))).alias("loom_copy"))
     return every.select(*columns).toDF(*docs.columns)
