@@ -340,6 +340,24 @@ def test_main_text(spark, monkeypatch):
     assert html.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_main_text_takes_whole_containers(spark):
+    """Without an article element: lists, headings and paragraphs of the body stay, shared texts and a short side list go."""
+    pages = [
+        f"<body><div id='t'>Site name</div><div class='wrap'><div class='body'><h1>Title {k}</h1><p>Opening words {k} of it</p>"
+        f"<ul><li>First long entry of the list {k}</li><li>Second long entry of the list {k}</li></ul><p>Read on every page</p></div>"
+        f"<div class='x'><p>Side {k}</p></div></div></body>"
+        for k in range(8)
+    ]
+    rows = [(k, f"http://b.org/{k}", h) for k, h in enumerate(pages)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for r in html.main_text(table).collect():
+        k = r["page_id"]
+        assert r["text"] == f"Title {k} Opening words {k} of it First long entry of the list {k} Second long entry of the list {k}"
+    assert html.templates(table).first()["container"] == "/div.wrap/div.body"
+    valid = html.occurrence_classes(table).where("n_pages = 8").collect()
+    assert sum(len(c["texts"]) for c in valid) == 2 and "/div.wrap/div.body" in valid[0]["tags"] + valid[-1]["tags"]
+
+
 # --- 10 ----------------------------------------------------------------------------------------------------------
 
 
