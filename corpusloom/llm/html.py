@@ -22,6 +22,8 @@ from corpusloom.llm.common import map_batches, saved
 
 #: Pages that must share a text block for it to be template, and the least share of the host's pages.
 LEAST_PAGES, LEAST_SHARE = 3, 0.2
+#: Share of a page's text from which a mark does not count.
+MARK_SHARE = 0.5
 #: Share of a host's slot text that the main container holds at least, where no article does.
 MAIN_SHARE = 0.8
 #: Bytes of templates up to which they are broadcast, and parts into which a host's pages (beyond that) and texts are dealt.
@@ -38,6 +40,9 @@ ARTICLE = frozenset("article main".split())
 CLOSES_P = frozenset(
     "address article aside blockquote center details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
 )
+#: Elements that hold a page or its running text, for which marks never count; first words of names that tell a state.
+UNMARKED = frozenset("html body article main p h1 h2 h3 h4 h5 h6 blockquote pre".split())
+STATES = frozenset("has have with without no is".split())
 #: Words of class, id and role that mark what is not the article.
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu menubar breadcrumb "
@@ -59,28 +64,38 @@ class Block:
     inside: bool  # inside an article element
 
 
-def _kind(tag: str, attributes: str) -> tuple[str, bool, bool]:
-    """A path step, whether it is not the article, whether it is."""
+def _marked(names: list[str], marks: frozenset[str] = MARKS) -> bool:
+    """Whether a name has a word that marks what is not the article; names of a state (has-sidebar) do not count."""
+    pieces = [_PIECES.findall(n) for n in names]
+    return any(w in marks for p in pieces if p and p[0] not in STATES for w in p)
+
+
+def _kind(tag: str, attributes: str) -> tuple[str, bool, list[str], bool]:
+    """A path step, whether it is not the article, the names that may mark it so, and whether it is the article."""
     found = {k.lower(): (v or "").strip("\"'").lower() for k, v in _ATTRIBUTE.findall(attributes)} if attributes else {}
-    words = _PIECES.findall(" ".join(found.get(k, "") for k in ("class", "id", "role")))
     step = tag + "".join(f".{w.replace('/', '-')}" for w in found.get("class", "").split()) if found else tag
     hidden = "hidden" in found or found.get("aria-hidden") == "true"
-    return step, hidden or tag in HIDDEN or tag in OUTSIDE or any(w in MARKS for w in words), tag in ARTICLE or found.get("role") in ("main", "article")
+    article = tag in ARTICLE or found.get("role") in ("main", "article")
+    names = [] if article or tag in UNMARKED else [w for k in ("class", "id", "role") for w in found.get(k, "").split()]
+    return step, hidden or tag in HIDDEN or tag in OUTSIDE, names, article
 
 
 def blocks_of(page: str | None) -> tuple[list[Block], list[str]]:
     """Text blocks in page order, and the paths of the structural tags."""
     page, blocks, tags = page or "", [], []
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, path, out, inside
+    stack: list[tuple[str, str, bool, bool, tuple[int, ...]]] = []  # tag, path, out, inside, marked elements
     run: list[str] = []
+    within: list[tuple[int, ...]] = []  # marked elements around each block
+    n_marked = 0
 
     def close_block() -> None:
         if run:
             text = " ".join(_html.unescape("".join(run)).split())
             run.clear()
             if text:
-                top = stack[-1] if stack else ("", "", False, False)
+                top = stack[-1] if stack else ("", "", False, False, ())
                 blocks.append(Block(text, top[1], top[2], top[3]))
+                within.append(top[4])
 
     at = 0
     while at < len(page):
@@ -114,15 +129,27 @@ def blocks_of(page: str | None) -> tuple[list[Block], list[str]]:
             end = _RAW[tag].search(page, at)
             at = end.end() if end else len(page)
             continue
-        step, out, inside = _kind(tag, m[3])
-        above = stack[-1] if stack else ("", "", False, False)
-        if tag == "header" and above[3]:  # the heading of the article itself
-            out = any(w in MARKS - {"header"} for w in _PIECES.findall(m[3].lower()))
+        step, out, names, inside = _kind(tag, m[3])
+        above = stack[-1] if stack else ("", "", False, False, ())
+        own_header = tag == "header" and above[3]  # the heading of the article itself
+        out = out and not own_header
+        marks = above[4]
+        if _marked(names, MARKS - {"header"} if own_header else MARKS):
+            marks, n_marked = (*marks, n_marked), n_marked + 1
         path = f"{above[1]}/{step}" if tag not in ("p", "html", "body") else above[1]
         if not m[3].endswith("/"):
-            stack.append((tag, path, above[2] or out, above[3] or inside))
-        tags.append(path)
+            stack.append((tag, path, above[2] or out, above[3] or inside, marks))
+        tags.append(f"{path}/p" if tag == "p" else path)
     close_block()
+    # a mark is a hint: it does not count for an element that holds most of the page's text
+    if n_marked:
+        chars = [0] * n_marked
+        for block, marks in zip(blocks, within, strict=True):
+            for k in marks if not block.out else ():
+                chars[k] += len(block.text)
+        most = MARK_SHARE * sum(len(x.text) for x in blocks if not x.out)
+        for block, marks in zip(blocks, within, strict=True):
+            block.out = block.out or any(chars[k] < most for k in marks)
     return blocks, tags
 
 

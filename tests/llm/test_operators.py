@@ -358,6 +358,20 @@ def test_main_text_takes_whole_containers(spark):
     assert sum(len(c["texts"]) for c in valid) == 2 and "/div.wrap/div.body" in valid[0]["tags"] + valid[-1]["tags"]
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<html class='no-sidebar'><body class='has-sidebar single comments-open'><article><p>The whole text.</p></article><div class='ad'>Buy</div></body></html>",
+        "<body><article class='post comments-on'><p>The whole text.</p></article><div class='ad'>Buy</div></body>",
+        "<body><main id='skip-target'><p class='alert'>The whole text.</p></main><div class='ad'>Buy</div></body>",
+        "<body><div class='content with-header'><p>The whole text.</p></div><div class='sidebar'>Side</div></body>",
+        "<body><div class='widget'><div><p>The whole text.</p></div></div><div class='sidebar'>Side</div></body>",
+    ],
+)
+def test_main_text_marks_are_hints(page):
+    assert html.extract(page, set(), None) == "The whole text."
+
+
 # --- 10 ----------------------------------------------------------------------------------------------------------
 
 
