@@ -2,10 +2,10 @@
 
 Tokens of a page are its structural tags with their path and its text blocks with their path.  Over the pages of a host,
 tokens whose occurrence vectors (which page holds how many) are equal form a class; the vectors are compared by a
-commutative hash, so one grouped aggregation finds the classes of any host.  Classes that enough pages share are valid; they
-nest along their paths into the host's template, whose containers leave slots between them.  The slots below the main
-container, an article first, are extracted; slots of menus, notices and the like, and text that belongs to the template,
-are not.
+commutative hash, so one grouped aggregation finds the classes of any host.  Classes
+that enough pages and tokens share are valid: their texts are the template, inside articles too, and their tags, which nest
+by path, the containers that leave slots between them.  The slots below the main container, an article first, are
+extracted; slots of menus, notices and the like are not.
 """
 
 from __future__ import annotations
@@ -20,13 +20,15 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import map_batches, saved
 
-#: Pages that must share a text block for it to be template, and the least share of the host's pages.
-LEAST_PAGES, LEAST_SHARE = 3, 0.2
+#: Pages that must share a class, its tokens, and the share of the host's pages from which any number is enough.
+LEAST_PAGES, LEAST_TOKENS, MAJORITY = 3, 3, 0.5
+#: Share of the text of its pages that a class of fewer pages holds at most, or else its pages are copies of each other.
+MOST_SHARE = 0.5
 #: Share of a page's text from which a mark does not count.
 MARK_SHARE = 0.5
 #: Share of a host's slot text that the main container holds at least, where no article does.
 MAIN_SHARE = 0.8
-#: Bytes of templates up to which they are broadcast, and parts into which a host's pages (beyond that) and texts are dealt.
+#: Bytes of templates up to which they are broadcast, and parts into which a host's pages are dealt beyond that.
 BROADCAST_BYTES, PARTS = 32 << 20, 32
 
 #: HTML element kinds.
@@ -166,7 +168,11 @@ def extract(page: str | None, template: set[int], container: str | None) -> str:
     free = [b for b in blocks_of(page)[0] if not b.out]
     below = [b for b in free if container is not None and (b.path == container or b.path.startswith(container + "/"))]
     chosen = below or [b for b in free if b.inside] or free
-    return " ".join(b.text for b in chosen if b.inside or _hash(f"{b.path}\n{b.text}") not in template)
+    return " ".join(b.text for b in chosen if _hash(f"{b.path}\n{b.text}") not in template)
+
+
+#: The token of a page itself.
+_ROOT = _hash("")
 
 
 def host_of(url: Column) -> Column:
@@ -175,24 +181,31 @@ def host_of(url: Column) -> Column:
 
 
 def occurrence_classes(pages: DataFrame) -> DataFrame:
-    """(host, vector, n_pages, n_tokens, texts, tags): the equivalence classes of tags and texts on each host.
+    """(host, vector, n_pages, n_tokens, chars, page_chars, texts, tags): the equivalence classes of tags and texts on each host.
 
-    ``vector`` is a commutative hash of (page, count) over the pages that hold a token.  ``texts`` holds the hashes of the
-    class's texts that may be template, ``tags`` the paths of its tags.
+    ``vector`` is a commutative hash of (page, count) over the pages that hold a token; ``n_pages`` counts
+    pages.  ``texts`` holds the hashes of the class's texts that may be template, ``tags`` the paths of its tags;
+    ``chars`` and ``page_chars`` are the characters of its texts, and of all texts of its pages, a page.
     """
     return _classes(_tokens(pages))
 
 
 def _classes(tokens: DataFrame) -> DataFrame:
+    text = F.col("is_text") & F.col("free")
     return tokens.groupBy("host", "vector", "n_pages").agg(
         F.count(F.lit(1)).alias("n_tokens"),
-        F.collect_list(F.when(F.col("is_text") & F.col("free") & ~F.col("inside"), F.col("token"))).alias("texts"),
+        F.coalesce(F.sum(F.when(text, F.col("chars") / F.col("n_pages"))), F.lit(0.0)).alias("chars"),
+        F.max(F.col("page_chars") / F.col("n_pages")).alias("page_chars"),
+        F.collect_list(F.when(text, F.col("token"))).alias("texts"),
         F.collect_list(F.when(~F.col("is_text"), F.col("path"))).alias("tags"),
     )
 
 
 def _tokens(pages: DataFrame) -> DataFrame:
-    """(host, token, path, is_text, free, inside, chars, n_pages, vector) of each token of each host."""
+    """(host, token, path, is_text, free, inside, chars, page_chars, n_pages, vector) of each token of each host.
+
+    Each page with tags or text has the root, whose path is ''.
+    """
 
     def rows(columns):
         for host, page_id, page in zip(*columns, strict=True):
@@ -200,38 +213,42 @@ def _tokens(pages: DataFrame) -> DataFrame:
             seen: dict[tuple[int, str, bool, bool, bool], list[int]] = {}
             for t in tags:
                 seen.setdefault((_hash(t), t, False, False, False), [0, 0])[0] += 1
+            if blocks or tags:
+                seen[_ROOT, "", False, False, False] = [1, 0]
             for b in blocks:
                 got = seen.setdefault((_hash(f"{b.path}\n{b.text}"), b.path, True, not b.out, b.inside), [0, 0])
                 got[0] += 1
                 got[1] += len(b.text)
+            same = _hash(f"{page_id}")
+            all_chars = sum(len(b.text) for b in blocks if not b.out)
             for (token, path, is_text, free, inside), (n, chars) in seen.items():
-                yield host, token, path, is_text, free, inside, chars, _hash(f"{page_id}:{n}")
+                yield host, token, path, is_text, free, inside, chars, all_chars, same, _hash(f"{same}:{n}")
 
     held = pages.select(host_of(F.col("url")).alias("host"), F.col("page_id").cast("string"), "html")
-    found = map_batches(held, rows, "host string, token long, path string, is_text boolean, free boolean, inside boolean, chars long, mark long")
-    return found.groupBy("host", "token").agg(
-        F.min("path").alias("path"), F.max("is_text").alias("is_text"), F.max("free").alias("free"), F.max("inside").alias("inside"), F.sum("chars").alias("chars"),
-        F.count(F.lit(1)).alias("n_pages"), F.bit_xor("mark").alias("vector"),
-    )
+    found = map_batches(held, rows, "host string, token long, path string, is_text boolean, free boolean, inside boolean, chars long, page_chars long, same long, mark long")
+    kinds = [F.min("path").alias("path"), F.max("is_text").alias("is_text"), F.max("free").alias("free"), F.max("inside").alias("inside")]
+    once = found.groupBy("host", "token", "same").agg(*kinds, F.max("chars").alias("chars"), F.max("page_chars").alias("page_chars"), F.min("mark").alias("mark"))
+    return once.groupBy("host", "token").agg(
+        *kinds, F.sum("chars").alias("chars"), F.sum("page_chars").alias("page_chars"), F.count(F.lit(1)).alias("n_pages"), F.bit_xor("mark").alias("vector")
+    )
 
 
 def templates(pages: DataFrame) -> DataFrame:
     """(host, template, container): hashes of the template's texts, and the path of the main container.
 
-    A class is valid if enough pages of its host hold it.  Valid classes nest along the paths of their tags, as a tag is
-    on every page that holds something below it.  Their texts are the template; their tags are the containers, and the
-    text below a container that is not template fills its slots.  The main container is the article that holds most of it,
-    or else the deepest container that holds at least MAIN_SHARE.  Null if none does, or if only a role marks articles.
+    A class is valid if LEAST_PAGES pages hold it, and either most pages of the host do, or it has
+    LEAST_TOKENS tokens, a tag among them, and its pages hold other text as well.  Its texts are the template; its tags,
+    which nest by path, are the containers, and the text below a container that is not template fills its slots.  The
+    main container is the article that holds most of it, or else the deepest container that holds at least MAIN_SHARE.
+    Null if none does, or if only a role marks articles.
     """
-    hosts = pages.select(host_of(F.col("url")).alias("host")).groupBy("host").agg(F.count(F.lit(1)).alias("of"))
     tokens = saved(_tokens(pages))
-    enough = (F.col("n_pages") >= LEAST_PAGES) & (F.col("n_pages") >= LEAST_SHARE * F.col("of"))
-    valid = saved(_classes(tokens).join(hosts, "host").where(enough).select("host", "texts", "tags"))
+    hosts = tokens.where(~F.col("is_text") & (F.col("token") == _ROOT)).select("host", F.col("n_pages").alias("of"))
+    layout = (F.size("tags") > 0) & (F.col("n_tokens") >= LEAST_TOKENS) & (F.col("chars") <= MOST_SHARE * F.col("page_chars"))
+    enough = (F.col("n_pages") >= LEAST_PAGES) & ((F.col("n_pages") >= MAJORITY * F.col("of")) | layout)
+    valid = saved(_classes(tokens).join(hosts, "host").where(enough).select("host", "vector", "n_pages", "texts", "tags"))
     # characters in slots by path, then by every path above
-    # dealt out by host and a part of the token, as one host may hold most texts
-    sizes = hosts.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-    slots = tokens.where("is_text and free").withColumn("part", F.pmod("token", F.lit(PARTS)).cast("int"))
-    slots = slots.join(sizes, ["host", "part"]).where(F.col("inside") | ~enough)
+    slots = tokens.where("is_text and free").join(valid.select("host", "vector", "n_pages"), ["host", "vector", "n_pages"], "left_anti")
     slots = slots.groupBy("host", "path").agg(F.sum("chars").alias("chars"), F.max("inside").alias("inside"))
     steps = F.split("path", "/")
     above = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda n: F.array_join(F.slice(steps, F.lit(1), n), "/"))

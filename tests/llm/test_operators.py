@@ -372,6 +372,22 @@ def test_main_text_marks_are_hints(page):
     assert html.extract(page, set(), None) == "The whole text."
 
 
+def site(spark, pages):
+    table = spark.createDataFrame([(k, f"http://c.org/{k}", h) for k, h in enumerate(pages)], "page_id long, url string, html string")
+    return {r["page_id"]: r["text"] for r in html.main_text(table).collect()}
+
+
+def test_main_text_classes_decide(spark):
+    """A line of all articles and a layout of few pages are template; a lone line of few pages is text."""
+    inside = site(spark, [f"<body><article><h1>Title {k}</h1><p>Own words {k}</p><div class='foot'>Read on every page</div></article></body>" for k in range(6)])
+    assert inside == {k: f"Title {k} Own words {k}" for k in range(6)}
+    layout = "<div class='desk'><h3>The sports desk</h3><ul><li>All results</li></ul></div>"
+    plain = site(spark, [f"<body>{layout if k < 3 else ''}<div class='t'><p>Own long words of page {k} here</p>{'<p>A saying that three pages quote</p>' if 4 <= k < 7 else ''}</div></body>" for k in range(15 + 5)])
+    assert plain == {k: f"Own long words of page {k} here" + (" A saying that three pages quote" if 4 <= k < 7 else "") for k in range(20)}
+    few = site(spark, [f"<body><div class='t'><p>Own long words of page {k} here</p>{'<p>A saying that three pages quote</p>' if k < 3 else ''}</div></body>" for k in range(8)])
+    assert few[0].endswith("three pages quote")
+
+
 # --- 10 ----------------------------------------------------------------------------------------------------------
 
 
