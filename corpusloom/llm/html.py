@@ -2,10 +2,10 @@
 
 Tokens of a page are its structural tags with their path and its text blocks with their path.  Over the pages of a host,
 tokens whose occurrence vectors (which page holds how many) are equal form a class; the vectors are compared by a
-commutative hash, so one grouped aggregation finds the classes of any host.  Classes
+commutative hash, so one grouped aggregation finds the classes of any host.  Pages of the same text count once.  Classes
 that enough pages and tokens share are valid: their texts are the template, inside articles too, and their tags, which nest
 by path, the containers that leave slots between them.  The slots below the main container, an article first, are
-extracted; slots of menus, notices and the like are not.
+extracted, and beside a container that is no article the running text too; slots of menus, notices and the like are not.
 """
 
 from __future__ import annotations
@@ -20,12 +20,12 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import map_batches, saved
 
-#: Pages that must share a class, its tokens, and the share of the host's pages from which any number is enough.
+#: Pages of different text that must share a class, its tokens, and the share of the host's pages from which any number is enough.
 LEAST_PAGES, LEAST_TOKENS, MAJORITY = 3, 3, 0.5
 #: Share of the text of its pages that a class of fewer pages holds at most, or else its pages are copies of each other.
 MOST_SHARE = 0.5
-#: Share of a page's text from which a mark does not count.
-MARK_SHARE = 0.5
+#: Share of a page's text from which a mark does not count; words of a block beside the main container from which it is text.
+MARK_SHARE, TEXT_WORDS = 0.5, 4
 #: Share of a host's slot text that the main container holds at least, where no article does.
 MAIN_SHARE = 0.8
 #: Bytes of templates up to which they are broadcast, and parts into which a host's pages are dealt beyond that.
@@ -163,11 +163,16 @@ def _hash(text: str) -> int:
 def extract(page: str | None, template: set[int], container: str | None) -> str:
     """The text of the slots below the template's main container, given the hashes of the template's texts.
 
-    On a page without that container, its article counts, and without one all that is no template text.
+    Beside a container that is no article, blocks of TEXT_WORDS words stay.  On a page without that container, its
+    article counts, and without one all that is no template text.
     """
     free = [b for b in blocks_of(page)[0] if not b.out]
-    below = [b for b in free if container is not None and (b.path == container or b.path.startswith(container + "/"))]
-    chosen = below or [b for b in free if b.inside] or free
+    below = [container is not None and (b.path == container or b.path.startswith(container + "/")) for b in free]
+    if any(below):
+        article = any(b.inside for b, x in zip(free, below, strict=True) if x)
+        chosen = [b for b, x in zip(free, below, strict=True) if x or not article and len(b.text.split()) >= TEXT_WORDS]
+    else:
+        chosen = [b for b in free if b.inside] or free
     return " ".join(b.text for b in chosen if _hash(f"{b.path}\n{b.text}") not in template)
 
 
@@ -183,8 +188,8 @@ def host_of(url: Column) -> Column:
 def occurrence_classes(pages: DataFrame) -> DataFrame:
     """(host, vector, n_pages, n_tokens, chars, page_chars, texts, tags): the equivalence classes of tags and texts on each host.
 
-    ``vector`` is a commutative hash of (page, count) over the pages that hold a token; ``n_pages`` counts
-    pages.  ``texts`` holds the hashes of the class's texts that may be template, ``tags`` the paths of its tags;
+    ``vector`` is a commutative hash of (page text, count) over the pages that hold a token; ``n_pages`` counts pages of
+    different text.  ``texts`` holds the hashes of the class's texts that may be template, ``tags`` the paths of its tags;
     ``chars`` and ``page_chars`` are the characters of its texts, and of all texts of its pages, a page.
     """
     return _classes(_tokens(pages))
@@ -204,11 +209,11 @@ def _classes(tokens: DataFrame) -> DataFrame:
 def _tokens(pages: DataFrame) -> DataFrame:
     """(host, token, path, is_text, free, inside, chars, page_chars, n_pages, vector) of each token of each host.
 
-    Each page with tags or text has the root, whose path is ''.
+    Pages of the same text count once; each page with tags or text has the root, whose path is ''.
     """
 
     def rows(columns):
-        for host, page_id, page in zip(*columns, strict=True):
+        for host, page in zip(*columns, strict=True):
             blocks, tags = blocks_of(page)
             seen: dict[tuple[int, str, bool, bool, bool], list[int]] = {}
             for t in tags:
@@ -219,12 +224,12 @@ def _tokens(pages: DataFrame) -> DataFrame:
                 got = seen.setdefault((_hash(f"{b.path}\n{b.text}"), b.path, True, not b.out, b.inside), [0, 0])
                 got[0] += 1
                 got[1] += len(b.text)
-            same = _hash(f"{page_id}")
+            same = _hash("\n".join(b.text for b in blocks if not b.out))
             all_chars = sum(len(b.text) for b in blocks if not b.out)
             for (token, path, is_text, free, inside), (n, chars) in seen.items():
                 yield host, token, path, is_text, free, inside, chars, all_chars, same, _hash(f"{same}:{n}")
 
-    held = pages.select(host_of(F.col("url")).alias("host"), F.col("page_id").cast("string"), "html")
+    held = pages.select(host_of(F.col("url")).alias("host"), "html")
     found = map_batches(held, rows, "host string, token long, path string, is_text boolean, free boolean, inside boolean, chars long, page_chars long, same long, mark long")
     kinds = [F.min("path").alias("path"), F.max("is_text").alias("is_text"), F.max("free").alias("free"), F.max("inside").alias("inside")]
     once = found.groupBy("host", "token", "same").agg(*kinds, F.max("chars").alias("chars"), F.max("page_chars").alias("page_chars"), F.min("mark").alias("mark"))
@@ -236,7 +241,7 @@ def _tokens(pages: DataFrame) -> DataFrame:
 def templates(pages: DataFrame) -> DataFrame:
     """(host, template, container): hashes of the template's texts, and the path of the main container.
 
-    A class is valid if LEAST_PAGES pages hold it, and either most pages of the host do, or it has
+    A class is valid if LEAST_PAGES pages of different text hold it, and either most pages of the host do, or it has
     LEAST_TOKENS tokens, a tag among them, and its pages hold other text as well.  Its texts are the template; its tags,
     which nest by path, are the containers, and the text below a container that is not template fills its slots.  The
     main container is the article that holds most of it, or else the deepest container that holds at least MAIN_SHARE.

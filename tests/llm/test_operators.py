@@ -388,6 +388,15 @@ def test_main_text_classes_decide(spark):
     assert few[0].endswith("three pages quote")
 
 
+def test_main_text_keeps_copies_and_second_columns(spark):
+    copy = "<body><div class='t'><h1>One title</h1><p>The text of a page that was read three times</p></div></body>"
+    texts = site(spark, [copy] * 3 + [f"<body><div class='t'><h1>Title {k}</h1><p>Text of its own on page {k}</p></div></body>" for k in range(5)])
+    assert texts[0] == texts[1] == texts[2] == "One title The text of a page that was read three times"
+    long = "This is a line of the story number {} and it goes on for a while. "
+    columns = [f"<body><div class='lead'><p>A lead of several words {k}</p></div><div class='t'><p>{long.format(k) * 4}</p></div></body>" for k in range(8)]
+    assert all(t.startswith(f"A lead of several words {k} This is a line") for k, t in site(spark, columns).items())
+
+
 # --- 10 ----------------------------------------------------------------------------------------------------------
 
 
