@@ -5,12 +5,14 @@ on the labelled documents (Gaussian naive Bayes over a few text measures, from o
 document then gets a nonnegative rate so that the expected tokens of every domain, the sum of rate x tokens x posterior,
 meet a target.  Rates come from projected-gradient least squares: rate <- max(0, rate + posterior . step), where the step
 is the residual of the domain totals, weighted by the inverse of the domains' token Gram matrix; with that weight the
-gradient has Lipschitz constant one, so unit steps converge.  An iteration is one aggregation of a few numbers a
-domain; nothing else reaches the driver, and its size depends on the number of domains alone.
+gradient has Lipschitz constant one, so unit steps converge; they are accelerated by momentum, which starts anew where it
+points uphill.  Steps end when the targets are met or the projected gradient is small.  An iteration is one aggregation of
+a few numbers a domain; nothing else reaches the driver, and its size depends on the number of domains alone.
 """
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,10 +21,14 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import WORD, saved
 
+_LOG = logging.getLogger(__name__)
+
 #: Target share of the tokens of each domain, which is quality label and language; domains not listed get none.
 TARGETS = {"q1-en": 0.50, "q1-de": 0.17, "q1-fr": 0.17, "q1-es": 0.12, "q0-en": 0.04}
-#: Steps at most, and the change of the totals (as a share) at which they end.
-MOST_STEPS, CLOSE = 12, 1e-4
+#: The largest miss of a target, or the projected gradient, as a share of all tokens, at which steps end.
+CLOSE = 1e-4
+#: Steps after which the rates are written, so that the plan does not grow.
+WRITE_EVERY = 6
 #: The least variance of a measure, and the prior strength of a class.
 LEAST_VARIANCE, PRIOR = 1e-4, 1.0
 
@@ -66,9 +72,14 @@ class Mixture:
     log_prior: list[float]
     mean: list[list[float]]
     variance: list[list[float]]
-    steps: list[list[float]]
+    steps: list[list[float]]  # the step by domain, then the momentum after it
     wanted: list[float]
     reached: list[float]
+    gradient: float = 0.0  # the last projected gradient, as a share of all tokens
+
+    def report(self) -> dict[str, tuple[float, float]]:
+        """Wanted and reached tokens of each domain."""
+        return dict(zip(self.domains, zip(self.wanted, self.reached, strict=True), strict=True))
 
     def with_posteriors(self, df: DataFrame) -> DataFrame:
         """``df``, which has the measures, with a column loom_p<i> for each domain."""
@@ -90,14 +101,21 @@ class Mixture:
 
     def rate(self) -> Column:
         """The rate after all steps from 1, each kept nonnegative, from the columns loom_p<i>."""
-        r = F.lit(1.0)
-        for step in self.steps:
-            r = F.greatest(F.lit(0.0), r + sum((F.col(f"loom_p{d}") * F.lit(x) for d, x in enumerate(step)), F.lit(0.0)))
-        return r
+        if not self.steps:
+            return F.lit(1.0)
+        n = len(self.domains)
+
+        def step(at: Column, by: Column) -> Column:
+            new = F.greatest(F.lit(0.0), at["y"] + sum((F.col(f"loom_p{d}") * by[d] for d in range(n)), F.lit(0.0)))
+            # one element, so that the new rate is computed once
+            both = F.transform(F.array(new), lambda r: F.struct(r.alias("r"), (r + by[n] * (r - at["r"])).alias("y")))
+            return both[0]
+
+        return F.aggregate(F.lit(self.steps), F.struct(F.lit(1.0).alias("r"), F.lit(1.0).alias("y")), step)["r"]
 
 
 def fit(compact: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> tuple[Mixture, DataFrame]:
-    """Fits classifier and rates; also gives (doc_id, tokens, loom_p<i>), saved.
+    """Fits classifier and rates; also gives (doc_id, tokens, loom_p<i>, loom_rate), saved.
 
     ``compact`` comes from :func:`measured`; ``labels`` has doc_id and quality (repeated ids: the largest value counts;
     null labels, ids or languages are left out).  With no labelled row there is one domain, ``all``, of rate 1.
@@ -135,16 +153,32 @@ def fit(compact: DataFrame, labels: DataFrame, targets: dict[str, float] | None
     gram = np.array([[float(first[f"g{min(i, j)}_{max(i, j)}"] or 0) for j in n] for i in n])
     weight = np.linalg.pinv(gram, rcond=1e-6, hermitian=True)
     mixture.wanted = wanted.tolist()
-    while everything and len(mixture.steps) < MOST_STEPS and np.abs(wanted - reached).max() > CLOSE * everything:
-        before = reached
-        mixture.steps.append((weight @ (wanted - reached)).tolist())
-        rated = member.select("tokens", *p, mixture.rate().alias("rate"))
-        row = rated.agg(*[F.sum(F.col("rate") * F.col("tokens") * p[i]).alias(f"t{i}") for i in n]).first()
-        reached = np.array([float(row[f"t{i}"] or 0) for i in n])
-        if np.abs(reached - before).max() <= CLOSE * everything:
+    state = member.select("doc_id", "tokens", *p, F.lit(1.0).alias("loom_rate"), F.lit(1.0).alias("loom_y"))
+    ahead, pace = reached, 1.0  # totals of loom_y, from which a step goes out
+    while everything and np.abs(wanted - reached).max() > CLOSE * everything:
+        step = weight @ (wanted - ahead)
+        new = F.greatest(F.lit(0.0), F.col("loom_y") + sum((p[i] * F.lit(float(x)) for i, x in enumerate(step)), F.lit(0.0)))
+        moved = state.select("*", new.alias("loom_new"))
+        row = moved.agg(
+            *[F.sum(F.col("loom_new") * F.col("tokens") * p[i]).alias(f"t{i}") for i in n],
+            F.sum(F.abs(F.col("loom_new") - F.col("loom_y")) * F.col("tokens")).alias("moved"),
+        ).first()
+        before, reached = reached, np.array([float(row[f"t{i}"] or 0) for i in n])
+        if step @ (reached - before) < 0:
+            pace = 1.0
+        pace, last = (1 + (1 + 4 * pace * pace) ** 0.5) / 2, pace
+        momentum = (last - 1) / pace
+        ahead = reached + momentum * (reached - before)
+        mixture.steps.append([*step.tolist(), momentum])
+        mixture.gradient = float(row["moved"] or 0) / everything
+        state = moved.select("doc_id", "tokens", *p, F.col("loom_new").alias("loom_rate"), (F.col("loom_new") + F.lit(momentum) * (F.col("loom_new") - F.col("loom_rate"))).alias("loom_y"))
+        if len(mixture.steps) % WRITE_EVERY == 0:
+            state = saved(state)
+        if mixture.gradient <= CLOSE:
             break
     mixture.reached = reached.tolist()
-    return mixture, member
+    _LOG.info("%d steps, projected gradient %.1e; tokens wanted and reached: %s", len(mixture.steps), mixture.gradient, mixture.report())
+    return mixture, state.drop("loom_y")
 
 
 def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
@@ -155,7 +189,7 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] |
     """
     mixture, member = fit(saved(measured(docs)), labels, targets)
     posterior = F.create_map(*[x for i, d in enumerate(mixture.domains) for x in (F.lit(d), F.col(f"loom_p{i}"))])
-    return member.select("doc_id", "tokens", posterior.alias("posterior"), mixture.rate().alias("rate"))
+    return member.select("doc_id", "tokens", posterior.alias("posterior"), F.col("loom_rate").alias("rate"))
 
 
 def copies(doc_id: Column, rate: Column) -> Column:

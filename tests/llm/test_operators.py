@@ -7,6 +7,7 @@ import random
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,6 +96,28 @@ def test_mixing_meets_reachable_targets(spark, rng):
     assert 0.4 < share < 0.6
 
 
+def test_mixing_steps_until_soft_targets_are_met(spark):
+    """Soft posteriors of good and bad documents: the weighted miss ends under a third of that of 12 plain steps."""
+    draw = random.Random(8)
+    rows = [(k, " ".join("x" * draw.randint(2, 9) + "!" * (draw.random() < (0.12 if k % 2 else 0.2)) for _ in range(draw.randint(20, 200))), "en" if k % 4 < 2 else "de", "s", 0) for k in range(800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(400)], "doc_id long, quality int, toxic int")
+    mixture, member = mixing.fit(mixing.measured(docs), labels, {"q1-en": 0.6, "q1-de": 0.3, "q0-en": 0.1})
+    total, n = sum(mixture.wanted), len(mixture.domains)
+    seen = member.collect()
+    p, tokens = np.array([[r[f"loom_p{i}"] for i in range(n)] for r in seen]), np.array([r["tokens"] for r in seen])
+    weight = np.linalg.pinv((p * tokens[:, None]).T @ p, rcond=1e-6, hermitian=True)
+    miss = lambda rate: np.array(mixture.wanted) - (rate * tokens) @ p
+    plain = np.ones(len(seen))
+    for _ in range(12):
+        plain = np.maximum(0, plain + p @ (weight @ miss(plain)))
+    rate = np.array([r["loom_rate"] for r in seen])
+    assert np.allclose(rate, [r["r"] for r in member.select(mixture.rate().alias("r")).collect()])
+    assert np.allclose([w - got for w, got in mixture.report().values()], miss(rate), atol=1e-6 * total)
+    assert len(mixture.steps) > 12 and mixture.gradient <= mixing.CLOSE
+    assert miss(rate) @ weight @ miss(rate) < miss(plain) @ weight @ miss(plain) / 3
+
+
 def test_mixing_odd_rows(spark, docs, empty):
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (None, 1, 1), (9, None, 0)], "doc_id long, quality int, toxic int")
     assert mixing.mixing_rates(docs, labels).count() == docs.count()
