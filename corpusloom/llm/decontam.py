@@ -227,19 +227,22 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the contaminated rows; the columns stay as they are.
 
-    While the test items fit one block, each task judges its own rows and no text is shuffled.  Beyond that, verdicts of
-    the blocks are combined first and rows are dropped by id; rows without an id then stay.
+    Each task judges its own rows by all blocks of test items, one after the other, so no text is shuffled, and rows
+    without an id or with a repeated one are judged like any other at every size.
     """
     blocks = list(_blocks(benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text"), "item_id", "text")) or [[]]
-    if len(blocks) > 1:
-        bad = contamination(docs, benchmark).where("contaminated and doc_id is not null").select(F.col("doc_id").alias("loom_id")).distinct()
-        return docs.join(bad, docs["doc_id"] == bad["loom_id"], "left_anti")
-    handle, at = docs.sparkSession.sparkContext.broadcast(blocks[0]), docs.columns.index("text")
+    handles, at = [docs.sparkSession.sparkContext.broadcast(b) for b in blocks], docs.columns.index("text")
 
     def work(batches):
-        queries = Queries(handle.value)
+        only = Queries(handles[0].value) if len(handles) == 1 else None
         for batch in batches:
-            good = [not _contaminated(n, spans) for n, spans, _, _ in found_in(batch.columns[at].to_pylist(), queries)]
+            texts = batch.columns[at].to_pylist()
+            n_words, spans = [0] * len(texts), [[] for _ in texts]
+            for handle in handles:
+                for k, (n, hit, _, _) in enumerate(found_in(texts, only or Queries(handle.value))):
+                    n_words[k] = n
+                    spans[k] += hit
+            good = [not _contaminated(n, x) for n, x in zip(n_words, spans, strict=True)]
             yield batch.filter(pa.array(good, pa.bool_()))
 
     return docs.mapInArrow(work, docs.schema)

@@ -454,6 +454,16 @@ def test_contamination(spark, docs, rng, block, monkeypatch):
     assert decontam.contamination(all_docs, bench.limit(0)).where("contaminated").count() == 0
 
 
+@pytest.mark.parametrize("block", [400_000, 30])
+def test_contaminated_rows_go_whatever_their_id(spark, rng, block, monkeypatch):
+    monkeypatch.setattr(decontam, "BLOCK_WORDS", block)
+    a, b, clean = words(rng, 25), words(rng, 25), words(rng, 60)
+    bench = spark.createDataFrame([(1, a), (2, b)], "item_id long, text string")
+    rows = [(None, a), (None, clean), (7, b), (7, clean), (8, clean)]
+    left = decontam.drop_contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench)
+    assert Counter(map(tuple, left.collect())) == Counter([(None, clean), (7, clean), (8, clean)])
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "c x b y a"), (2, "a b"), (3, "a " + "z " * 50 + "b c")], "doc_id long, text string")
     bench = spark.createDataFrame([(7, "a b c")], "item_id long, text string")
