@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,6 +21,17 @@ NAME_ENDS = " .,;:()[]{}\"'"
 NO_NAMES = ("court", "state", "united states", "opinion")
 
 
+def computed(df: DataFrame, *keep: Column | str, **columns: Column) -> DataFrame:
+    """The kept columns and the computed ones, each worked out once a row.
+
+    A generator of one row stands between them and what uses them, since projections and filters above would otherwise be
+    merged into the one below and spell out a costly column at each place of use.
+    """
+    row = F.explode_outer(F.array(F.struct(*[c.alias(name) for name, c in columns.items()])))
+    made = df.select(*keep, row.alias("loom_made"))
+    return made.select(*[F.col(f"`{c}`") for c in made.columns[:-1]], *[F.col("loom_made")[name].alias(name) for name in columns])
+
+
 def or_empty(c: Column) -> Column:
     return F.coalesce(c.cast("string"), F.lit(""))
 
@@ -88,10 +99,19 @@ def safe_text(c: Column, delimiter: str = "|") -> Column:
     return F.translate(collapse(or_empty(c)), delimiter, " ")
 
 
+def entity_name(c: Column) -> Column:
+    """Lower case, ends stripped, white space collapsed."""
+    return F.regexp_replace(F.btrim(F.lower(c), F.lit(NAME_ENDS)), PY_WS + "+", " ")
+
+
+def is_entity(name: Column) -> Column:
+    """Whether a name in that form is long enough and none of those that are no entities; false for null."""
+    return F.coalesce((F.length(name) >= 3) & ~name.isin(*NO_NAMES), F.lit(False))
+
+
 def normalise_entity(c: Column) -> Column:
-    """Lower case, ends stripped, white space collapsed; null for names that are too short or no entities."""
-    name = F.regexp_replace(F.btrim(F.lower(c), F.lit(NAME_ENDS)), PY_WS + "+", " ")
-    return F.when((F.length(name) >= 3) & ~name.isin(*NO_NAMES), name)
+    """The name's form for comparison; null for names that are too short or no entities."""
+    return F.when(is_entity(entity_name(c)), entity_name(c))
 
 
 def tokenize(c: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import ws_tokens
+from corpusloom.functions.text import computed, ws_tokens
 
 #: Tokens of a window and of an overlap.
 SIZE, OVERLAP = 384, 64
@@ -26,7 +26,7 @@ def chunk_windows(tokens: Column, size: int = SIZE, overlap: int = OVERLAP) -> C
             F.slice(tokens, i * step + 1, F.lit(size)).alias("tokens"),
         ),
     )
-    return F.when(n > 0, windows).otherwise(F.slice(windows, 1, 0))
+    return F.when(n > 0, windows)
 
 
 def chunk_id(source_id: Column, index: Column, text: Column) -> Column:
@@ -34,17 +34,24 @@ def chunk_id(source_id: Column, index: Column, text: Column) -> Column:
     return F.substring(F.sha1(key.cast("binary")), 1, 16)
 
 
-def chunk_corpus(opinions: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
-    """Chunk rows of opinions (id, text and, where there, source_dataset and metadata); texts without tokens give none."""
+def chunk_corpus(opinions: DataFrame, size: int = SIZE, overlap: int = OVERLAP, tokens: Column | None = None, joint: str = " ") -> DataFrame:
+    """Chunk rows of opinions (id, text and, where there, source_dataset and metadata); texts without tokens give none.
+
+    ``tokens``, an array of the text's tokens, replaces white-space words; with ``joint`` between them they give a chunk's
+    text.  Tokens that keep their spaces, such as the pieces of a subword tokenizer, are joined by ''.  Null ids give
+    chunks with null ids; repeated rows are cut each.
+    """
     carried = [c for c in ("source_dataset", "metadata") if c in opinions.columns]
-    # the text is split once, before its windows are cut
-    split = opinions.select(F.col("id").cast("string").alias("source_id"), *carried, ws_tokens(F.col("text")).alias("loom_tokens")).where(F.size("loom_tokens") > 0)
-    rows = split.select("source_id", *carried, F.explode(chunk_windows(F.col("loom_tokens"), size, overlap)).alias("w"))
-    text = F.trim(F.array_join("w.tokens", " "))
-    return rows.select(
-        chunk_id(F.col("source_id"), F.col("w.chunk_index"), text).alias("id"), "source_id", *carried, "w.chunk_index", "w.token_start", "w.token_end",
-        (F.col("w.token_end") - F.col("w.token_start")).alias("token_count"), text.alias("text"),
-    ).where("text <> ''")
+    own = F.col("id").cast("string").alias("source_id")
+    split = computed(opinions, own, *carried, loom_tokens=ws_tokens(F.col("text")) if tokens is None else tokens)
+    # the outer form lets no filter on the windows' number down to the scan, where they would be cut once more
+    rows = split.select("source_id", *carried, F.explode_outer(chunk_windows(F.col("loom_tokens"), size, overlap)).alias("w")).where("w is not null")
+    at = ("chunk_index", "token_start", "token_end")
+    cut = computed(rows, "source_id", *carried, *[f"w.{c}" for c in at], text=F.trim(F.array_join("w.tokens", joint)))
+    return cut.where("text <> ''").select(
+        chunk_id(F.col("source_id"), F.col("chunk_index"), F.col("text")).alias("id"), "source_id", *carried, *at,
+        (F.col("token_end") - F.col("token_start")).alias("token_count"), "text",
+    )
 
 
 def chunk_report(opinions: DataFrame, chunks: DataFrame, wanted: int = 2_000_000) -> DataFrame:

@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from functools import partial
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import normalise_entity, safe_text, short_hash
+from corpusloom.functions.text import computed, entity_name, is_entity, safe_text, short_hash
 from corpusloom.packs import LEGAL, Pack
 
 #: Entities of a chunk, names in a type's summary, ids of a type's report.
@@ -92,9 +93,7 @@ def entity_candidates(chunks: DataFrame, pack: Pack = LEGAL) -> DataFrame:
     def made(kind: str, name: Column) -> Column:
         return F.struct(F.lit(kind).alias("type"), name.alias("name"))
 
-    base = chunks.select(
-        F.col("id").alias("chunk_id"), safe_text(F.col("text")).alias("st"), safe_text(_meta(chunks, "case_name")).alias("case_name"), _citations(chunks).alias("cited")
-    ).withColumn("low", F.lower("st"))
+    base = computed(chunks, F.col("id").alias("chunk_id"), st=safe_text(F.col("text")), case_name=safe_text(_meta(chunks, "case_name")), cited=_citations(chunks))
     parts = [F.array(made("CASE", F.col("case_name"))), F.transform("cited", partial(made, "CITATION"))]
     for kind, pattern in pack.patterns:
         matches = F.regexp_extract_all("st", F.lit(pattern), 0)
@@ -102,15 +101,17 @@ def entity_candidates(chunks: DataFrame, pack: Pack = LEGAL) -> DataFrame:
             matches = F.when(F.col("st").contains(" v. "), matches).otherwise(F.array().cast("array<string>"))
         parts.append(F.transform(matches, partial(made, kind)))
     if pack.lexicon:
-        words = F.array(*[made(kind, F.lit(phrase)) for phrase, kind in pack.lexicon.items()])
-        parts.append(F.filter(words, lambda x: F.contains("low", x["name"])))
-    raw = base.select("chunk_id", F.concat(*parts).alias("raw"))
-    named = F.transform("raw", lambda x: F.struct(x["type"].alias("type"), normalise_entity(x["name"]).alias("name")))
-    return raw.select("chunk_id", named.alias("named")).select("chunk_id", F.filter("named", lambda x: x["name"].isNotNull()).alias("candidates"))
+        words = [F.when(F.contains(F.lower("st"), F.lit(phrase)), made(kind, F.lit(phrase))) for phrase, kind in pack.lexicon.items()]
+        parts.append(F.array_compact(F.array(*words)))
+    named = F.transform(F.concat(*parts), lambda x: F.struct(x["type"].alias("type"), entity_name(x["name"]).alias("name")))
+    return computed(base, "chunk_id", candidates=F.filter(named, lambda x: is_entity(x["name"])))
 
 
 def top_entities(candidates: Column, k: int = PER_CHUNK) -> Column:
-    """array<(n, type, name)>: the k most frequent candidates of a chunk; ties by type and name."""
+    """array<(n, type, name)>: the k most frequent candidates of a chunk; ties by type and name.
+
+    ``candidates`` is used once for each distinct one: hand in a column that is computed.
+    """
     counted = F.transform(
         F.array_distinct(candidates), lambda d: F.struct((-F.size(F.filter(candidates, lambda x: x == d))).alias("n"), d["type"].alias("type"), d["name"].alias("name"))
     )
@@ -119,21 +120,23 @@ def top_entities(candidates: Column, k: int = PER_CHUNK) -> Column:
 
 def chunk_entities(chunks: DataFrame, pack: Pack = LEGAL, k: int = PER_CHUNK) -> DataFrame:
     """(chunk_id, entities): the kept entities of each chunk as array<(entity_id, type, name, tf)>, by entity_id."""
-    held = entity_candidates(chunks, pack).select("chunk_id", top_entities(F.col("candidates"), k).alias("top"))
-    full = F.transform("top", lambda x: F.struct(entity_id(x["type"], x["name"]).alias("entity_id"), x["type"].alias("type"), x["name"].alias("name"), (-x["n"]).alias("tf")))
-    return held.select("chunk_id", F.array_sort(full).alias("entities"))
+    full = F.transform(
+        top_entities(F.col("candidates"), k),
+        lambda x: F.struct(entity_id(x["type"], x["name"]).alias("entity_id"), x["type"].alias("type"), x["name"].alias("name"), (-x["n"]).alias("tf")),
+    )
+    return computed(entity_candidates(chunks, pack), "chunk_id", entities=F.array_sort(full))
 
 
 def build_mentions(kept: DataFrame, weight: str = "chunks") -> DataFrame:
     """(chunk_id, entity_id, weight): 1, or with ``weight='tf'`` the matches in the chunk."""
-    rows = kept.select("chunk_id", F.explode("entities").alias("e"))
+    rows = kept.select("chunk_id", F.explode_outer("entities").alias("e")).where("e is not null")
     value = F.sum("e.tf") if weight == "tf" else F.count(F.lit(1))
     return rows.groupBy("chunk_id", F.col("e.entity_id").alias("entity_id")).agg(value.cast("long").alias("weight"))
 
 
 def build_entities(kept: DataFrame) -> DataFrame:
     """Entities with the number of chunks that kept them."""
-    rows = kept.select(F.explode("entities").alias("e")).select("e.entity_id", "e.name", "e.type")
+    rows = kept.select(F.explode_outer("entities").alias("e")).where("e is not null").select("e.entity_id", "e.name", "e.type")
     return rows.groupBy("entity_id").agg(F.min("name").alias("name"), F.min("type").alias("type"), F.count(F.lit(1)).alias("frequency"))
 
 
@@ -142,8 +145,8 @@ def build_related(kept: DataFrame) -> DataFrame:
     ids = F.transform("entities", lambda e: e["entity_id"])
     pairs = F.flatten(F.transform(ids, lambda x, i: F.transform(F.slice(ids, i + 2, PER_CHUNK), lambda y: F.struct(x.alias("a"), y.alias("b")))))
     return (
-        kept.where(F.size("entities") > 1)
-        .select(F.explode(pairs).alias("p"))
+        kept.select(F.explode_outer(pairs).alias("p"))
+        .where("p is not null")
         .groupBy(F.col("p.a").alias("from_entity_id"), F.col("p.b").alias("to_entity_id"))
         .agg(F.count(F.lit(1)).alias("weight"))
         .select("from_entity_id", "to_entity_id", F.lit("CO_OCCURS_WITH").alias("relation_type"), "weight")
@@ -182,8 +185,12 @@ def topic_communities(entities: DataFrame, pack: Pack = LEGAL) -> DataFrame:
 
 
 def build_graph(chunks: DataFrame, pack: Pack = LEGAL) -> dict[str, DataFrame]:
-    """All ten tables.  Entities of chunks are used by four of them: persist ``chunks`` if it is costly to make."""
-    kept = chunk_entities(chunks, pack)
+    """All ten tables.
+
+    Four of them come from the entities of chunks, which are kept in memory or on disk once worked out; an executor's loss
+    brings them back from ``chunks``.
+    """
+    kept = chunk_entities(chunks, pack).persist(StorageLevel.MEMORY_AND_DISK)
     entities = build_entities(kept)
     citations, cites = build_citations(chunks)
     return {
