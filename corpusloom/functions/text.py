@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 #: Fixed value: what counts as white space, the same set in every engine.
 PY_WS = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c != " ")
 #: Token patterns.
 WORD_OR_MARK = r"(?U)\w+|[^\w\s]"
 TERM = r"[a-zA-Z][a-zA-Z0-9_]{1,}"
@@ -38,7 +39,12 @@ def or_empty(c: Column) -> Column:
 
 def collapse(c: Column) -> Column:
     """White-space runs become one space; none at the ends."""
-    return F.trim(F.regexp_replace(c, PY_WS + "+", " "))
+    return F.array_join(_between_spaces(c), " ")
+
+
+def _between_spaces(c: Column) -> Column:
+    """What stands between white space.  Its kinds become one first: a split at one plain character is many times faster."""
+    return F.filter(F.split(F.translate(c, _SPACES, " " * len(_SPACES)), " "), lambda x: x != "")
 
 
 def clean_text(c: Column, fast: bool = False) -> Column:
@@ -91,7 +97,7 @@ def token_count(c: Column, mode: str = "words_and_marks") -> Column:
 
 
 def ws_tokens(c: Column) -> Column:
-    return F.filter(F.split(or_empty(c), PY_WS + "+"), lambda x: x != "")
+    return _between_spaces(or_empty(c))
 
 
 def safe_text(c: Column, delimiter: str = "|") -> Column:

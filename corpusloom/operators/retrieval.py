@@ -1,29 +1,31 @@
 """Retrieval for tables of questions: flat (vectors and words) and over the graph.
 
-Questions are a query set: they are put against all rows, and are broadcast while they are few.
+Questions are a query set that is put against all rows, in blocks.  What follows from them joins by key, and Spark chooses
+by size how.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import hits, or_empty, query_terms, score_text, tokenize
+from corpusloom.functions.text import hits, or_empty, query_terms, score_text
 from corpusloom.operators import vectors
+from corpusloom.operators.best import KEPT_WORDS, Needles, best_rows
 from corpusloom.packs import FLAT_STOPWORDS, LEGAL, Pack
 
 #: Hits of a question, weight of the lexical score, limits of graph retrieval.
 TOP_K, ALPHA = 8, 0.35
 TOP_CASES, CHUNKS_PER_CASE, MAX_TOKENS = 2, 5, 2200
+GLOBAL_CASES, MULTI_HOP_CASES = 8, 5
 #: Seeds of a question, mentions and edges of a seed, mentions of a related entity, the hop's share.
 SEEDS, DIRECT, EDGES, PER_EDGE, HOP = 5, 12, 12, 8, 0.9
-#: Questions up to which a question set is broadcast.
-FEW = 20_000
-
-
-def few(questions: DataFrame) -> DataFrame:
-    """The questions, to be broadcast if they are few; otherwise Spark chooses."""
-    return F.broadcast(questions) if questions.limit(FEW + 1).count() <= FEW else questions
+_RUNS = re.compile(r"[a-z0-9_]+")
+_TOKEN = re.compile(r"[a-z][a-z0-9_]+")
 
 
 def lexical_scores(chunks: DataFrame, questions: DataFrame, stopwords: tuple[str, ...] = FLAT_STOPWORDS) -> DataFrame:
@@ -34,19 +36,49 @@ def lexical_scores(chunks: DataFrame, questions: DataFrame, stopwords: tuple[str
     asked = questions.select("q", query_terms(F.col("question"), stopwords).alias("terms"))
     low = chunks.select("id", F.lower("haystack").alias("haystack"))
     share = F.when(F.size("terms") > 0, hits(F.col("haystack"), F.col("terms")) / F.size("terms")).otherwise(F.lit(0.0))
-    return low.crossJoin(few(asked)).select("q", "id", share.alias("lexical"))
+    return low.crossJoin(asked).select("q", "id", share.alias("lexical"))
 
 
-def hybrid_topk(index: DataFrame, chunks: DataFrame, questions: DataFrame, k: int = TOP_K, alpha: float = ALPHA, hashing: str = "md5") -> DataFrame:
-    """(q, rank, id, score, dense, lexical): dense plus weighted lexical score, the best k; ties by id.
+def hybrid_topk(chunks: DataFrame, questions: DataFrame, k: int = TOP_K, alpha: float = ALPHA, hashing: str = "md5", stopwords: tuple[str, ...] = FLAT_STOPWORDS) -> DataFrame:
+    """(q, id, score, rank): dense plus weighted lexical score, the best k; ties by id.
 
-    Texts are not carried: join them to the hits.
+    ``chunks`` has id, text and haystack; ``questions``, a query set, has q and question.  Both scores are made in one pass
+    over the chunks, which are not shuffled; null texts have no tokens.  Texts are not carried: join them to the hits.
     """
-    asked = vectors.hashed_embedding(questions, "q", "question", hashing)
-    dense = vectors.sparse_scores(index, few(asked)).withColumnRenamed("score", "dense")
-    both = lexical_scores(chunks, questions).join(dense, ["q", "id"], "left").select("q", "id", F.coalesce("dense", F.lit(0.0)).alias("dense"), "lexical")
-    scored = both.withColumn("score", F.round(F.col("dense") + F.lit(alpha) * F.col("lexical"), 9))
-    return top(scored, ["q"], [F.desc("score"), F.col("id")], k)
+
+    def scorer(block: list):
+        slot, known = vectors.slot_of(hashing), {}
+        needles = Needles([t for r in block for t in r["terms"]])
+        shares = needles.weights([r["terms"] for r in block]) / np.maximum(1, [len(r["terms"]) for r in block])
+
+        def counts(texts: list[list[str]]) -> np.ndarray:
+            out = np.zeros((len(texts), vectors.DIMS))
+            for row, tokens in zip(out, texts, strict=True):
+                for t, n in Counter(tokens).items():
+                    if (s := known.get(t)) is None:
+                        if len(known) >= KEPT_WORDS:
+                            known.clear()
+                        s = known[t] = slot(t)
+                    row[s[0]] += n * s[1]
+            return out
+
+        def norms(m: np.ndarray) -> np.ndarray:
+            return np.sqrt((m * m).sum(1))
+
+        asked = counts([_TOKEN.findall(r["low"]) for r in block])
+        own = np.maximum(norms(asked), 1e-300)
+
+        def score(columns: dict[str, list]) -> np.ndarray:
+            held = counts([_TOKEN.findall(t) for t in columns["text"]])
+            dense = (held @ asked.T) / np.maximum(np.outer(norms(held), own), 1e-300)
+            return np.round(dense + alpha * (needles.present([_RUNS.findall(t) for t in columns["haystack"]]) @ shares), 9)
+
+        return score
+
+    low = lambda c: F.lower(or_empty(F.col(c)))
+    asked = questions.select("q", low("question").alias("low"), query_terms(F.col("question"), stopwords).alias("terms"))
+    asked = asked.withColumn("terms", F.coalesce("terms", F.array().cast("array<string>")))
+    return best_rows(chunks.select("id", low("text").alias("text"), low("haystack").alias("haystack")), asked, "id", scorer, k)
 
 
 def top(df: DataFrame, by: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:
@@ -87,7 +119,7 @@ def route(question: Column, label: Column | None = None, pack: Pack = LEGAL) ->
 
 def route_limits(profile: Column, top_cases: int = TOP_CASES, chunks: int = CHUNKS_PER_CASE) -> tuple[Column, Column]:
     """Cases of a question and chunks of a case, by route."""
-    cases = F.when(profile == "global", max(top_cases, 8)).when(profile == "multi_hop", max(top_cases, 5)).otherwise(top_cases)
+    cases = F.when(profile == "global", max(top_cases, GLOBAL_CASES)).when(profile == "multi_hop", max(top_cases, MULTI_HOP_CASES)).otherwise(top_cases)
     return cases, F.when(profile == "global", 2).when(profile == "multi_hop", min(max(chunks, 4), 5)).otherwise(chunks)
 
 
@@ -132,12 +164,12 @@ def _asked(text: Column, weight: float = 1.0) -> Column:
 
 
 def case_search_docs(cases: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(case_id, meta, haystack, tokens): lower-case metadata, all of a case's text in order, and its distinct tokens."""
+    """(case_id, meta, haystack): lower-case metadata, and with it all of a case's text in order."""
     texts = chunks.groupBy(F.col("source_id").alias("case_id")).agg(F.array_sort(F.collect_list(F.struct("chunk_index", "chunk_id", "text"))).alias("t"))
     meta = F.lower(F.concat_ws(" ", "case_id", "case_name", "citations", "court", "decision_date"))
     joined = cases.join(texts, "case_id", "left")
     full = F.concat_ws(" ", meta, F.lower(F.array_join(F.transform("t", lambda x: x["text"]), " ")))
-    return joined.select("case_id", meta.alias("meta"), full.alias("haystack")).withColumn("tokens", F.array_distinct(tokenize(F.col("haystack"))))
+    return joined.select("case_id", meta.alias("meta"), full.alias("haystack"))
 
 
 def rank_cases(prepared: DataFrame, docs: DataFrame, pack: Pack = LEGAL, limit: int | None = None) -> DataFrame:
@@ -145,22 +177,48 @@ def rank_cases(prepared: DataFrame, docs: DataFrame, pack: Pack = LEGAL, limit:
 
     Without a case that scores, the first case is taken with score 0.
     """
-    markers = F.array(*map(F.lit, pack.case_markers))
-    terms, asks = F.col("terms"), F.arrays_overlap("terms", F.array(F.lit("criminal"), F.lit("appeal")))
-    whole = F.lower(F.trim("question"))
-    score = (
-        _asked(F.col("meta"), 2.0)
-        + F.size(F.filter(terms, lambda t: F.array_contains("tokens", t)))
-        + 2.5 * hits(F.col("haystack"), F.col("phrases"))
-        + F.when(asks, 1.25 * F.least(hits(F.col("haystack"), markers), F.lit(5))).otherwise(0.0)
-        + F.when((whole != "") & F.contains("haystack", whole), 5.0).otherwise(0.0)
-        + 8.0 * hits(F.col("meta"), F.col("names"))
-    )
-    value = F.when(F.size(terms) > 0, score / F.greatest(F.lit(1), F.size(terms))).otherwise(F.lit(0.0))
-    scored = docs.crossJoin(few(prepared)).select("q", "n_cases", "case_id", value.alias("score")).where("score > 0")
-    w = Window.partitionBy("q").orderBy(F.desc("score"), "case_id")
+
+    def scorer(block: list):
+        size = np.maximum(1, [len(r["terms"]) for r in block])
+        terms = Needles([t for r in block for t in r["terms"]])
+        of_terms = terms.weights([r["terms"] for r in block])
+        parts = {p: k for k, p in enumerate(dict.fromkeys(p for r in block for p in (*r["phrases"], *r["names"])))}
+
+        def columns_of(name: str) -> np.ndarray:
+            out = np.zeros((len(parts), len(block)))
+            for column, r in enumerate(block):
+                for p in r[name]:
+                    out[parts[p], column] += 1.0
+            return out
+
+        phrases, names = columns_of("phrases"), columns_of("names")
+        asks = np.array([float("criminal" in r["terms"] or "appeal" in r["terms"]) for r in block])
+        some = np.array([float(bool(r["terms"])) for r in block])
+        whole = [(column, r["whole"]) for column, r in enumerate(block) if r["whole"]]
+
+        def holds(texts: list[str]) -> np.ndarray:
+            return np.array([[p in t for p in parts] for t in texts], dtype=float).reshape(len(texts), len(parts))
+
+        def score(columns: dict[str, list]) -> np.ndarray:
+            metas, texts = columns["meta"], columns["haystack"]
+            in_meta, in_text = holds(metas), holds(texts)
+            value = 2.0 * (terms.present([_RUNS.findall(m) for m in metas]) @ of_terms + in_meta @ (2.5 * phrases + 8.0 * names))
+            has = np.zeros((len(texts), len(terms.at)))
+            for row, t in enumerate(texts):
+                if found := [terms.at[w] for w in terms.at.keys() & set(_TOKEN.findall(t))]:
+                    has[row, found] = 1.0
+            value += has @ of_terms + 2.5 * (in_text @ phrases) + 8.0 * (in_meta @ names)
+            value += np.outer([1.25 * min(5, sum(m in t for m in pack.case_markers)) for t in texts], asks)
+            for column, question in whole:
+                value[:, column] += [5.0 * (question in t) for t in texts]
+            return value * some / size
+
+        return score
+
+    asked = prepared.select("q", "terms", "phrases", "names", "n_cases", F.lower(F.trim("question")).alias("whole"))
+    best = best_rows(docs.select("case_id", "meta", "haystack"), asked, "case_id", scorer, limit or (lambda block: max(r["n_cases"] for r in block)), 0.0)
     most = F.lit(limit) if limit else F.col("n_cases")
-    kept = scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= most).select("q", "case_id", "score", "rank")
+    kept = best.join(prepared.select("q", "n_cases"), "q").where(F.col("rank") <= most).select("q", "case_id", "score", "rank")
     first = docs.agg(F.min("case_id").alias("case_id")).where("case_id is not null")
     missing = prepared.select("q").join(kept.select("q").distinct(), "q", "left_anti").crossJoin(F.broadcast(first))  # one row
     return kept.unionByName(missing.select("q", "case_id", F.lit(0.0).alias("score"), F.lit(1).alias("rank")))
@@ -173,7 +231,7 @@ def select_chunks(prepared: DataFrame, ranked: DataFrame, chunks: DataFrame) ->
     index, up to the limit.  The limit holds always.
     """
     pairs = ranked.select("q", "case_id", F.col("rank").alias("case_rank")).join(prepared, "q")
-    rows = chunks.join(few(pairs), chunks["source_id"] == pairs["case_id"])
+    rows = chunks.join(pairs, chunks["source_id"] == pairs["case_id"])
     scored = rows.withColumn("score", _asked(F.col("text")))
     in_case = Window.partitionBy("q", "case_id")
     first = F.row_number().over(in_case.orderBy("chunk_index", "chunk_id")) == 1
@@ -208,7 +266,7 @@ def entity_context(keywords: DataFrame, entities: DataFrame, related: DataFrame,
 
     At most ``e`` entities and ``e`` related ones, and ``c`` chunks for each of the two, by id.
     """
-    found = entities.select("entity_id", "name").crossJoin(few(keywords.select("keyword"))).where(F.contains("name", F.col("keyword")))
+    found = entities.select("entity_id", "name").crossJoin(keywords.select("keyword")).where(F.contains("name", F.col("keyword")))
     seed = top(found, ["keyword"], [F.col("entity_id")], e).select("keyword", F.col("entity_id").alias("id"))
     near = related.join(seed, related["from_entity_id"] == seed["id"]).select("keyword", F.col("to_entity_id").alias("id")).distinct()
     near = top(near, ["keyword"], [F.col("id")], e).select("keyword", "id")
@@ -229,7 +287,7 @@ def seed_entities(prepared: DataFrame, entities: DataFrame, k: int = SEEDS) -> D
     """(q, entity_id, name, type, score, seed_rank): entities of a question; ties by entity_id."""
     hundredths = 100 * _asked(F.col("name"), 2.0) * F.when(F.col("type").isin("CASE", "LAW", "CONCEPT"), 1.25).otherwise(1.0)
     total = F.round(hundredths + 2 * F.least(F.when(F.coalesce("frequency", F.lit(0)) == 0, 1).otherwise(F.col("frequency")), F.lit(20)), 4)
-    scored = entities.crossJoin(few(prepared)).select("q", "entity_id", "name", "type", total.alias("s")).where("s > 10")
+    scored = entities.crossJoin(prepared).select("q", "entity_id", "name", "type", total.alias("s")).where("s > 10")
     best = top(scored, ["q"], [F.desc("s"), F.col("entity_id")], k, "seed_rank")
     return best.select("q", "entity_id", "name", "type", (F.col("s") / 100).alias("score"), "seed_rank")
 
@@ -238,7 +296,7 @@ def _finish(paths: DataFrame, prepared: DataFrame, chunks: DataFrame, cases: Dat
     """Adds chunk, case and score to paths (q, ..., path, flow, chunk_id); paths without their chunk fall away."""
     held = paths.join(chunks.select("chunk_id", "source_id", "chunk_index", "token_count", "text"), "chunk_id")
     held = held.join(cases.select("case_id", "case_name"), held["source_id"] == F.col("case_id"), "left")
-    held = held.join(few(prepared.select("q", "terms", "phrases", "names")), "q")
+    held = held.join(prepared.select("q", "terms", "phrases", "names"), "q")
     name = F.coalesce("case_name", "source_id")
     path = F.concat("path", F.lit(" -> "), "chunk_id", F.lit(" -> "), name)
     score = F.round(_asked(F.concat(path, F.lit(" "), F.col("text"))) * F.col("flow") * F.lit(penalty), 6)
@@ -250,7 +308,7 @@ def _finish(paths: DataFrame, prepared: DataFrame, chunks: DataFrame, cases: Dat
 
 def direct_paths(prepared: DataFrame, seeds: DataFrame, mentions: DataFrame, chunks: DataFrame, cases: DataFrame) -> DataFrame:
     """Paths seed -> chunk -> case over the first mentions of each seed."""
-    at = mentions.join(few(seeds), "entity_id")
+    at = mentions.join(seeds, "entity_id")
     at = top(at, ["q", "entity_id"], [F.col("chunk_id")], DIRECT, "mention_rank")
     paths = at.select("q", "seed_rank", F.lit(0).alias("kind"), F.lit(0).alias("edge_rank"), "mention_rank", F.col("name").alias("path"), F.greatest(F.lit(1), "weight").cast("long").alias("flow"), "chunk_id")
     return _finish(paths, prepared, chunks, cases, HOP**2)
@@ -261,13 +319,13 @@ def related_paths(prepared: DataFrame, seeds: DataFrame, related: DataFrame, ent
 
     Edges come by (from, to), or with ``edge_order='weight'`` by weight.
     """
-    few_seeds = few(seeds.select("q", "seed_rank", "entity_id", F.col("name").alias("seed_name")))
-    out = related.join(few_seeds, related["from_entity_id"] == F.col("entity_id")).withColumn("other", F.col("to_entity_id"))
-    back = related.join(few_seeds, related["to_entity_id"] == F.col("entity_id")).withColumn("other", F.col("from_entity_id"))
+    ends = seeds.select("q", "seed_rank", "entity_id", F.col("name").alias("seed_name"))
+    out = related.join(ends, related["from_entity_id"] == F.col("entity_id")).withColumn("other", F.col("to_entity_id"))
+    back = related.join(ends, related["to_entity_id"] == F.col("entity_id")).withColumn("other", F.col("from_entity_id"))
     order = [F.col("from_entity_id"), F.col("to_entity_id")]
     edges = top(out.unionByName(back), ["q", "entity_id"], [F.desc("weight"), *order] if edge_order == "weight" else order, EDGES, "edge_rank")
     edges = edges.select("q", "seed_rank", "seed_name", "edge_rank", "other", F.col("weight").alias("edge_weight"))
-    held = mentions.join(few(edges), mentions["entity_id"] == F.col("other"))
+    held = mentions.join(edges, mentions["entity_id"] == F.col("other"))
     held = top(held, ["q", "seed_rank", "edge_rank"], [F.col("chunk_id")], PER_EDGE, "mention_rank")
     held = held.join(entities.select(F.col("entity_id").alias("other"), F.col("name").alias("other_name")), "other")
     flow = F.greatest(F.lit(1), F.least("edge_weight", "weight")).cast("long")

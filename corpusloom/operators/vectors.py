@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.functions.text import tokenize
+from corpusloom.operators.best import best_rows
 
 #: Fixed value: dimensions of a hashed vector.
 DIMS = 4096
@@ -32,6 +33,20 @@ def md5_slot(token: Column, dims: int = DIMS) -> Column:
     return F.struct(idx.alias("idx"), sign.alias("sign"))
 
 
+def slot_of(hashing: str) -> Callable[[str], tuple[int, int]]:
+    """Dimension and sign of a token, for work inside tasks; the same as :func:`md5_slot` and :func:`blake_slot`."""
+
+    def md5(token: str) -> tuple[int, int]:
+        h = hashlib.md5(token.encode(), usedforsecurity=False).hexdigest()
+        return int(h[:8], 16) % DIMS, -1 if h[8] >= "8" else 1
+
+    def blake2b(token: str) -> tuple[int, int]:
+        h = int.from_bytes(hashlib.blake2b(token.encode(), digest_size=8).digest(), "big")
+        return h % DIMS, -1 if h >> 63 else 1
+
+    return {"md5": md5, "blake2b": blake2b}[hashing]
+
+
 def hashed_counts(df: DataFrame, key: str, text: str, hashing: str = "md5") -> DataFrame:
     """(key, idx, w): signed token counts a dimension, without zeros.  Blake hashes are made once a distinct token."""
     tokens = df.select(key, F.explode(tokenize(F.col(text))).alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias("tf"))
@@ -78,47 +93,20 @@ def sparse_scores(index: DataFrame, queries: DataFrame) -> DataFrame:
     return dots.select("q", "id", (F.col("dot") / (F.col("n") * F.col("m"))).alias("score"))
 
 
-def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", block: int = 4096) -> DataFrame:
-    """(q, key, score): the k nearest vectors by cosine of each query of a query set, in blocks of queries.
+def dense_topk(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(q, key, score, rank): the k nearest vectors by cosine of each query of a query set.  Ties: the smaller key.
 
-    Each task keeps its best k a query; the final choice sees k rows a task and query.  Ties: the smaller key.
+    Rows and queries without a vector are left out; a zero vector is at distance one of all.
     """
-    from pyspark.sql import Window
-
-    spark, out = vectors.sparkSession, None
 
-    def unit(a: np.ndarray) -> np.ndarray:
+    def unit(rows: list[list[float]]) -> np.ndarray:
+        a = np.array(rows, dtype=float)
         n = np.linalg.norm(a, axis=1, keepdims=True)
         return a / np.where(n == 0, 1, n)
 
-    def blocks() -> Iterator[tuple[list, np.ndarray]]:
-        ids, rows = [], []
-        for r in queries.select("q", F.col(vector).cast("array<double>").alias("v")).where("v is not null").toLocalIterator():
-            ids.append(r["q"])
-            rows.append(r["v"])
-            if len(ids) == block:
-                yield ids, unit(np.array(rows))
-                ids, rows = [], []
-        if ids:
-            yield ids, unit(np.array(rows))
-
-    for ids, matrix in blocks():
-        handle = spark.sparkContext.broadcast((ids, matrix))
-
-        def best(batches, handle=handle):
-            names, m = handle.value
-            for pdf in batches:
-                pdf = pdf[pdf["v"].notna()]
-                if not len(pdf):
-                    continue
-                scores = unit(np.stack(pdf["v"].to_numpy()).astype(float)) @ m.T
-                keys = pdf["key"].to_numpy()
-                rank = np.lexsort((np.broadcast_to(keys[:, None], scores.shape), -scores), axis=0)[:k]
-                yield pd.DataFrame({"q": np.tile(names, len(rank)), "key": keys[rank].ravel(), "score": np.take_along_axis(scores, rank, 0).ravel()})
-
-        part = vectors.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v")).mapInPandas(best, "q long, key long, score double")
-        out = part if out is None else out.unionAll(part)
-    if out is None:
-        return spark.createDataFrame([], f"q long, {key} long, score double, rank int")
-    w = Window.partitionBy("q").orderBy(F.desc("score"), "key")
-    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumnRenamed("key", key)
+    def scorer(block: list):
+        matrix = unit([r["v"] for r in block]).T
+        return lambda columns: unit(columns["v"]) @ matrix
+
+    held = vectors.select(key, F.col(vector).cast("array<double>").alias("v")).where("v is not null")
+    return best_rows(held, queries.select("q", F.col(vector).cast("array<double>").alias("v")).where("v is not null"), key, scorer, k)

@@ -190,7 +190,7 @@ COALESCE(string_agg(e, ';' ORDER BY n) FILTER (WHERE e IS NOT NULL), '') AS enti
         "lexical_scores": f"WITH {_CHUNKS}, {_QUESTIONS}, {_LEXICAL} SELECT q, count(*) AS n, round(sum(round(lexical, 9)), 5) AS total, round(max(lexical), 6) AS best FROM lx GROUP BY q",
         "hybrid_topk": f"WITH {_HYBRID} SELECT q, rank, id, round(score, 6) AS score FROM tk WHERE rank <= 8",
         "prompts": f"""WITH {_HYBRID} SELECT q, 'Context:' || chr(10) || string_agg('[Chunk ' || rank || ' | score=' || printf('%.4f', score) || ' | case=' || source || ' | citations=' || lang || ', ' || source || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY rank)
-            || chr(10) || chr(10) || 'Question: ' || question AS prompt FROM tk JOIN ch USING (id) JOIN qs USING (q) WHERE rank <= 3 GROUP BY q, question""",
+            || chr(10) || chr(10) || 'Question: ' || question AS prompt FROM tk JOIN ch USING (id) JOIN qs USING (q) WHERE rank <= 8 GROUP BY q, question""",
         "l2_normalize": "SELECT vec_id, round(sqrt(list_sum(list_transform(e, lambda x: x * x))) / CASE WHEN n = 0 THEN 1 ELSE n END, 6) AS length, round(e[1] / CASE WHEN n = 0 THEN 1 ELSE n END, 6) AS first FROM (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings))",
         "dense_topk": """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE embedding IS NOT NULL), s AS (SELECT a.vec_id AS q, b.vec_id, list_cosine_similarity(a.e, b.e) AS s FROM v a, v b WHERE a.vec_id % 100 = 0)
             SELECT q, vec_id, CAST(row_number() OVER (PARTITION BY q ORDER BY round(s, 12) DESC, vec_id) AS INT) AS rank FROM s QUALIFY rank <= 5""",
@@ -199,7 +199,7 @@ COALESCE(string_agg(e, ';' ORDER BY n) FILTER (WHERE e IS NOT NULL), '') AS enti
         "rank_cases": f"WITH {_RANKED} SELECT q, case_id, rank, round(score, 6) AS score FROM rc",
         "select_chunks": f"WITH {_CHOSEN} SELECT q, case_id, chunk_id, place, CAST(score AS DOUBLE) AS score FROM s3 WHERE place <= n_chunks",
         "case_citations": f"WITH {_CHUNKS}, {_CITED} SELECT case_id, string_agg(citation_text, ';' ORDER BY citation_id) AS citations FROM (SELECT DISTINCT * FROM cx) GROUP BY case_id",
-        "case_context": f"""WITH {_CHUNKS}, {_CITED} SELECT source_id AS case_id, 'chunk' AS role, id, CAST(row_number() OVER (PARTITION BY source_id ORDER BY chunk_index, id) AS INT) AS place FROM ch QUALIFY place <= 2
+        "case_context": f"""WITH {_CHUNKS}, {_CITED} SELECT source_id AS case_id, 'chunk' AS role, id, CAST(row_number() OVER (PARTITION BY source_id ORDER BY chunk_index, id) AS INT) AS place FROM ch QUALIFY place <= 8
             UNION ALL SELECT case_id, 'citation', citation_id, CAST(row_number() OVER (PARTITION BY case_id ORDER BY citation_id) AS INT) FROM (SELECT DISTINCT case_id, citation_id FROM cx)""",
         "entity_context": f"""WITH {_ENTITIES}, kw AS (SELECT DISTINCT lower(lang) AS keyword FROM documents WHERE lang IS NOT NULL),
             sd AS (SELECT keyword, entity_id AS id FROM en, kw WHERE contains(name, keyword) QUALIFY row_number() OVER (PARTITION BY keyword ORDER BY entity_id) <= 5),

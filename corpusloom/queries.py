@@ -187,7 +187,7 @@ def graph_report(spark, d):
 
 
 def _hay(chunks: DataFrame) -> DataFrame:
-    return chunks.select("id", F.concat_ws(" ", "text", "metadata.case_name", F.array_join("metadata.citations", " ")).alias("haystack"))
+    return chunks.select("id", "text", F.concat_ws(" ", "text", "metadata.case_name", F.array_join("metadata.citations", " ")).alias("haystack"))
 
 
 @_query
@@ -204,16 +204,14 @@ def lexical_scores(spark, d):
 
 @_query
 def hybrid_topk(spark, d):
-    chunks = _chunks(spark, d)
-    index = vectors.hashed_embedding(chunks, "id", "text")
-    hits = retrieval.hybrid_topk(index, _hay(chunks), _questions(spark, d))
+    hits = retrieval.hybrid_topk(_hay(_chunks(spark, d)), _questions(spark, d))
     return hits.select("q", "rank", "id", F.round("score", 6).alias("score"))
 
 
 @_query
 def prompts(spark, d):
     chunks, asked = _chunks(spark, d), _questions(spark, d)
-    hits = retrieval.hybrid_topk(vectors.hashed_embedding(chunks, "id", "text"), _hay(chunks), asked, k=3)
+    hits = retrieval.hybrid_topk(_hay(chunks), asked)
     full = hits.select("q", "rank", "id", "score").join(chunks.select("id", "text", "metadata.case_name", "metadata.citations"), "id").join(asked, "q")
     return retrieval.build_prompt(full)
 
@@ -271,7 +269,7 @@ def case_citations(spark, d):
 @_query
 def case_context(spark, d):
     g = _graph(spark, d)
-    return retrieval.case_context(g["legal_cases"], g["chunks"], g["cites"], g["citations"], 2)
+    return retrieval.case_context(g["legal_cases"], g["chunks"], g["cites"], g["citations"])
 
 
 @_query

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
-from corpusloom.operators import chunking, context, evaluate, graph, ingest, retrieval, vectors
+from corpusloom.operators import best, chunking, context, evaluate, graph, ingest, retrieval, vectors
 from corpusloom.packs import LEGAL
 from corpusloom.plans.graph_context import graph_context
 from corpusloom.sources import io
@@ -195,3 +195,32 @@ def test_stream_equals_batch(spark, legal, tmp_path):
     stream_chunks(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
     want = chunking.chunk_corpus(legal.select("id", tx.clean_text(F.col("text"), True).alias("text")))
     assert sorted(r["id"] for r in spark.read.parquet(f"{tmp_path}/out").collect()) == sorted(r["id"] for r in want.collect())
+
+
+def test_plans_spell_out_costly_columns_once(spark, legal):
+    """Each pattern of the pack stands once in the plan of the entities, and the split of a text once in that of chunks."""
+    spark.catalog.clearCache()
+    chunks = chunking.chunk_corpus(legal)
+    plan = graph.build_entities(graph.chunk_entities(chunks))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == len(LEGAL.patterns)
+    assert chunks._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
+def test_best_rows_in_blocks(spark, monkeypatch):
+    """Blocks of questions and batches of rows change nothing; ties go by key, repeated rows count each."""
+    chunks = spark.createDataFrame(
+        [(f"c{k:02d}", t, t + " case") for k, t in enumerate(["alpha beta gamma", "alpha alpha delta", "", "beta_x 12 gamma", "alpha beta gamma", "zeta"])] + [("c98", None, "x"), (None, "alpha", "alpha")],
+        "id string, text string, haystack string",
+    )
+    asked = spark.createDataFrame([(1, "Alpha gamma?"), (2, "beta"), (3, ""), (4, None)], "q int, question string")
+    whole = sorted(map(tuple, retrieval.hybrid_topk(chunks, asked, 3).collect()))
+    assert [r[1] for r in whole if r[0] == 1][:2] == ["c00", "c04"]
+    monkeypatch.setattr(best, "BLOCK", 2)
+    monkeypatch.setattr(best, "ROWS", 2)
+    small = sorted(map(tuple, retrieval.hybrid_topk(chunks.repartition(2), asked, 3).collect()))
+    assert small == whole
+    index = vectors.sparse_scores(vectors.hashed_embedding(chunks.where("id is not null and text is not null"), "id", "text"), vectors.hashed_embedding(asked.where("question is not null"), "q", "question"))
+    dense = {(r["q"], r["id"]): r["score"] for r in index.collect()}
+    shares = {(r["q"], r["id"]): r["lexical"] for r in retrieval.lexical_scores(chunks, asked).collect() if r["lexical"] is not None}
+    for q, key, score, _ in whole:
+        assert abs(score - dense.get((q, key), 0.0) - 0.35 * shares.get((q, key), 0.0)) < 1e-8
