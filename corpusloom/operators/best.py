@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Questions that go to the tasks at a time, and rows that are scored at a time.
 BLOCK, ROWS = 4096, 1024
@@ -55,6 +56,7 @@ def best_rows(df: DataFrame, questions: DataFrame, key: str, scorer: Callable[[l
     spark, out = df.sparkSession, None
     kind, asked = df.schema[key].dataType, questions.schema["q"].dataType
     schema = T.StructType([T.StructField("q", asked), T.StructField(key, kind), T.StructField("score", T.DoubleType())])
+    arrow = to_arrow_schema(schema)
     for block in blocks_of(questions):
         handle = spark.sparkContext.broadcast(block)
 
@@ -70,7 +72,7 @@ def best_rows(df: DataFrame, questions: DataFrame, key: str, scorer: Callable[[l
             n, at = np.nonzero(best[1].T > least)
             keys, scores = best[0].T[n, at], best[1].T[n, at]
             names = [rows[i]["q"] for i in n.tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(keys.tolist(), whole.schema.field(key).type), pa.array(scores, pa.float64())], names=["q", key, "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((names, keys.tolist(), scores), arrow, strict=True)], schema=arrow)
 
         part = df.where(F.col(key).isNotNull()).mapInArrow(work, schema)
         out = part if out is None else out.unionAll(part)

@@ -214,7 +214,7 @@ def test_best_rows_in_blocks(spark, monkeypatch):
     )
     asked = spark.createDataFrame([(1, "Alpha gamma?"), (2, "beta"), (3, ""), (4, None)], "q int, question string")
     whole = sorted(map(tuple, retrieval.hybrid_topk(chunks, asked, 3).collect()))
-    assert [r[1] for r in whole if r[0] == 1][:2] == ["c00", "c04"]
+    assert {r[1] for r in whole if r[0] == 1 and r[3] <= 2} == {"c00", "c04"}
     monkeypatch.setattr(best, "BLOCK", 2)
     monkeypatch.setattr(best, "ROWS", 2)
     small = sorted(map(tuple, retrieval.hybrid_topk(chunks.repartition(2), asked, 3).collect()))
