@@ -60,6 +60,22 @@ def map_batches(
     return df.mapInArrow(work, kind)
 
 
+def map_tasks(df: DataFrame, rows: Callable[[Iterator[list[list]]], Iterable[tuple[list, ...]]], schema: str) -> DataFrame:
+    """``rows(batches)`` for each task: takes the columns of its Arrow batches one after the other, gives columns of results."""
+    kind = T.StructType.fromDDL(schema)
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    arrow = to_arrow_schema(kind)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for columns in rows([c.to_pylist() for c in b.columns] for b in batches if b.num_rows):
+            whole = [pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)]
+            for at in range(0, len(whole[0]), 100_000):
+                yield pa.RecordBatch.from_arrays([c.slice(at, 100_000) for c in whole], schema=arrow)
+
+    return df.mapInArrow(work, kind)
+
+
 def remainder(doc_id: Column, by: int) -> Column:
     """crc32 of the id as text, modulo ``by`` (null for a null id)."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(by))

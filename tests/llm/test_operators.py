@@ -304,6 +304,98 @@ def test_language_model(docs, empty):
     assert lm.score(empty).count() == 0
 
 
+def scalar_bits(tokens, head):
+    """The bits of one text, coded token by token and bit by bit with plain numbers."""
+    bits, used, last_best = 0.0, Counter(), lm.ANCHORS
+    for at, token in enumerate(tokens):
+        if at % lm.LANE == 0:
+            delta, weight = [Counter(), Counter()], {(k, g): 1.0 if k == 0 else 0.4 for k in range(3) for g in range(4)}
+        word, lead = min(token, head.size), last_best
+        before = [0, 7] if at == 0 else [(int(head.cls[min(tokens[at - 1], head.size)]) + 1) * 0x9E37, min(tokens[at - 1], head.size) * 0x85EB]
+
+        def code(gate, prior, contexts, bit=None, settle=None):
+            slots = [c % lm.SLOTS for c in contexts]
+            x = [prior, delta[0][slots[0]], delta[1][slots[1]]]
+            w = [weight[k, gate] for k in range(3)]
+            p = 1 / (1 + math.exp(-max(-15, min(15, sum(a * b for a, b in zip(w, x))))))
+            err = (settle(p) if settle else bit) - p
+            for k in range(2):
+                delta[k][slots[k]] = x[k + 1] + lm.TABLE_RATE * err
+            for k in range(3):
+                weight[k, gate] = w[k] + lm.WEIGHT_RATE * err * x[k]
+            return p
+
+        node, fresh = 1, float(head.word[lead, word])
+        for k in range(lm.CLASS_BITS):
+            bit = int(head.cls[word]) >> (lm.CLASS_BITS - 1 - k) & 1
+            p = code(1 + k, float(head.prior[lead, node]), [(before[0] >> 4) + node, (before[1] >> 3) + node], bit)
+            fresh *= p if bit else 1 - p
+            node = 2 * node + bit
+        again = tokens[:at].count(token) / max(at, 1)
+        both = []
+
+        def settle(p):
+            both.append(p * again + (1 - p) * fresh)
+            return p * again / both[0]
+
+        code(0, math.log((at + 1) / (at + 301)) + lm.REPEAT, [before[0] >> 4, before[1] >> 3], settle=settle)
+        bits -= math.log2(both[0])
+        spot = int(head.anchor[word])
+        if spot >= 0:
+            used[spot] += 1
+            last_best = min(used, key=lambda k: (-used[k], k))
+    return bits
+
+
+def test_scores_equal_a_scalar_coder(spark, docs, monkeypatch):
+    """Every text coded alone, one plain number after the other: the class tree, repeats, lanes, spelling and rare words."""
+    monkeypatch.setattr(lm, "HEAD", 40)
+    few = docs.where("doc_id is not null and doc_id <> 7").select("doc_id", "text").distinct()
+    rows = {r["doc_id"]: r for r in lm.score(few).collect()}
+    texts = {r["doc_id"]: r["text"] for r in few.collect()}
+    trained = [t for k, t in texts.items() if zlib.crc32(str(k).encode()) % 10]
+    counts = Counter(w for t in trained for w in lm.words_of(t))
+    ranked, total = sorted(((w.decode(), n) for w, n in counts.items()), key=lambda x: (-x[1], x[0])), sum(counts.values())
+    taken = [x for x in ranked if x[1] >= ranked[lm.HEAD][1] and x[1] > ranked[lm.HEAD][1]] if len(ranked) > lm.HEAD else ranked
+    head = lm._frequent(spark.createDataFrame([(w, n) for w, n in ranked], "token string, c long"))
+    assert head == [x for x in ranked if x[1] >= head[-1][1]] and len(head) <= lm.HEAD and len(taken) >= len(head) >= 20
+    head = lm.Head(head, total, len(counts), sum(n == 1 for n in counts.values()))
+    number = {w: k for w, k in head.number.items()}
+
+    def coded(text):
+        own = {}
+        return [number[w] if w in number else own.setdefault(w, head.size + len(own)) for w in lm.words_of(text)], own
+
+    by_leader = np.zeros((lm.ANCHORS + 1, head.size + 1))
+    for t in trained:
+        used, best = Counter(), lm.ANCHORS
+        for token in coded(t)[0]:
+            word = min(token, head.size)
+            by_leader[best, word] += 1
+            if head.anchor[word] >= 0:
+                used[int(head.anchor[word])] += 1
+                best = min(used, key=lambda k: (-used[k], k))
+    head.learn_leaders(by_leader)
+    table = np.zeros((len(lm.ORDERS), lm.SPELL_SLOTS, 2))
+    for w in counts:
+        if w:
+            for _, slots, bit in lm._walk([w]):
+                for k, slot in enumerate(slots):
+                    table[k, slot[0], bit[0]] += 1
+    for k, t in texts.items():
+        tokens, own = coded(t)
+        bits = scalar_bits(tokens, head)
+        with monkeypatch.context() as short:  # tasks have their own copy of the module, so this is for the driver alone
+            short.setattr(lm, "LANE", 16)
+            assert abs(lm.code_texts(np.array(tokens), np.array([len(tokens)]), head)[0] - scalar_bits(tokens, head)) <= 1e-3 * bits, k
+        for w in own:
+            if c := counts[w]:
+                bits -= math.log2(1 - head.new) + math.log2(c / max(1, head.tail))
+            else:
+                bits += lm.spell([w.decode()], table)[0] - math.log2(head.new)
+        assert abs(rows[k]["score"] + bits * math.log10(2)) <= 1e-3 * bits, k
+
+
 def test_spelling_sums_to_at_most_one():
     """All words of up to two letters of a small alphabet, spelled with a table learned from some of them."""
     import numpy as np
