@@ -106,7 +106,7 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 FROM b
 """
 
-#: Windows of test items joined to windows of documents by their text.
+#: Windows of test items joined to windows of documents by their text; stretches of 26 words that hold all words of a window.
 CONTAMINATION_SQL = r"""
 WITH texts AS (SELECT 'd' AS side, row_number() OVER () AS r, doc_id AS id, text FROM documents
               UNION ALL SELECT 'b', row_number() OVER (), item_id, text FROM benchmark WHERE item_id IS NOT NULL),
@@ -118,8 +118,17 @@ p AS (SELECT r, n, unnest(range(len(w) - n + 1)) AS i, w FROM w, sizes WHERE sid
 x AS (SELECT r, i, n, array_to_string(w[i + 1 : i + n], ' ') AS t FROM p),
 h AS (SELECT x.r, x.i, x.n, q.id FROM x JOIN q ON x.t = q.t AND x.n = q.n),
 c AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS k FROM (SELECT DISTINCT r, i, n FROM h)) GROUP BY r),
+wk AS (SELECT row_number() OVER (ORDER BY t) AS k, t FROM (SELECT DISTINCT t FROM q)),
+wt AS (SELECT k, len(list_distinct(string_split(t, ' '))) AS n, unnest(list_distinct(string_split(t, ' '))) AS t FROM wk),
+wi AS (SELECT DISTINCT k, id FROM wk JOIN q USING (t)),
+o AS (SELECT r, unnest(w) AS t, unnest(range(len(w))) AS pos FROM w WHERE side = 'd'),
+oc AS (SELECT r, pos, t FROM o WHERE t IN (SELECT t FROM wt)),
+dc AS (SELECT r, k, n FROM (SELECT DISTINCT r, t FROM oc) JOIN wt USING (t) GROUP BY r, k, n HAVING count(*) = n),
+nr AS (SELECT r, k, n, count(DISTINCT oc.t) OVER (PARTITION BY r, k ORDER BY pos RANGE BETWEEN CURRENT ROW AND 25 FOLLOWING) AS have FROM dc JOIN wt USING (k, n) JOIN oc USING (r, t)),
+nn AS (SELECT r, count(DISTINCT id) AS n_near_items FROM nr JOIN wi USING (k) WHERE have = n GROUP BY r),
 s AS (SELECT r, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids FROM (SELECT DISTINCT r, CAST(id AS VARCHAR) AS id FROM h) GROUP BY r)
 SELECT w.id AS doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(COALESCE(n_hit, 0) AS BIGINT) AS n_hit, CAST(COALESCE(n_items, 0) AS BIGINT) AS n_items,
-       sha256(COALESCE(ids, '')) AS items_sha256, COALESCE(n_hit, 0) > 0 AND 20 * COALESCE(n_hit, 0) >= len(w.w) AS contaminated
-FROM w LEFT JOIN c USING (r) LEFT JOIN s USING (r) WHERE side = 'd'
+       sha256(COALESCE(ids, '')) AS items_sha256, COALESCE(n_hit, 0) > 0 AND 20 * COALESCE(n_hit, 0) >= len(w.w) AS contaminated,
+       CAST(COALESCE(n_near_items, 0) AS BIGINT) AS n_near_items
+FROM w LEFT JOIN c USING (r) LEFT JOIN s USING (r) LEFT JOIN nn USING (r) WHERE side = 'd'
 """

@@ -439,7 +439,7 @@ def test_main_text(spark, monkeypatch):
         "<div class='ad'>Buy</div><article><h1>Head &amp; tail</h1><p><b>First  one<br><p>Sec<i>ond</i> a &lt; b</p>"
         "<div class='comments'><p>no</p></div></article><aside>side</aside><form>f</form><footer>&copy; x</footer>"
     )
-    assert html.extract(page, set(), "/article") == html.extract(page, set(), None) == "Head & tail First one Second a < b"
+    assert html.extract(page, html.Template(container="/article")) == html.extract(page) == "Head & tail First one Second a < b"
     plain = [f"<body><div id='top'>Site name</div><div class='body'><p>Own words {k} here</p><p>More of {k}</p></div><div id='x'>Contact us</div></body>" for k in range(6)]
     rows = [(k, f"http://a.org/{k}", h) for k, h in enumerate(plain)] + [(6, None, None), (7, "http://a.org/q", ""), (7, "http://a.org/q", ""), (8, "x", page)]
     table = spark.createDataFrame(rows, "page_id long, url string, html string")
@@ -484,7 +484,7 @@ def test_main_text_takes_whole_containers(spark):
     ],
 )
 def test_main_text_marks_are_hints(page):
-    assert html.extract(page, set(), None) == "The whole text."
+    assert html.extract(page) == "The whole text."
 
 
 def site(spark, pages):
@@ -503,6 +503,52 @@ def test_main_text_classes_decide(spark):
     assert few[0].endswith("three pages quote")
 
 
+def story(draw, k):
+    return [" ".join(draw.choice(["river", "stone", "cloud", "lamp", "tower", "field"]) + str(draw.randrange(400)) for _ in range(draw.randint(25, 60))) + f" end of part {k}" for _ in range(3)]
+
+
+LAYOUTS = {
+    # class names tell nothing; what is no text differs between layouts: links, a shared line, a varying line, a side column
+    "columns": lambda draw, k, p: (
+        f"<body><div class='x1'><div class='x2'><a href='/a'>First place to go</a><a href='/b'>Second place</a></div><div class='x3'><h2>Title {k}</h2>"
+        + "".join(f"<div class='x4'>{t}</div>" for t in p)
+        + f"<div class='x9'>Write to the editors of this page</div></div><div class='x5'>Mail number {draw.randrange(9999)} today</div></div></body>"
+    ),
+    "table": lambda draw, k, p: (
+        "<body><table><tr><td class='q'>All shops and offers</td></tr></table>"
+        + f"<table class='w'><tr><td><h1>Title {k}</h1>"
+        + "".join(f"<p>{t}</p>" for t in p)
+        + f"</td></tr></table><div class='z'>{draw.randrange(999)} people read this page now</div></body>"
+    ),
+    "sections": lambda draw, k, p: (
+        f"<body><section class='k7'><ul>{''.join(f'<li><a href=/{draw.randrange(99)}>A story about {draw.randrange(99)} and more</a></li>' for _ in range(3))}</ul></section><section class='k8'><div class='k9'><h2>Title {k}</h2>"
+        + "".join(f"<p>{t}</p>" for t in p)
+        + "</div></section><section class='k6'>Made by the people of this place</section></body>"
+    ),
+}
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+def test_main_text_of_layouts_without_telling_names(spark, layout):
+    """The template alone finds the text: no article element, no name that tells anything, one page a host without a template."""
+    draw = random.Random(3)
+    parts = [story(draw, k) for k in range(12)]
+    pages = [LAYOUTS[layout](draw, k, p) for k, p in enumerate(parts)]
+    want = {k: " ".join([f"Title {k}", *p]) for k, p in enumerate(parts)}
+    assert site(spark, pages) == want
+    assert sum(html.extract(page) == want[k] for k, page in enumerate(pages)) == 0
+
+
+def test_main_text_odd_tables(spark):
+    """Clashing columns, a very long page, equal pages and hosts without a name."""
+    long = "<body><div class='m'>" + "".join(f"<p>word{k} and more</p>" for k in range(30_000)) + "</div></body>"
+    rows = [(1, "http://d.org/1", long, "x", "y"), (1, "http://d.org/1", long, "x", "y"), (None, None, "<p>a</p>", None, None), (3, "http://d.org/2", "<nav>m</nav>", None, None)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string, template string, host string")
+    got = sorted((str(r["page_id"]), r["n_chars"]) for r in html.main_text(table).collect())
+    n = sum(len(f"word{k} and more") + 1 for k in range(30_000)) - 1
+    assert got == [("1", n), ("1", n), ("3", 0), ("None", 1)]
+
+
 def test_main_text_keeps_copies_and_second_columns(spark):
     copy = "<body><div class='t'><h1>One title</h1><p>The text of a page that was read three times</p></div></body>"
     texts = site(spark, [copy] * 3 + [f"<body><div class='t'><h1>Title {k}</h1><p>Text of its own on page {k}</p></div></body>" for k in range(5)])
@@ -516,15 +562,17 @@ def test_main_text_keeps_copies_and_second_columns(spark):
 
 
 def brute_contamination(text, items):
-    w, hit, found = decontam.words_of(text), set(), set()
+    w, hit, found, near = decontam.words_of(text), set(), set(), set()
     for item, t in items:
         for win in decontam.windows_of(decontam.words_of(t)):
             for i in range(len(w) - len(win) + 1):
                 if tuple(w[i : i + len(win)]) == win:
                     hit.update(range(i, i + len(win)))
                     found.add(item)
+            if any(set(win) <= set(w[i : i + decontam.SPAN]) for i in range(len(w))):
+                near.add(item)
     digest = hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest()
-    return len(w), len(hit), len(found), digest, bool(hit) and 20 * len(hit) >= len(w)
+    return len(w), len(hit), len(found), digest, bool(hit) and 20 * len(hit) >= len(w), len(near)
 
 
 @pytest.mark.parametrize("block", [400_000, 30])
@@ -533,17 +581,27 @@ def test_contamination(spark, docs, rng, block, monkeypatch):
     a, b = words(rng, 25), words(rng, 5)
     items = [(1, a), (2, b), (3, None), (12, a), (4, ""), (5, "A")]
     bench = spark.createDataFrame(items + [(None, a)], "item_id long, text string")
+    mixed = a.split()[:13]
+    rng.shuffle(mixed)
     extra = spark.createDataFrame(
-        [(100, words(rng, 10) + " " + a.upper() + " " + words(rng, 10)), (101, b), (102, " ".join(a.split()[:12])), (103, " ".join(a.split()[3:16]) + " " + words(rng, 400)), (104, a + " " + a)], "doc_id long, text string"
-    )
+        [
+            (100, words(rng, 10) + " " + a.upper() + " " + words(rng, 10)), (101, b), (102, " ".join(a.split()[:12])), (103, " ".join(a.split()[3:16]) + " " + words(rng, 400)),
+            (104, a + " " + a), (105, " ".join(mixed)), (106, " und ".join(mixed)), (107, " x y z ".join(mixed)), (108, "\u00e9" + a.replace(" ", "-")),
+        ],
+        "doc_id long, text string",
+    )
     all_docs = docs.select("doc_id", "text").unionByName(extra)
     got = Counter(tuple(r) for r in decontam.contamination(all_docs, bench).collect())
     want = Counter((r["doc_id"], *brute_contamination(r["text"], items)) for r in all_docs.collect())
     assert got == want
-    left = decontam.drop_contaminated(all_docs.where("doc_id is not null"), bench)
-    assert sorted(r["doc_id"] for r in left.collect()) == sorted(k[0] for k in want.elements() if k[0] is not None and not k[5])
-    assert decontam.contamination(all_docs.limit(0), bench).count() == 0
+    near = {r[0]: r[-1] - r[3] for r in want if r[0] is not None and r[0] >= 100}
+    assert near[105] > 0 and near[106] > 0 and near[107] == 0
+    left = decontam.drop_contaminated(all_docs, bench)
+    clean = Counter(map(tuple, all_docs.collect())) - Counter(tuple(r) for r in all_docs.collect() if brute_contamination(r["text"], items)[4])
+    assert Counter(map(tuple, left.collect())) == clean
+    assert decontam.contamination(all_docs.limit(0), bench).count() == 0 and decontam.drop_contaminated(all_docs.limit(0), bench).count() == 0
     assert decontam.contamination(all_docs, bench.limit(0)).where("contaminated").count() == 0
+    assert decontam.drop_contaminated(docs, bench).columns == docs.columns
 
 
 @pytest.mark.parametrize("block", [400_000, 30])
@@ -551,13 +609,24 @@ def test_contaminated_rows_go_whatever_their_id(spark, rng, block, monkeypatch):
     monkeypatch.setattr(decontam, "BLOCK_WORDS", block)
     a, b, clean = words(rng, 25), words(rng, 25), words(rng, 60)
     bench = spark.createDataFrame([(1, a), (2, b)], "item_id long, text string")
-    rows = [(None, a), (None, clean), (7, b), (7, clean), (8, clean)]
+    rows = [(None, a), (None, clean), (5, a), (5, b), (6, b), (7, b), (7, clean), (8, clean)]
     left = decontam.drop_contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench)
     assert Counter(map(tuple, left.collect())) == Counter([(None, clean), (7, clean), (8, clean)])
 
 
+def test_index_equals_a_scan(rng):
+    """Posting lists of runs, intersected from the rarest term on, against a look through every text."""
+    texts = [words(rng, rng.randint(0, 60), "ab") for _ in range(60)] + [None, "", " ".join(["ab"] * 50)]
+    items = [(k, words(rng, n, "ab")) for k, n in enumerate([1, 2, 3, 4, 13, 14])] + [(9, " ".join(["ab"] * 13))]
+    index, queries = decontam.Index.of(texts), decontam.Queries(items)
+    for text, (spans, found, near) in zip(texts, decontam.found_in(index, queries), strict=True):
+        n, n_hit, n_items, _, bad, n_near = brute_contamination(text, items)
+        assert (decontam._n_hit(spans), len(found), len(near)) == (n_hit, n_items, n_near)
+
+
 def test_proximity(spark):
     docs = spark.createDataFrame([(1, "c x b y a"), (2, "a b"), (3, "a " + "z " * 50 + "b c")], "doc_id long, text string")
     bench = spark.createDataFrame([(7, "a b c")], "item_id long, text string")
-    got = {r["doc_id"]: r["near_items"] for r in decontam.matches(docs, bench, near=6).collect()}
+    got = {r["doc_id"]: r["near_items"] for r in decontam.matches(docs, bench, 6).collect()}
     assert got == {1: [7], 2: [], 3: []}
+    assert {r["doc_id"]: r["near_items"] for r in decontam.matches(docs, bench, 4).collect()}[1] == []
