@@ -7,7 +7,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +16,7 @@ from corpusloom.functions import text as tx
 from corpusloom.operators import chunking, context, evaluate, graph, ingest, retrieval, vectors
 from corpusloom.packs import FLAT_STOPWORDS, PROSE
 from corpusloom.plans.graph_context import graph_context as graph_context_plan
+from corpusloom.sources.io import shared_folder
 from corpusloom.streaming.ingest import stream_chunks as stream_chunks_job
 
 _QUERIES: dict = {}
@@ -434,8 +434,7 @@ def replace_rows(spark, d):
 
 @_query
 def stream_chunks(spark, d):
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loom-")
-    folder = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     _opinions(spark, d).select("id", "text").write.json(f"{folder}/in")
     stream_chunks_job(spark, f"{folder}/in", f"{folder}/out", f"{folder}/state").awaitTermination()
     return spark.read.parquet(f"{folder}/out").select("id", "source_id", "chunk_index", "token_start", "token_end", "token_count")

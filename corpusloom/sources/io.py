@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,6 +12,21 @@ from pyspark.sql import types as T
 from corpusloom import schemas
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """Where intermediate data go: the folder that ``spark.checkpoint.dir`` names, which driver and executors share.
+
+    Without one, a session on this machine alone gets a temporary folder; on a cluster that is an error, since data in an
+    executor's own folder would be lost with it.
+    """
+    folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir is not set: intermediate data need a folder that all executors share")
+    return tempfile.mkdtemp(prefix="loom-")
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str, text: str | None = "text", limit: int | None = None, order: str | None = None) -> DataFrame:
     """Rows of JSON lines under a schema; blank lines and rows with an empty ``text`` are dropped.
 
