@@ -26,6 +26,8 @@ from corpusloom.llm.common import map_batches, tokenizer_file
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Piece tables that a worker keeps before it starts anew.
 KEPT_PIECES = 250_000
+#: Bytes of a piece up to which its table and states are kept.
+KEPT_BYTES = 128
 #: Pairs of tokens whose border a worker remembers.
 KEPT_PAIRS = 600_000
 #: Stands for the token before the first one.
@@ -46,9 +48,11 @@ class _Tables(dict):
         self.counter = counter
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        if len(self) >= KEPT_PIECES:
-            self.clear()
-        self[piece] = found = self.counter.piece_table(piece.encode("utf-8", "surrogatepass"))
+        found = self.counter.piece_table(piece.encode("utf-8", "surrogatepass"))
+        if len(piece) <= KEPT_BYTES:
+            if len(self) >= KEPT_PIECES:
+                self.clear()
+            self[piece] = found
         return found
 
 
@@ -57,9 +61,11 @@ class _Totals(dict):
         self.tables = tables
 
     def __missing__(self, piece: str) -> int:
-        if len(self) >= KEPT_PIECES:
-            self.clear()
-        self[piece] = n = self.tables[piece][-1]
+        n = self.tables[piece][-1]
+        if len(piece) <= KEPT_BYTES:
+            if len(self) >= KEPT_PIECES:
+                self.clear()
+            self[piece] = n
         return n
 
 
@@ -76,6 +82,7 @@ class PrefixCounter:
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.rank[raw(a), raw(b)] = k
         self.longest = max(map(len, self.vocab))
+        self.endings = {b[k:] for b in self.vocab for k in range(len(b))}
         self.special = sorted((t["content"] for t in data["added_tokens"]), key=len, reverse=True)
         self.at_special = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         self.split = regex.compile(SPLIT)
@@ -133,23 +140,27 @@ class PrefixCounter:
     def piece_table(self, piece: bytes) -> tuple[int, ...]:
         """Counts of the prefixes of 0, 1, ... bytes of one piece.
 
-        The recurrence goes on from the longest shorter piece that is known and begins this one.
+        The recurrence goes on from the longest shorter piece that is known and begins this one.  Only pieces of up to
+        KEPT_BYTES are kept and looked for, and a token is sought backwards for as long as some token ends so, which makes
+        the work linear in the piece's length.
         """
-        number, pairs, longest, states = self.vocab.get, self.pairs, self.longest, self.states
+        number, pairs, longest, states, endings = self.vocab.get, self.pairs, self.longest, self.states, self.endings
         if len(pairs) >= KEPT_PAIRS:
             pairs.clear()
         if len(states) >= KEPT_PIECES:
             states.clear()
         counts, last = [0], [NOTHING]
-        for end in range(len(piece), 2, -1):
+        for end in range(min(len(piece), KEPT_BYTES), 2, -1):
             if (known := states.get(piece[:end])) is not None:
                 counts, last = list(known[0]), list(known[1])
                 break
         for end in range(len(counts), len(piece) + 1):
             for start in range(end - 1, (end - longest if end > longest else 0) - 1, -1):  # only one of them stays
-                token = number(piece[start:end])
+                token = number(part := piece[start:end])
                 if token is None:
-                    continue
+                    if part in endings:
+                        continue
+                    raise ValueError("no token ends here")
                 before = last[start]
                 stays = pairs.get(before << 20 | token)
                 if stays is None:
@@ -160,6 +171,8 @@ class PrefixCounter:
                     break
             else:
                 raise ValueError("no token ends here")
+        if len(piece) > KEPT_BYTES:
+            return tuple(counts)
         states[piece] = tuple(counts), tuple(last)
         return states[piece][0]
 
