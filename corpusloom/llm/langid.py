@@ -8,22 +8,22 @@ the choice is not accepted where the runner-up is about as good.
 from __future__ import annotations
 
 import math
-import re
 from functools import lru_cache
 
+import regex
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.llm.common import map_batches, remainder
 
-#: The documented bound of the training sample: documents a language, characters of each, bytes of a dictionary.
-SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 600, 800, 1 << 17
+#: The documented bound of the training sample: languages (the most frequent), documents of each, characters of a document.
+LANGUAGES, SAMPLE_DOCS, SAMPLE_CHARS = 200, 600, 800
 #: Bytes of a piece that is encoded at a time, the level, and the least margin (share of the runner-up's bytes).
 PIECE_BYTES, LEVEL, MARGIN = 1 << 13, 3, 0.02
 UNKNOWN = "und"
 
-_OTHER = re.compile(r"[\W\d_]+")
+_OTHER = regex.compile(r"\P{L}+")
 
 
 def letters_of(text: str | None) -> str:
@@ -34,30 +34,29 @@ def letters_of(text: str | None) -> str:
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> dict[str, bytes]:
     """Raw dictionaries by language, the most frequent first, from a bounded sample that hashes of the ids draw.
 
-    Rows without text, language or id are left out.  At most SAMPLE_DOCS documents a language and SAMPLE_CHARS
-    characters of each, from a place that the hash names, come to the driver.
+    Rows without text, language or id are left out.  Of the LANGUAGES most frequent languages (ties by name), at most
+    SAMPLE_DOCS documents each and SAMPLE_CHARS characters of each document, from a place that the hash names, come to the
+    driver; all of them are the dictionary.
     """
     d = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     d = d.where("doc_id is not null and text is not null and lang is not null")
-    counts = {r["lang"]: r["n"] for r in d.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    known = d.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    counts = {r["lang"]: r["n"] for r in known.collect()}
     if not counts:
         return {}
     # a fraction that gives the sample with a margin; then the smallest hashes of each language
-    share = F.create_map(*[F.lit(x) for lang_, n in counts.items() for x in (lang_, min(1.0, 1.3 * SAMPLE_DOCS / n))])
+    shares = docs.sparkSession.createDataFrame([(x, min(1.0, 1.3 * SAMPLE_DOCS / n)) for x, n in counts.items()], "lang string, share double")
     h = F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(1 << 30))
     start = F.when(F.length("text") > SAMPLE_CHARS, F.pmod(F.xxhash64("doc_id"), F.length("text") - SAMPLE_CHARS)).otherwise(0)
-    drawn = d.where(h < share[F.col("lang")] * F.lit(1 << 30)).select(
-        "lang", h.alias("h"), F.substring(F.col("text"), start.cast("int") + 1, F.lit(SAMPLE_CHARS)).alias("text")
-    )
-    by: dict[str, list[tuple[int, str]]] = {}
-    for r in drawn.collect():
+    drawn = d.join(F.broadcast(shares), "lang").where(h < F.col("share") * F.lit(1 << 30))  # LANGUAGES rows at most
+    drawn = drawn.select("lang", h.alias("h"), F.substring(F.col("text"), start.cast("int") + 1, F.lit(SAMPLE_CHARS)).alias("text"))
+    # one id may stand in any number of rows, so the bound is taken by row
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))
+    by: dict[str, list[str]] = {}
+    for r in drawn.withColumn("n", place).where(F.col("n") <= SAMPLE_DOCS).collect():
         if t := letters_of(r["text"]):
-            by.setdefault(r["lang"], []).append((r["h"], t))
-    out = {}
-    for name, texts in sorted(by.items(), key=lambda x: (-counts[x[0]], x[0])):
-        raw = " ".join(t for _, t in sorted(texts)[:SAMPLE_DOCS]).encode()
-        out[name] = raw[-DICTIONARY_BYTES:]
-    return out
+            by.setdefault(r["lang"], []).append(t)
+    return {name: " ".join(sorted(by[name])).encode("utf-8", "surrogatepass") for name in counts if name in by}
 
 
 class Classifier:
@@ -75,7 +74,7 @@ class Classifier:
         return [sum(len(c.compress(p)) for p in pieces) for c in self.coders]
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
-        """Language, score and whether the margin is wide enough."""
+        """Language, score and whether the margin is wide enough; at equal size the language most frequent in training."""
         letters = letters_of(text)
         if not letters or not self.names:
             return UNKNOWN, 0.0, False
