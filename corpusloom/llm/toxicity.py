@@ -65,8 +65,6 @@ def normal_words(text: str | None) -> list[tuple[str, bool]]:
 
 def entries(word: str) -> list[str]:
     """The lexicon entries that a word could match: itself, and its beginnings."""
-    if len(word) > 40:
-        word = word[:40]
     return [word] + [word[:n] + "*" for n in BEGINNINGS if len(word) > n]
 
 
@@ -116,25 +114,28 @@ def features(text: str | None, lexicon: Lexicon, own: int | None = None) -> list
     if hits and seconds:
         near = max(1 / (1 + min(abs(h - s) for s in seconds)) for h in hits)
     chars = max(1, len(text))
-    letters = max(1, sum(map(str.isalpha, text))) if len(text) < 64 else chars
     upper = sum(len(x) for x in re.findall(r"[A-ZÀ-ÖØ-Þ]+", text))
     bangs = text.count("!") + text.count("?")
     marks = sum(map(text.count, "#*$%&@|<>"))
     return [
         math.log1p(n), float(len(hits)), len(hits) / max(1, n), strongest, min(total, 100.0), near, len(seconds) / max(1, n),
-        upper / letters, bangs / chars, marks / chars, disguised / max(1, n), sum(map(text.count, "0123456789")) / chars,
+        upper / chars, bangs / chars, marks / chars, disguised / max(1, n), sum(map(text.count, "0123456789")) / chars,
     ]
 
 
 def _drawn(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, toxic) of at most about SAMPLE_DOCS labelled documents outside the held-out part."""
+    """(doc_id, text, toxic) of at most about SAMPLE_DOCS labelled documents outside the held-out part.
+
+    A document is one id: of rows that share it the least text counts, of its labels the largest.
+    """
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.where(remainder(F.col("doc_id"), 4) != 2)
     n = known.count()
     draw = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 30)) < F.lit(int(min(1.0, SAMPLE_DOCS / max(1, n)) * (1 << 30)) + 1)
     # ids first, so that the texts of the sample alone are kept
     picked = known.where(draw)
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # bounded by SAMPLE_DOCS
+    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # bounded by SAMPLE_DOCS
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
 
 
 def learn_lexicon(sample: DataFrame) -> Lexicon:
