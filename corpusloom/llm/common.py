@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import os
-import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, types as T
 from pyspark.sql import functions as F
 
+from corpusloom.sources.io import shared_folder
+
 #: Words are runs of anything but the six ASCII white-space bytes.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -19,14 +20,10 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """The rows, computed once and kept where every executor can read them again.
-
-    The folder is the session's ``spark.checkpoint.dir``; only a session without one (tests) gets a temporary folder.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    """The rows, computed once and kept where every executor can read them again: the session's shared folder."""
+    context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loom-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

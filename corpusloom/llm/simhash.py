@@ -21,6 +21,8 @@ from corpusloom.llm.common import map_batches, saved
 
 #: Differing bits allowed, words of a shingle, seed of the hash.
 BUDGET, SHINGLE, SEED = 2, 3, 42
+#: Keys whose rows are not dealt out by key are fewer than this, and have so many rows at least.
+HOT_KEYS, HOT_ROWS = 1000, 50
 #: Fingerprints that one task may hold of a node pair, and levels that Spark walks at a time beyond that.
 MOST, LEVELS = 4096, 8
 _NONE = (1 << 63) - 1
@@ -48,14 +50,31 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp): one row per row, fp as a signed long."""
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
+    """(doc_id, row, fp): one row per row, fp as a signed long; row is the named column, or 0."""
 
     def rows(columns):
-        for k, t in zip(*columns, strict=True):
-            yield k, _signed(fingerprint(t))
+        for k, n, t in zip(*columns, strict=True):
+            yield k, n, _signed(fingerprint(t))
 
-    return map_batches(docs.select(F.col(key).cast("long"), F.col(text)), rows, "doc_id long, fp long")
+    number = F.col(row) if row else F.lit(0)
+    return map_batches(docs.select(F.col(key).cast("long"), number.cast("long").alias("row"), F.col(text)), rows, "doc_id long, row long, fp long")
+
+
+def looked_up(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined to ``table``, which has each key once, with rows of frequent keys left where they are.
+
+    Keys of more than 1 / HOT_KEYS of the rows, and HOT_ROWS at least, are fewer than HOT_KEYS: their part of the table is
+    broadcast, and only the rows of all other keys are dealt out by key.
+    """
+    counts = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    hot = saved(counts.where(F.col("n") > max(HOT_ROWS, total / HOT_KEYS)).select(key))
+    if hot.isEmpty():
+        return rows.join(table, key)
+    few = saved(table.join(F.broadcast(hot), key, "left_semi"))
+    rest = rows.join(F.broadcast(hot), key, "left_anti").join(table, key)
+    return rest.unionByName(rows.join(F.broadcast(few), key).select(*rest.columns))
 
 
 def block_bits(budget: int) -> list[tuple[int, int]]:
@@ -209,13 +228,14 @@ def components(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     own = both.select(F.col("a").alias("fp")).distinct().join(vertices, "fp")
     labels = saved(own.select("fp", F.struct("doc", "fp").alias("label")))
     while True:
-        heard = both.join(labels.withColumnRenamed("fp", "b"), "b").groupBy("a").agg(F.min("label").alias("heard"))
+        heard = looked_up(both, labels.withColumnRenamed("fp", "b"), "b").groupBy("a").agg(F.min("label").alias("heard"))
         spread = labels.join(heard.withColumnRenamed("a", "fp"), "fp").select("fp", F.col("label").alias("old"), F.least("label", "heard").alias("label"))
         spread = saved(spread)
         if spread.where("old != label").isEmpty():
             return labels
         jump = spread.select(F.col("fp").alias("at"), F.col("label").alias("next"))
-        labels = saved(spread.join(jump, F.col("label.fp") == F.col("at")).select("fp", F.least("label", "next").alias("label")))
+        here = spread.select("fp", "label", F.col("label.fp").alias("at"))
+        labels = saved(looked_up(here, jump, "at").select("fp", F.least("label", "next").alias("label")))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", budget: int = BUDGET, most: int = MOST) -> DataFrame:
@@ -224,27 +244,36 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", bu
     Null, empty and blank texts have fingerprint zero and are linked like any other.  Rows without an id take part; they
     never name a component, and one without any id has a null component_id.  Repeated rows stay.
     """
-    prints = saved(fingerprints(docs, key, text))
-    vertices = saved(prints.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(_NONE))).alias("doc")))
-    edges = saved(links(vertices.select("fp"), budget, most))
-    named = vertices
-    if not edges.isEmpty():
-        labels = components(vertices, edges).select("fp", F.col("label.doc").alias("least"))
-        # saved, so that the join below deals both sides anew and Spark can split a fingerprint that many rows share
-        named = saved(vertices.join(labels, "fp", "left").select("fp", F.coalesce("least", "doc").alias("doc")))
-    return prints.join(named, "fp", "left").select(
+    prints = saved(fingerprints(docs, key, text).select("doc_id", "fp"))
+    named = saved(_named(prints.groupBy("fp").agg(F.min(F.coalesce("doc_id", F.lit(_NONE))).alias("doc")), budget, most))
+    return looked_up(prints, named, "fp").select(
         "doc_id",
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         F.when(F.col("doc") != _NONE, F.col("doc")).alias("component_id"),
     )
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each component: the one whose id names it.  Rows without an id stay."""
-    found = near_duplicates(docs)
-    dropped = saved(found.where("doc_id is not null and doc_id != component_id").select(F.col("doc_id").alias("loom_id")).distinct())
-    kept = docs.join(dropped, docs["doc_id"] == dropped["loom_id"], "left_anti")
-    repeated = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    if repeated.isEmpty():
-        return kept
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+def _named(vertices: DataFrame, budget: int, most: int) -> DataFrame:
+    """(fp, doc): each fingerprint with the least ``doc`` of its component."""
+    vertices = saved(vertices)
+    edges = saved(links(vertices.select("fp"), budget, most))
+    if edges.isEmpty():
+        return vertices
+    labels = components(vertices, edges).select("fp", F.col("label.doc").alias("least"))
+    return vertices.join(labels, "fp", "left").select("fp", F.coalesce("least", "doc").alias("doc"))
+
+
+def one_of_each(docs: DataFrame, budget: int = BUDGET, most: int = MOST) -> DataFrame:
+    """``docs`` with one row of each component: that of the least id (nulls last), and of rows with that id one.
+
+    Rows are numbered in a table that is written once, and judged by number, so rows of one id with different texts, rows
+    without an id and repeated rows are like any other.  Columns and their names stay as they are; an empty table stays empty.
+    """
+    # columns go by number meanwhile, so that no name can clash
+    columns = [f"c{k}" for k in range(len(docs.columns))]
+    numbered = saved(docs.toDF(*columns).withColumn("loom_row", F.monotonically_increasing_id()))
+    key, text = (columns[docs.columns.index(c)] for c in ("doc_id", "text"))
+    prints = fingerprints(numbered, key, text, "loom_row")
+    first = F.min(F.struct(F.coalesce("doc_id", F.lit(_NONE)).alias("doc_id"), "row"))
+    kept = _named(prints.groupBy("fp").agg(first.alias("doc")), budget, most).select(F.col("doc.row").alias("loom_row")).distinct()
+    return numbered.join(kept, "loom_row", "left_semi").select(*columns).toDF(*docs.columns)

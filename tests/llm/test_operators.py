@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -75,6 +76,30 @@ def test_token_counts_rows(docs, empty):
     assert tokens.token_counts(empty).count() == 0
 
 
+def test_long_runs_are_counted_in_linear_time(rng):
+    tokenizers = pytest.importorskip("tokenizers")
+    path = tokenizer_file("byte_bpe_50k.json")
+    library, own = tokenizers.Tokenizer.from_file(path), tokens.PrefixCounter(path)
+    run = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABC") for _ in range(1_000_000))
+    began = time.process_time()
+    n = own.count(run)
+    assert time.process_time() - began < 10
+    assert n == len(library.encode(run, add_special_tokens=False).ids)
+    for part in ("a" * 5000, " " * 5000, "=" * 5000 + "x", run[:3000] + "!" + run[:3000]):
+        table = own.table(part)
+        assert table[-1] == own.count(part) == len(library.encode(part, add_special_tokens=False).ids)
+        assert all(table[k] == len(library.encode(part[:k], add_special_tokens=False).ids) for k in range(0, len(part), 997))
+    assert all(len(p) <= tokens.KEPT_BYTES for p in own.states) and all(len(p) <= tokens.KEPT_BYTES for p in own.tables)
+
+
+def test_token_counts_of_the_table_equal_the_library(spark):
+    tokenizers = pytest.importorskip("tokenizers")
+    library = tokenizers.Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json"))
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = Counter((r["doc_id"], len((r["text"] or "").encode()), len(library.encode(r["text"] or "", add_special_tokens=False).ids)) for r in docs.collect())
+    assert Counter((r["doc_id"], r["n_bytes"], r["n_tokens"]) for r in tokens.token_counts(docs).collect()) == texts
+
+
 # --- 2 -----------------------------------------------------------------------------------------------------------
 
 
@@ -176,6 +201,34 @@ def test_language(spark, docs, empty):
     assert {r["lang_pred"] for r in langid.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_equals_a_plain_search(spark):
+    """Every dictionary tried with a fresh compressor, on odd characters, ties, long texts and many languages."""
+    import zstandard
+
+    assert [langid.letters_of(t) for t in ("\u00bd \u00b2 \u2167", "A1b_C", "\u00c9t\u00e9!", None, " ")] == ["", "a b c", "\u00e9t\u00e9", "", ""]
+    draw = random.Random(4)
+    rows = [(k, words(draw, 40, "abcdefg" if k % 3 else "uvwxyz"), "aa" if k % 3 else "bb") for k in range(90)]
+    rows += [(7, words(draw, 40, "mnopq"), f"l{k}") for k in range(300)] + [(200, words(draw, 20_000, "abcdefg"), "aa"), (201, "\u00bd\u00b2", "aa")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    learned = langid.train(docs)
+    assert len(learned) == langid.LANGUAGES and list(learned)[:2] == ["aa", "bb"]
+    two = {k: learned[k] for k in ("aa", "bb")}
+    got = {r["doc_id"]: r for r in langid.predict(docs.where("doc_id <> 7"), two).collect()}
+    for k, text, _ in rows:
+        if k == 7:
+            continue
+        data, sizes = langid.letters_of(text).encode(), []
+        for raw in two.values():
+            d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            make = lambda d=d: zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=d, write_checksum=False, write_content_size=False, write_dict_id=False)
+            sizes.append(sum(len(make().compress(data[i : i + langid.PIECE_BYTES])) for i in range(0, len(data), langid.PIECE_BYTES)))
+        want = "und" if not data else list(two)[sizes.index(min(sizes))]
+        assert got[k]["lang_pred"] == want or abs(sizes[0] - sizes[1]) <= 2, k
+    assert got[201]["score"] == 0 and got[201]["lang_pred"] == "und"
+    same = langid.Classifier({"x": b"some words", "y": b"some words"})
+    assert same.predict("some words")[0] == "x" and not same.predict("some words")[2]
+
+
 def test_language_of_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = langid.identify(docs).where("held_out").join(docs.select("doc_id", "lang", "n_chars"), "doc_id").where("n_chars >= 50").collect()
@@ -200,6 +253,43 @@ def test_toxicity_finds_held_out_documents(spark, rng):
     assert all(r["predicted"] == int(r["score"] >= 0.3) for r in got.values())
 
 
+def plain_features(text, lexicon):
+    """The features, each by its definition."""
+    words_, text = toxicity.normal_words(text), text or ""
+    n, chars = max(1, len(words_)), max(1, len(text))
+    odds = [max(lexicon.odds(e) for e in toxicity.entries(w)) for w, _ in words_]
+    at = [k for k, x in enumerate(odds) if x]
+    seconds = [k for k, (w, _) in enumerate(words_) if w in toxicity.SECOND_PERSON]
+    near = max((1 / (1 + abs(a - b)) for a in at for b in seconds), default=0.0)
+    count = lambda test: sum(1 for c in text if test(c))
+    upper = count(lambda c: "A" <= c <= "Z" or "\u00c0" <= c <= "\u00de" and c != "\u00d7")
+    return [
+        math.log1p(len(words_)), len(at), len(at) / n, max(odds, default=0.0), min(sum(odds), 100.0), near, len(seconds) / n, upper / chars, count(lambda c: c in "!?") / chars,
+        count(lambda c: c in "#*$%&@|<>") / chars, sum(h for _, h in words_) / n, count(lambda c: c in "0123456789") / chars,
+    ]
+
+
+def test_toxicity_features_equal_their_definitions(spark, rng):
+    long = "z" * 60
+    lexicon = toxicity.Lexicon({"grobian": (9, 0), "lump*": (5, 1), long: (4, 0), "fine": (3, 90)}, 10, 100)
+    texts = [None, "", "You GROBIAN!", "gr0bian and you and the lumpen " + long, "fine day", "A" * 63, "A" * 64 + " b", words(rng, 5000) + " dich lumpchen 12 ##"]
+    for t in texts:
+        assert np.allclose(toxicity.features(t, lexicon), plain_features(t, lexicon)), t
+    assert toxicity.features(long, lexicon)[1] == 1.0  # long words match as they were learned
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (1, None), (2, "c"), (None, "d"), (6, "e")] * 3, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (None, 1)], "doc_id long, toxic int")
+    want = {(1, "a", 1), (2, "c", 0)} - {(k, t, x) for k, t, x in [(1, "a", 1), (2, "c", 0)] if zlib.crc32(str(k).encode()) % 4 == 2}
+    assert {tuple(r) for r in toxicity._drawn(docs, labels).collect()} == want and toxicity._drawn(docs, labels).count() == len(want)
+
+
+def test_toxicity_odd_rows(spark, docs):
+    """Rows repeat, columns clash, one text is very long: one score a row, the same for the same text."""
+    labels = spark.createDataFrame([(k, 1, int(k % 3 == 0)) for k in range(20, 60)] + [(7, 1, 0)], "doc_id long, quality int, toxic int")
+    got = toxicity.score(docs.withColumn("features", F.lit(1)).withColumn("margin", F.lit(2)).withColumn("toxic", F.lit(3)), labels).collect()
+    assert len(got) == docs.count() and all(0 <= r["score"] <= 1 for r in got)
+    assert len({r["score"] for r in got if r["doc_id"] in (1, 2)}) == 1
+
+
 def test_toxicity_without_labels(spark, docs, empty):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     got = toxicity.score(docs, none)
@@ -268,11 +358,34 @@ def test_near_duplicates(docs, empty):
             assert p == simhash.fingerprint(texts[r["doc_id"]])
     kept = simhash.one_of_each(docs)
     assert kept.columns == docs.columns
-    ids = [r["doc_id"] for r in kept.collect() if r["doc_id"] is not None]
-    assert sorted(ids) == sorted(set(name.values()) - {1 << 60})
+    ids = sorted(str(r["doc_id"]) for r in kept.collect())
+    assert ids == sorted(str(k) if k < 1 << 60 else "None" for k in name.values())
     assert simhash.near_duplicates(empty).count() == 0 and simhash.one_of_each(empty).count() == 0
 
 
+def test_one_of_each_loses_no_text(spark, rng):
+    """Rows go by number: ids with several texts, null ids and repeated rows; one row of each group stays."""
+    a, b, c = (words(rng, 80) for _ in range(3))
+    rows = [(1, a), (2, a), (2, b), (None, b), (None, c), (None, c), (5, c + " x"), (None, None), (9, "")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    left = Counter(map(tuple, simhash.one_of_each(table).collect()))
+    assert left == Counter([(1, a), (2, b), (9, ""), *([(5, c + " x")] if (simhash.fingerprint(c) ^ simhash.fingerprint(c + " x")).bit_count() <= 2 else [(5, c + " x"), (None, c)])])
+
+
+def test_hot_keys_give_the_same(spark, monkeypatch):
+    """A key with most of the rows and a component that is a star: looked up in place or dealt out, the rows are the same."""
+    monkeypatch.setattr(simhash, "HOT_ROWS", 3)
+    rows = spark.createDataFrame([(k, 1 if k % 3 else k) for k in range(60)], "n long, fp long")
+    table = spark.createDataFrame([(k, -k) for k in range(50)], "fp long, name long")
+    got = simhash.looked_up(rows, table, "fp")
+    assert Counter(map(tuple, got.select("n", "fp", "name").collect())) == Counter(map(tuple, rows.join(table, "fp").select("n", "fp", "name").collect()))
+    centre = rng_bits = 0x0123456789ABCDEF
+    prints = [centre] + [centre ^ 1 << k for k in range(40)] + [rng_bits ^ 0xFFFF]
+    vertices = spark.createDataFrame([(simhash._signed(p), 100 - k) for k, p in enumerate(prints)], "fp long, doc long")
+    named = {r["fp"]: r["doc"] for r in simhash._named(vertices, 2, 4096).collect()}
+    assert {named[simhash._signed(p)] for p in prints[:-1]} == {60} and named[simhash._signed(prints[-1])] == 59
+
+
 def test_fingerprint_hash_is_that_of_spark(spark):
     text = "One two  THREE\tfour five"
     shingles = ["one two three", "two three four", "three four five"]
