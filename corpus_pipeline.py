@@ -5,37 +5,46 @@ Each stage takes (spark, docs, sf_dir) and returns documents again, the last one
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm import decontam, mixing, quality, sharding, simhash
 from corpusloom.llm.common import read
+from corpusloom.sources.io import shared_folder
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Failing lines go; documents that lose too much, are too short or repeat themselves go."""
+    """Failing lines go; documents that lose too much, are too short or repeat themselves go.
+
+    Null and empty texts have no words and go; rows with a null id and repeated rows are judged like any other.
+    """
     return quality.clean(docs)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays."""
+    """One row of each near-duplicate group stays: that of the least id, nulls last, and of rows with one id any.
+
+    Rows are told apart by number, so one id with different texts loses none of them; null texts are one group.
+    """
     return simhash.one_of_each(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with benchmark passages go."""
+    """Rows with benchmark passages go, whatever their id; null texts and tables without items leave all as it is."""
     return decontam.drop_contaminated(docs, read(spark, sf_dir, "benchmark"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are thinned or repeated by their rate."""
+    """Rows are thinned or repeated by their rate; without labelled documents every rate is 1.
+
+    Rows of one id, and those without one, share a draw; repeated rows are drawn each.
+    """
     return mixing.mixed(docs, read(spark, sf_dir, "labels"))
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents get a slot and a shard."""
+    """Rows get a slot and a shard by their id, null ids those of the empty string; columns of these names are replaced."""
     return sharding.assign_shards(docs)
 
 
@@ -52,9 +61,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to ``documents``, each written as Parquet and read again."""
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loom-")
-    folder = f"{base.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    """Applies the stages to ``documents``, each written as Parquet and read again; an empty table stays empty."""
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = read(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         out = f"{folder}/{k}-{name}"
