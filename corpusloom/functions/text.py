@@ -96,6 +96,33 @@ def token_count(c: Column, mode: str = "words_and_marks") -> Column:
     return F.greatest(F.lit(1), F.regexp_count(c, F.lit(WORD_OR_MARK)))
 
 
+def bpe_pieces(path: str):
+    """A function from a text column to its pieces, one for each token of the tokenizer file; joined by '' they are the text.
+
+    A character that takes several tokens stands in the first of them.  Null has no pieces.
+    """
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def pieces(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+
+        def cut(text: str) -> list[str]:
+            starts = [a for a, _ in tokenizer.encode(text, add_special_tokens=False).offsets]
+            at, ends = 0, [*starts[1:], len(text)]
+            out = []
+            for end in ends:
+                out.append(text[at : max(at, end)])
+                at = max(at, end)
+            return out
+
+        for texts in batches:
+            yield texts.fillna("").map(cut)
+
+    return pieces
+
+
 def ws_tokens(c: Column) -> Column:
     return _between_spaces(or_empty(c))
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +20,21 @@ WANTED_TOKENS = 2_000_000
 _FIELD = "struct<path:string,value:string>"
 
 
+def _walk(value: object, path: str) -> Iterator[tuple[str, str]]:
+    if isinstance(value, str):
+        yield path, value
+    elif isinstance(value, dict | list):
+        items = value.items() if isinstance(value, dict) else enumerate(value[:LIST_ITEMS])
+        for k, v in items:
+            yield from _walk(v, f"{path}.{k}" if path else str(k))
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("path", T.StringType()), T.StructField("value", T.StringType())])))
+def json_fields(values: pd.Series, paths: pd.Series) -> pd.Series:
+    """(path, value) of the strings in JSON of any shape, below a path; none for null."""
+    return pd.Series([[{"path": p, "value": x} for p, x in _walk(json.loads(v), path)] if v is not None else [] for v, path in zip(values, paths, strict=True)])
+
+
 def _fields(c: Column, kind: T.DataType, path: Column) -> Column | None:
     below = lambda name: F.when(path == "", F.lit(name)).otherwise(F.concat(path, F.lit("." + name)))
     if isinstance(kind, T.StringType):
@@ -29,11 +48,23 @@ def _fields(c: Column, kind: T.DataType, path: Column) -> Column | None:
         at = lambda i: F.when(path == "", i.cast("string")).otherwise(F.concat(path, F.lit("."), i.cast("string")))
         items = F.transform(F.slice(c, 1, LIST_ITEMS), lambda x, i: _fields(x, kind.elementType, at(i)))
         return F.coalesce(F.flatten(items), F.array().cast(f"array<{_FIELD}>"))
+    if isinstance(kind, T.MapType):
+        if _fields(F.lit(None).cast(kind.valueType), kind.valueType, F.lit("")) is None:
+            return None
+        at = lambda k: F.when(path == "", k.cast("string")).otherwise(F.concat(path, F.lit("."), k.cast("string")))
+        items = F.transform(F.map_entries(c), lambda e: _fields(e["value"], kind.valueType, at(e["key"])))
+        return F.coalesce(F.flatten(items), F.array().cast(f"array<{_FIELD}>"))
+    if isinstance(kind, T.VariantType):
+        return json_fields(F.to_json(c), path)
     return None
 
 
 def string_fields(df: DataFrame, *columns: str) -> Column:
-    """array<(path, value)> of all strings in the columns, in order; lists are cut to their first 20 items."""
+    """array<(path, value)> of all strings in the columns, in order; lists are cut to their first 20 items.
+
+    Columns may be strings, structs, maps, lists of these, or variants (records of unknown shape, ``parse_json``) at the top
+    or in structs; other types hold no strings.
+    """
     parts = [p for c in (columns or df.columns) if (p := _fields(F.col(c), df.schema[c].dataType, F.lit(c))) is not None]
     return F.concat(*parts) if parts else F.array().cast(f"array<{_FIELD}>")
 

@@ -159,6 +159,8 @@ te AS (SELECT name, max_by(frequency, entity_id) AS f, max(entity_id) AS e FROM
 COALESCE(string_agg(e, ';' ORDER BY n) FILTER (WHERE e IS NOT NULL), '') AS entity_ids FROM tp LEFT JOIN te ON name = term GROUP BY community_id, title, note"""
     reduction = lambda m, alias: f"round(COALESCE((max({m}) FILTER (WHERE pipeline = 'odd') - max({m}) FILTER (WHERE pipeline = 'even')) / nullif(max({m}) FILTER (WHERE pipeline = 'odd'), 0) * 100, 0.0), 5) AS {alias}"
     marks = r"(?:[\w\p{L}\p{N}\p{M}\p{Pc}]+|[^\s\w\p{L}\p{N}\p{M}\p{Pc}])"
+    lengths = lambda name, table, columns: f"SELECT '{name}' AS table_name, count(*) AS n_rows, CAST(sum({' + '.join(f'length({c})' for c in columns)}) AS BIGINT) AS n_chars FROM {table}"
+    court = f"trim(split_part(regexp_replace(regexp_extract(st, '{PROSE.court}'), '{PROSE.months}', chr(1)), chr(1), 1), ' .')"
     return {
         "clean_text_fast": f"SELECT page_id, {_collapse('''CASE WHEN contains(h, '<') AND contains(h, '>') THEN regexp_replace(h, '<[^>]*>', ' ', 'g') ELSE h END''')} AS text FROM (SELECT page_id, COALESCE(html, '') AS h FROM pages)",
         "token_counts_by_mode": f"SELECT doc_id, len({_words('t')}) AS n_ws, greatest(1, len(regexp_extract_all(t, '{marks}'))) AS n_words_and_marks FROM (SELECT doc_id, COALESCE(text, '') AS t FROM documents)",
@@ -170,7 +172,17 @@ COALESCE(string_agg(e, ';' ORDER BY n) FILTER (WHERE e IS NOT NULL), '') AS enti
         "chunk_windows": f"WITH {_CHUNKS} SELECT id, source_id, chunk_index, token_start, token_end, token_count FROM ch",
         "stream_chunks": f"WITH {_CHUNKS} SELECT id, source_id, chunk_index, token_start, token_end, token_count FROM ch",
         "chunk_report": f"WITH {_CHUNKS} SELECT (SELECT count(*) FROM op WHERE len(w) > 0) AS documents, count(*) AS chunks, (SELECT CAST(sum(len(w)) AS BIGINT) FROM op) AS input_tokens, CAST(sum(token_count) AS BIGINT) AS chunked_tokens, (SELECT sum(len(w)) FROM op) >= 2000000 AS enough FROM ch",
-        "case_table": f"WITH {_CHUNKS}, {_CASES} SELECT case_id, case_name, citations, decision_date FROM ck",
+        "case_table": f"WITH {_CHUNKS}, {_CASES} SELECT case_id, case_name, citations, {court} AS court, decision_date FROM ck",
+        "compact_metadata": "SELECT doc_id AS id, source AS case_name, lang AS court, CASE WHEN length(text) >= 500 THEN 'text' END AS selected_text_field FROM documents",
+        "dedup_vertices": "SELECT source, lang, doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY lang NULLS FIRST, doc_id NULLS FIRST) = 1",
+        "jsonl_round_trip": "SELECT doc_id, lang, md5(text) AS digest FROM documents WHERE COALESCE(text, '') <> ''",
+        "questions_round_trip": "SELECT COALESCE(CASE WHEN item_id % 3 > 0 THEN CAST(item_id AS VARCHAR) END, printf('q%03d', row_number() OVER (PARTITION BY item_id % 20 ORDER BY item_id))) AS id, md5(text) AS digest FROM benchmark WHERE item_id IS NOT NULL",
+        "report_round_trip": f"WITH {_CHUNKS.strip()} SELECT CAST(COALESCE(sum(len(w)), 0) AS BIGINT) AS total_tokens, count(*) AS written_records, COALESCE(max(record_index), 0) AS scanned_records, COALESCE(max(record_index), 0) - count(*) AS skipped_records, COALESCE(sum(len(w)), 0) >= 2000000 AS enough FROM op WHERE length(text) >= 500",
+        "graph_round_trip": f"""WITH {_ENTITIES}, {_CITED}, {_CASES}, {type_rows}, {topic_ctes},
+            nx AS (SELECT * FROM (SELECT id AS a, lead(id) OVER (PARTITION BY source_id ORDER BY chunk_index) AS b FROM ch) WHERE b IS NOT NULL), cl AS (SELECT DISTINCT citation_id, citation_text FROM cx), ce2 AS (SELECT DISTINCT case_id, citation_id FROM cx),
+            cr AS ({type_sql} UNION ALL {topic_sql}), cz AS (SELECT case_id, case_name, citations, decision_date, {court} AS court FROM ck), cv AS (SELECT id, source_id, {_safe('text')} AS text FROM ch)
+            {' UNION ALL '.join(lengths(*x) for x in [("legal_cases", "cz", ["case_id", "case_name", "citations", "court", "decision_date"]), ("chunks", "cv", ["id", "source_id", "text"]), ("citations", "cl", ["citation_id", "citation_text"]), ("has_chunk", "ch", ["source_id", "id"]), ("next_chunk", "nx", ["a", "b"]), ("cites", "ce2", ["case_id", "citation_id"]), ("entities", "en", ["entity_id", "name", "type"]), ("mentions", "me", ["chunk_id", "entity_id"]), ("related_to", "re", ["from_entity_id", "to_entity_id", "relation_type"]), ("community_reports", "cr", ["community_id", "summary", "entity_ids"])])}""",
+        "built_index": f"WITH {_CHUNKS}, {_embedding('ce', 'id', 'ch', 'text')} SELECT count(*) AS entries, count(DISTINCT k) AS vectors, CAST(sum(w) AS BIGINT) AS sum_w, CAST(sum(idx * w) AS BIGINT) AS check_sum, 'hashing-md5' AS provider, CAST(4096 AS BIGINT) AS dims, (SELECT count(*) FROM ch) AS chunks FROM ce",
         "chunk_vertices": f"WITH {_CHUNKS} SELECT id AS chunk_id, source_id, chunk_index, token_count, CAST(length({_safe('text')}) AS INT) AS n_chars FROM ch",
         "has_chunk": f"WITH {_CHUNKS} SELECT source_id AS case_id, id AS chunk_id FROM ch",
         "next_chunk": f"WITH {_CHUNKS} SELECT * FROM (SELECT id AS from_chunk_id, lead(id) OVER (PARTITION BY source_id ORDER BY chunk_index) AS to_chunk_id FROM ch) WHERE to_chunk_id IS NOT NULL",

@@ -16,7 +16,7 @@ from corpusloom.functions import text as tx
 from corpusloom.operators import chunking, context, evaluate, graph, ingest, retrieval, vectors
 from corpusloom.packs import FLAT_STOPWORDS, PROSE
 from corpusloom.plans.graph_context import graph_context as graph_context_plan
-from corpusloom.sources.io import shared_folder
+from corpusloom.sources import io
 from corpusloom.streaming.ingest import stream_chunks as stream_chunks_job
 
 _QUERIES: dict = {}
@@ -109,6 +109,58 @@ def safe_text(spark, d):
     return _read(spark, d, "documents").select("doc_id", F.md5(tx.safe_text(F.col("text")).cast("binary")).alias("digest"))
 
 
+@_query
+def compact_metadata(spark, d):
+    docs = _read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("case_name"), F.col("lang").alias("court"), "text")
+    return docs.select(ingest.compact_metadata(docs, F.when(F.length("text") >= 500, "text")).alias("m")).select("m.id", "m.case_name", "m.court", "m.selected_text_field")
+
+
+@_query
+def dedup_vertices(spark, d):
+    return io.dedup_vertices(_read(spark, d, "documents").select("source", "lang", "doc_id"), "source", ["lang", "doc_id"])
+
+
+def _folder(spark, name: str) -> str:
+    return f"{io.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@_query
+def jsonl_round_trip(spark, d):
+    """Documents written as JSON lines and read again."""
+    path = _folder(spark, "rows")
+    io.write_rows(_read(spark, d, "documents").select("doc_id", "text", "lang"), path, "json")
+    return io.read_jsonl(spark, path, "doc_id long, text string, lang string").select("doc_id", "lang", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@_query
+def questions_round_trip(spark, d):
+    """Questions written as files of JSON lists and read again; every third one is without id."""
+    path, n = _folder(spark, "questions"), F.col("item_id") % 20
+    asked = _read(spark, d, "benchmark").where("item_id is not null").select(n.alias("file"), F.struct(F.when(F.col("item_id") % 3 > 0, F.col("item_id").cast("string")).alias("id"), F.col("text").alias("question"), F.col("item_id").alias("n")).alias("q"))
+    lists = asked.groupBy("file").agg(F.array_sort(F.collect_list("q"), lambda a, b: (a["n"] - b["n"]).cast("int")).alias("q"))
+    lists.select(F.to_json("q")).write.option("maxRecordsPerFile", 1).text(path)
+    return io.read_questions(spark, path).select("id", F.md5(F.col("question").cast("binary")).alias("digest"))
+
+
+@_query
+def report_round_trip(spark, d):
+    path = _folder(spark, "report")
+    io.write_report(corpus_report(spark, d), path)
+    return spark.read.json(path).select("total_tokens", "written_records", "scanned_records", "skipped_records", "enough")
+
+
+@_query
+def graph_round_trip(spark, d):
+    """The graph's tables written pipe-separated and read again: rows and characters of all string columns."""
+    path, out = _folder(spark, "graph"), None
+    io.write_graph(_graph(spark, d), path, "psv")
+    for name, df in io.read_graph(spark, path, "psv").items():
+        chars = sum((F.length(c) for c, t in df.dtypes if t == "string"), F.lit(0))
+        one = df.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(chars).cast("long").alias("n_chars")).select(F.lit(name).alias("table_name"), "n_rows", "n_chars")
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
 # --- chunks and graph --------------------------------------------------------------------------------------------
 
 
@@ -125,7 +177,7 @@ def chunk_report(spark, d):
 
 @_query
 def case_table(spark, d):
-    return graph.build_cases(_chunks(spark, d), PROSE).select("case_id", "case_name", "citations", "decision_date")
+    return graph.build_cases(_chunks(spark, d), PROSE).select("case_id", "case_name", "citations", "court", "decision_date")
 
 
 @_query
@@ -196,6 +248,15 @@ def hashed_embedding(spark, d):
     return e.groupBy("id").agg(F.count(F.lit(1)).alias("n_dims"), F.sum("w").alias("sum_w"), F.sum(F.col("idx") * F.col("w")).alias("check_sum"), F.round(F.max("norm"), 6).alias("norm"))
 
 
+@_query
+def built_index(spark, d):
+    """The index as written and read again, with its manifest."""
+    path = _folder(spark, "index")
+    vectors.build_index(_chunks(spark, d), path)
+    rows = spark.read.parquet(f"{path}/index").agg(F.count(F.lit(1)).alias("entries"), F.countDistinct("id").alias("vectors"), F.sum("w").alias("sum_w"), F.sum(F.col("idx") * F.col("w")).alias("check_sum"))
+    return rows.crossJoin(F.broadcast(spark.read.json(f"{path}/manifest").select("provider", "dims", "chunks")))  # one row
+
+
 @_query
 def lexical_scores(spark, d):
     s = retrieval.lexical_scores(_hay(_chunks(spark, d)), _questions(spark, d))
@@ -434,7 +495,7 @@ def replace_rows(spark, d):
 
 @_query
 def stream_chunks(spark, d):
-    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    folder = f"{io.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     _opinions(spark, d).select("id", "text").write.json(f"{folder}/in")
     stream_chunks_job(spark, f"{folder}/in", f"{folder}/out", f"{folder}/state").awaitTermination()
     return spark.read.parquet(f"{folder}/out").select("id", "source_id", "chunk_index", "token_start", "token_end", "token_count")

@@ -75,7 +75,7 @@ def write_graph(tables: dict[str, DataFrame], folder: str, fmt: str = "parquet")
             df.write.mode("overwrite").parquet(out)
         else:
             plain = df.select(*[_escaped(F.col(c)).alias(c) if t == "string" else F.col(c) for c, t in df.dtypes])
-            plain.write.mode("overwrite").csv(out, sep="|", header=True, quote="\u0000", escape="\\", emptyValue="", encoding="UTF-8")
+            plain.write.mode("overwrite").csv(out, sep="|", header=True, quote="\u0000", escape="\\", emptyValue="", encoding="UTF-8", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def read_graph(spark: SparkSession, folder: str, fmt: str = "parquet") -> dict[str, DataFrame]:

@@ -2,6 +2,7 @@
 
 import json
 import math
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -77,6 +78,29 @@ def test_text_field(spark):
     assert got[0]["path"] == "r.opinions.0.opinion_text" and got[1] is None
 
 
+def test_text_fields_of_unknown_shape(spark):
+    """Maps and variants hold fields like structs do; null ones hold none."""
+    rows = [(1, {"b": "x", "a": "y"}, '{"name": "n", "opinions": [{"opinion_text": "t", "k": 1}], "deep": {"z": "w"}}'), (2, None, None), (3, {}, '"plain"')]
+    df = spark.createDataFrame(rows, "id int, m map<string,string>, j string").select("id", "m", F.parse_json("j").alias("v"), F.array(F.create_map(F.lit("k"), "m")).alias("l"))
+    got = {r["id"]: {(x["path"], x["value"]) for x in r["f"]} for r in df.select("id", ingest.string_fields(df, "m", "v", "l").alias("f")).collect()}
+    assert got[1] == {("m.b", "x"), ("m.a", "y"), ("v.name", "n"), ("v.opinions.0.opinion_text", "t"), ("v.deep.z", "w"), ("l.0.k.b", "x"), ("l.0.k.a", "y")}
+    assert got[2] == set() and got[3] == {("v", "plain")}
+
+
+def test_windows_of_subword_tokens(spark):
+    """Windows of a tokenizer's tokens: as many as it gives, and texts that follow each other without loss."""
+    tokenizers = pytest.importorskip("tokenizers")
+    path = "/opt/tokenizers/byte_bpe_50k.json"
+    if not os.path.exists(path):
+        pytest.skip("no vocabulary file")
+    text = "The caf\u00e9 \U0001f600 said: tokenisation isn't hard at all, is it? " * 9
+    df = spark.createDataFrame([("s", text), ("t", None), ("u", "")], "id string, text string")
+    got = sorted((r["token_start"], r["token_end"], r["text"]) for r in chunking.chunk_corpus(df, 40, 10, tx.bpe_pieces(path)(F.col("text")), "").collect())
+    n = len(tokenizers.Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids)
+    assert got[0][0] == 0 and got[-1][1] == n and all(b[0] == a[0] + 30 for a, b in zip(got, got[1:]))
+    assert text.startswith(got[0][2]) and all(x[2] in text for x in got)
+
+
 def test_sample_is_stable(spark):
     df = spark.createDataFrame([(str(k),) for k in range(100)], "id string")
     a = {r[0] for r in ingest.sample_n(df, 10, 1).collect()}
