@@ -218,10 +218,10 @@ def rank_cases(prepared: DataFrame, docs: DataFrame, pack: Pack = LEGAL, limit:
     asked = prepared.select("q", "terms", "phrases", "names", "n_cases", F.lower(F.trim("question")).alias("whole"))
     best = best_rows(docs.select("case_id", "meta", "haystack"), asked, "case_id", scorer, limit or (lambda block: max(r["n_cases"] for r in block)), 0.0)
     most = F.lit(limit) if limit else F.col("n_cases")
-    kept = best.join(prepared.select("q", "n_cases"), "q").where(F.col("rank") <= most).select("q", "case_id", "score", "rank")
-    first = docs.agg(F.min("case_id").alias("case_id")).where("case_id is not null")
-    missing = prepared.select("q").join(kept.select("q").distinct(), "q", "left_anti").crossJoin(F.broadcast(first))  # one row
-    return kept.unionByName(missing.select("q", "case_id", F.lit(0.0).alias("score"), F.lit(1).alias("rank")))
+    first = docs.agg(F.min("case_id").alias("loom_first"))  # one row
+    rows = prepared.select("q", "n_cases").join(best, "q", "left").crossJoin(F.broadcast(first))
+    rows = rows.select("q", F.coalesce("case_id", "loom_first").alias("case_id"), F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("rank", F.lit(1)).alias("rank"), most.alias("most"))
+    return rows.where("rank <= most and case_id is not null").select("q", "case_id", "score", "rank")
 
 
 def select_chunks(prepared: DataFrame, ranked: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -132,6 +132,25 @@ def _path(of: str, penalty: str, extra: str) -> str:
 FROM (SELECT p.*, cv.text, p.path || ' -> ' || p.chunk_id || ' -> ' || COALESCE(ck.case_name, cv.source_id) AS full_path FROM {of} p JOIN cv USING (chunk_id) LEFT JOIN ck ON ck.case_id = cv.source_id) JOIN pr USING (q)"""
 
 
+_HOPS = """dp AS (SELECT q, seed_rank, 0 AS kind, 0 AS edge_rank, mention_rank, chunk_id, name AS path, greatest(1, weight) AS flow, 0.81::DOUBLE AS hop
+    FROM (SELECT *, row_number() OVER (PARTITION BY q, entity_id ORDER BY chunk_id) AS mention_rank FROM me JOIN sd USING (entity_id)) WHERE mention_rank <= 12),
+r2 AS (SELECT q, seed_rank, entity_id, name AS seed_name, from_entity_id AS f, to_entity_id AS t, weight, to_entity_id AS other FROM re JOIN sd ON from_entity_id = entity_id
+       UNION ALL SELECT q, seed_rank, entity_id, name, from_entity_id, to_entity_id, weight, from_entity_id FROM re JOIN sd ON to_entity_id = entity_id),
+r3 AS (SELECT *, row_number() OVER (PARTITION BY q, entity_id ORDER BY f, t) AS edge_rank FROM r2 QUALIFY edge_rank <= 12),
+r4 AS (SELECT q, seed_rank, seed_name, edge_rank, other, r3.weight AS ew, me.weight AS mw, chunk_id, row_number() OVER (PARTITION BY q, seed_rank, edge_rank ORDER BY chunk_id) AS mention_rank
+       FROM r3 JOIN me ON me.entity_id = other QUALIFY mention_rank <= 8),
+ap AS (SELECT * FROM dp UNION ALL SELECT q, seed_rank, 1, edge_rank, mention_rank, chunk_id, seed_name || ' -> ' || en.name, greatest(1, least(ew, mw)), 0.729::DOUBLE FROM r4 JOIN en ON en.entity_id = other)"""
+
+
+def _greedy(rows: str, budget: int, most: str, fits: str = "") -> str:
+    """Rows (q, n in order, tokens, score) that fit: the first always, then each that fits the rest of the budget."""
+    room = f"len(a.k) < {most} AND (len(a.k) = 0 OR (a.u + x.u <= {budget}{fits}))"
+    return f"""gl AS (SELECT q, max({most}) AS m, list({{'u': CAST(tokens AS BIGINT), 's': CAST(score AS DOUBLE), 'k': [CAST(n AS BIGINT)]}} ORDER BY n) AS l FROM {rows} GROUP BY q),
+gf AS (SELECT q, list_reduce(list_prepend({{'u': CAST(0 AS BIGINT), 's': CAST(0 AS DOUBLE), 'k': CAST([] AS BIGINT[])}}, l),
+          lambda a, x: CASE WHEN {room.replace(most, 'm', 1)} THEN {{'u': a.u + x.u, 's': x.s, 'k': list_concat(a.k, x.k)}} ELSE a END).k AS k FROM gl),
+gk AS (SELECT q, unnest(k) AS n, CAST(unnest(range(1, len(k) + 1)) AS INT) AS place FROM gf)"""
+
+
 _ANSWERS = """
 c1 AS (SELECT conv_id, turn, max(role) AS role, max(text) AS text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY ALL),
 an AS (SELECT a.conv_id || '-' || a.turn AS question_id, CASE WHEN a.conv_id % 2 = 0 THEN 'even' ELSE 'odd' END AS pipeline, a.text AS ref, b.text AS answer,
@@ -228,6 +247,22 @@ COALESCE(string_agg(e, ';' ORDER BY n) FILTER (WHERE e IS NOT NULL), '') AS enti
             r4 AS (SELECT q, seed_rank, seed_name, edge_rank, other, r3.weight AS ew, me.weight AS mw, chunk_id, CAST(row_number() OVER (PARTITION BY q, seed_rank, edge_rank ORDER BY chunk_id) AS INT) AS mention_rank FROM r3 JOIN me ON me.entity_id = other QUALIFY mention_rank <= 8),
             rp AS (SELECT q, seed_rank, edge_rank, mention_rank, chunk_id, seed_name || ' -> ' || en.name AS path, greatest(1, least(ew, mw)) AS flow FROM r4 JOIN en ON en.entity_id = other)
             {_path('rp', '0.729', 'edge_rank,')}""",
+        "prune_paths": f"""WITH {_SEEDS}, {_HOPS},
+            f1 AS (SELECT ap.*, cv.text, cv.source_id AS case_id, cv.chunk_index, COALESCE(ck.case_name, cv.source_id) AS case_name, ap.path || ' -> ' || ap.chunk_id || ' -> ' || COALESCE(ck.case_name, cv.source_id) AS full_path
+                   FROM ap JOIN cv USING (chunk_id) LEFT JOIN ck ON ck.case_id = cv.source_id),
+            f2 AS (SELECT f1.*, round({_asked("lower(full_path || ' ' || text)")} * flow * hop, 6) AS score FROM f1 JOIN pr USING (q)),
+            f3 AS (SELECT *, greatest(1, len(regexp_extract_all('Path score=' || printf('%.4f', score) || ' flow=' || flow || ' hop_penalty=' || printf('%.3f', hop) || chr(10) || full_path || chr(10) || 'Evidence: ' || text, '{marks}'))) AS tokens FROM f2),
+            f4 AS (SELECT * FROM f3 QUALIFY row_number() OVER (PARTITION BY q, chunk_id, full_path ORDER BY score DESC, seed_rank, kind, edge_rank, mention_rank) = 1),
+            f5 AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, seed_rank, kind, edge_rank, mention_rank) AS n FROM f4), {_greedy('f5', 2200, '7')}
+            SELECT q, place, score, flow, hop AS hop_penalty, full_path AS path, case_id, case_name, chunk_id, chunk_index, CAST(tokens AS INT) AS tokens FROM gk JOIN f5 USING (q, n)""",
+        "select_communities": f"""WITH {_ENTITIES}, {_PREPARED}, {type_rows}, {topic_ctes}, cr AS ({type_sql} UNION ALL {topic_sql}),
+            k1 AS (SELECT q, terms, phrases, names, community_id, level, summary, CASE profile WHEN 'multi_hop' THEN 4 ELSE 3 END AS most,
+                          CASE community_id {' '.join(f"WHEN '{c}' THEN {_list(h)}" for c, h in PROSE.hints.items())} ELSE [] END AS hint FROM cr, pr),
+            k2 AS (SELECT q, community_id, level, summary, most, {_asked("lower(community_id || ' ' || summary)")} + CASE WHEN starts_with(community_id, 'global_') THEN 2.0 ELSE 0.0 END::DOUBLE
+                          + 2.0 * len(list_filter(list_distinct(terms), lambda t: list_contains(hint, t))) AS score FROM k1),
+            k3 AS (SELECT *, greatest(1, len(regexp_extract_all('Community report score=' || printf('%.4f', score) || ' level=' || level || ' id=' || community_id || chr(10) || summary, '{marks}'))) AS tokens,
+                          row_number() OVER (PARTITION BY q ORDER BY score DESC, level, community_id) AS n FROM k2), {_greedy('k3', 900, 'most', ' AND x.s > 0')}
+            SELECT q, place, community_id, level, CAST(score AS DOUBLE) AS score, CAST(tokens AS INT) AS tokens FROM gk JOIN k3 USING (q, n)""",
         "lexical_f1": f"WITH {_SCORED} SELECT question_id, round(f1, 6) AS lexical_f1, ok AS heuristic_pass FROM so",
         "summarize": f"WITH {_SCORED} SELECT pipeline, questions, round(avg_total_tokens, 4) AS avg_total_tokens, round(avg_prompt_tokens, 4) AS avg_prompt_tokens, round(avg_completion_tokens, 4) AS avg_completion_tokens, round(avg_latency_ms, 4) AS avg_latency_ms, round(rate, 6) AS heuristic_pass_rate FROM sm",
         "compare_pipelines": f"WITH {_SCORED} SELECT {reduction('avg_total_tokens', 'token_reduction_pct')}, {reduction('avg_latency_ms', 'latency_reduction_pct')} FROM sm",
