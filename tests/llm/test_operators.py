@@ -143,6 +143,50 @@ def test_mixing_steps_until_soft_targets_are_met(spark):
     assert miss(rate) @ weight @ miss(rate) < miss(plain) @ weight @ miss(plain) / 3
 
 
+def test_mixing_equals_a_plain_solution(spark, rng):
+    """Posteriors and rates against numpy: naive Bayes written out, and many plain projected-gradient steps."""
+    rows = [(k, words(rng, rng.randint(30, 90)) + (" the !! th" * 9 if k % 3 else " sch\u00f6n \u00fcber" * 9), "en" if k % 3 else "de", "s", 0) for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(0, 200, 3)] + [(k, k % 2, 0) for k in range(1, 200, 3)], "doc_id long, quality int, toxic int")
+    targets = {"q1-en": 0.4, "q1-de": 0.3, "q0-en": 0.3}
+    mixture, member = mixing.fit(mixing.measured(docs), labels, targets)
+    seen = {r["doc_id"]: r for r in mixing.measured(docs).collect()}
+    got = {r["doc_id"]: r for r in member.collect()}
+    x = np.array([[seen[k][m] for m in mixing.MEASURES] for k in range(200)])
+    domain = {k: f"q{k % 2}-{'en' if k % 3 else 'de'}" for k in range(200) if k % 3 < 2}
+    names = sorted(set(domain.values()))
+    scores = []
+    for d in names:
+        own = x[[k for k in domain if domain[k] == d]]
+        var = own.var(axis=0) + mixing.LEAST_VARIANCE
+        scores.append(math.log((len(own) + 1) / (len(domain) + len(names))) - 0.5 * np.log(var).sum() - ((x - own.mean(axis=0)) ** 2 / (2 * var)).sum(axis=1))
+    p = np.exp(np.array(scores).T - np.max(scores, axis=0)[:, None])
+    p /= p.sum(axis=1, keepdims=True)
+    assert names == mixture.domains
+    assert np.allclose(p, [[got[k][f"loom_p{i}"] for i in range(len(names))] for k in range(200)], atol=1e-6)
+    tokens = np.array([len(t.split()) for _, t, *_ in rows], dtype=float)
+    wanted = np.array([targets.get(d, 0.0) for d in names]) * tokens.sum()
+    weight = np.linalg.pinv((p * tokens[:, None]).T @ p, rcond=1e-6, hermitian=True)
+    loss = lambda rate: (m := wanted - (rate * tokens) @ p) @ weight @ m
+    plain = np.ones(200)
+    for _ in range(20_000):
+        plain = np.maximum(0, plain + p @ (weight @ (wanted - (plain * tokens) @ p)))
+    rate = np.array([got[k]["loom_rate"] for k in range(200)])
+    assert (rate >= 0).all() and loss(rate) <= 1.01 * loss(plain) + 1e-4 * ((weight @ wanted) @ wanted)
+
+
+def test_mixing_classifier_on_held_out_documents(spark):
+    """Fitted on half of the labelled documents, it finds language and quality of the other half."""
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    mixture, member = mixing.fit(mixing.measured(docs), labels.where("doc_id % 2 = 0"))
+    other = {r["doc_id"]: r["quality"] for r in labels.where("doc_id % 2 = 1 and quality is not null").collect()}
+    langs = {r["doc_id"]: r["lang"] for r in docs.select("doc_id", "lang").collect()}
+    told = {r["doc_id"]: mixture.domains[int(np.argmax([r[f"loom_p{i}"] for i in range(len(mixture.domains))]))] for r in member.collect() if r["doc_id"] in other}
+    pairs = [(told[k], f"q{q}-{langs[k]}") for k, q in other.items() if langs.get(k)]
+    assert len(pairs) > 50 and sum(a == b for a, b in pairs) >= 0.85 * len(pairs)
+
+
 def test_mixing_odd_rows(spark, docs, empty):
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (None, 1, 1), (9, None, 0)], "doc_id long, quality int, toxic int")
     assert mixing.mixing_rates(docs, labels).count() == docs.count()

@@ -37,3 +37,25 @@ def test_stages(spark):
 def test_run(spark):
     rows = corpus_pipeline.run(spark, DATA)
     assert {"doc_id", "text", "slot", "shard"} <= set(rows.columns) and rows.count() > 50
+
+
+def test_stages_on_odd_rows(spark):
+    """Null ids and texts, one id with several texts, repeated rows, an extra column and an empty table."""
+    a, b = (" ".join(f"{x}{k} goes{k} on{k}" for k in range(30)) for x in ("alpha", "beta"))
+    kind = "doc_id long, text string, lang string, source string, n_chars long, slot string, loom_row long"
+    rows = [(1, a), (2, a), (2, b), (None, b), (3, None), (None, None), (4, ""), (5, "short"), (5, "short")]
+    docs = spark.createDataFrame([(k, t, "en", "s", len(t) if t else None, "x", 7) for k, t in rows], kind).repartition(2)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), DATA).count() == 0, name
+        left = stage(spark, docs, DATA)
+        got = sorted((str(r["doc_id"]), str(r["text"])) for r in left.collect())
+        if name == "quality":
+            assert got == sorted([("1", a), ("2", a), ("2", b), ("None", b)])
+        elif name == "near_duplicates":
+            assert got == sorted([("1", a), ("2", b), ("3", "None"), ("5", "short")]), name
+        elif name == "decontamination":
+            assert len(got) == len(rows)
+        elif name == "sharding":
+            assert len(got) == len(rows)
+        if name != "sharding":
+            assert left.columns == docs.columns
