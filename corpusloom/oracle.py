@@ -104,27 +104,27 @@ def _asked(hay: str) -> str:
     return f"CAST({_hits(hay, 'terms')} + 2.5 * {_hits(hay, 'phrases')} + 8.0 * {_hits(hay, 'names')} AS DOUBLE)"
 
 
-_RANKED = f"""{_CHUNKS}, {_CASES}, {_PREPARED},
-cv AS (SELECT id AS chunk_id, source_id, chunk_index, {_safe('text')} AS text FROM ch),
-ms AS (SELECT case_id, lower(concat_ws(' ', case_id, case_name, citations, trim(split_part(regexp_replace(regexp_extract(st, '{PROSE.court}'), '{PROSE.months}', chr(1)), chr(1), 1), ' .'), decision_date)) AS meta FROM ck),
-sd AS (SELECT case_id, meta, meta || ' ' || lower((SELECT string_agg(text, ' ' ORDER BY chunk_index, chunk_id) FROM cv WHERE source_id = case_id)) AS hay FROM ms),
-sk AS (SELECT case_id, meta, hay, list_distinct(regexp_extract_all(hay, '[a-zA-Z][a-zA-Z0-9_]{{1,}}')) AS toks FROM sd),
+_VERTICES = f"cv AS (SELECT id AS chunk_id, source_id, chunk_index, token_count, {_safe('text')} AS text FROM ch)"
+_RANKING = f"""ms AS (SELECT case_id, lower(concat_ws(' ', case_id, case_name, citations, trim(split_part(regexp_replace(regexp_extract(st, '{PROSE.court}'), '{PROSE.months}', chr(1)), chr(1), 1), ' .'), decision_date)) AS meta FROM ck),
+hd AS (SELECT case_id, meta, meta || ' ' || lower((SELECT string_agg(text, ' ' ORDER BY chunk_index, chunk_id) FROM cv WHERE source_id = case_id)) AS hay FROM ms),
+sk AS (SELECT case_id, meta, hay, list_distinct(regexp_extract_all(hay, '[a-zA-Z][a-zA-Z0-9_]{{1,}}')) AS toks FROM hd),
 sc AS (SELECT q, n_cases, case_id, CASE WHEN len(terms) > 0 THEN (2.0 * {_asked('meta')} + len(list_filter(terms, lambda t: list_contains(toks, t))) + 2.5 * {_hits('hay', 'phrases')}
           + CASE WHEN list_has_any(terms, ['criminal', 'appeal']) THEN 1.25 * least({_hits('hay', _list(PROSE.case_markers))}, 5) ELSE 0 END
           + CASE WHEN trim(low) <> '' AND contains(hay, trim(low)) THEN 5.0 ELSE 0 END::DOUBLE + 8.0 * {_hits('meta', 'names')}) / greatest(1, len(terms)) ELSE 0.0 END AS score FROM sk, pr),
 rk AS (SELECT q, case_id, score, n_cases, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, case_id) AS INT) AS rank FROM sc WHERE score > 0),
 rc AS (SELECT q, case_id, rank, score FROM rk WHERE rank <= n_cases
        UNION ALL SELECT q, (SELECT min(case_id) FROM sk), 1, 0.0 FROM pr WHERE q NOT IN (SELECT q FROM rk))"""
+_RANKED = f"{_CHUNKS}, {_CASES}, {_PREPARED}, {_VERTICES}, {_RANKING}"
 
-_CHOSEN = f"""{_RANKED},
-s1 AS (SELECT rc.q, rc.case_id, chunk_id, chunk_index, profile, n_chunks, {_asked('lower(cv.text)')} AS score FROM rc JOIN pr USING (q) JOIN cv ON source_id = rc.case_id),
+_CHOOSING = f"""s1 AS (SELECT rc.q, rc.case_id, rc.rank AS case_rank, cv.text, token_count, chunk_id, chunk_index, profile, n_chunks, {_asked('lower(cv.text)')} AS score FROM rc JOIN pr USING (q) JOIN cv ON source_id = rc.case_id),
 s2 AS (SELECT *, CASE WHEN profile = 'local' AND row_number() OVER (PARTITION BY q, case_id ORDER BY chunk_index, chunk_id) = 1 THEN 0 WHEN score > 0 THEN 1 ELSE 2 END AS kind FROM s1),
 s3 AS (SELECT *, CAST(row_number() OVER (PARTITION BY q, case_id ORDER BY kind, CASE WHEN kind = 1 THEN -score ELSE 0 END, chunk_index, chunk_id) AS INT) AS place FROM s2)"""
 
-_SEEDS = f"""{_ENTITIES}, {_PREPARED}, {_CASES},
-z1 AS (SELECT q, entity_id, name, round(CAST(200 AS DOUBLE) * {_asked('name')} * CASE WHEN type IN ('CASE', 'LAW', 'CONCEPT') THEN 1.25 ELSE 1.0 END::DOUBLE + 2 * least(frequency, 20), 4) AS s FROM en, pr),
-sd AS (SELECT q, entity_id, name, s / 100 AS score, CAST(row_number() OVER (PARTITION BY q ORDER BY s DESC, entity_id) AS INT) AS seed_rank FROM z1 WHERE s > 10 QUALIFY seed_rank <= 5),
-cv AS (SELECT id AS chunk_id, source_id, chunk_index, {_safe('text')} AS text FROM ch)"""
+_CHOSEN = f"{_RANKED}, {_CHOOSING}"
+
+_SEEDING = f"""z1 AS (SELECT q, entity_id, name, round(CAST(200 AS DOUBLE) * {_asked('name')} * CASE WHEN type IN ('CASE', 'LAW', 'CONCEPT') THEN 1.25 ELSE 1.0 END::DOUBLE + 2 * least(frequency, 20), 4) AS s FROM en, pr),
+sd AS (SELECT q, entity_id, name, s / 100 AS score, CAST(row_number() OVER (PARTITION BY q ORDER BY s DESC, entity_id) AS INT) AS seed_rank FROM z1 WHERE s > 10 QUALIFY seed_rank <= 5)"""
+_SEEDS = f"{_ENTITIES}, {_PREPARED}, {_CASES}, {_SEEDING}, {_VERTICES}"
 
 
 def _path(of: str, penalty: str, extra: str) -> str:
@@ -178,6 +178,21 @@ te AS (SELECT name, max_by(frequency, entity_id) AS f, max(entity_id) AS e FROM
 COALESCE(string_agg(e, ';' ORDER BY n) FILTER (WHERE e IS NOT NULL), '') AS entity_ids FROM tp LEFT JOIN te ON name = term GROUP BY community_id, title, note"""
     reduction = lambda m, alias: f"round(COALESCE((max({m}) FILTER (WHERE pipeline = 'odd') - max({m}) FILTER (WHERE pipeline = 'even')) / nullif(max({m}) FILTER (WHERE pipeline = 'odd'), 0) * 100, 0.0), 5) AS {alias}"
     marks = r"(?:[\w\p{L}\p{N}\p{M}\p{Pc}]+|[^\s\w\p{L}\p{N}\p{M}\p{Pc}])"
+    path_rows = f"""f1 AS (SELECT ap.*, cv.text, cv.source_id AS case_id, cv.chunk_index, COALESCE(ck.case_name, cv.source_id) AS case_name, ap.path || ' -> ' || ap.chunk_id || ' -> ' || COALESCE(ck.case_name, cv.source_id) AS full_path
+                   FROM ap JOIN cv USING (chunk_id) LEFT JOIN ck ON ck.case_id = cv.source_id),
+            f2 AS (SELECT f1.*, round({_asked("lower(full_path || ' ' || text)")} * flow * hop, 6) AS score FROM f1 JOIN pr USING (q)),
+            f3 AS (SELECT *, greatest(1, len(regexp_extract_all('Path score=' || printf('%.4f', score) || ' flow=' || flow || ' hop_penalty=' || printf('%.3f', hop) || chr(10) || full_path || chr(10) || 'Evidence: ' || text, '{marks}'))) AS tokens FROM f2),
+            f4 AS (SELECT * FROM f3 QUALIFY row_number() OVER (PARTITION BY q, chunk_id, full_path ORDER BY score DESC, seed_rank, kind, edge_rank, mention_rank) = 1)"""
+    report_rows = f"""k1 AS (SELECT q, terms, phrases, names, community_id, level, summary, CASE profile WHEN 'multi_hop' THEN 4 ELSE 3 END AS most,
+                          CASE community_id {' '.join(f"WHEN '{c}' THEN {_list(h)}" for c, h in PROSE.hints.items())} ELSE [] END AS hint FROM cr, pr),
+            k2 AS (SELECT q, community_id, level, summary, most, {_asked("lower(community_id || ' ' || summary)")} + CASE WHEN starts_with(community_id, 'global_') THEN 2.0 ELSE 0.0 END::DOUBLE
+                          + 2.0 * len(list_filter(list_distinct(terms), lambda t: list_contains(hint, t))) AS score FROM k1),
+            k3 AS (SELECT *, greatest(1, len(regexp_extract_all('Community report score=' || printf('%.4f', score) || ' level=' || level || ' id=' || community_id || chr(10) || summary, '{marks}'))) AS tokens,
+                          row_number() OVER (PARTITION BY q ORDER BY score DESC, level, community_id) AS n FROM k2)"""
+    of_path = "'Path score=' || printf('%.4f', score) || ' flow=' || flow || ' hop_penalty=' || printf('%.3f', hop) || chr(10) || full_path || chr(10) || 'Evidence: ' || text"
+    of_report = "'Community report score=' || printf('%.4f', score) || ' level=' || level || ' id=' || community_id || chr(10) || summary"
+    tokens = lambda text: f"greatest(1, len(regexp_extract_all({text}, '{marks}')))"
+    packed = lambda greedy, gk, gl, gf: greedy.replace("gk AS", f"{gk} AS").replace("gl AS", f"{gl} AS").replace("gf AS", f"{gf} AS").replace("FROM gl)", f"FROM {gl})").replace("FROM gf)", f"FROM {gf})")
     lengths = lambda name, table, columns: f"SELECT '{name}' AS table_name, count(*) AS n_rows, CAST(sum({' + '.join(f'length({c})' for c in columns)}) AS BIGINT) AS n_chars FROM {table}"
     court = f"trim(split_part(regexp_replace(regexp_extract(st, '{PROSE.court}'), '{PROSE.months}', chr(1)), chr(1), 1), ' .')"
     return {
@@ -248,21 +263,34 @@ COALESCE(string_agg(e, ';' ORDER BY n) FILTER (WHERE e IS NOT NULL), '') AS enti
             rp AS (SELECT q, seed_rank, edge_rank, mention_rank, chunk_id, seed_name || ' -> ' || en.name AS path, greatest(1, least(ew, mw)) AS flow FROM r4 JOIN en ON en.entity_id = other)
             {_path('rp', '0.729', 'edge_rank,')}""",
         "prune_paths": f"""WITH {_SEEDS}, {_HOPS},
-            f1 AS (SELECT ap.*, cv.text, cv.source_id AS case_id, cv.chunk_index, COALESCE(ck.case_name, cv.source_id) AS case_name, ap.path || ' -> ' || ap.chunk_id || ' -> ' || COALESCE(ck.case_name, cv.source_id) AS full_path
-                   FROM ap JOIN cv USING (chunk_id) LEFT JOIN ck ON ck.case_id = cv.source_id),
-            f2 AS (SELECT f1.*, round({_asked("lower(full_path || ' ' || text)")} * flow * hop, 6) AS score FROM f1 JOIN pr USING (q)),
-            f3 AS (SELECT *, greatest(1, len(regexp_extract_all('Path score=' || printf('%.4f', score) || ' flow=' || flow || ' hop_penalty=' || printf('%.3f', hop) || chr(10) || full_path || chr(10) || 'Evidence: ' || text, '{marks}'))) AS tokens FROM f2),
-            f4 AS (SELECT * FROM f3 QUALIFY row_number() OVER (PARTITION BY q, chunk_id, full_path ORDER BY score DESC, seed_rank, kind, edge_rank, mention_rank) = 1),
+            {path_rows},
             f5 AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, seed_rank, kind, edge_rank, mention_rank) AS n FROM f4), {_greedy('f5', 2200, '7')}
             SELECT q, place, score, flow, hop AS hop_penalty, full_path AS path, case_id, case_name, chunk_id, chunk_index, CAST(tokens AS INT) AS tokens FROM gk JOIN f5 USING (q, n)""",
         "select_communities": f"""WITH {_ENTITIES}, {_PREPARED}, {type_rows}, {topic_ctes}, cr AS ({type_sql} UNION ALL {topic_sql}),
-            k1 AS (SELECT q, terms, phrases, names, community_id, level, summary, CASE profile WHEN 'multi_hop' THEN 4 ELSE 3 END AS most,
-                          CASE community_id {' '.join(f"WHEN '{c}' THEN {_list(h)}" for c, h in PROSE.hints.items())} ELSE [] END AS hint FROM cr, pr),
-            k2 AS (SELECT q, community_id, level, summary, most, {_asked("lower(community_id || ' ' || summary)")} + CASE WHEN starts_with(community_id, 'global_') THEN 2.0 ELSE 0.0 END::DOUBLE
-                          + 2.0 * len(list_filter(list_distinct(terms), lambda t: list_contains(hint, t))) AS score FROM k1),
-            k3 AS (SELECT *, greatest(1, len(regexp_extract_all('Community report score=' || printf('%.4f', score) || ' level=' || level || ' id=' || community_id || chr(10) || summary, '{marks}'))) AS tokens,
-                          row_number() OVER (PARTITION BY q ORDER BY score DESC, level, community_id) AS n FROM k2), {_greedy('k3', 900, 'most', ' AND x.s > 0')}
+            {report_rows}, {_greedy('k3', 900, 'most', ' AND x.s > 0')}
             SELECT q, place, community_id, level, CAST(score AS DOUBLE) AS score, CAST(tokens AS INT) AS tokens FROM gk JOIN k3 USING (q, n)""",
+        "graph_context": f"""WITH {_ENTITIES}, {_CITED}, {_CASES}, {_PREPARED}, {_VERTICES}, {_RANKING}, {_CHOOSING},
+            mq AS (SELECT * FROM pr WHERE profile = 'multi_hop'), z0 AS (SELECT 1), {_SEEDING.replace("FROM en, pr)", "FROM en, mq pr)")}, {_HOPS}, {path_rows},
+            f5 AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, seed_rank, kind, edge_rank, mention_rank) AS n FROM f4), {packed(_greedy('f5', 2200, '7'), 'pk', 'pl', 'pf')},
+            pb AS (SELECT q, string_agg({of_path}, chr(10) || chr(10) ORDER BY place) AS b FROM pk JOIN f5 USING (q, n) GROUP BY q),
+            {type_rows}, {topic_ctes}, cr AS ({type_sql} UNION ALL {topic_sql}), {report_rows.replace("FROM cr, pr)", "FROM cr, pr WHERE profile = 'global' OR profile = 'multi_hop' AND wants_community)")},
+            {packed(_greedy('k3', 1000, 'most', ' AND x.s > 0'), 'ck2', 'cl2', 'cf2')},
+            cb AS (SELECT q, string_agg({of_report}, chr(10) || chr(10) ORDER BY place) AS b FROM ck2 JOIN k3 USING (q, n) GROUP BY q),
+            ctd AS (SELECT case_id, string_agg(citation_text, '; ' ORDER BY citation_id) AS cited FROM (SELECT DISTINCT * FROM cx) GROUP BY case_id),
+            cas AS (SELECT case_id, CASE WHEN case_name <> '' THEN case_name ELSE case_id END AS case_name, CASE WHEN citations <> '' THEN citations ELSE COALESCE(cited, '') END AS told,
+                           COALESCE(nullif({court}, ''), 'unknown') AS court, COALESCE(nullif(decision_date, ''), 'unknown') AS decision_date FROM ck LEFT JOIN ctd USING (case_id)),
+            sel AS (SELECT * FROM s3 WHERE place <= n_chunks),
+            bl AS (SELECT q, case_rank, chunk_index, chunk_id, 'Case: ' || case_name || chr(10) || 'Case ID: ' || case_id || chr(10) || 'Court: ' || court || chr(10) || 'Decision Date: ' || decision_date || chr(10) || 'Citations: ' || told
+                          || chr(10) || 'Chunk: ' || chunk_index || ' | token_count=' || token_count || chr(10) || trim(text) AS block FROM sel JOIN cas USING (case_id) WHERE trim(text) <> ''),
+            kb AS (SELECT q, list({{'u': CAST({tokens('block')} AS BIGINT), 'k': [block]}} ORDER BY case_rank, chunk_index, chunk_id) AS l FROM bl GROUP BY q),
+            u1 AS (SELECT q, profile, cb.b AS c, pb.b AS p, COALESCE({tokens('cb.b')}, 0) AS ct, COALESCE({tokens('pb.b')}, 0) AS pt, l FROM pr LEFT JOIN cb USING (q) LEFT JOIN pb USING (q) LEFT JOIN kb USING (q)),
+            u2 AS (SELECT *, c IS NOT NULL AND ct <= 2200 AS use_c, CASE WHEN c IS NOT NULL AND ct <= 2200 THEN ct ELSE 0 END AS t1 FROM u1),
+            u3 AS (SELECT *, p IS NOT NULL AND t1 + pt <= 2200 AS use_p FROM u2),
+            u4 AS (SELECT q, profile, list_reduce(list_prepend({{'u': CAST(t1 + CASE WHEN use_p THEN pt ELSE 0 END AS BIGINT),
+                          'k': list_filter([CASE WHEN use_c THEN 'Corpus community reports:' || chr(10) || c END, CASE WHEN use_p THEN 'Structured graph paths:' || chr(10) || p END], lambda x: x IS NOT NULL)}}, COALESCE(l, [])),
+                          lambda a, x: CASE WHEN a.u + x.u <= 2200 OR len(a.k) = 0 THEN {{'u': a.u + x.u, 'k': list_concat(a.k, x.k)}} ELSE a END) AS f FROM u3),
+            ids AS (SELECT q, (SELECT string_agg(c, ';' ORDER BY c) FROM (SELECT DISTINCT case_id AS c FROM sel b WHERE b.q = a.q)) AS case_ids, string_agg(chunk_id, ';' ORDER BY case_rank, chunk_index, chunk_id) AS chunk_ids FROM sel a GROUP BY q)
+            SELECT q, profile, array_to_string(f.k, chr(10) || chr(10) || '---' || chr(10) || chr(10)) AS context, CAST(len(f.k) AS INT) AS n_blocks, f.u AS used_tokens, case_ids, chunk_ids FROM u4 LEFT JOIN ids USING (q)""",
         "lexical_f1": f"WITH {_SCORED} SELECT question_id, round(f1, 6) AS lexical_f1, ok AS heuristic_pass FROM so",
         "summarize": f"WITH {_SCORED} SELECT pipeline, questions, round(avg_total_tokens, 4) AS avg_total_tokens, round(avg_prompt_tokens, 4) AS avg_prompt_tokens, round(avg_completion_tokens, 4) AS avg_completion_tokens, round(avg_latency_ms, 4) AS avg_latency_ms, round(rate, 6) AS heuristic_pass_rate FROM sm",
         "compare_pipelines": f"WITH {_SCORED} SELECT {reduction('avg_total_tokens', 'token_reduction_pct')}, {reduction('avg_latency_ms', 'latency_reduction_pct')} FROM sm",

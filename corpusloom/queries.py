@@ -376,7 +376,8 @@ def select_communities(spark, d):
 
 @_query
 def graph_context(spark, d):
-    return graph_context_plan(_questions(spark, d), _graph(spark, d), PROSE)
+    done = graph_context_plan(_questions(spark, d), _graph(spark, d), PROSE)
+    return done.select("q", "profile", "context", "n_blocks", "used_tokens", F.array_join("case_ids", ";").alias("case_ids"), F.array_join("chunk_ids", ";").alias("chunk_ids"))
 
 
 # --- results -----------------------------------------------------------------------------------------------------
