@@ -25,9 +25,7 @@ class Pack:
 
 
 # Fixed values of the legal pack: patterns, lexicon, topics, aliases, hints, markers and stop words.
-_MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December"
-_NAME = r"[A-Z][A-Za-z0-9.'&-]+"
-_CASE = rf"\b{_NAME}(?:\s+{_NAME}){{0,5}}\s+v\.\s+{_NAME}(?:\s+{_NAME}){{0,6}}"
+_CASE = r"\b[A-Z][A-Za-z0-9.'&-]+(?:\s+[A-Z][A-Za-z0-9.'&-]+){0,5}\s+v\.\s+[A-Z][A-Za-z0-9.'&-]+(?:\s+[A-Z][A-Za-z0-9.'&-]+){0,6}"
 _CITATION = (
     r"\b\d+\s+(?:F\.?\s?(?:Supp\.?\s?\d*d?|2d|3d)?|U\.S\.|S\.?\s?Ct\.|P\.?\s?\d*d?|N\.?E\.?\s?\d*d?|"
     r"S\.?W\.?\s?\d*d?|N\.?W\.?\s?\d*d?|Mass\.|Idaho|Ohio|OK\s+CR)\s+\d+\b"
@@ -86,20 +84,20 @@ LEGAL = Pack(
         "global_direct_postconviction_review": ("direct", "appeals", "post", "conviction", "post-conviction", "relief", "petitions", "habeas", "collateral"),
         "global_federal_state_constitutional_review": ("federal", "circuit", "state", "appellate", "constitutional", "questions", "differently"),
     },
-    stopwords=tuple("about across after also case cases cited court decided does from have into legal opinion opinions that the their these this what when where which with".split()),
-    global_markers=tuple("across common corpus frequent frequently patterns represented types".split()),
-    multi_hop_markers=tuple("affect against cited differently distinguish influence multi precedents standard strickland".split()),
+    stopwords=("about", "across", "after", "also", "case", "cases", "cited", "court", "decided", "does", "from", "have", "into", "legal", "opinion", "opinions", "that", "the", "their", "these", "this", "what", "when", "where", "which", "with"),
+    global_markers=("across", "common", "corpus", "frequent", "frequently", "patterns", "represented", "types"),
+    multi_hop_markers=("affect", "against", "cited", "differently", "distinguish", "influence", "multi", "precedents", "standard", "strickland"),
     community_markers=("cited precedents", "precedents influence", "court's reasoning", "courts reasoning", "direct appeals", "post-conviction", "post conviction", "relief petitions", "federal circuit", "state appellate", "constitutional questions"),
     case_markers=("court of criminal appeals", "criminal appeal", "post-conviction", "convicted", "conviction", "defendant", "sentence"),
     court=_COURT,
-    date=rf"\b(?:{_MONTHS})\s+\d{{1,2}},\s+\d{{4}}\b",
-    months=rf"\b(?:{_MONTHS})\b",
+    date=r"\b(?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{1,2},\s+\d{4}\b",
+    months=r"\b(?:January|February|March|April|May|June|July|August|September|October|November|December)\b",
 )
 
 #: Stop words of flat retrieval (fixed values).
-FLAT_STOPWORDS = tuple("about across after also case court decided does from have how into legal opinion opinions that the their these this what when where which with".split())
+FLAT_STOPWORDS = ("about", "across", "after", "also", "case", "court", "decided", "does", "from", "have", "how", "into", "legal", "opinion", "opinions", "that", "the", "their", "these", "this", "what", "when", "where", "which", "with")
 #: Stop words of lexical scores (fixed values).
-SCORE_STOPWORDS = tuple("a an and are as by for from in is of or the to was with".split())
+SCORE_STOPWORDS = ("a", "an", "and", "are", "as", "by", "for", "from", "in", "is", "of", "or", "the", "to", "was", "with")
 
 #: A pack for general prose, for corpora without legal language.
 PROSE = Pack(
