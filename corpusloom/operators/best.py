@@ -96,23 +96,25 @@ class Needles:
         self.known: dict[str, tuple[int, ...]] = {}
 
     def of_word(self, word: str) -> tuple[int, ...]:
-        found = self.known.get(word)
-        if found is None:
+        at, n = self.at.get, len(word)
+        parts = {word[i : i + k] for k in self.lengths if k <= n for i in range(n - k + 1)}
+        found = tuple({k for p in parts if (k := at(p)) is not None})
+        if n <= 64:
             if len(self.known) >= KEPT_WORDS:
                 self.known.clear()
-            at = self.at
-            found = tuple({k for n in self.lengths for i in range(len(word) - n + 1) if (k := at.get(word[i : i + n])) is not None})
-            if len(word) <= 64:
-                self.known[word] = found
+            self.known[word] = found
         return found
 
     def present(self, texts: list[list[str]]) -> np.ndarray:
         """A row of ones and zeros a text, given the texts' words."""
-        out = np.zeros((len(texts), len(self.at)))
-        for row, words in enumerate(texts):
+        known, columns, ends = self.known, [], []
+        for words in texts:
             for word in set(words):
-                if hit := self.of_word(word):
-                    out[row, list(hit)] = 1.0
+                found = known.get(word)
+                columns += self.of_word(word) if found is None else found
+            ends.append(len(columns))
+        out = np.zeros((len(texts), len(self.at)))
+        out[np.repeat(np.arange(len(texts)), np.diff([0, *ends])), np.array(columns, dtype=np.int64)] = 1.0
         return out
 
     def weights(self, lists: list[list[str]]) -> np.ndarray:
