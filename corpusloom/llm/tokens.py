@@ -236,14 +236,21 @@ class PrefixCounter:
                 out.append(np.array([base], np.int32))
         return np.concatenate(out)
 
-    def longest_prefix(self, text: str, budget: int, known: int | None = None) -> int:
-        """Characters of the longest prefix of at most ``budget`` tokens, from the tables of the pieces at the border."""
-        if (known if known is not None else self.count(text)) <= budget:
-            return len(text)
-        if self.at_special is not None and self.at_special.search(text):
-            return int(np.flatnonzero(self.table(text) <= budget)[-1])
+    def longest_prefix(self, text: str, budget: int) -> int:
+        """Characters of the longest prefix of at most ``budget`` tokens."""
+        return self.count_and_fit(text, budget)[1]
+
+    def count_and_fit(self, text: str, budget: int) -> tuple[int, int]:
+        """Tokens of a text, and characters of the longest prefix within a budget, from the tables of the pieces at the border."""
+        if self.at_special is not None and any(s in text for s in self.special):
+            n = self.count(text)
+            return n, len(text) if n <= budget else int(np.flatnonzero(self.table(text) <= budget)[-1])
         pieces = self.split.findall(text)
-        sums = list(accumulate(map(self.totals.__getitem__, pieces)))
+        counts = list(map(self.totals.__getitem__, pieces))
+        total = sum(counts)
+        if total <= budget:
+            return total, len(text)
+        sums = list(accumulate(counts))
         k = bisect_right(sums, budget)  # the first piece that ends beyond the budget
         first = k
         while first > 0 and pieces[first - 1].isspace():
@@ -255,7 +262,7 @@ class PrefixCounter:
         head = sum(map(len, pieces[:first]))
         marks, _ = self._plain_table("".join(pieces[first:stop]))
         start = sums[first - 1] if first else 0
-        return head + int(np.flatnonzero(start + marks <= budget)[-1])
+        return total, head + int(np.flatnonzero(start + marks <= budget)[-1])
 
 
 @lru_cache(maxsize=4)
@@ -305,8 +312,8 @@ def token_counts(
         counter = prefix_counter(tokenizer_file(tokenizer))
         for k, t in zip(*columns, strict=True):
             t = t or ""
-            n = counter.count(t)
-            yield k, len(t.encode("utf-8", "surrogatepass")), n, n > budget, counter.longest_prefix(t, budget, n)
+            n, fit = counter.count_and_fit(t, budget)
+            yield k, len(t.encode("utf-8", "surrogatepass")), n, n > budget, fit
 
     kind = df.schema[key].dataType.simpleString()
     schema = f"key {kind}, n_bytes long, n_tokens long, over_limit boolean, fitting_chars long"
