@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpusloom.llm import decontam, html, langid, lm, mixing, quality, sharding, simhash, tokens, toxicity
+from corpusloom.llm import decontam, html, langid, lines, lm, mixing, quality, sharding, simhash, tokens, toxicity
 from corpusloom.llm.common import read
 
 
@@ -48,6 +49,11 @@ def op10_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op12_shared_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.dedup_lines(read(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -57,7 +63,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     own = (
         op1_token_counts, op2_mixing, op3_sharding, op4_language, op5_toxicity, op6_near_duplicates, op7_lm_score, op8_quality, op9_main_text,
-        op10_contamination, pipeline,
+        op10_contamination, op12_shared_lines, pipeline,
     )
     return {f.__name__: f for f in own}
 
@@ -71,6 +77,7 @@ def oracle_sql() -> dict[str, str]:
         """,
         "op8_quality": QUALITY_SQL,
         "op10_contamination": CONTAMINATION_SQL,
+        "op12_shared_lines": SHARED_LINES_SQL,
     }
 
 
@@ -132,3 +139,14 @@ SELECT w.id AS doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(COALESCE(n_hit,
        CAST(COALESCE(n_near_items, 0) AS BIGINT) AS n_near_items
 FROM w LEFT JOIN c USING (r) LEFT JOIN s USING (r) LEFT JOIN nn USING (r) WHERE side = 'd'
 """
+
+#: Lines of rows by key; the rows of the largest id keep theirs.
+SHARED_LINES_SQL = r"""
+WITH d AS (SELECT doc_id, COALESCE(text, '') AS text, row_number() OVER () AS r FROM documents),
+l AS (SELECT r, doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS k FROM d),
+m AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+c AS (SELECT key, max(doc_id) AS top FROM (SELECT DISTINCT r, doc_id, key FROM m WHERE length(key) >= 40) GROUP BY key HAVING count(*) >= 5),
+x AS (SELECT m.*, c.key IS NOT NULL AND m.doc_id IS DISTINCT FROM c.top AS dropped FROM m LEFT JOIN c ON m.key = c.key),
+a AS (SELECT r, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped, COALESCE(string_agg(line, chr(10) ORDER BY k) FILTER (WHERE NOT dropped), '') AS kept FROM x GROUP BY r)
+SELECT d.doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_dropped AS BIGINT) AS n_dropped, sha256(kept) AS kept_sha256 FROM d JOIN a USING (r)
+"""
