@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontam, html, langid, lines, lm, mixing, quality, sharding, simhash, tokens, toxicity
+from corpusloom.llm import decontam, html, langid, lines, lm, mixing, phrases, quality, runs, sharding, simhash, tokens, toxicity
 from corpusloom.llm.common import read
 
 
@@ -49,11 +49,21 @@ def op10_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(read(spark, sf_dir, "documents"), plant=True)
+    digests = F.sha2("runs", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256")
+    return found.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", *digests)
+
+
 def op12_shared_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = lines.dedup_lines(read(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -63,7 +73,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     own = (
         op1_token_counts, op2_mixing, op3_sharding, op4_language, op5_toxicity, op6_near_duplicates, op7_lm_score, op8_quality, op9_main_text,
-        op10_contamination, op12_shared_lines, pipeline,
+        op10_contamination, op11_periodic_runs, op12_shared_lines, op13_collocations, pipeline,
     )
     return {f.__name__: f for f in own}
 
@@ -78,6 +88,7 @@ def oracle_sql() -> dict[str, str]:
         "op8_quality": QUALITY_SQL,
         "op10_contamination": CONTAMINATION_SQL,
         "op12_shared_lines": SHARED_LINES_SQL,
+        "op13_collocations": COLLOCATIONS_SQL,
     }
 
 
@@ -150,3 +161,25 @@ x AS (SELECT m.*, c.key IS NOT NULL AND m.doc_id IS DISTINCT FROM c.top AS dropp
 a AS (SELECT r, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped, COALESCE(string_agg(line, chr(10) ORDER BY k) FILTER (WHERE NOT dropped), '') AS kept FROM x GROUP BY r)
 SELECT d.doc_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_dropped AS BIGINT) AS n_dropped, sha256(kept) AS kept_sha256 FROM d JOIN a USING (r)
 """
+
+#: All phrases of one to four words counted, then joined by their parts.
+COLLOCATIONS_SQL = r"""
+WITH d AS (SELECT COALESCE(lang, 'und') AS lang, translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\n\x0B\x0C\r]')) AS piece FROM d),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda x: x <> '') AS w FROM p),
+s AS (SELECT lang, w, unnest(range(len(w))) AS i FROM w),
+g AS (SELECT lang, k, array_to_string(w[i + 1 : i + k], ' ') AS phrase FROM s, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE i + k <= len(w)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY lang, k, phrase),
+n AS (SELECT lang, sum(f) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 30),
+x AS (SELECT lang, k, phrase, a, w, unnest(range(1, k)) AS j FROM c),
+y AS (SELECT x.lang, x.phrase, x.a, j, l.f AS l, r.f AS r, (2000000 * CAST(a AS HUGEINT)) // (CAST(l.f AS HUGEINT) + r.f) AS score
+      FROM x JOIN f AS l ON l.lang = x.lang AND l.phrase = array_to_string(w[1 : j], ' ') JOIN f AS r ON r.lang = x.lang AND r.phrase = array_to_string(w[j + 1 : x.k], ' ')),
+z AS (SELECT * FROM y QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+i AS (SELECT lang, array_to_string(w[b + 1 : b + m], ' ') AS phrase, max(a) AS longer
+      FROM (SELECT lang, w, k, a, m, unnest(range(k - m + 1)) AS b FROM (SELECT lang, w, k, a, unnest(range(2, k)) AS m FROM c WHERE k > 2)) GROUP BY ALL),
+o AS (SELECT z.*, row_number() OVER (PARTITION BY z.lang ORDER BY score DESC, a DESC, z.phrase) AS rank
+      FROM z LEFT JOIN i ON i.lang = z.lang AND i.phrase = z.phrase WHERE longer IS NULL OR 100 * CAST(longer AS HUGEINT) < 80 * CAST(a AS HUGEINT))
+SELECT o.lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM o JOIN n ON n.lang = o.lang WHERE rank <= 2000
+"""
