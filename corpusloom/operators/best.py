@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,14 +48,17 @@ def _merge(best: tuple[np.ndarray, np.ndarray] | None, keys: np.ndarray, scores:
     return np.take_along_axis(both, rank, 0), np.take_along_axis(values, rank, 0)
 
 
-def best_rows(df: DataFrame, questions: DataFrame, key: str, scorer: Callable[[list], Callable[[dict[str, list]], np.ndarray]], k: int | Callable[[list], int], least: float = -np.inf) -> DataFrame:
+def best_rows(
+    df: DataFrame | Callable[[Broadcast], DataFrame], questions: DataFrame, key: str, scorer: Callable[[list], Callable[[dict[str, list]], np.ndarray]], k: int | Callable[[list], int], least: float = -np.inf, kind: T.DataType | None = None
+) -> DataFrame:
     """(q, key, score, rank): the k best rows of ``df`` for each question; ties by key.
 
     ``scorer(block)`` is called in the task and gives a function from the columns of some rows to their scores, one column
     a question; scores not above ``least`` are left out.  Rows without a key are left out, repeated ones count each.
+    ``df`` may be a function of a broadcast block, where the rows depend on what is asked; ``kind`` is then the key's type.
     """
-    spark, out = df.sparkSession, None
-    kind, asked = df.schema[key].dataType, questions.schema["q"].dataType
+    spark, out = questions.sparkSession, None
+    kind, asked = kind or df.schema[key].dataType, questions.schema["q"].dataType
     schema = T.StructType([T.StructField("q", asked), T.StructField(key, kind), T.StructField("score", T.DoubleType())])
     arrow = to_arrow_schema(schema)
     for block in blocks_of(questions):
@@ -74,7 +78,8 @@ def best_rows(df: DataFrame, questions: DataFrame, key: str, scorer: Callable[[l
             names = [rows[i]["q"] for i in n.tolist()]
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((names, keys.tolist(), scores), arrow, strict=True)], schema=arrow)
 
-        part = df.where(F.col(key).isNotNull()).mapInArrow(work, schema)
+        rows = df(handle) if callable(df) else df
+        part = rows.where(F.col(key).isNotNull()).mapInArrow(work, schema)
         out = part if out is None else out.unionAll(part)
     if out is None:
         out = spark.createDataFrame([], schema)

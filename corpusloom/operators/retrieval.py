@@ -13,9 +13,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import hits, or_empty, query_terms, score_text
+from corpusloom.functions.text import computed, hits, or_empty, query_terms, score_text
 from corpusloom.operators import vectors
 from corpusloom.operators.best import KEPT_WORDS, Needles, best_rows
+from corpusloom.operators.case_search import case_search_docs, rank_cases  # noqa: F401
+from corpusloom.operators.needles import Automaton, Weights, containing
 from corpusloom.packs import FLAT_STOPWORDS, LEGAL, Pack
 
 #: Hits of a question, weight of the lexical score, limits of graph retrieval.
@@ -29,14 +31,20 @@ _TOKEN = re.compile(r"[a-z][a-z0-9_]+")
 
 
 def lexical_scores(chunks: DataFrame, questions: DataFrame, stopwords: tuple[str, ...] = FLAT_STOPWORDS) -> DataFrame:
-    """(q, id, lexical): share of a question's terms that occur in a chunk's text, case name or citations.
+    """(q, id, lexical): share of a question's terms that occur in a chunk's text, case name or citations, where any does.
 
-    ``chunks`` has id and haystack; ``questions`` has q and question.  Without terms the share is 0.
+    ``chunks`` has id and haystack; ``questions`` has q and question.  A term that occurs lies inside a word, so terms are
+    looked up in an index of the distinct words, and words lead to chunks.  All other pairs score 0 and are not made: null
+    and empty haystacks, null questions and questions without terms have none.  Rows of one id count as one chunk.
     """
-    asked = questions.select("q", query_terms(F.col("question"), stopwords).alias("terms"))
-    low = chunks.select("id", F.lower("haystack").alias("haystack"))
-    share = F.when(F.size("terms") > 0, hits(F.col("haystack"), F.col("terms")) / F.size("terms")).otherwise(F.lit(0.0))
-    return low.crossJoin(asked).select("q", "id", share.alias("lexical"))
+    terms = computed(questions, "q", terms=query_terms(F.col("question"), stopwords)).where(F.size("terms") > 0)
+    asked = terms.select("q", F.size("terms").alias("size"), F.explode("terms").alias("term")).groupBy("q", "size", "term").agg(F.count(F.lit(1)).alias("times"))
+    runs = F.array_distinct(F.regexp_extract_all(F.lower(or_empty(F.col("haystack"))), F.lit(_RUNS.pattern), 0))
+    words = chunks.select("id", F.explode(runs).alias("word"))
+    known = containing(words.select(F.col("word").alias("text")), asked.select(F.col("term").alias("needle")))
+    held = words.join(known.select(F.col("text").alias("word"), F.col("needle").alias("term")), "word").select("id", "term").distinct()
+    found = held.join(asked, "term").groupBy("q", "id", "size").agg(F.sum("times").alias("found"))
+    return found.select("q", "id", (F.col("found") / F.col("size")).alias("lexical"))
 
 
 def hybrid_topk(chunks: DataFrame, questions: DataFrame, k: int = TOP_K, alpha: float = ALPHA, hashing: str = "md5", stopwords: tuple[str, ...] = FLAT_STOPWORDS) -> DataFrame:
@@ -163,67 +171,6 @@ def _asked(text: Column, weight: float = 1.0) -> Column:
 # --- cases and chunks --------------------------------------------------------------------------------------------
 
 
-def case_search_docs(cases: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(case_id, meta, haystack): lower-case metadata, and with it all of a case's text in order."""
-    texts = chunks.groupBy(F.col("source_id").alias("case_id")).agg(F.array_sort(F.collect_list(F.struct("chunk_index", "chunk_id", "text"))).alias("t"))
-    meta = F.lower(F.concat_ws(" ", "case_id", "case_name", "citations", "court", "decision_date"))
-    joined = cases.join(texts, "case_id", "left")
-    full = F.concat_ws(" ", meta, F.lower(F.array_join(F.transform("t", lambda x: x["text"]), " ")))
-    return joined.select("case_id", meta.alias("meta"), full.alias("haystack"))
-
-
-def rank_cases(prepared: DataFrame, docs: DataFrame, pack: Pack = LEGAL, limit: int | None = None) -> DataFrame:
-    """(q, case_id, score, rank): the best cases of each question (its n_cases, or ``limit``); ties by case_id.
-
-    Without a case that scores, the first case is taken with score 0.
-    """
-
-    def scorer(block: list):
-        size = np.maximum(1, [len(r["terms"]) for r in block])
-        terms = Needles([t for r in block for t in r["terms"]])
-        of_terms = terms.weights([r["terms"] for r in block])
-        parts = {p: k for k, p in enumerate(dict.fromkeys(p for r in block for p in (*r["phrases"], *r["names"])))}
-
-        def columns_of(name: str) -> np.ndarray:
-            out = np.zeros((len(parts), len(block)))
-            for column, r in enumerate(block):
-                for p in r[name]:
-                    out[parts[p], column] += 1.0
-            return out
-
-        phrases, names = columns_of("phrases"), columns_of("names")
-        asks = np.array([float("criminal" in r["terms"] or "appeal" in r["terms"]) for r in block])
-        some = np.array([float(bool(r["terms"])) for r in block])
-        whole = [(column, r["whole"]) for column, r in enumerate(block) if r["whole"]]
-
-        def holds(texts: list[str]) -> np.ndarray:
-            return np.array([[p in t for p in parts] for t in texts], dtype=float).reshape(len(texts), len(parts))
-
-        def score(columns: dict[str, list]) -> np.ndarray:
-            metas, texts = columns["meta"], columns["haystack"]
-            in_meta, in_text = holds(metas), holds(texts)
-            value = 2.0 * (terms.present([_RUNS.findall(m) for m in metas]) @ of_terms + in_meta @ (2.5 * phrases + 8.0 * names))
-            has = np.zeros((len(texts), len(terms.at)))
-            for row, t in enumerate(texts):
-                if found := [terms.at[w] for w in terms.at.keys() & set(_TOKEN.findall(t))]:
-                    has[row, found] = 1.0
-            value += has @ of_terms + 2.5 * (in_text @ phrases) + 8.0 * (in_meta @ names)
-            value += np.outer([1.25 * min(5, sum(m in t for m in pack.case_markers)) for t in texts], asks)
-            for column, question in whole:
-                value[:, column] += [5.0 * (question in t) for t in texts]
-            return value * some / size
-
-        return score
-
-    asked = prepared.select("q", "terms", "phrases", "names", "n_cases", F.lower(F.trim("question")).alias("whole"))
-    best = best_rows(docs.select("case_id", "meta", "haystack"), asked, "case_id", scorer, limit or (lambda block: max(r["n_cases"] for r in block)), 0.0)
-    most = F.lit(limit) if limit else F.col("n_cases")
-    first = docs.agg(F.min("case_id").alias("loom_first"))  # one row
-    rows = prepared.select("q", "n_cases").join(best, "q", "left").crossJoin(F.broadcast(first))
-    rows = rows.select("q", F.coalesce("case_id", "loom_first").alias("case_id"), F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("rank", F.lit(1)).alias("rank"), most.alias("most"))
-    return rows.where("rank <= most and case_id is not null").select("q", "case_id", "score", "rank")
-
-
 def select_chunks(prepared: DataFrame, ranked: DataFrame, chunks: DataFrame) -> DataFrame:
     """(q, case_id, case_rank, chunk_id, chunk_index, token_count, text, score, place) of the chosen chunks of ranked cases.
 
@@ -264,9 +211,11 @@ def case_context(case_ids: DataFrame, chunks: DataFrame, cites: DataFrame, citat
 def entity_context(keywords: DataFrame, entities: DataFrame, related: DataFrame, mentions: DataFrame, e: int = 5, c: int = 8) -> DataFrame:
     """(keyword, role, id): entities whose name contains a keyword, those they relate to, and chunks that mention either.
 
-    At most ``e`` entities and ``e`` related ones, and ``c`` chunks for each of the two, by id.
+    At most ``e`` entities and ``e`` related ones, and ``c`` chunks for each of the two, by id.  Case counts.  Names are
+    found through an index of their grams.  Null names and keywords match nothing; the empty keyword matches every name.
     """
-    found = entities.select("entity_id", "name").crossJoin(keywords.select("keyword")).where(F.contains("name", F.col("keyword")))
+    known = containing(entities.select(F.col("name").alias("text")), keywords.select(F.col("keyword").alias("needle")))
+    found = entities.select("entity_id", "name").join(known.select(F.col("text").alias("name"), F.col("needle").alias("keyword")), "name")
     seed = top(found, ["keyword"], [F.col("entity_id")], e).select("keyword", F.col("entity_id").alias("id"))
     near = related.join(seed, related["from_entity_id"] == seed["id"]).select("keyword", F.col("to_entity_id").alias("id")).distinct()
     near = top(near, ["keyword"], [F.col("id")], e).select("keyword", "id")
@@ -284,12 +233,33 @@ def entity_context(keywords: DataFrame, entities: DataFrame, related: DataFrame,
 
 
 def seed_entities(prepared: DataFrame, entities: DataFrame, k: int = SEEDS) -> DataFrame:
-    """(q, entity_id, name, type, score, seed_rank): entities of a question; ties by entity_id."""
-    hundredths = 100 * _asked(F.col("name"), 2.0) * F.when(F.col("type").isin("CASE", "LAW", "CONCEPT"), 1.25).otherwise(1.0)
-    total = F.round(hundredths + 2 * F.least(F.when(F.coalesce("frequency", F.lit(0)) == 0, 1).otherwise(F.col("frequency")), F.lit(20)), 4)
-    scored = entities.crossJoin(prepared).select("q", "entity_id", "name", "type", total.alias("s")).where("s > 10")
-    best = top(scored, ["q"], [F.desc("s"), F.col("entity_id")], k, "seed_rank")
-    return best.select("q", "entity_id", "name", "type", (F.col("s") / 100).alias("score"), "seed_rank")
+    """(q, entity_id, name, type, score, seed_rank): entities of a question; ties by entity_id.
+
+    One automaton for all terms, phrases and names of a block of questions reads each entity's name once; tasks keep k
+    entities a question.  A null name matches nothing, a null or zero frequency counts as 1, null ids are left out; frequent
+    entities come also where nothing matches.
+    """
+
+    def scorer(block: list):
+        needles = Automaton(n for r in block for n in (*r["terms"], *r["phrases"], *r["names"]))
+        worth = (("terms", 1.0), ("phrases", 2.5), ("names", 8.0))
+        weights = Weights(len(needles.at), len(block), [(needles.at[n], column, w) for column, r in enumerate(block) for of, w in worth for n in r[of]])
+
+        def score(columns: dict[str, list]) -> np.ndarray:
+            found = [needles.found(t) for t in columns["low"]]
+            text = np.repeat(np.arange(len(found)), [len(f) for f in found])
+            hundredths = weights.sums(len(found), text, np.array([n for f in found for n in f], dtype=np.int64)) * 200.0
+            return np.round(hundredths * np.array(columns["factor"])[:, None] + np.array(columns["base"])[:, None], 4)
+
+        return score
+
+    frequency = F.coalesce("frequency", F.lit(0))
+    base = 2.0 * F.least(F.when(frequency == 0, 1).otherwise(frequency), F.lit(20))
+    factor = F.when(F.col("type").isin("CASE", "LAW", "CONCEPT"), 1.25).otherwise(1.0)
+    rows = entities.select("entity_id", F.lower(or_empty(F.col("name"))).alias("low"), factor.alias("factor"), base.alias("base"))
+    best = best_rows(rows, prepared.select("q", "terms", "phrases", "names"), "entity_id", scorer, k, 10.0)
+    told = entities.select("entity_id", "name", "type").join(best, "entity_id")
+    return told.select("q", "entity_id", "name", "type", (F.col("score") / 100).alias("score"), F.col("rank").alias("seed_rank"))
 
 
 def _finish(paths: DataFrame, prepared: DataFrame, chunks: DataFrame, cases: DataFrame, penalty: float) -> DataFrame:

@@ -259,8 +259,11 @@ def built_index(spark, d):
 
 @_query
 def lexical_scores(spark, d):
-    s = retrieval.lexical_scores(_hay(_chunks(spark, d)), _questions(spark, d))
-    return s.groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.round("lexical", 9)), 5).alias("total"), F.round(F.max("lexical"), 6).alias("best"))
+    """Of all pairs of a question with a chunk: their number, and the sum and the best of their scores."""
+    chunks, asked = _chunks(spark, d), _questions(spark, d)
+    s = retrieval.lexical_scores(_hay(chunks), asked).groupBy("q").agg(F.sum(F.round("lexical", 9)).alias("total"), F.max("lexical").alias("best"))
+    each = chunks.agg(F.count(F.lit(1))).scalar()  # pairs that score 0 add nothing but their number
+    return asked.join(s, "q", "left").select("q", each.alias("n"), F.round(F.coalesce("total", F.lit(0.0)), 5).alias("total"), F.round(F.coalesce("best", F.lit(0.0)), 6).alias("best"))
 
 
 @_query

@@ -27,6 +27,14 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="loom-")
 
 
+def saved(df: DataFrame) -> DataFrame:
+    """The rows, computed once and kept in the shared folder."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint(eager=True)
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str, text: str | None = "text", limit: int | None = None, order: str | None = None) -> DataFrame:
     """Rows of JSON lines under a schema; blank lines and rows with an empty ``text`` are dropped.
 
