@@ -26,30 +26,21 @@ from corpusloom.llm.common import map_tasks, saved
 #: phrase, scale of the score, phrases of a language.
 LEAST, MOST_WORDS, INSIDE, SCALE, BEST = 30, 4, 80, 2_000_000, 2_000
 #: Bytes of text in the sample, whatever the input; the share of the expected count that proposes a phrase.
-SAMPLE_BYTES, LOWERED = 32 << 20, 0.5
-#: Words that a task counts before it sends the counts.
-CHUNK = 2_000_000
+SAMPLE_BYTES, LOWERED = 16 << 20, 0.5
+#: Words that a task counts before it sends the counts, and counts of a batch.
+CHUNK, SENT = 1_500_000, 50_000
 #: A-Z to a-z, marks and line ends that end a piece to one of them.
-_PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9)
+_PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" ")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def pieces(text: str | None) -> list[list[bytes]]:
-    """The words of each piece of a text."""
-    return [p.split() for p in (text or "").encode().translate(_PLAIN).split(b"\n")]
-
-
 def _word_hash(lang: str, word: bytes) -> int:
     return xxhash.xxh64_intdigest(word, zlib.crc32(lang.encode()))
 
 
-def _phrase_hashes(words: list[np.ndarray]) -> np.ndarray:
-    """Hashes of phrases from those of their first words, of their second ones, and so on."""
-    h = words[0].copy()
-    for w in words[1:]:
-        h = h * _STEP + w
-    h ^= h >> np.uint64(32)
-    return h * np.uint64(0xD6E8FEB86659FD93)
+def _mixed(rolled: np.ndarray) -> np.ndarray:
+    """Hashes of phrases from the sums over their words."""
+    return (rolled ^ rolled >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
 
 
 class _Chunk:
@@ -62,14 +53,12 @@ class _Chunk:
         self.size = 0
 
     def add(self, lang: str, text: str | None) -> None:
-        if lang not in self.known:
-            self.known[lang] = defaultdict(self.number.__next__)
-        at = self.known[lang].__getitem__
-        for piece in pieces(text):
-            if piece:
-                self.parts.append(np.fromiter(map(at, piece), np.int64, len(piece)))
-                self.parts.append(np.zeros(1, np.int64))
-                self.size += len(piece)
+        if (known := self.known.get(lang)) is None:
+            known = self.known[lang] = defaultdict(self.number.__next__, {b"\n": 0, b"": -1})
+        words = (text or "").encode().translate(_PLAIN).replace(b"\n", b" \n ").split(b" ")
+        ids = np.fromiter(map(known.__getitem__, words), np.int32, len(words))
+        self.parts += [ids[ids >= 0], np.zeros(1, np.int32)]
+        self.size += len(words)
 
     def counted(self, now: bloom.Filter, earlier: list[bloom.Filter], most: int) -> Iterator[tuple[list, ...]]:
         """(lang, words, phrase, n, held): what the filter wants counted and no earlier one had counted.
@@ -80,38 +69,41 @@ class _Chunk:
         langs, names, hashes = [""] * total, [b""] * total, np.zeros(total, np.uint64)
         for lang, words in self.known.items():
             for w, k in words.items():
-                langs[k], names[k] = lang, w
-            hashes[list(words.values())] = [_word_hash(lang, w) for w in words]
-        cur = ids  # at each place the number of the phrase that begins there, where ``valid``
-        valid, first = ids > 0, np.zeros(total, np.int64)
-        first[ids[::-1]] = np.arange(len(ids))[::-1]
-        n, own = np.bincount(ids, minlength=total), [np.ones(total, bool) for _ in (now, *earlier)]
-        n[0] = 0
+                if k > 0:
+                    langs[k], names[k], hashes[k] = lang, w, _word_hash(lang, w)
+        filters, rolled = (now, *earlier), hashes[ids]
+        wanted = [ids > 0 for _ in filters]  # at each place, whether each filter has the phrase counted that begins there
         for k in range(1, most + 1):
-            h = _phrase_hashes([hashes[ids[first + j]] for j in range(k)])
-            held = [e & f.holds(h) for e, f in zip(own, (now, *earlier), strict=True)]
-            once = n > 0 if k > 1 or not earlier else np.zeros(len(n), bool)
-            for counted in own[1:] if k > 1 else ():
-                once &= ~counted
-            new = np.flatnonzero(once)
-            starts = first[new]
-            columns = [ids[starts + j].tolist() for j in range(k)]
-            told = [b" ".join(p).decode() for p in zip(*[[names[x] for x in c] for c in columns])]
-            yield [langs[x] for x in columns[0]], [k] * len(told), told, n[new].tolist(), held[0][new].tolist()
-            if k == most:
+            new = wanted[0].copy()
+            for w in wanted[1:]:
+                new &= ~w
+            if k > 1 or not earlier:
+                yield from self._told(ids, np.flatnonzero(new), k, total, langs, names, now, rolled)
+            if k == most or not wanted[0].any():
                 return
-            both = valid[:-1] & valid[1:]
-            both[both] = held[0][cur[:-1][both]] & held[0][cur[1:][both]]
-            at = np.flatnonzero(both)
-            if not len(at):
-                return
-            a, b = cur[at], cur[at + 1]
-            _, inverse, n = np.unique(a * (int(cur.max()) + 1) + b, return_inverse=True, return_counts=True)
-            first = np.empty(len(n), np.int64)
-            first[inverse[::-1]] = at[::-1]
-            own = [m[cur[first]] & m[cur[first + 1]] for m in held]
-            cur, valid = np.zeros(len(ids), np.int64), np.zeros(len(ids), bool)
-            cur[at], valid[at] = inverse, True
+            for j, f in enumerate(filters):
+                at = np.flatnonzero(wanted[j])
+                held = np.zeros(len(ids), bool)
+                held[at] = f.holds(_mixed(rolled[at]))
+                wanted[j] = np.r_[held[:-1] & held[1:], False]
+            rolled = np.r_[rolled[:-k] * _STEP + hashes[ids[k:]], np.zeros(min(k, len(ids)), np.uint64)]
+
+    def _told(self, ids: np.ndarray, at: np.ndarray, k: int, total: int, langs: list[str], names: list[bytes], now: bloom.Filter, rolled: np.ndarray) -> Iterator[tuple[list, ...]]:
+        """The distinct phrases of k words at some places, with their counts."""
+        key, most = ids[at].astype(np.int64), total
+        for j in range(1, k):
+            if most * total >= 1 << 62:
+                _, key = np.unique(key, return_inverse=True)
+                most = len(at)
+            key, most = key * total + ids[at + j], most * total
+        order = np.argsort(key)
+        edges = np.flatnonzero(np.diff(key[order], prepend=-1))
+        n, first = np.diff(edges, append=len(order)), at[order[edges]]
+        for lo in range(0, len(first), SENT):
+            some = first[lo : lo + SENT]
+            columns = [ids[some + j].tolist() for j in range(k)]
+            told = [b" ".join(p).decode() for p in zip(*[[names[x] for x in c] for c in columns])]
+            yield [langs[x] for x in columns[0]], [k] * len(told), told, n[lo : lo + SENT].tolist(), now.holds(_mixed(rolled[some])).tolist()
 
 
 def _counts(docs: DataFrame, now: bloom.Filter, earlier: list[bloom.Filter], most: int) -> DataFrame:
@@ -123,13 +115,13 @@ def _counts(docs: DataFrame, now: bloom.Filter, earlier: list[bloom.Filter], mos
         chunk = _Chunk()
 
         def sent() -> Iterator[tuple[list, ...]]:
+            totals: dict[str, int] = defaultdict(int)
             for columns in chunk.counted(now, earlier, most):
                 yield columns
-                if not earlier and columns[1][:1] == [1]:
-                    totals: dict[str, int] = defaultdict(int)
+                if columns[1][0] == 1:
                     for lang, n in zip(columns[0], columns[3], strict=True):
                         totals[lang] += n
-                    yield list(totals), [0] * len(totals), [""] * len(totals), list(totals.values()), [True] * len(totals)
+            yield list(totals), [0] * len(totals), [""] * len(totals), list(totals.values()), [True] * len(totals)
 
         for langs, texts in batches:
             for lang, text in zip(langs, texts, strict=True):
@@ -137,7 +129,7 @@ def _counts(docs: DataFrame, now: bloom.Filter, earlier: list[bloom.Filter], mos
                 if chunk.size >= CHUNK:
                     yield from sent()
                     chunk = _Chunk()
-        if chunk.size:
+        if chunk.parts:
             yield from sent()
 
     parts = map_tasks(docs.select("lang", "text"), rows, "lang string, words int, phrase string, n long, held boolean")
@@ -154,8 +146,11 @@ def _filter(phrases: DataFrame) -> bloom.Filter:
             words = phrase.encode().split(b" ")
             by_size[len(words)].append((row, [_word_hash(lang, w) for w in words]))
         for held in by_size.values():
-            words = np.array([w for _, w in held], np.uint64)
-            out[[row for row, _ in held]] = _phrase_hashes(list(words.T))
+            words = np.array([w for _, w in held], np.uint64).T
+            rolled = words[0]
+            for w in words[1:]:
+                rolled = rolled * _STEP + w
+            out[[row for row, _ in held]] = _mixed(rolled)
         return out
 
     return bloom.build(phrases.select("lang", "phrase"), hashes, bloom.blocks_for(phrases.count()), False)
