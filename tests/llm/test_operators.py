@@ -482,7 +482,7 @@ def scalar_bits(tokens, head):
                 weight[k, gate] = w[k] + lm.WEIGHT_RATE * err * x[k]
             return p
 
-        node, fresh = 1, float(head.word[lead, word])
+        node, fresh = 1, 0.0 if word == head.size and token in tokens[:at] else float(head.word[lead, word])
         for k in range(lm.CLASS_BITS):
             bit = int(head.cls[word]) >> (lm.CLASS_BITS - 1 - k) & 1
             p = code(1 + k, float(head.prior[lead, node]), [(before[0] >> 4) + node, (before[1] >> 3) + node], bit)
@@ -553,6 +553,25 @@ def test_scores_equal_a_scalar_coder(spark, docs, monkeypatch):
         assert abs(rows[k]["score"] + bits * math.log10(2)) <= 1e-3 * bits, k
 
 
+@pytest.mark.parametrize("others", [0, 1, 20, 300])
+def test_chances_of_the_next_token_sum_to_at_most_one(others):
+    """Over the head, the words beyond it that the text has, and all that it has not, whose shares add up to one."""
+    words = [("", 40)] + [(f"w{k}", 30 - k) for k in range(20)]
+    head = lm.Head(words, sum(n for _, n in words) + 500, 400, 100)
+    rng = random.Random(others)
+    by_leader = np.array([[rng.randrange(9) for _ in range(head.size + 1)] for _ in range(lm.ANCHORS + 1)], dtype=float)
+    head.learn_leaders(by_leader)
+    text = [head.size + k for k in range(others)] + [rng.randrange(head.size) for _ in range(min(others, 40))]
+    text += text[:7]
+    prefix = float(lm.code_texts(np.array(text), np.array([len(text)]), head)[0]) if text else 0.0
+    seen = sorted({t for t in text if t >= head.size})
+    total = 0.0
+    for token in [*range(head.size), *seen, head.size + others]:  # the last one stands for every new word
+        whole = [*text, token]
+        total += 2.0 ** (prefix - float(lm.code_texts(np.array(whole), np.array([len(whole)]), head)[0]))
+    assert 0.9 < total <= 1.0 + 1e-3, total
+
+
 def test_spelling_sums_to_at_most_one():
     """All words of up to two letters of a small alphabet, spelled with a table learned from some of them."""
     import numpy as np
