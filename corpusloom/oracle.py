@@ -234,6 +234,9 @@ COALESCE(string_agg(e, ';' ORDER BY n) FILTER (WHERE e IS NOT NULL), '') AS enti
             UNION ALL SELECT 'community_reports', count(DISTINCT type) + {len(PROSE.topics)} FROM en""",
         "hashed_embedding": f"WITH {_CHUNKS}, {_embedding('ce', 'id', 'ch', 'text')} SELECT k AS id, count(*) AS n_dims, CAST(sum(w) AS BIGINT) AS sum_w, CAST(sum(idx * w) AS BIGINT) AS check_sum, round(max(norm), 6) AS norm FROM ce GROUP BY k",
         "lexical_scores": f"WITH {_CHUNKS}, {_QUESTIONS}, {_LEXICAL} SELECT q, count(*) AS n, round(sum(round(lexical, 9)), 5) AS total, round(max(lexical), 6) AS best FROM lx GROUP BY q",
+        "sparse_scores": f"WITH {_HYBRID} SELECT q, count(*) AS n, round(sum(round(dense, 9)), 5) AS total, round(max(dense), 6) AS best FROM dn GROUP BY q",
+        "sparse_topk": f"""WITH {_HYBRID}, sr AS (SELECT q, id, round(dense, 9) AS score FROM dn),
+st AS (SELECT q, id, score, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS INT) AS rank FROM sr WHERE score > 0) SELECT q, rank, id, round(score, 6) AS score FROM st WHERE rank <= 8""",
         "hybrid_topk": f"WITH {_HYBRID} SELECT q, rank, id, round(score, 6) AS score FROM tk WHERE rank <= 8",
         "prompts": f"""WITH {_HYBRID} SELECT q, 'Context:' || chr(10) || string_agg('[Chunk ' || rank || ' | score=' || printf('%.4f', score) || ' | case=' || source || ' | citations=' || lang || ', ' || source || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY rank)
             || chr(10) || chr(10) || 'Question: ' || question AS prompt FROM tk JOIN ch USING (id) JOIN qs USING (q) WHERE rank <= 8 GROUP BY q, question""",

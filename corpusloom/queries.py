@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
-from corpusloom.operators import chunking, context, evaluate, graph, ingest, retrieval, vectors
+from corpusloom.operators import chunking, context, evaluate, graph, ingest, postings, retrieval, vectors
 from corpusloom.packs import FLAT_STOPWORDS, PROSE
 from corpusloom.plans.graph_context import graph_context as graph_context_plan
 from corpusloom.sources import io
@@ -272,6 +272,27 @@ def hybrid_topk(spark, d):
     return hits.select("q", "rank", "id", F.round("score", 6).alias("score"))
 
 
+def _sparse(spark, d):
+    return vectors.hashed_embedding(_chunks(spark, d), "id", "text"), vectors.hashed_embedding(_questions(spark, d), "q", "question")
+
+
+@_query
+def sparse_scores(spark, d):
+    """Of the chunks that share a dimension with a question: their number, and the sum and the best of their scores."""
+    s = vectors.sparse_scores(*_sparse(spark, d))
+    return s.groupBy("q").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.round("score", 9)), 5).alias("total"), F.round(F.max("score"), 6).alias("best"))
+
+
+@_query
+def sparse_topk(spark, d):
+    """The best chunks by sparse cosine, from stored postings."""
+    path, (index, asked) = _folder(spark, "postings"), _sparse(spark, d)
+    index.write.parquet(f"{path}/index")
+    index = spark.read.parquet(f"{path}/index")
+    postings.write_postings(index, f"{path}/blocks")
+    return postings.sparse_topk(spark.read.parquet(f"{path}/blocks"), index, asked, 8).select("q", "rank", "id", F.round("score", 6).alias("score"))
+
+
 @_query
 def prompts(spark, d):
     chunks, asked = _chunks(spark, d), _questions(spark, d)
