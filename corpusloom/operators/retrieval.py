@@ -277,9 +277,15 @@ def _finish(paths: DataFrame, prepared: DataFrame, chunks: DataFrame, cases: Dat
 
 
 def direct_paths(prepared: DataFrame, seeds: DataFrame, mentions: DataFrame, chunks: DataFrame, cases: DataFrame) -> DataFrame:
-    """Paths seed -> chunk -> case over the first mentions of each seed."""
+    """Paths seed -> chunk -> case over the first mentions of each seed; null ids lead nowhere.
+
+    ``mentions`` may be the stored first ones (:mod:`corpusloom.operators.adjacency`), which are not dealt out again.
+    """
     at = mentions.join(seeds, "entity_id")
-    at = top(at, ["q", "entity_id"], [F.col("chunk_id")], DIRECT, "mention_rank")
+    if "mention_rank" in mentions.columns:
+        at = at.where(F.col("mention_rank") <= DIRECT)
+    else:
+        at = top(at, ["q", "entity_id"], [F.col("chunk_id")], DIRECT, "mention_rank")
     paths = at.select("q", "seed_rank", F.lit(0).alias("kind"), F.lit(0).alias("edge_rank"), "mention_rank", F.col("name").alias("path"), F.greatest(F.lit(1), "weight").cast("long").alias("flow"), "chunk_id")
     return _finish(paths, prepared, chunks, cases, HOP**2)
 
@@ -287,17 +293,29 @@ def direct_paths(prepared: DataFrame, seeds: DataFrame, mentions: DataFrame, chu
 def related_paths(prepared: DataFrame, seeds: DataFrame, related: DataFrame, entities: DataFrame, mentions: DataFrame, chunks: DataFrame, cases: DataFrame, edge_order: str = "file") -> DataFrame:
     """Paths seed -> related entity -> chunk -> case; edges are read both ways, the first ones of each seed.
 
-    Edges come by (from, to), or with ``edge_order='weight'`` by weight.
+    Edges come by (from, to), or with ``edge_order='weight'`` by weight.  ``related`` and ``mentions`` may be the stored
+    first ones (:mod:`corpusloom.operators.adjacency`), whose edges come in the order in which they were stored.
     """
     ends = seeds.select("q", "seed_rank", "entity_id", F.col("name").alias("seed_name"))
-    out = related.join(ends, related["from_entity_id"] == F.col("entity_id")).withColumn("other", F.col("to_entity_id"))
-    back = related.join(ends, related["to_entity_id"] == F.col("entity_id")).withColumn("other", F.col("from_entity_id"))
-    order = [F.col("from_entity_id"), F.col("to_entity_id")]
-    edges = top(out.unionByName(back), ["q", "entity_id"], [F.desc("weight"), *order] if edge_order == "weight" else order, EDGES, "edge_rank")
+    if "edge_rank" in related.columns:
+        edges = related.join(ends, "entity_id").where(F.col("edge_rank") <= EDGES)
+    else:
+        edges = _edges_at(ends, related, edge_order)
     edges = edges.select("q", "seed_rank", "seed_name", "edge_rank", "other", F.col("weight").alias("edge_weight"))
-    held = mentions.join(edges, mentions["entity_id"] == F.col("other"))
-    held = top(held, ["q", "seed_rank", "edge_rank"], [F.col("chunk_id")], PER_EDGE, "mention_rank")
+    if "mention_rank" in mentions.columns:
+        held = mentions.where(F.col("mention_rank") <= PER_EDGE).join(edges.withColumnRenamed("other", "entity_id"), "entity_id").withColumn("other", F.col("entity_id"))
+    else:
+        held = mentions.join(edges, mentions["entity_id"] == F.col("other"))
+        held = top(held, ["q", "seed_rank", "edge_rank"], [F.col("chunk_id")], PER_EDGE, "mention_rank")
     held = held.join(entities.select(F.col("entity_id").alias("other"), F.col("name").alias("other_name")), "other")
     flow = F.greatest(F.lit(1), F.least("edge_weight", "weight")).cast("long")
     paths = held.select("q", "seed_rank", F.lit(1).alias("kind"), "edge_rank", "mention_rank", F.concat("seed_name", F.lit(" -> "), "other_name").alias("path"), flow.alias("flow"), "chunk_id")
     return _finish(paths, prepared, chunks, cases, HOP**3)
+
+
+def _edges_at(ends: DataFrame, related: DataFrame, edge_order: str) -> DataFrame:
+    """The first edges of each seed, with the entity at the other end."""
+    out = related.join(ends, related["from_entity_id"] == F.col("entity_id")).withColumn("other", F.col("to_entity_id"))
+    back = related.join(ends, related["to_entity_id"] == F.col("entity_id")).withColumn("other", F.col("from_entity_id"))
+    order = [F.col("from_entity_id"), F.col("to_entity_id")]
+    return top(out.unionByName(back), ["q", "entity_id"], [F.desc("weight"), *order] if edge_order == "weight" else order, EDGES, "edge_rank")

@@ -195,7 +195,13 @@ COALESCE(string_agg(e, ';' ORDER BY n) FILTER (WHERE e IS NOT NULL), '') AS enti
     packed = lambda greedy, gk, gl, gf: greedy.replace("gk AS", f"{gk} AS").replace("gl AS", f"{gl} AS").replace("gf AS", f"{gf} AS").replace("FROM gl)", f"FROM {gl})").replace("FROM gf)", f"FROM {gf})")
     lengths = lambda name, table, columns: f"SELECT '{name}' AS table_name, count(*) AS n_rows, CAST(sum({' + '.join(f'length({c})' for c in columns)}) AS BIGINT) AS n_chars FROM {table}"
     court = f"trim(split_part(regexp_replace(regexp_extract(st, '{PROSE.court}'), '{PROSE.months}', chr(1)), chr(1), 1), ' .')"
-    return {
+    digest = lambda name, table, columns: f"SELECT '{name}' AS table_name, count(*) AS n_rows, CAST(COALESCE(sum(CAST(('0x' || substr(md5(concat_ws('|', {', '.join(columns)})), 1, 8)) AS BIGINT)), 0) AS BIGINT) AS digest FROM {table}"
+    digests = f"""WITH {_ENTITIES}, {_CITED}, {_CASES}, {type_rows}, {topic_ctes},
+            nx AS (SELECT * FROM (SELECT id AS a, lead(id) OVER (PARTITION BY source_id ORDER BY chunk_index) AS b FROM ch) WHERE b IS NOT NULL), cl AS (SELECT DISTINCT citation_id, citation_text FROM cx), ce2 AS (SELECT DISTINCT case_id, citation_id FROM cx),
+            cr AS ({type_sql} UNION ALL {topic_sql}), cz AS (SELECT case_id, case_name, citations, {court} AS court, decision_date FROM ck), {_VERTICES}
+            {' UNION ALL '.join(digest(*x) for x in [("legal_cases", "cz", ["case_id", "case_name", "citations", "court", "decision_date"]), ("chunks", "cv", ["chunk_id", "source_id", "chunk_index", "token_count", "text"]), ("citations", "cl", ["citation_id", "citation_text"]), ("has_chunk", "ch", ["source_id", "id"]), ("next_chunk", "nx", ["a", "b"]), ("cites", "ce2", ["case_id", "citation_id"]), ("entities", "en", ["entity_id", "name", "type", "frequency"]), ("mentions", "me", ["chunk_id", "entity_id", "weight"]), ("related_to", "re", ["from_entity_id", "to_entity_id", "relation_type", "weight"]), ("community_reports", "cr", ["community_id", "level", "summary", "entity_ids"])])}"""
+    own = {
+        "graph_digests": digests, "graph_by_loads": digests, "graph_by_stream": digests,
         "clean_text_fast": f"SELECT page_id, {_collapse('''CASE WHEN contains(h, '<') AND contains(h, '>') THEN regexp_replace(h, '<[^>]*>', ' ', 'g') ELSE h END''')} AS text FROM (SELECT page_id, COALESCE(html, '') AS h FROM pages)",
         "token_counts_by_mode": f"SELECT doc_id, len({_words('t')}) AS n_ws, greatest(1, len(regexp_extract_all(t, '{marks}'))) AS n_words_and_marks FROM (SELECT doc_id, COALESCE(text, '') AS t FROM documents)",
         "choose_text_field": f"SELECT doc_id, 'r.body.text' AS path, length({_collapse('text')}) AS n_chars FROM documents WHERE length({_collapse('text')}) >= 500",
@@ -314,3 +320,4 @@ st AS (SELECT q, id, score, CAST(row_number() OVER (PARTITION BY q ORDER BY scor
         "missing_questions": "SELECT doc_id AS id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)",
         "replace_rows": "SELECT doc_id AS question_id, CAST(CASE WHEN doc_id % 3 = 0 THEN 9 ELSE quality END AS INT) AS v FROM labels",
     }
+    return own | {"stored_direct_paths": own["direct_paths"], "stored_related_paths": own["related_paths"]}

@@ -13,11 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
-from corpusloom.operators import chunking, context, evaluate, graph, ingest, postings, retrieval, vectors
+from corpusloom.operators import adjacency, chunking, context, evaluate, graph, ingest, loads, postings, retrieval, vectors
 from corpusloom.packs import FLAT_STOPWORDS, PROSE
 from corpusloom.plans.graph_context import graph_context as graph_context_plan
 from corpusloom.sources import io
 from corpusloom.streaming.ingest import stream_chunks as stream_chunks_job
+from corpusloom.streaming.ingest import stream_graph as stream_graph_job
 
 _QUERIES: dict = {}
 
@@ -161,6 +162,45 @@ def graph_round_trip(spark, d):
     return out
 
 
+def _digests(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table_name, n_rows, digest): rows of each table, and a sum over all of their values."""
+    out = None
+    for name, df in tables.items():
+        row = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in df.columns]).cast("binary"))
+        one = df.agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(F.conv(F.substring(row, 1, 8), 16, 10).cast("long")), F.lit(0)).alias("digest"))
+        one = one.select(F.lit(name).alias("table_name"), "n_rows", "digest")
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
+@_query
+def graph_digests(spark, d):
+    """The graph's tables written pipe-separated and read again: rows and all their values."""
+    path = _folder(spark, "graph")
+    io.write_graph(_graph(spark, d), path, "psv")
+    return _digests(io.read_graph(spark, path, "psv"))
+
+
+@_query
+def graph_by_loads(spark, d):
+    """The graph of two overlapping loads, each of them run twice."""
+    path, docs = _folder(spark, "loads"), _opinions(spark, d)
+    parts = [chunking.chunk_corpus(docs.where(f"record_index % 3 <> {n}")) for n in (0, 1)]
+    for load in (0, 1, 0, 1):
+        loads.load_graph(parts[load], path, load, PROSE)
+    return _digests(loads.read_loads(spark, path, PROSE))
+
+
+@_query
+def graph_by_stream(spark, d):
+    """The graph of a stream over files, one a batch."""
+    folder = _folder(spark, "graph-stream")
+    meta = "metadata struct<case_name: string, citations: array<string>>"
+    _opinions(spark, d).select("id", "text", "metadata").repartition(3, "id").write.json(f"{folder}/in")
+    stream_graph_job(spark, f"{folder}/in", f"{folder}/graph", f"{folder}/state", PROSE, f"id string, text string, {meta}", files=1).awaitTermination()
+    return _digests(loads.read_loads(spark, f"{folder}/graph", PROSE))
+
+
 # --- chunks and graph --------------------------------------------------------------------------------------------
 
 
@@ -387,6 +427,27 @@ def related_paths(spark, d):
     return _paths(spark, d)[1].select("q", "seed_rank", "edge_rank", "mention_rank", "chunk_id", "path", "flow", F.round("score", 4).alias("score"))
 
 
+def _stored(spark, d):
+    """The graph with its first mentions and edges as stored by entity."""
+    g, asked, name = _graph(spark, d), _prepared(spark, d), f"loom_{uuid.uuid4().hex}"
+    adjacency.write_adjacency(g["mentions"], g["related_to"], name, _folder(spark, "adjacency"))
+    return g, asked, retrieval.seed_entities(asked, g["entities"]), *adjacency.read_adjacency(spark, name)
+
+
+@_query
+def stored_direct_paths(spark, d):
+    g, asked, seeds, mentions, _ = _stored(spark, d)
+    paths = retrieval.direct_paths(asked, seeds, mentions, g["chunks"], g["legal_cases"])
+    return paths.select("q", "seed_rank", "mention_rank", "chunk_id", "path", "flow", F.round("score", 4).alias("score"))
+
+
+@_query
+def stored_related_paths(spark, d):
+    g, asked, seeds, mentions, edges = _stored(spark, d)
+    paths = retrieval.related_paths(asked, seeds, edges, g["entities"], mentions, g["chunks"], g["legal_cases"])
+    return paths.select("q", "seed_rank", "edge_rank", "mention_rank", "chunk_id", "path", "flow", F.round("score", 4).alias("score"))
+
+
 @_query
 def prune_paths(spark, d):
     near, far = _paths(spark, d)
