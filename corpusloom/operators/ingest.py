@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,23 +12,28 @@ BONUS, LEAST_CHARS, LIST_ITEMS = 50_000, 500, 20
 METADATA_KEYS = ("id", "name", "case_name", "court", "court_id", "date_filed", "decision_date", "citation", "citations", "docket_number")
 #: Fixed value: tokens that a corpus should have.
 WANTED_TOKENS = 2_000_000
+#: Ranges that tell how far to read; rows that one task numbers at most to cut a sample off.
+RANGES, NUMBERED = 1024, 50_000
 
-_FIELD = "struct<path:string,value:string>"
-
+#: Levels of a variant that are looked into.
+DEPTH = 16
 
-def _walk(value: object, path: str) -> Iterator[tuple[str, str]]:
-    if isinstance(value, str):
-        yield path, value
-    elif isinstance(value, dict | list):
-        items = value.items() if isinstance(value, dict) else enumerate(value[:LIST_ITEMS])
-        for k, v in items:
-            yield from _walk(v, f"{path}.{k}" if path else str(k))
+_FIELD = "struct<path:string,value:string>"
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("path", T.StringType()), T.StructField("value", T.StringType())])))
-def json_fields(values: pd.Series, paths: pd.Series) -> pd.Series:
-    """(path, value) of the strings in JSON of any shape, below a path; none for null."""
-    return pd.Series([[{"path": p, "value": x} for p, x in _walk(json.loads(v), path)] if v is not None else [] for v, path in zip(values, paths, strict=True)])
+def _variant_fields(v: Column, path: Column, depth: int = 0) -> Column:
+    """Strings of a value of any shape: of each member of an object, by key, or of a list's first items."""
+    items = F.slice(F.try_variant_get(v, "$", "array<variant>"), 1, LIST_ITEMS)
+    entry = lambda x, i: F.struct(i.cast("string").alias("key"), x.alias("value"))
+    members = F.coalesce(F.map_entries(F.try_variant_get(v, "$", "map<string,variant>")), F.transform(items, entry))
+    one = F.when(F.schema_of_variant(v) == "STRING", F.array(F.struct(path.alias("path"), F.try_variant_get(v, "$", "string").alias("value"))))
+    none = F.array().cast(f"array<{_FIELD}>")
+    if depth == DEPTH:
+        deeper = F.raise_error(F.lit(f"a record is nested deeper than {DEPTH} levels"))
+        return F.coalesce(F.when(F.size(members) > 0, deeper.cast(f"array<{_FIELD}>")), one, none)
+    below = lambda e: F.when(path == "", e["key"]).otherwise(F.concat(path, F.lit("."), e["key"]))
+    held = F.transform(members, lambda e: F.struct(below(e).alias("path"), e["value"].alias("value")))
+    return F.coalesce(F.flatten(F.transform(held, lambda e: _variant_fields(e["value"], e["path"], depth + 1))), one, none)
 
 
 def _fields(c: Column, kind: T.DataType, path: Column) -> Column | None:
@@ -55,7 +56,7 @@ def _fields(c: Column, kind: T.DataType, path: Column) -> Column | None:
         items = F.transform(F.map_entries(c), lambda e: _fields(e["value"], kind.valueType, at(e["key"])))
         return F.coalesce(F.flatten(items), F.array().cast(f"array<{_FIELD}>"))
     if isinstance(kind, T.VariantType):
-        return json_fields(F.to_json(c), path)
+        return _variant_fields(c, path)
     return None
 
 
@@ -109,8 +110,33 @@ def running_before(df: DataFrame, order: str, value: str, out: str, parts: int |
     )
 
 
+def reading_end(df: DataFrame, order: str, value: str, target: int) -> int | None:
+    """A bound of a whole-number column up to which the values add up to the target; none if all of them do not.
+
+    One pass over the two columns adds up RANGES ranges between the least and the largest; the bound is the end of a range.
+    """
+    low, high = df.agg(F.min(order), F.max(order)).first()
+    if low is None:
+        return None
+    width = max(1, -(-(high - low + 1) // RANGES))
+    part = F.floor((F.col(order).cast("decimal(20,0)") - F.lit(low)) / F.lit(width)).cast("long")
+    total = 0
+    for r in sorted(df.where(F.col(order).isNotNull()).groupBy(part.alias("part")).agg(F.sum(value).alias("n")).collect(), key=lambda r: r["part"]):
+        total += r["n"] or 0
+        if total >= target:
+            return min(high, low + (r["part"] + 1) * width - 1)
+    return None
+
+
 def take_until_tokens(df: DataFrame, order: str, target: int, max_records: int | None = None, tokens: str = "token_count") -> DataFrame:
-    """Rows in order until their tokens reach the target; the row that crosses it is kept.  Order values must differ."""
+    """Rows in order until their tokens reach the target; the row that crosses it is kept.  Order values must differ.
+
+    With a whole number as order, totals of ranges tell first how far to read, and the rest is a filter on the order, which
+    a scan of files sorted by it turns into files and row groups that it does not read.  Rows are dealt out up to that bound
+    only.  Null tokens count nothing; null orders come first.
+    """
+    if isinstance(df.schema[order].dataType, T.IntegralType) and (end := reading_end(df, order, tokens, target)) is not None:
+        df = df.where(F.col(order).isNull() | (F.col(order) <= end))
     kept = running_before(df, order, tokens, "loom_total").where(F.col("loom_total") < target).drop("loom_total")
     return kept.orderBy(order).limit(max_records) if max_records is not None else kept
 
@@ -125,7 +151,43 @@ def corpus_report(kept: DataFrame, target: int = WANTED_TOKENS, index: str = "re
     return row.select("*", (F.col("scanned_records") - F.col("written_records")).alias("skipped_records"), (F.col("total_tokens") >= target).alias("enough"))
 
 
+def _leading(by: Column, kind: T.DataType) -> Column:
+    """A long that keeps the order of whole numbers, strings and bytes; values of one long may differ."""
+    if isinstance(kind, T.IntegralType):
+        return F.coalesce(by.cast("long"), F.lit(-(1 << 63)))
+    if not isinstance(kind, T.StringType | T.BinaryType):
+        raise ValueError("a sample is ordered by a whole number, a string or bytes")
+    return F.coalesce(F.conv(F.rpad(F.hex(F.substring(by.cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("long"), F.lit(-1))
+
+
 def sample_n(df: DataFrame, n: int, seed: int, key: str = "id", by: Column | None = None) -> DataFrame:
-    """A sample of n rows that depends on keys and seed alone."""
-    h = by if by is not None else F.xxhash64(F.col(key), F.lit(seed))
-    return df.orderBy(h, key).limit(n)
+    """A sample of n rows that depends on keys and seed alone: the n least by ``by``, a hash, and by key.
+
+    Counts of ranges of the hash tell which rows are in; a range that the n-th row cuts is looked at in finer ranges, until
+    a task can number the rest of it, so no task sorts the sample.  A table of fewer rows comes whole.  Rows that are equal
+    in both are taken in any order.  Null keys are rows like others, null hashes come first.
+    """
+    by = by if by is not None else F.xxhash64(F.col(key), F.lit(seed))
+    hashed = df.withColumn("loom_by", by)
+    rows = hashed.withColumn("loom_at", _leading(F.col("loom_by"), hashed.schema["loom_by"].dataType))
+    kept, inside, need, shift = F.lit(False), F.lit(True), n, 48
+    while need > 0:
+        part = F.shiftright("loom_at", shift)
+        total, cut = 0, None
+        for r in sorted(rows.where(inside).groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: r["part"]):
+            if total + r["n"] > need:
+                cut = r
+                break
+            total += r["n"]
+        if cut is None:
+            kept, need = kept | inside, 0
+            break
+        kept, inside, need = kept | (inside & (part < cut["part"])), inside & (part == cut["part"]), need - total
+        if cut["n"] <= NUMBERED or shift == 0:
+            break
+        shift -= 16
+    out = rows.where(kept)
+    if need > 0:
+        numbered = rows.where(inside).withColumn("loom_n", F.row_number().over(Window.orderBy("loom_by", key)))
+        out = out.unionByName(numbered.where(F.col("loom_n") <= need).drop("loom_n"))
+    return out.drop("loom_by", "loom_at")

@@ -205,6 +205,10 @@ COALESCE(string_agg(e, ';' ORDER BY n) FILTER (WHERE e IS NOT NULL), '') AS enti
         "clean_text_fast": f"SELECT page_id, {_collapse('''CASE WHEN contains(h, '<') AND contains(h, '>') THEN regexp_replace(h, '<[^>]*>', ' ', 'g') ELSE h END''')} AS text FROM (SELECT page_id, COALESCE(html, '') AS h FROM pages)",
         "token_counts_by_mode": f"SELECT doc_id, len({_words('t')}) AS n_ws, greatest(1, len(regexp_extract_all(t, '{marks}'))) AS n_words_and_marks FROM (SELECT doc_id, COALESCE(text, '') AS t FROM documents)",
         "choose_text_field": f"SELECT doc_id, 'r.body.text' AS path, length({_collapse('text')}) AS n_chars FROM documents WHERE length({_collapse('text')}) >= 500",
+        "variant_fields": """WITH d AS (SELECT doc_id, lang, source, list_slice(string_split(text, chr(10)), 1, 20) AS l FROM documents),
+            f AS (SELECT doc_id, list_concat(COALESCE(list_transform(l, lambda x, i: 'r.body.' || (i - 1) || '.t=' || x), []), list_filter(['r.by.' || COALESCE(source, 'none') || '=' || lang, 'r.meta.lang=' || lang, 'r.meta.tags.0=' || source, 'r.meta.tags.1=' || lang], lambda x: x IS NOT NULL)) AS f FROM d)
+            SELECT doc_id, CAST(len(f) AS INT) AS n_fields, md5(array_to_string(f, '|')) AS digest FROM f""",
+        "sample_half": f"WITH {_CHUNKS.strip()} SELECT source_id AS id FROM op QUALIFY row_number() OVER (ORDER BY md5(source_id || ':7'), source_id) <= (SELECT count(*) // 2 FROM op)",
         "take_until_tokens": f"WITH {_CHUNKS.strip()} SELECT record_index, token_count FROM (SELECT record_index, len(w) AS token_count, COALESCE(sum(len(w)) OVER (ORDER BY record_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM op) WHERE b < 200000",
         "corpus_report": f"WITH {_CHUNKS.strip()} SELECT CAST(COALESCE(sum(len(w)), 0) AS BIGINT) AS total_tokens, count(*) AS written_records, COALESCE(max(record_index), 0) AS scanned_records, COALESCE(max(record_index), 0) - count(*) AS skipped_records, COALESCE(sum(len(w)), 0) >= 2000000 AS enough FROM op WHERE length(text) >= 500",
         "sample_n": f"WITH {_CHUNKS.strip()} SELECT source_id AS id FROM op ORDER BY md5(source_id || ':42'), source_id LIMIT 50",

@@ -87,6 +87,25 @@ def choose_text_field(spark, d):
     return nested.select("doc_id", best.alias("b")).where("b is not null").select("doc_id", "b.path", F.length("b.text").alias("n_chars"))
 
 
+@_query
+def variant_fields(spark, d):
+    """Strings of records of mixed shape, made of documents and their labels."""
+    docs = _read(spark, d, "documents").select("doc_id", "text", "lang", "source")
+    lines = F.slice(F.split("text", "\n"), 1, 30)
+    record = F.struct(F.struct("lang", F.array("source", "lang").alias("tags"), F.col("doc_id").alias("n")).alias("meta"), F.transform(lines, lambda x: F.struct(x.alias("t"))).alias("body"), F.create_map(F.coalesce("source", F.lit("none")), "lang").alias("by"))
+    r = docs.select("doc_id", F.parse_json(F.to_json(record)).alias("r"))
+    fields = r.select("doc_id", ingest.string_fields(r, "r").alias("f"))
+    told = F.concat_ws("|", F.transform("f", lambda x: F.concat(x["path"], F.lit("="), x["value"])))
+    return fields.select("doc_id", F.size("f").alias("n_fields"), F.md5(told.cast("binary")).alias("digest"))
+
+
+@_query
+def sample_half(spark, d):
+    """Half of the documents, by the hash of their ids."""
+    docs = _opinions(spark, d)
+    return ingest.sample_n(docs, docs.count() // 2, 7, by=F.md5(F.concat(F.col("id"), F.lit(":7")).cast("binary"))).select("id")
+
+
 @_query
 def take_until_tokens(spark, d):
     docs = _opinions(spark, d).withColumn("token_count", tx.token_count(F.col("text"), "whitespace"))
@@ -135,9 +154,10 @@ def jsonl_round_trip(spark, d):
 
 @_query
 def questions_round_trip(spark, d):
-    """Questions written as files of JSON lists and read again; every third one is without id."""
-    path, n = _folder(spark, "questions"), F.col("item_id") % 20
-    asked = _read(spark, d, "benchmark").where("item_id is not null").select(n.alias("file"), F.struct(F.when(F.col("item_id") % 3 > 0, F.col("item_id").cast("string")).alias("id"), F.col("text").alias("question"), F.col("item_id").alias("n")).alias("q"))
+    """Questions written as files of JSON lists and read again; every third one is without id.  A file has a bounded number."""
+    items = _read(spark, d, "benchmark").where("item_id is not null")
+    path, n = _folder(spark, "questions"), F.col("item_id") % 20 + 20 * F.floor(F.col("item_id") / 20_000)
+    asked = items.select(n.alias("file"), F.struct(F.when(F.col("item_id") % 3 > 0, F.col("item_id").cast("string")).alias("id"), F.col("text").alias("question"), F.col("item_id").alias("n")).alias("q"))
     lists = asked.groupBy("file").agg(F.array_sort(F.collect_list("q"), lambda a, b: (a["n"] - b["n"]).cast("int")).alias("q"))
     lists.select(F.to_json("q")).write.option("maxRecordsPerFile", 1).text(path)
     return io.read_questions(spark, path).select("id", F.md5(F.col("question").cast("binary")).alias("digest"))
