@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import map_batches, remainder, saved
 
-#: The documented bound of the sample: labelled documents at most (by hash); and entries of the lexicon.
-SAMPLE_DOCS, LEXICON = 12_000, 4_000
+#: The documented bound of the sample: labelled documents at most (by hash).
+SAMPLE_DOCS = 12_000
 #: Lengths of word beginnings, documents that must use an entry, and the least log-odds of a hit.
 BEGINNINGS, LEAST_DOCS, LEAST_ODDS = (4, 5, 6), 2, 2.0
 #: Score from which a text is predicted toxic.
@@ -93,6 +93,16 @@ class Lexicon:
         return x if x >= LEAST_ODDS else 0.0
 
 
+def _least_gap(a: list[int], b: list[int]) -> int:
+    """The least distance between a place of one list and one of the other, both in order."""
+    i = j = 0
+    least = abs(a[0] - b[0])
+    while i < len(a) and j < len(b):
+        least = min(least, abs(a[i] - b[j]))
+        i, j = (i + 1, j) if a[i] < b[j] else (i, j + 1)
+    return least
+
+
 def features(text: str | None, lexicon: Lexicon, own: int | None = None) -> list[float]:
     words = normal_words(text)
     text = text or ""
@@ -110,15 +120,13 @@ def features(text: str | None, lexicon: Lexicon, own: int | None = None) -> list
             hits.append(k)
             strongest = max(strongest, best)
             total += best
-    near = 0.0
-    if hits and seconds:
-        near = max(1 / (1 + min(abs(h - s) for s in seconds)) for h in hits)
+    near = 1 / (1 + _least_gap(hits, seconds)) if hits and seconds else 0.0
     chars = max(1, len(text))
     upper = sum(len(x) for x in re.findall(r"[A-ZÀ-ÖØ-Þ]+", text))
     bangs = text.count("!") + text.count("?")
     marks = sum(map(text.count, "#*$%&@|<>"))
     return [
-        math.log1p(n), float(len(hits)), len(hits) / max(1, n), strongest, min(total, 100.0), near, len(seconds) / max(1, n),
+        math.log1p(n), float(len(hits)), len(hits) / max(1, n), strongest, total, near, len(seconds) / max(1, n),
         upper / chars, bangs / chars, marks / chars, disguised / max(1, n), sum(map(text.count, "0123456789")) / chars,
     ]
 
@@ -157,7 +165,7 @@ def learn_lexicon(sample: DataFrame) -> Lexicon:
         F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("a"), F.sum(F.when(F.col("toxic") == 1, 0).otherwise(1)).alias("b")
     )
     odds = F.log((F.col("a") + 0.5) / (lexicon.toxic + 1)) - F.log((F.col("b") + 0.5) / (lexicon.other + 1))
-    best = counts.where((F.col("a") >= LEAST_DOCS) & (odds >= LEAST_ODDS)).orderBy((odds * F.sqrt("a")).desc(), "entry").limit(LEXICON)
+    best = counts.where((F.col("a") >= LEAST_DOCS) & (odds >= LEAST_ODDS))  # of the sample
     lexicon.counts = {r["entry"]: (r["a"], r["b"]) for r in best.collect()}
     return lexicon
 
