@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,8 @@ from corpusloom.llm.common import map_batches, saved
 WINDOW, SPAN = 13, 26
 #: Words of test items that go to the tasks at a time, and words of documents in a row of the index.
 BLOCK_WORDS, INDEX_WORDS = 400_000, 200_000
+#: Blocks that a worker of the filter keeps built, and that go to it in one pass.
+KEPT_BLOCKS = 4
 #: Words whose hash a worker remembers.
 KEPT_HASHES = 500_000
 
@@ -214,10 +217,11 @@ def found_in(index: Index, queries: Queries, span: int = SPAN) -> list[tuple[lis
 _BUILT: dict[str, Queries] = {}
 
 
-def _queries(name: str, handle) -> Queries:
-    """The block's queries, built once a worker; one block is kept."""
+def _queries(name: str, handle, most: int = 1) -> Queries:
+    """The block's queries, built once a worker, which keeps those of the last ``most`` blocks."""
     if name not in _BUILT:
-        _BUILT.clear()
+        while len(_BUILT) >= most:
+            del _BUILT[next(iter(_BUILT))]
         _BUILT[name] = Queries(handle.value)
     return _BUILT[name]
 
@@ -306,28 +310,50 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return map_batches(found, rows, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, n_near_items long")
 
 
+def _judged(batches: Iterator[pa.RecordBatch], text: int, spans: int, handles: list, last: bool) -> Iterator[pa.RecordBatch]:
+    """Batches whose column of spans has those of some more blocks; or, in the last pass, the good rows without that column."""
+    for batch in batches:
+        texts, found = batch.columns[text].to_pylist(), batch.columns[spans].to_pylist()
+        runs = list(_runs(texts))
+        indexes = [Index.of(texts[a:b]) for a, b in runs]
+        for name, handle in handles:
+            queries = _queries(name, handle, KEPT_BLOCKS)
+            for (a, _), index in zip(runs, indexes, strict=True):
+                for k, hit in enumerate(found_in(index, queries, 0)):
+                    found[a + k] += hit[0]
+        if last:
+            n_words = [n for index in indexes for n in index.lengths.tolist()]
+            good = [not _contaminated(n, x) for n, x in zip(n_words, found, strict=True)]
+            rest = [c for k, c in enumerate(batch.columns) if k != spans], [n for k, n in enumerate(batch.schema.names) if k != spans]
+            yield pa.RecordBatch.from_arrays(*rest).filter(pa.array(good, pa.bool_()))
+        else:
+            columns = [pa.array(found, pa.list_(pa.int32())) if k == spans else c for k, c in enumerate(batch.columns)]
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the contaminated rows; the columns stay as they are.
 
-    Each task indexes its own rows and judges them by all blocks of test items, one after the other, so no text is
-    shuffled, and rows without an id or with a repeated one are judged like any other at every size of the benchmark.
+    Each task indexes its own rows and judges them by the blocks of test items, so no text is shuffled, and rows without an
+    id or with a repeated one are judged like any other at every size of the benchmark.  A pass takes KEPT_BLOCKS blocks,
+    which a worker builds once; a larger benchmark takes more passes, and rows with their spans so far are stored between.
     """
-    context, at = docs.sparkSession.sparkContext, docs.columns.index("text")
-    handles = [(uuid.uuid4().hex, context.broadcast(block)) for block in _blocks(benchmark)]
-
-    def work(batches):
-        for batch in batches:
-            texts = batch.columns[at].to_pylist()
-            runs = list(_runs(texts))
-            indexes = [Index.of(texts[a:b]) for a, b in runs]
-            spans: list[list[int]] = [[] for _ in texts]
-            for name, handle in handles:
-                queries = _queries(name, handle)
-                for (a, _), index in zip(runs, indexes, strict=True):
-                    for k, hit in enumerate(found_in(index, queries, 0)):
-                        spans[a + k] += hit[0]
-            n_words = [n for index in indexes for n in index.lengths.tolist()]
-            good = [not _contaminated(n, x) for n, x in zip(n_words, spans, strict=True)]
-            yield batch.filter(pa.array(good, pa.bool_()))
-
-    return docs.mapInArrow(work, docs.schema)
+    context, name = docs.sparkSession.sparkContext, "loom_spans"
+    while name in docs.columns:
+        name += "_"
+    rows = docs.withColumn(name, F.array().cast("array<int>"))
+    text, spans = docs.columns.index("text"), len(docs.columns)
+    blocks = _blocks(benchmark)
+    group = list(islice(blocks, KEPT_BLOCKS))
+    while group:
+        handles = [(uuid.uuid4().hex, context.broadcast(block)) for block in group]
+        group = list(islice(blocks, KEPT_BLOCKS))
+        last = not group
+
+        def work(batches, handles=handles, last=last):
+            return _judged(batches, text, spans, handles, last)
+
+        if last:
+            return rows.mapInArrow(work, docs.schema)
+        rows = saved(rows.mapInArrow(work, rows.schema))
+    return docs
