@@ -25,6 +25,8 @@ _LOG = logging.getLogger(__name__)
 
 #: Target share of the tokens of each domain, which is quality label and language; domains not listed get none.
 TARGETS = {"q1-en": 0.50, "q1-de": 0.17, "q1-fr": 0.17, "q1-es": 0.12, "q0-en": 0.04}
+#: Domains at most: those with a target, then the largest; all others are one domain of this name.
+DOMAINS, OTHER = 16, "other"
 #: The largest miss of a target, or the projected gradient, as a share of all tokens, at which steps end.
 CLOSE = 1e-4
 #: Steps after which the rates are written, so that the plan does not grow.
@@ -118,13 +120,19 @@ def fit(compact: DataFrame, labels: DataFrame, targets: dict[str, float] | None
     """Fits classifier and rates; also gives (doc_id, tokens, loom_p<i>, loom_rate), saved.
 
     ``compact`` comes from :func:`measured`; ``labels`` has doc_id and quality (repeated ids: the largest value counts;
-    null labels, ids or languages are left out).  With no labelled row there is one domain, ``all``, of rate 1.
+    null labels, ids or languages are left out).  Domains beyond DOMAINS are one, so that the plan's size is bounded.  With no
+    labelled row there is one domain, ``all``, of rate 1.
     """
     targets = TARGETS if targets is None else targets
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     domain = F.concat(F.lit("q"), F.col("quality"), F.lit("-"), F.col("lang"))
     sums = [F.sum(m).alias(f"s_{m}") for m in MEASURES] + [F.sum(F.col(m) * F.col(m)).alias(f"q_{m}") for m in MEASURES]
     groups = compact.where("lang is not null").join(known, "doc_id").groupBy(domain.alias("domain")).agg(F.count(F.lit(1)).alias("n"), *sums)
+    most = max(DOMAINS, len(targets))
+    large = groups.orderBy(F.col("domain").isin(*targets).desc() if targets else F.lit(0), F.desc("n"), "domain").limit(most + 1).select("domain").collect()
+    if len(large) > most:  # the sums of the others add up
+        own = F.when(F.col("domain").isin([r["domain"] for r in large[: most - 1]]), F.col("domain")).otherwise(F.lit(OTHER))
+        groups = groups.groupBy(own.alias("domain")).agg(*[F.sum(c).alias(c) for c in groups.columns if c != "domain"])
     groups = sorted(groups.collect(), key=lambda r: r["domain"])
     if groups:
         total = sum(g["n"] for g in groups)
