@@ -5,8 +5,8 @@ tokens whose occurrence vectors (which page holds how many) are equal form a cla
 commutative hash, so one grouped aggregation finds the classes of any host.  Pages of the same text count once.  Classes
 that enough pages and tokens share are valid: their texts are the template, and their tags, which nest by path, the
 containers that leave slots between them.  The main container is the deepest one that holds most of the slots' text; what
-is left in it when the template's texts are taken out is the main text.  Slots beside it count if they hold a fair share
-of the host's text.  Names of tags and classes only break ties: in slots of under half of the host's text they tell menus,
+is left in it when the template's texts are taken out is the main text.  Slots beside it count if they are elements of the
+template, as a by-line is, or hold running text.  Names of tags and classes only break ties: in slots of under half of the host's text they tell menus,
 notices, comments and the like, and on hosts of too few pages for a template they decide alone.
 """
 
@@ -32,8 +32,8 @@ MARK_SHARE, TEXT_WORDS = 0.5, 4
 MAIN_SHARE, ARTICLE_SHARE = 0.8, 0.5
 #: Times that a page holds a container, on average: what repeats is a part of the text and not what holds it.
 MOST_TIMES = 1.5
-#: Share of a host's slot text from which a slot beside the main container is text, and from which no mark counts in a slot.
-FAIR_SHARE, STRONG_SHARE = 0.05, 0.5
+#: Share of a host's slot text from which no mark counts in a slot.
+STRONG_SHARE = 0.5
 #: Share of a block's characters in links from which it is no running text.
 LINKED_SHARE = 0.5
 #: Bytes of templates up to which they are broadcast, and parts into which a host's pages are dealt beyond that.
@@ -74,6 +74,7 @@ class Block:
     out: bool  # inside something whose name says that it is not the article
     inside: bool  # inside an article element
     linked: bool  # mostly links
+    marked: bool  # some name speaks against it, whatever its share of the page
 
 
 def _marked(names: list[str], marks: frozenset[str] = MARKS) -> bool:
@@ -108,7 +109,7 @@ def blocks_of(page: str | None) -> tuple[list[Block], list[str]]:
             run.clear()
             if text:
                 top = stack[-1] if stack else ("", "", False, False, False, ())
-                blocks.append(Block(text, *top[1:5], links > LINKED_SHARE * len(raw.strip())))
+                blocks.append(Block(text, *top[1:5], links > LINKED_SHARE * len(raw.strip()), bool(top[5])))
                 within.append(top[5])
         links = 0
 
@@ -183,7 +184,7 @@ class Template:
 
     texts: frozenset[int] = frozenset()
     container: str | None = None
-    fair: frozenset[str] = frozenset()  # beside the container, FAIR_SHARE of the slots' text at least
+    regular: frozenset[str] = frozenset()  # paths of slots that pages hold once, as an element of the template
     strong: frozenset[str] = frozenset()  # STRONG_SHARE at least: what their names say does not count
 
 
@@ -194,8 +195,8 @@ def _below(path: str, container: str) -> bool:
 def extract(page: str | None, template: Template = Template()) -> str:
     """The text that is left in the slots of the main container, given a host's template.
 
-    A block beside the container is text if its slot has a fair share of the host's text, it has TEXT_WORDS words, most of
-    it is no link and no name speaks against it.  On a page without the container, the article counts, and without one
+    A block beside the container is text as well, if its slot is a regular one of the template or it has TEXT_WORDS words,
+    and if most of it is no link and no name speaks against it.  On a page without the container, the article counts, and without one
     all that is no template text and has no name that speaks against it.
     """
     blocks = blocks_of(page)[0]
@@ -204,7 +205,7 @@ def extract(page: str | None, template: Template = Template()) -> str:
         chosen = [
             b
             for b, main in zip(blocks, own, strict=True)
-            if (not b.out or b.path in template.strong) and (main or b.path in template.fair and len(b.text.split()) >= TEXT_WORDS and not b.linked)
+            if (not b.out or b.path in template.strong) and (main or not (b.linked or b.marked) and (b.path in template.regular or len(b.text.split()) >= TEXT_WORDS))
         ]
     else:
         free = [b for b in blocks if not b.out]
@@ -278,7 +279,7 @@ def _tokens(pages: DataFrame) -> DataFrame:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, template, container, fair, strong): what :class:`Template` holds, for each host with a valid class.
+    """(host, template, container, regular, strong): what :class:`Template` holds, for each host with a valid class.
 
     A class is valid if LEAST_PAGES pages of different text hold it, and either most pages of the host do, or it has
     LEAST_TOKENS tokens, a tag among them, and its pages hold other text as well.  Its texts are the template; its tags,
@@ -303,10 +304,10 @@ def templates(pages: DataFrame) -> DataFrame:
     rank = F.struct(F.size(F.split("path", "/")), "chars", "path")
     chosen = containers.groupBy("host").agg(F.max_by("path", rank).alias("container"))
     texts = valid.groupBy("host").agg(F.flatten(F.collect_list("texts")).alias("template"))
-    # at most 1 / FAIR_SHARE paths a host
-    fair = slots.join(whole, "host").where(F.col("chars") >= FAIR_SHARE * F.col("whole"))
-    fair = fair.groupBy("host").agg(F.collect_list("path").alias("fair"), F.collect_list(F.when(F.col("chars") >= STRONG_SHARE * F.col("whole"), F.col("path"))).alias("strong"))
-    return texts.join(chosen, "host", "left").join(fair, "host", "left")
+    once = valid.where(F.col("times") <= MOST_TIMES).select("host", F.explode("tags").alias("path"), F.lit(True).alias("once")).distinct()
+    rich = slots.join(whole, "host").join(once, ["host", "path"], "left")
+    rich = rich.groupBy("host").agg(F.collect_list(F.when(F.col("once"), F.col("path"))).alias("regular"), F.collect_list(F.when(F.col("chars") >= STRONG_SHARE * F.col("whole"), F.col("path"))).alias("strong"))
+    return texts.join(chosen, "host", "left").join(rich, "host", "left")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -318,12 +319,12 @@ def main_text(pages: DataFrame) -> DataFrame:
     """
 
     def rows(columns):
-        for page_id, url, page, texts, container, fair, strong in zip(*columns, strict=True):
-            text = extract(page, Template(frozenset(texts or ()), container, frozenset(fair or ()), frozenset(strong or ())))
+        for page_id, url, page, texts, container, regular, strong in zip(*columns, strict=True):
+            text = extract(page, Template(frozenset(texts or ()), container, frozenset(regular or ()), frozenset(strong or ())))
             yield page_id, url, text, len(text)
 
     known = saved(templates(pages))
-    names = F.octet_length("host") + F.coalesce(F.octet_length("container"), F.lit(0)) + F.coalesce(F.octet_length(F.array_join("fair", "")), F.lit(0))
+    names = F.octet_length("host") + F.coalesce(F.octet_length("container"), F.lit(0)) + F.coalesce(F.octet_length(F.array_join("regular", "")), F.lit(0))
     size = known.agg(F.coalesce(F.sum(8 * F.size("template") + 3 * names + 64), F.lit(0)).alias("n")).first()["n"]
     held = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_of(F.col("url")).alias("host"))
     if size <= BROADCAST_BYTES:
@@ -332,4 +333,4 @@ def main_text(pages: DataFrame) -> DataFrame:
         part = F.pmod(F.xxhash64("page_id", "url"), F.lit(PARTS)).cast("int")
         each = known.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
         joined = held.withColumn("part", part).join(each, ["host", "part"], "left")
-    return map_batches(joined.select("page_id", "url", "html", "template", "container", "fair", "strong"), rows, "page_id long, url string, text string, n_chars long", most=512)
+    return map_batches(joined.select("page_id", "url", "html", "template", "container", "regular", "strong"), rows, "page_id long, url string, text string, n_chars long", most=512)
