@@ -175,6 +175,18 @@ def test_mixing_equals_a_plain_solution(spark, rng):
     assert (rate >= 0).all() and loss(rate) <= 1.01 * loss(plain) + 1e-4 * ((weight @ wanted) @ wanted)
 
 
+def test_mixing_of_hundreds_of_domains(spark):
+    """Those with a target and the largest stay apart, all others are one domain; the plan does not grow with them."""
+    rng, began = random.Random(2), time.time()
+    rows = [(k, words(rng, 30), "en" if k % 3 else f"x{k % 200}") for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(400)], "doc_id long, quality int")
+    mixture, member = mixing.fit(mixing.measured(docs), labels, {"q1-en": 0.7, "q0-x3": 0.1, "q0-none": 0.2})
+    assert len(mixture.domains) <= mixing.DOMAINS and {"q1-en", "q0-en", mixing.OTHER} <= set(mixture.domains)
+    assert "q0-x3" in mixture.domains or all(lang != "x3" or k % 2 for k, _, lang in rows)
+    assert member.count() == 400 and time.time() - began < 60
+
+
 def test_mixing_classifier_on_held_out_documents(spark):
     """Fitted on half of the labelled documents, it finds language and quality of the other half."""
     d = "/root/testdata/sf0.01"
@@ -254,10 +266,11 @@ def test_language_equals_a_plain_search(spark):
     rows = [(k, words(draw, 40, "abcdefg" if k % 3 else "uvwxyz"), "aa" if k % 3 else "bb") for k in range(90)]
     rows += [(7, words(draw, 40, "mnopq"), f"l{k}") for k in range(300)] + [(200, words(draw, 20_000, "abcdefg"), "aa"), (201, "\u00bd\u00b2", "aa")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    learned = langid.train(docs)
-    assert len(learned) == langid.LANGUAGES and list(learned)[:2] == ["aa", "bb"]
+    groups = list(langid.train(docs))
+    learned = {k: v for g in groups for k, v in g.items()}
+    assert len(learned) == 302 and list(learned)[:2] == ["aa", "bb"] and max(map(len, groups)) == langid.LANGUAGES
     two = {k: learned[k] for k in ("aa", "bb")}
-    got = {r["doc_id"]: r for r in langid.predict(docs.where("doc_id <> 7"), two).collect()}
+    got = {r["doc_id"]: r for r in langid.predict(docs.where("doc_id <> 7"), [two]).collect()}
     for k, text, _ in rows:
         if k == 7:
             continue
@@ -269,8 +282,22 @@ def test_language_equals_a_plain_search(spark):
         want = "und" if not data else list(two)[sizes.index(min(sizes))]
         assert got[k]["lang_pred"] == want or abs(sizes[0] - sizes[1]) <= 2, k
     assert got[201]["score"] == 0 and got[201]["lang_pred"] == "und"
-    same = langid.Classifier({"x": b"some words", "y": b"some words"})
-    assert same.predict("some words")[0] == "x" and not same.predict("some words")[2]
+    sizes = langid.Coders({"x": b"some words", "y": b"some words"}).sizes("some words")
+    assert langid.choose(["x", "y"], sizes)[0] == "x" and not langid.choose(["x", "y"], sizes)[2]
+
+
+def test_hundreds_of_languages_compete(spark):
+    """Groups of dictionaries one after the other give what all at once give; whole texts are learned from."""
+    draw = random.Random(8)
+    tail = {k: words(draw, 30, "mnopqrstu") for k in range(250)}
+    rows = [(k, words(draw, 300) + " " + tail[k], f"l{k}") for k in range(250)] + [(1000 + k, tail[k], None) for k in range(250)] + [(2000, None, None), (2001, "!", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    groups = list(langid.train(docs))
+    assert len(groups) == 4
+    apart = {r["doc_id"]: tuple(r) for r in langid.predict(docs, groups).collect()}
+    together = {r["doc_id"]: tuple(r) for r in langid.predict(docs, [{k: v for g in groups for k, v in g.items()}]).collect()}
+    assert apart == together and len(apart) == 502
+    assert sum(apart[1000 + k][1] == f"l{k}" for k in range(250)) >= 245
 
 
 def test_language_of_held_out_documents(spark):
@@ -308,7 +335,7 @@ def plain_features(text, lexicon):
     count = lambda test: sum(1 for c in text if test(c))
     upper = count(lambda c: "A" <= c <= "Z" or "\u00c0" <= c <= "\u00de" and c != "\u00d7")
     return [
-        math.log1p(len(words_)), len(at), len(at) / n, max(odds, default=0.0), min(sum(odds), 100.0), near, len(seconds) / n, upper / chars, count(lambda c: c in "!?") / chars,
+        math.log1p(len(words_)), len(at), len(at) / n, max(odds, default=0.0), sum(odds), near, len(seconds) / n, upper / chars, count(lambda c: c in "!?") / chars,
         count(lambda c: c in "#*$%&@|<>") / chars, sum(h for _, h in words_) / n, count(lambda c: c in "0123456789") / chars,
     ]
 
@@ -320,6 +347,11 @@ def test_toxicity_features_equal_their_definitions(spark, rng):
     for t in texts:
         assert np.allclose(toxicity.features(t, lexicon), plain_features(t, lexicon)), t
     assert toxicity.features(long, lexicon)[1] == 1.0  # long words match as they were learned
+    mixed = " ".join(rng.choice(["you", "grobian", "fine", "lumpen", "word"]) for _ in range(3000))
+    assert np.allclose(toxicity.features(mixed, lexicon), plain_features(mixed, lexicon))
+    began = time.process_time()
+    toxicity.features(" ".join(["you grobian fine lumpen word"] * 40_000), lexicon)
+    assert time.process_time() - began < 2  # in proportion to the text
     docs = spark.createDataFrame([(1, "b"), (1, "a"), (1, None), (2, "c"), (None, "d"), (6, "e")] * 3, "doc_id long, text string")
     labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (None, 1)], "doc_id long, toxic int")
     want = {(1, "a", 1), (2, "c", 0)} - {(k, t, x) for k, t, x in [(1, "a", 1), (2, "c", 0)] if zlib.crc32(str(k).encode()) % 4 == 2}
@@ -734,6 +766,18 @@ def test_main_text_keeps_copies_and_second_columns(spark):
     assert all(t.startswith(f"A lead of several words {k} This is a line") for k, t in site(spark, columns).items())
 
 
+def test_main_text_keeps_leads_and_by_lines(spark):
+    """Text of the article beside its container stays however short it is; adverts, menus and notices beside it go."""
+    page = (
+        "<body><ul class='x'><li><a href='/a'>One</a></li><li><a href='/b'>Two</a></li></ul><div class='by'>By Ann {k}</div><div class='lead'>Twelve words of a short lead that stands before the story {k}</div>"
+        "<div class='ad'>Buy {k} of these cheap things right now today</div><div class='story'><h1>Title {k}</h1>{text}</div><div class='f'>All rights are ours</div></body>"
+    )
+    pages = [page.format(k=k, text="".join(f"<p>Sentence {j} of story {k} says something that no other one says.</p>" for j in range(40))) for k in range(10)]
+    for k, text in site(spark, pages).items():
+        assert text.startswith(f"By Ann {k} Twelve words of a short lead that stands before the story {k} Title {k} Sentence 0 of story {k}")
+        assert "cheap" not in text and "One" not in text and "rights" not in text
+
+
 # --- 10 ----------------------------------------------------------------------------------------------------------
 
 
@@ -780,6 +824,22 @@ def test_contamination(spark, docs, rng, block, monkeypatch):
     assert decontam.drop_contaminated(docs, bench).columns == docs.columns
 
 
+def test_blocks_are_built_once_a_worker(monkeypatch):
+    """However many batches of rows a pass has."""
+    import pyarrow as pa
+
+    built = []
+    monkeypatch.setattr(decontam, "Queries", lambda items, real=decontam.Queries: built.append(1) or real(items))
+    monkeypatch.setattr(decontam, "_BUILT", {})
+    passage = " ".join(f"w{k}" for k in range(20))
+    handles = [(f"b{k}", type("Handle", (), {"value": [(k, passage if k == 2 else f"item {k}")]})) for k in range(decontam.KEPT_BLOCKS)]
+    batch = pa.RecordBatch.from_arrays([pa.array([passage, "clean text"]), pa.array([[], []], pa.list_(pa.int32()))], ["text", "spans"])
+    out = list(decontam._judged(iter([batch] * 9), 0, 1, handles, True))
+    assert len(built) == decontam.KEPT_BLOCKS and [b.to_pydict() for b in out] == [{"text": ["clean text"]}] * 9
+    kept = list(decontam._judged(iter([batch]), 0, 1, handles, False))
+    assert kept[0].column(1).to_pylist() == [[0, 20], []] and len(built) == decontam.KEPT_BLOCKS
+
+
 @pytest.mark.parametrize("block", [400_000, 30])
 def test_contaminated_rows_go_whatever_their_id(spark, rng, block, monkeypatch):
     monkeypatch.setattr(decontam, "BLOCK_WORDS", block)
