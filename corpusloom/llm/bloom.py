@@ -104,6 +104,6 @@ def build(df: DataFrame, hashes: Callable[[list[list]], np.ndarray], blocks: int
 
     parts = map_tasks(df, local, "block int, once binary, again binary").repartition("block").sortWithinPartitions("block")
     out = Filter(blocks)
-    for row in map_tasks(parts, merged, "block int, bits binary").toLocalIterator():  # blocks, by their fixed number
+    for row in map_tasks(parts, merged, "block int, bits binary").collect():  # MOST_BITS at most, compressed
         out.bits[row["block"] * _BYTES : (row["block"] + 1) * _BYTES] = np.frombuffer(zlib.decompress(row["bits"]), np.uint8)
     return out

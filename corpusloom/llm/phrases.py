@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import count
 
 import numpy as np
@@ -27,15 +27,21 @@ from corpusloom.llm.common import map_tasks, saved
 LEAST, MOST_WORDS, INSIDE, SCALE, BEST = 30, 4, 80, 2_000_000, 2_000
 #: Bytes of text in the sample, whatever the input; the share of the expected count that proposes a phrase.
 SAMPLE_BYTES, LOWERED = 16 << 20, 0.5
+#: Phrases of a filter that a task reads, parts that the sample is dealt into.
+PHRASES, SAMPLE_PARTS = 100_000, 12
 #: Words that a task counts before it sends the counts, and counts of a batch.
-CHUNK, SENT = 1_500_000, 50_000
+CHUNK, SENT = 1_000_000, 50_000
+#: Words whose numbers a task keeps from one run of texts to the next.
+KEPT_WORDS = 200_000
 #: A-Z to a-z, marks and line ends that end a piece to one of them.
 _PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" ")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _word_hash(lang: str, word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word, zlib.crc32(lang.encode()))
+def _word_hashes(lang: str, words: Iterable[bytes]) -> list[int]:
+    """64-bit hashes of words of a language."""
+    seed, digest = zlib.crc32(lang.encode()), xxhash.xxh64_intdigest
+    return [digest(w, seed) for w in words]
 
 
 def _mixed(rolled: np.ndarray) -> np.ndarray:
@@ -43,117 +49,189 @@ def _mixed(rolled: np.ndarray) -> np.ndarray:
     return (rolled ^ rolled >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
 
 
-class _Chunk:
-    """Words of some texts as numbers, 0 between pieces."""
+class _Words:
+    """Numbers of words by language, from 1; 0 stands between pieces."""
 
     def __init__(self):
         self.number = count(1)
         self.known: dict[str, defaultdict[bytes, int]] = {}
-        self.parts: list[np.ndarray] = []
-        self.size = 0
+        self.names, self.prefixes, self.langs = [b""], [], [0]
+        self.hashes = np.zeros(1, np.uint64)
+
+    def of(self, lang: str) -> defaultdict[bytes, int]:
+        if lang not in self.known:
+            self.known[lang] = defaultdict(self.number.__next__, {b"\n": 0, b"": -1})
+        return self.known[lang]
+
+    def told(self) -> int:
+        """Brings names, languages and hashes up to the words met so far, whose number it gives."""
+        old, total = len(self.names), next(self.number)
+        self.number = count(total)
+        names, langs, hashes = [b""] * (total - old), [0] * (total - old), np.zeros(total - old, np.uint64)
+        for known in self.known.values():
+            known.default_factory = self.number.__next__
+        for at, (lang, words) in enumerate(self.known.items()):
+            if at == len(self.prefixes):
+                self.prefixes.append(lang.encode() + b"\n")
+            new = list(_newest(words, old))
+            for w, k in new:
+                names[k], langs[k] = w, at
+            if new:
+                hashes[[k for _, k in new]] = _word_hashes(lang, [w for w, _ in new])
+        self.names += names
+        self.langs += langs
+        self.hashes = np.r_[self.hashes, hashes]
+        return total
+
+
+def _newest(words: dict[bytes, int], old: int) -> Iterator[tuple[bytes, int]]:
+    """Words from number ``old`` on, less that number; numbers rise in the order in which words came in."""
+    for w, k in reversed(words.items()):
+        if k < max(1, old):
+            return
+        yield w, k - old
+
+
+class _Chunk:
+    """Some texts as numbers of words."""
+
+    def __init__(self, words: _Words):
+        self.words, self.parts, self.size = words, [], 0
 
     def add(self, lang: str, text: str | None) -> None:
-        if (known := self.known.get(lang)) is None:
-            known = self.known[lang] = defaultdict(self.number.__next__, {b"\n": 0, b"": -1})
         words = (text or "").encode().translate(_PLAIN).replace(b"\n", b" \n ").split(b" ")
-        ids = np.fromiter(map(known.__getitem__, words), np.int32, len(words))
+        ids = np.fromiter(map(self.words.of(lang).__getitem__, words), np.int32, len(words))
         self.parts += [ids[ids >= 0], np.zeros(1, np.int32)]
         self.size += len(words)
 
-    def counted(self, now: bloom.Filter, earlier: list[bloom.Filter], most: int) -> Iterator[tuple[list, ...]]:
-        """(lang, words, phrase, n, held): what the filter wants counted and no earlier one had counted.
+    def counted(self, now: bloom.Filter, earlier: list[bloom.Filter], fresh: bloom.Filter | None, most: int) -> Iterator[tuple[int, tuple[list, list]]]:
+        """Words of phrases, and their keys and counts: what the filter wants counted and no earlier one had counted.
 
-        A phrase is counted if its parts without an end are counted and held by the filter; single words are, always.
+        A phrase is counted if all of its shorter parts are held by the filter; single words are, always.  What an earlier
+        pass has not counted has a part, without its first or its last word, that the pass before found (``fresh``).
         """
-        ids, total = np.concatenate(self.parts), next(self.number)
-        langs, names, hashes = [""] * total, [b""] * total, np.zeros(total, np.uint64)
-        for lang, words in self.known.items():
-            for w, k in words.items():
-                if k > 0:
-                    langs[k], names[k], hashes[k] = lang, w, _word_hash(lang, w)
-        filters, rolled = (now, *earlier), hashes[ids]
-        wanted = [ids > 0 for _ in filters]  # at each place, whether each filter has the phrase counted that begins there
-        for k in range(1, most + 1):
-            new = wanted[0].copy()
-            for w in wanted[1:]:
-                new &= ~w
-            if k > 1 or not earlier:
-                yield from self._told(ids, np.flatnonzero(new), k, total, langs, names, now, rolled)
-            if k == most or not wanted[0].any():
+        ids, total = np.concatenate(self.parts), self.words.told()
+        self.parts = []
+        hashes, told = self.words.hashes, lambda at, k: _told(ids, at, k, total, self.words)
+        hashed, word = _mixed(hashes), np.arange(total) > 0
+        rolled = [hashes[ids]]  # sums over the words from each place on, by number of words
+        chain = (now.holds(hashed) & word)[ids]  # places of words that the filter holds
+        if not earlier:
+            for columns in told(np.flatnonzero(ids), 1):
+                yield 1, columns
+        for k in range(2, most + 1):  # phrases of k words from parts of k - 1
+            if not chain.any():
                 return
-            for j, f in enumerate(filters):
-                at = np.flatnonzero(wanted[j])
-                held = np.zeros(len(ids), bool)
-                held[at] = f.holds(_mixed(rolled[at]))
-                wanted[j] = np.r_[held[:-1] & held[1:], False]
-            rolled = np.r_[rolled[:-k] * _STEP + hashes[ids[k:]], np.zeros(min(k, len(ids)), np.uint64)]
-
-    def _told(self, ids: np.ndarray, at: np.ndarray, k: int, total: int, langs: list[str], names: list[bytes], now: bloom.Filter, rolled: np.ndarray) -> Iterator[tuple[list, ...]]:
-        """The distinct phrases of k words at some places, with their counts."""
-        key, most = ids[at].astype(np.int64), total
-        for j in range(1, k):
-            if most * total >= 1 << 62:
-                _, key = np.unique(key, return_inverse=True)
-                most = len(at)
-            key, most = key * total + ids[at + j], most * total
-        order = np.argsort(key)
-        edges = np.flatnonzero(np.diff(key[order], prepend=-1))
-        n, first = np.diff(edges, append=len(order)), at[order[edges]]
-        for lo in range(0, len(first), SENT):
-            some = first[lo : lo + SENT]
-            columns = [ids[some + j].tolist() for j in range(k)]
-            told = [b" ".join(p).decode() for p in zip(*[[names[x] for x in c] for c in columns])]
-            yield [langs[x] for x in columns[0]], [k] * len(told), told, n[lo : lo + SENT].tolist(), now.holds(_mixed(rolled[some])).tolist()
-
-
-def _counts(docs: DataFrame, now: bloom.Filter, earlier: list[bloom.Filter], most: int) -> DataFrame:
-    """(lang, words, phrase, n, held) of one pass; with 0 words, in a first pass, all words of a language."""
-    handle = docs.sparkSession.sparkContext.broadcast((now, earlier))
+            if not earlier:
+                if k > 2:
+                    at = np.flatnonzero(chain)
+                    chain[at] = now.holds(_mixed(rolled[-1][at]))
+                chain = np.r_[chain[:-1] & chain[1:], False]
+                at = np.flatnonzero(chain)
+            else:
+                hit = (fresh.holds(hashed) & word)[ids] if k == 2 else np.zeros(len(ids), bool)
+                if k > 2:
+                    near = np.flatnonzero(chain)
+                    hit[near] = fresh.holds(_mixed(rolled[-1][near]))
+                chain = np.r_[chain[:-1] & chain[1:], False]  # all words are held
+                at = np.flatnonzero((hit | np.r_[hit[1:], False]) & chain)
+                at = at[_whole(now, rolled, at, k)]
+                for f in earlier:
+                    at = at[~_whole(f, rolled, at, k)]
+            for columns in told(at, k):
+                yield k, columns
+            rolled.append(np.r_[rolled[-1][: 1 - k] * _STEP + rolled[0][k - 1 :], np.zeros(min(k - 1, len(ids)), np.uint64)])
+
+
+def _whole(f: bloom.Filter, rolled: list[np.ndarray], at: np.ndarray, k: int) -> np.ndarray:
+    """Whether the filter holds all shorter parts of the phrases of k words at some places."""
+    out = np.ones(len(at), bool)
+    for n in range(k - 1, 0, -1):
+        for start in range(k - n + 1):
+            some = np.flatnonzero(out)
+            out[some] = f.holds(_mixed(rolled[n - 1][at[some] + start]))
+    return out
+
+
+def _told(ids: np.ndarray, at: np.ndarray, k: int, total: int, known: _Words) -> Iterator[tuple[list, list]]:
+    """The distinct phrases of k words at some places, as keys, with their counts."""
+    names, langs, prefixes = known.names, known.langs, known.prefixes
+    key, most = ids[at].astype(np.int64), total
+    for j in range(1, k):
+        if most * total >= 1 << 62:
+            _, key = np.unique(key, return_inverse=True)
+            most = len(at)
+        key, most = key * total + ids[at + j], most * total
+    order = np.argsort(key)
+    edges = np.flatnonzero(np.diff(key[order], prepend=-1))
+    n, first = np.diff(edges, append=len(order)), at[order[edges]]
+    for lo in range(0, len(first), SENT):
+        some = first[lo : lo + SENT]
+        words = [[prefixes[langs[x]] + names[x] for x in ids[some].tolist()], *[[names[x] for x in ids[some + j].tolist()] for j in range(1, k)]]
+        yield list(map(b" ".join, zip(*words))), n[lo : lo + SENT].tolist()
+
+
+def _counts(docs: DataFrame, now: bloom.Filter, earlier: list[bloom.Filter], fresh: bloom.Filter | None, most: int, least: int) -> DataFrame:
+    """(lang, words, phrase, n, held) of one pass, of phrases that come often enough; with 0 words, in a first pass, all words.
+
+    Tasks send counts by key, which is the language, a line end and the phrase.
+    """
+    handle = docs.sparkSession.sparkContext.broadcast((now, earlier, fresh))
 
     def rows(batches: Iterator[list[list]]) -> Iterator[tuple[list, ...]]:
-        now, earlier = handle.value
-        chunk = _Chunk()
+        now, earlier, fresh = handle.value
+        words = _Words()
+        chunk = _Chunk(words)
 
         def sent() -> Iterator[tuple[list, ...]]:
-            totals: dict[str, int] = defaultdict(int)
-            for columns in chunk.counted(now, earlier, most):
-                yield columns
-                if columns[1][0] == 1:
-                    for lang, n in zip(columns[0], columns[3], strict=True):
-                        totals[lang] += n
-            yield list(totals), [0] * len(totals), [""] * len(totals), list(totals.values()), [True] * len(totals)
+            totals: dict[bytes, int] = defaultdict(int)
+            for k, (keys, n) in chunk.counted(now, earlier, fresh, most):
+                yield keys, n
+                if k == 1:
+                    for key, m in zip(keys, n, strict=True):
+                        totals[key[: key.rindex(b"\n") + 1]] += m
+            yield list(totals), list(totals.values())
 
         for langs, texts in batches:
             for lang, text in zip(langs, texts, strict=True):
                 chunk.add(lang, text)
                 if chunk.size >= CHUNK:
                     yield from sent()
-                    chunk = _Chunk()
+                    words = words if len(words.names) < KEPT_WORDS else _Words()
+                    chunk = _Chunk(words)
         if chunk.parts:
             yield from sent()
 
-    parts = map_tasks(docs.select("lang", "text"), rows, "lang string, words int, phrase string, n long, held boolean")
-    return parts.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"), F.first("held").alias("held"))
+    def told(batches: Iterator[list[list]]) -> Iterator[tuple[list, ...]]:
+        for keys, n in batches:
+            langs, phrases = map(list, zip(*[key.rsplit("\n", 1) for key in keys], strict=True))
+            held = handle.value[0].holds(_hashes([langs, phrases])).tolist()
+            yield langs, [p.count(" ") + 1 if p else 0 for p in phrases], phrases, n, held
+
+    parts = map_tasks(docs.select("lang", "text"), rows, "key string, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    often = parts.where((F.col("n") >= least) | F.col("key").endswith("\n"))
+    return map_tasks(often, told, "lang string, words int, phrase string, n long, held boolean")
 
 
-def _filter(phrases: DataFrame) -> bloom.Filter:
-    """The filter of phrases (lang, phrase)."""
+def _hashes(columns: list[list]) -> np.ndarray:
+    """Hashes of languages and phrases."""
+    out = np.empty(len(columns[0]), np.uint64)
+    by_kind: dict[tuple[str, int], list[tuple[int, list[bytes]]]] = defaultdict(list)
+    for row, (lang, phrase) in enumerate(zip(*columns, strict=True)):
+        words = phrase.encode().split(b" ")
+        by_kind[lang, len(words)].append((row, words))
+    for (lang, _), held in by_kind.items():
+        words = [np.array(_word_hashes(lang, w), np.uint64) for w in zip(*[w for _, w in held], strict=True)]
+        rolled = words[0]
+        for w in words[1:]:
+            rolled = rolled * _STEP + w
+        out[[row for row, _ in held]] = _mixed(rolled)
+    return out
 
-    def hashes(columns: list[list]) -> np.ndarray:
-        out = np.empty(len(columns[0]), np.uint64)
-        by_size: dict[int, list[tuple[int, list[int]]]] = defaultdict(list)
-        for row, (lang, phrase) in enumerate(zip(*columns, strict=True)):
-            words = phrase.encode().split(b" ")
-            by_size[len(words)].append((row, [_word_hash(lang, w) for w in words]))
-        for held in by_size.values():
-            words = np.array([w for _, w in held], np.uint64).T
-            rolled = words[0]
-            for w in words[1:]:
-                rolled = rolled * _STEP + w
-            out[[row for row, _ in held]] = _mixed(rolled)
-        return out
 
-    return bloom.build(phrases.select("lang", "phrase"), hashes, bloom.blocks_for(phrases.count()), False)
+def _filter(phrases: DataFrame, n: int) -> bloom.Filter:
+    """The filter of n phrases (lang, phrase), which are read by a task for each PHRASES of them."""
+    return bloom.build(phrases.select("lang", "phrase").coalesce(n // PHRASES + 1), _hashes, bloom.blocks_for(n), False)
 
 
 def frequent(docs: DataFrame, least: int, proposed: DataFrame | None = None, most: int = MOST_WORDS) -> DataFrame:
@@ -161,14 +239,16 @@ def frequent(docs: DataFrame, least: int, proposed: DataFrame | None = None, mos
     0 words the number of all words.  Proposals (lang, phrase) save passes and change nothing else.
     """
     shorter = F.col("words").between(1, most - 1)
-    earlier, known = [], None
-    now = bloom.Filter(1) if proposed is None else _filter(proposed)
+    earlier, fresh, known, size = [], None, None, 0
+    now = bloom.Filter(1) if proposed is None else _filter(proposed, proposed.count())
     while True:
-        found = saved(_counts(docs, now, earlier, most).where((F.col("n") >= least) | (F.col("words") == 0)))
+        found = saved(_counts(docs, now, earlier, fresh, most, least))
         known = found if known is None else known.unionByName(found)
-        if found.where(shorter & ~F.col("held")).isEmpty():
+        new, missed = found.where(shorter).agg(F.count(F.lit(1)), F.count(F.when(~F.col("held"), 1))).first()
+        if not missed:
             return known.drop("held")
-        earlier, now = [*earlier, now], _filter(known.where(shorter))
+        size += new
+        earlier, now, fresh = [*earlier, now], _filter(known.where(shorter), size), _filter(found.where(shorter & ~F.col("held")), missed)
 
 
 def collocations(
@@ -185,7 +265,7 @@ def collocations(
     held = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).alias("text"), F.xxhash64(key, text).alias("at"))
     total = docs.agg(F.coalesce(F.sum(size), F.lit(0)).alias("n")).first()["n"]
     share = min(1.0, sample_bytes / max(1, total))
-    sample = saved(held.where(F.pmod("at", F.lit(1_000_000)) < round(share * 1_000_000)).select("lang", "text"))
+    sample = saved(held.where(F.pmod("at", F.lit(1_000_000)) < round(share * 1_000_000)).select("lang", "text").repartition(SAMPLE_PARTS))
     proposed = frequent(sample, least if share == 1 else max(2, int(LOWERED * share * least)), most=most - 1).where("words > 0")
     return best_of(frequent(held.select("lang", "text"), least, proposed, most), best)
 

@@ -261,7 +261,7 @@ def test_collocations(table, prose, sample, chunk, least, best, monkeypatch):
 def test_passes_go_on_until_the_border_is_closed(table, prose, monkeypatch):
     passes = []
     real = phrases._counts
-    monkeypatch.setattr(phrases, "_counts", lambda docs, now, earlier, most: passes.append(len(earlier)) or real(docs, now, earlier, most))
+    monkeypatch.setattr(phrases, "_counts", lambda docs, now, earlier, *more: passes.append(len(earlier)) or real(docs, now, earlier, *more))
     docs = table(prose).select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
     full = phrases.frequent(docs, 30)
     assert passes == [0, 1, 2, 3]  # words, pairs, threes and fours
