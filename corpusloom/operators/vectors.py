@@ -48,8 +48,12 @@ def slot_of(hashing: str) -> Callable[[str], tuple[int, int]]:
 
 
 def hashed_counts(df: DataFrame, key: str, text: str, hashing: str = "md5") -> DataFrame:
-    """(key, idx, w): signed token counts a dimension, without zeros.  Blake hashes are made once a distinct token."""
-    tokens = df.select(key, F.explode(tokenize(F.col(text))).alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias("tf"))
+    """(key, idx, w): signed token counts a dimension, without zeros.  Blake hashes are made once a distinct token.
+
+    Texts are dealt out by key once, which all that follows by key keeps to; their tokens are not.
+    """
+    held = df.select(key, text).repartition(key)
+    tokens = held.select(key, F.explode(tokenize(F.col(text))).alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias("tf"))
     if hashing == "md5":
         slots = tokens.withColumn("s", md5_slot(F.col("token")))
     elif hashing == "blake2b":

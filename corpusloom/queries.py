@@ -7,6 +7,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -230,6 +231,14 @@ def chunk_windows(spark, d):
     return c.select("id", "source_id", "chunk_index", "token_start", "token_end", "token_count")
 
 
+@_query
+def subword_windows(spark, d):
+    """Windows of the tokens of a public vocabulary, which lies in the folder LOOM_TOKENIZERS."""
+    path = os.path.join(os.environ.get("LOOM_TOKENIZERS", "/opt/tokenizers"), "byte_bpe_50k.json")
+    c = chunking.chunk_corpus(_opinions(spark, d), tokens=tx.bpe_pieces(path)(F.col("text")), joint="")
+    return c.select("id", "source_id", "chunk_index", "token_start", "token_end", "token_count")
+
+
 @_query
 def chunk_report(spark, d):
     return chunking.chunk_report(_opinions(spark, d), _chunks(spark, d))

@@ -87,6 +87,54 @@ def test_text_fields_of_unknown_shape(spark):
     assert got[2] == set() and got[3] == {("v", "plain")}
 
 
+def test_variants_are_walked_without_python(spark):
+    """Lists are cut to their first items, keys come in order, other kinds hold no text, and too deep a record is an error."""
+    rows = ['{"b":{"d":"x","c":[["p"],{"k":"q"},7,null,true]},"a":"s","":"e"}', "[" + ",".join(f'"{k}"' for k in range(30)) + "]", "3.5", "null", None, '{"a":{}}', "[]"]
+    df = spark.createDataFrame([(k, r) for k, r in enumerate(rows)], "id int, j string").select("id", F.parse_json("j").alias("v"))
+    fields = df.select("id", ingest.string_fields(df, "v").alias("f"))
+    got = {r["id"]: [(x["path"], x["value"]) for x in r["f"]] for r in fields.collect()}
+    assert got[0] == [("v.", "e"), ("v.a", "s"), ("v.b.c.0.0", "p"), ("v.b.c.1.k", "q"), ("v.b.d", "x")]
+    assert got[1] == [(f"v.{k}", str(k)) for k in range(ingest.LIST_ITEMS)]
+    assert all(got[k] == [] for k in range(2, 7))
+    assert "Python" not in fields._jdf.queryExecution().executedPlan().toString()
+    depth = lambda n: spark.createDataFrame([("[" * n + '"x"' + "]" * n,)], "j string").select(F.parse_json("j").alias("v"))
+    assert len(depth(ingest.DEPTH).select(ingest.string_fields(depth(ingest.DEPTH), "v")).first()[0]) == 1
+    with pytest.raises(Exception, match="nested deeper"):
+        depth(ingest.DEPTH + 1).select(ingest.string_fields(depth(ingest.DEPTH + 1), "v")).collect()
+
+
+def test_a_sample_of_half_a_table(spark, monkeypatch):
+    """Exactly the least rows, no task sorts them, and finer ranges give the same."""
+    df = spark.range(4000).select(F.col("id").cast("string").alias("id")).repartition(5)
+    h = F.md5(F.col("id").cast("binary"))
+    want = {r[0] for r in df.orderBy(h, "id").limit(2000).collect()}
+    half = ingest.sample_n(df, 2000, 1, by=h)
+    assert {r[0] for r in half.collect()} == want and half.count() == 2000
+    assert "TakeOrderedAndProject" not in half._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(ingest, "NUMBERED", 0)
+    assert {r[0] for r in ingest.sample_n(df, 2000, 1, by=h).collect()} == want
+    assert ingest.sample_n(df, 9999, 1).count() == 4000 and ingest.sample_n(df, 0, 1).count() == 0 and ingest.sample_n(df.limit(0), 5, 1).count() == 0
+    same = spark.createDataFrame([("a",)] * 50 + [(None,)] * 50 + [("b",)], "id string")
+    assert [ingest.sample_n(same, n, 3).count() for n in (1, 49, 51, 100, 101)] == [1, 49, 51, 100, 101]
+
+
+def test_token_budgets_read_only_up_to_their_end(spark, tmp_path):
+    """Rows past the bound are filtered by the scan, so files and row groups sorted by the order are not read."""
+    spark.range(20_000).select(F.col("id").alias("n"), F.lit(10).alias("token_count"), F.lit("text").alias("text")).repartitionByRange(20, "n").sortWithinPartitions("n").write.parquet(f"{tmp_path}/t")
+    stored = spark.read.parquet(f"{tmp_path}/t")
+    kept = ingest.take_until_tokens(stored, "n", 12_345)
+    assert sorted(r["n"] for r in kept.collect()) == list(range(1235))
+    end = ingest.reading_end(stored, "n", "token_count", 12_345)
+    assert 1234 <= end < 1400
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert f"LessThanOrEqual(n,{end})" in plan
+    part = stored.where(f"n <= {end}")
+    assert part.select(F.input_file_name()).distinct().count() <= 2  # of 20 files
+    assert ingest.take_until_tokens(stored, "n", 10**9).count() == 20_000 and ingest.take_until_tokens(stored.limit(0), "n", 5).count() == 0
+    odd = spark.createDataFrame([(None, 5), (3, None), (-(1 << 62), 4), (1 << 62, 9), (7, 2)], "n long, token_count int")
+    assert sorted(str(r["n"]) for r in ingest.take_until_tokens(odd, "n", 10).collect()) == sorted(["None", str(-(1 << 62)), "3", "7"])
+
+
 def test_windows_of_subword_tokens(spark):
     """Windows of a tokenizer's tokens: as many as it gives, and texts that follow each other without loss."""
     tokenizers = pytest.importorskip("tokenizers")
