@@ -766,18 +766,6 @@ def test_main_text_keeps_copies_and_second_columns(spark):
     assert all(t.startswith(f"A lead of several words {k} This is a line") for k, t in site(spark, columns).items())
 
 
-def test_main_text_keeps_leads_and_by_lines(spark):
-    """Text of the article beside its container stays however short it is; adverts, menus and notices beside it go."""
-    page = (
-        "<body><ul class='x'><li><a href='/a'>One</a></li><li><a href='/b'>Two</a></li></ul><div class='by'>By Ann {k}</div><div class='lead'>Twelve words of a short lead that stands before the story {k}</div>"
-        "<div class='ad'>Buy {k} of these cheap things right now today</div><div class='story'><h1>Title {k}</h1>{text}</div><div class='f'>All rights are ours</div></body>"
-    )
-    pages = [page.format(k=k, text="".join(f"<p>Sentence {j} of story {k} says something that no other one says.</p>" for j in range(40))) for k in range(10)]
-    for k, text in site(spark, pages).items():
-        assert text.startswith(f"By Ann {k} Twelve words of a short lead that stands before the story {k} Title {k} Sentence 0 of story {k}")
-        assert "cheap" not in text and "One" not in text and "rights" not in text
-
-
 # --- 10 ----------------------------------------------------------------------------------------------------------
 
 
