@@ -95,9 +95,12 @@ def running_before(df: DataFrame, order: str, value: str, out: str, parts: int |
     Rows are dealt into ranges; the ranges' totals are added up, one row a range, and only then each range runs through
     its own rows.
     """
-    spark = df.sparkSession
-    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, order).withColumn("loom_part", F.spark_partition_id())
+    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # the ranges' first values, read once: a range exchange that is made anew draws other bounds
+    dealt = df.select(order).where(F.col(order).isNotNull()).repartitionByRange(n, order)
+    firsts = sorted(r[0] for r in dealt.groupBy(F.spark_partition_id().alias("loom_part")).agg(F.min(order).alias("first")).select("first").collect())
+    part = F.size(F.filter(F.array(*map(F.lit, firsts)), lambda x: x <= F.col(order))) if firsts else F.lit(0)
+    ranged = df.withColumn("loom_part", part)
     totals = ranged.groupBy("loom_part").agg(F.min(order).alias("loom_first"), F.sum(value).alias("loom_sum"))
     before = F.coalesce(F.sum("loom_sum").over(Window.orderBy("loom_first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = F.broadcast(totals.select("loom_part", before.alias("loom_before")))  # one row a range
@@ -188,6 +191,6 @@ def sample_n(df: DataFrame, n: int, seed: int, key: str = "id", by: Column | Non
         shift -= 16
     out = rows.where(kept)
     if need > 0:
-        numbered = rows.where(inside).withColumn("loom_n", F.row_number().over(Window.orderBy("loom_by", key)))
+        numbered = rows.where(inside).withColumn("loom_n", F.row_number().over(Window.partitionBy(F.shiftright("loom_at", shift)).orderBy("loom_by", key)))
         out = out.unionByName(numbered.where(F.col("loom_n") <= need).drop("loom_n"))
     return out.drop("loom_by", "loom_at")
