@@ -2,8 +2,8 @@
 
 Toivonen's method: a sample proposes phrases; a pass over all texts counts them and their negative border, which is every
 other phrase whose parts without the first and without the last word are proposed.  Where one of the border is frequent,
-the proposals were too few: a further pass counts the border of all frequent phrases known by then, and so on until none is
-new.  Proposals go to the tasks as Bloom filters of bounded size, which let some more phrases be counted but none less;
+the proposals were too few: an expansion pass counts every phrase of frequent words with such a part, which closes the
+border.  Proposals go to the tasks as Bloom filters of bounded size, which let some more phrases be counted but none less;
 counts are of phrases by their text.
 """
 
@@ -104,11 +104,12 @@ class _Chunk:
         self.parts += [ids[ids >= 0], np.zeros(1, np.int32)]
         self.size += len(words)
 
-    def counted(self, now: bloom.Filter, earlier: list[bloom.Filter], fresh: bloom.Filter | None, most: int) -> Iterator[tuple[int, tuple[list, list]]]:
-        """Words of phrases, and their keys and counts: what the filter wants counted and no earlier one had counted.
+    def counted(self, now: bloom.Filter, before: bloom.Filter | None, fresh: bloom.Filter | None, most: int) -> Iterator[tuple[int, tuple[list, list]]]:
+        """Words of phrases, and their keys and counts.
 
-        A phrase is counted if all of its shorter parts are held by the filter; single words are, always.  What an earlier
-        pass has not counted has a part, without its first or its last word, that the pass before found (``fresh``).
+        In a first pass: single words, and phrases all of whose shorter parts the filter holds.  In the other one, ``before``
+        is that filter, ``now`` holds all that was frequent, and ``fresh`` what of it was not held: phrases of frequent words
+        with a fresh part, but those that the first pass counted or that have a part which it counted and found rare.
         """
         ids, total = np.concatenate(self.parts), self.words.told()
         self.parts = []
@@ -116,28 +117,32 @@ class _Chunk:
         hashed, word = _mixed(hashes), np.arange(total) > 0
         rolled = [hashes[ids]]  # sums over the words from each place on, by number of words
         chain = (now.holds(hashed) & word)[ids]  # places of words that the filter holds
-        if not earlier:
+        if before is None:
             for columns in told(np.flatnonzero(ids), 1):
                 yield 1, columns
+        new = np.zeros(len(ids), bool)  # places of phrases with a fresh part
         for k in range(2, most + 1):  # phrases of k words from parts of k - 1
             if not chain.any():
                 return
-            if not earlier:
+            held = np.flatnonzero(chain)
+            if before is None:
                 if k > 2:
-                    at = np.flatnonzero(chain)
-                    chain[at] = now.holds(_mixed(rolled[-1][at]))
+                    chain[held] = now.holds(_mixed(rolled[-1][held]))
                 chain = np.r_[chain[:-1] & chain[1:], False]
                 at = np.flatnonzero(chain)
             else:
-                hit = (fresh.holds(hashed) & word)[ids] if k == 2 else np.zeros(len(ids), bool)
-                if k > 2:
-                    near = np.flatnonzero(chain)
-                    hit[near] = fresh.holds(_mixed(rolled[-1][near]))
-                chain = np.r_[chain[:-1] & chain[1:], False]  # all words are held
-                at = np.flatnonzero((hit | np.r_[hit[1:], False]) & chain)
-                at = at[_whole(now, rolled, at, k)]
-                for f in earlier:
-                    at = at[~_whole(f, rolled, at, k)]
+                if k == 2:
+                    new |= (fresh.holds(hashed) & word)[ids]
+                else:
+                    new[held] |= fresh.holds(_mixed(rolled[-1][held]))
+                chain = np.r_[chain[:-1] & chain[1:], False]  # all words are frequent
+                new = (new | np.r_[new[1:], False]) & chain
+                at = np.flatnonzero(new)
+                at = at[~_whole(before, rolled, at, k)]
+                for n in range(2, k):
+                    for start in range(k - n + 1):
+                        rare = _whole(before, rolled, at + start, n) & ~now.holds(_mixed(rolled[n - 1][at + start]))
+                        at = at[~rare]
             for columns in told(at, k):
                 yield k, columns
             rolled.append(np.r_[rolled[-1][: 1 - k] * _STEP + rolled[0][k - 1 :], np.zeros(min(k - 1, len(ids)), np.uint64)])
@@ -171,21 +176,21 @@ def _told(ids: np.ndarray, at: np.ndarray, k: int, total: int, known: _Words) ->
         yield list(map(b" ".join, zip(*words))), n[lo : lo + SENT].tolist()
 
 
-def _counts(docs: DataFrame, now: bloom.Filter, earlier: list[bloom.Filter], fresh: bloom.Filter | None, most: int, least: int) -> DataFrame:
+def _counts(docs: DataFrame, now: bloom.Filter, before: bloom.Filter | None, fresh: bloom.Filter | None, most: int, least: int) -> DataFrame:
     """(lang, words, phrase, n, held) of one pass, of phrases that come often enough; with 0 words, in a first pass, all words.
 
     Tasks send counts by key, which is the language, a line end and the phrase.
     """
-    handle = docs.sparkSession.sparkContext.broadcast((now, earlier, fresh))
+    handle = docs.sparkSession.sparkContext.broadcast((now, before, fresh))
 
     def rows(batches: Iterator[list[list]]) -> Iterator[tuple[list, ...]]:
-        now, earlier, fresh = handle.value
+        now, before, fresh = handle.value
         words = _Words()
         chunk = _Chunk(words)
 
         def sent() -> Iterator[tuple[list, ...]]:
             totals: dict[bytes, int] = defaultdict(int)
-            for k, (keys, n) in chunk.counted(now, earlier, fresh, most):
+            for k, (keys, n) in chunk.counted(now, before, fresh, most):
                 yield keys, n
                 if k == 1:
                     for key, m in zip(keys, n, strict=True):
@@ -238,17 +243,17 @@ def frequent(docs: DataFrame, least: int, proposed: DataFrame | None = None, mos
     """(lang, words, phrase, n): every phrase of up to ``most`` words that occurs ``least`` times in its language, and with
     0 words the number of all words.  Proposals (lang, phrase) save passes and change nothing else.
     """
-    shorter = F.col("words").between(1, most - 1)
-    earlier, fresh, known, size = [], None, None, 0
     now = bloom.Filter(1) if proposed is None else _filter(proposed, proposed.count())
-    while True:
-        found = saved(_counts(docs, now, earlier, fresh, most, least))
-        known = found if known is None else known.unionByName(found)
-        new, missed = found.where(shorter).agg(F.count(F.lit(1)), F.count(F.when(~F.col("held"), 1))).first()
-        if not missed:
-            return known.drop("held")
-        size += new
-        earlier, now, fresh = [*earlier, now], _filter(known.where(shorter), size), _filter(found.where(shorter & ~F.col("held")), missed)
+    first = saved(_counts(docs, now, None, None, most, least))
+    shorter = F.col("words").between(1, most - 1)
+    size, missed = first.where(shorter).agg(F.count(F.lit(1)), F.count(F.when(~F.col("held"), 1))).first()
+    if not missed:
+        return first.drop("held")
+    # a frequent phrase that was not counted has a shortest part that was not; the parts of that one were counted, are
+    # frequent, and one of them was not proposed: so one pass over what has such a part finds all that is left
+    fresh = _filter(first.where(shorter & ~F.col("held")), missed)
+    rest = saved(_counts(docs, _filter(first.where(shorter), size), now, fresh, most, least))
+    return first.unionByName(rest.where("words > 0")).drop("held")
 
 
 def collocations(

@@ -261,13 +261,18 @@ def test_collocations(table, prose, sample, chunk, least, best, monkeypatch):
 def test_passes_go_on_until_the_border_is_closed(table, prose, monkeypatch):
     passes = []
     real = phrases._counts
-    monkeypatch.setattr(phrases, "_counts", lambda docs, now, earlier, *more: passes.append(len(earlier)) or real(docs, now, earlier, *more))
+    monkeypatch.setattr(phrases, "_counts", lambda docs, now, before, *more: passes.append(before is not None) or real(docs, now, before, *more))
     docs = table(prose).select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
     full = phrases.frequent(docs, 30)
-    assert passes == [0, 1, 2, 3]  # words, pairs, threes and fours
+    assert passes == [False, True]  # words, then all that has a frequent one
     passes.clear()
     again = phrases.frequent(docs, 30, full.where("words between 1 and 3"))
-    assert passes == [0]  # all was proposed
+    assert passes == [False]  # all was proposed
+    passes.clear()
+    some = full.where("words between 1 and 3").where(F.pmod(F.xxhash64("phrase"), F.lit(3)) > 0)
+    third = phrases.frequent(docs, 30, some)
+    assert passes == [False, True]
+    assert sorted(map(tuple, full.collect())) == sorted(map(tuple, third.collect()))
     assert sorted(map(tuple, full.collect())) == sorted(map(tuple, again.collect()))
 
 
