@@ -177,14 +177,14 @@ def test_mixing_equals_a_plain_solution(spark, rng):
 
 def test_mixing_of_hundreds_of_domains(spark):
     """Those with a target and the largest stay apart, all others are one domain; the plan does not grow with them."""
-    rng, began = random.Random(2), time.time()
+    rng = random.Random(2)
     rows = [(k, words(rng, 30), "en" if k % 3 else f"x{k % 200}") for k in range(400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(k, k % 2) for k in range(400)], "doc_id long, quality int")
     mixture, member = mixing.fit(mixing.measured(docs), labels, {"q1-en": 0.7, "q0-x3": 0.1, "q0-none": 0.2})
     assert len(mixture.domains) <= mixing.DOMAINS and {"q1-en", "q0-en", mixing.OTHER} <= set(mixture.domains)
     assert "q0-x3" in mixture.domains or all(lang != "x3" or k % 2 for k, _, lang in rows)
-    assert member.count() == 400 and time.time() - began < 60
+    assert member.count() == 400
 
 
 def test_mixing_classifier_on_held_out_documents(spark):
