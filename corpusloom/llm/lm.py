@@ -1,27 +1,32 @@
 """Operator 7: language-model scores by online logistic context mixing.
 
-A text is coded as binary decisions.  For each token: the bits of its frequency class, coded along a tree, and whether it
-repeats an earlier token of the text or is drawn from the corpus, which a word beyond the most frequent ones is once a text,
-so that the chances of all next tokens add up to one at most.  Several predictors, a table of the corpus given the
-leading word of the text so far and adaptive tables addressed by a hash of the decision and a context (the class before,
-the token before), give a prediction of each bit; they are mixed in the logistic domain by weights that the kind of
-decision selects, and tables and weights are refined after every bit.  Inside its class a token costs the share that the
-corpus counts give it; a token never seen in training is spelled out byte by byte, again by mixed bit predictors, over the
-last one to four bytes, whose tables come from all words of the corpus.  The sum is the score; over the bytes of a text it
-gives bits per byte.
+A text is coded as binary decisions.  For each token: the decisions that lead to its word, and whether it repeats an
+earlier token of the text or is drawn from the corpus, which a word beyond the most frequent ones is once a text, so that
+the chances of all next tokens add up to one at most.  Several predictors give a prediction of each decision: tables of
+the corpus, given the leading word of the text so far and given the token before, and adaptive tables addressed by a hash
+of the decision and a context (the class before, the token before).  They are mixed in the logistic domain by weights
+that the kind of decision selects, and tables and weights are refined after every token.  A token never seen in training
+is spelled out byte by byte, again by mixed bit predictors, over the last one to four bytes, whose tables come from all
+words of the corpus.  The sum is the score; over the bytes of a text it gives bits per byte.
+
+A word's decisions are those of the Huffman code of the corpus counts (:func:`code_words`): tables and weights run on from
+the first token of a text to its last, and texts of like length are coded side by side.  An older form
+(:func:`code_texts`) codes a frequency class along a tree, gives the word inside it the corpus share, and starts tables and
+weights anew in each block of a fixed number of tokens, its lanes.
 
 Corpus counts come from one aggregation over all training texts.  The most frequent words, a fixed number, go to every
-task; all others are looked up by a join, after counting them per document.  A text is coded in blocks of a fixed number
-of tokens, its lanes: adaptive tables and weights start anew in each, while leader and repeats run on through the text,
-so that many lanes are coded at once.
+task; all others are looked up by a join, after counting them per document.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,10 +42,16 @@ LANE, SLOTS, TABLE_RATE, WEIGHT_RATE = 512, 128, 0.05, 0.02
 REPEAT = -1.5
 #: Classes: 0..6 by the logarithm of the rank, 7 for words beyond the head; bits of a class.
 TAIL, CLASS_BITS = 7, 3
+#: Whole words: slots of a text's table, weights at the start (leader, token before, and the text's own two), texts side by
+#: side and tokens of a stretch, cells of the corpus table of nodes after a token, and the weight of the leader's share there.
+WORD_SLOTS, WORD_WEIGHTS, SIDE, STEP_TOKENS = 1 << 10, (0.5, 0.5, 0.4, 0.4), 512, 20_000
+PAIR_CELLS, PAIR_SMOOTH = 1 << 17, 16.0
+#: Characters that are coded at once, in lanes and as whole texts.
+TEXT_RUN, WORD_RUN = 5_000_000, 12_000_000
 #: Slots of a spelling table, orders of its contexts, rate of its weights.
 SPELL_SLOTS, ORDERS, SPELL_RATE = 1 << 15, (1, 2, 3, 4), 0.02
-#: Words that a task counts before it hands them on.
-FLUSH = 200_000
+#: Words that a task counts before it hands them on, and unseen words that it spells at once.
+FLUSH, SPELLED = 200_000, 20_000
 END = b""
 
 
@@ -170,36 +181,51 @@ class _Mixer:
             self.weight[k, at] = weights[k] + err * inputs[k]
 
 
+def _token_before(known: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A number for the token before each token."""
+    out = np.roll(known, 1) * 0x85EB
+    out[starts] = 7
+    return out
+
+
+class _History:
+    """What is known before each token of texts that lie one after the other."""
+
+    def __init__(self, flat: np.ndarray, lengths: np.ndarray, head: Head):
+        total = len(flat)
+        self.of = np.repeat(np.arange(len(lengths)), lengths)
+        starts = np.cumsum(lengths) - lengths
+        self.at = np.arange(total) - starts[self.of]
+        # earlier occurrences of the same token in the same text
+        key = self.of * (int(flat.max()) + 1) + flat
+        order = np.argsort(key, kind="stable")
+        new = np.ones(total, dtype=bool)
+        new[1:] = key[order][1:] != key[order][:-1]
+        first = np.maximum.accumulate(np.where(new, np.arange(total), 0))
+        self.seen = np.empty(total, dtype=np.int64)
+        self.seen[order] = np.arange(total) - first
+        self.repeat = (self.seen / np.maximum(self.at, 1)).astype(np.float32)
+        self.known = np.minimum(flat, head.size)
+        self.cls = head.cls[self.known]
+        self.leader = leaders(self.known, starts, lengths, head)
+        self.before = np.roll(self.cls, 1) + 1
+        self.before[starts] = 0
+        self.before = self.before * 0x9E37
+        self.token_before = _token_before(self.known, starts)
+        self.chance = (np.log((self.at + 1.0) / (self.at + 301.0)) + REPEAT).astype(np.float32)
+
+
 def code_texts(flat: np.ndarray, lengths: np.ndarray, head: Head) -> np.ndarray:
     """Bits of each text given the numbers of its tokens, without what words beyond the head cost inside their class.
 
     ``flat`` holds the texts one after the other.  Numbers from the head's size on stand for other words, each distinct in
     its text.
     """
-    total = len(flat)
-    of = np.repeat(np.arange(len(lengths)), lengths)
-    starts = np.cumsum(lengths) - lengths
-    at = np.arange(total) - starts[of]
-    # earlier occurrences of the same token in the same text
-    key = of * (int(flat.max()) + 1) + flat
-    order = np.argsort(key, kind="stable")
-    new = np.ones(total, dtype=bool)
-    new[1:] = key[order][1:] != key[order][:-1]
-    first = np.maximum.accumulate(np.where(new, np.arange(total), 0))
-    seen = np.empty(total, dtype=np.int64)
-    seen[order] = np.arange(total) - first
-    repeat = (seen / np.maximum(at, 1)).astype(np.float32)
-    known = np.minimum(flat, head.size)
-    cls = head.cls[known]
-    leader = leaders(known, starts, lengths, head)
-    before = np.roll(cls, 1) + 1
-    before[starts] = 0
-    before = before * 0x9E37
-    token_before = np.roll(known, 1) * 0x85EB
-    token_before[starts] = 7
-    chance = (np.log((at + 1.0) / (at + 301.0)) + REPEAT).astype(np.float32)
+    past = _History(flat, lengths, head)
+    total, of, at, known, cls, leader = len(flat), past.of, past.at, past.known, past.cls, past.leader
+    before, token_before, repeat, chance = past.before, past.token_before, past.repeat, past.chance
     # a word beyond the head is drawn from the corpus once a text: what comes again costs its repeat, as its share is not known here
-    fresh = np.where((known == head.size) & (seen > 0), np.float32(0), head.word[leader, known])
+    fresh = np.where((known == head.size) & (past.seen > 0), np.float32(0), head.word[leader, known])
 
     step = at % LANE
     lane_first = step == 0
@@ -228,24 +254,184 @@ def code_texts(flat: np.ndarray, lengths: np.ndarray, head: Head) -> np.ndarray:
     return np.bincount(of, weights=cost, minlength=len(lengths))
 
 
+# --- whole words by mixed bits -------------------------------------------------------------------------------------
+
+
+def _huffman(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parent and side (0 or 1) of each node: leaves first, in the order of ``weights``, the root last."""
+    heap = [(w, k) for k, w in enumerate(weights.tolist())]
+    heapq.heapify(heap)
+    n = len(heap)
+    up, side = np.zeros(2 * n - 1, dtype=np.int64), np.zeros(2 * n - 1, dtype=np.int64)
+    for node in range(n, 2 * n - 1):
+        a, b = heapq.heappop(heap), heapq.heappop(heap)
+        up[a[1]] = up[b[1]] = node
+        side[b[1]] = 1
+        heapq.heappush(heap, (a[0] + b[0], node))
+    return up, side
+
+
+class Tree:
+    """A word of the head, or the tail, as binary decisions: the Huffman code of the corpus counts.
+
+    ``first``, ``depth`` tell where the decisions of a leaf lie in ``node`` and ``bit``.  The root is node 0.
+    """
+
+    def __init__(self, head: Head):
+        weights = head.count.astype(float)
+        weights[-1] = head.tail + head.once + 0.5  # as many unseen words are to come as there are words seen once
+        if len(weights) == 1:
+            weights = np.append(weights, 0.5)  # without a head a word is beyond it
+        self.weights = weights
+        self.up, self.side = _huffman(weights)
+        n, root = len(weights), 2 * len(weights) - 2
+        at = live = np.arange(n)
+        leaf, node, bit = [], [], []
+        while len(live):
+            leaf.append(live)
+            node.append(root - self.up[at])
+            bit.append(self.side[at])
+            at = self.up[at]
+            live, at = live[at != root], at[at != root]
+        leaf = np.concatenate(leaf[::-1])  # nodes near the root come first
+        order = np.argsort(leaf, kind="stable")
+        self.depth = np.bincount(leaf, minlength=n)
+        self.first = np.cumsum(self.depth) - self.depth
+        self.node = np.concatenate(node[::-1])[order].astype(np.int32)
+        self.bit = np.concatenate(bit[::-1])[order].astype(np.int8)
+
+    def learn(self, head: Head, by_leader: np.ndarray, pairs: np.ndarray) -> None:
+        """Log-odds of a one at each node for each leader, and the counts of zeros and ones after each token before."""
+        n = len(self.weights)
+        mass = np.zeros((2 * n - 1, ANCHORS + 1))
+        mass[: by_leader.shape[1]] = by_leader.T
+        if head.tail:
+            mass[head.size] *= 1 + head.once / head.tail
+        mass[:n] += SMOOTH * (self.weights / self.weights.sum())[:, None]
+        ones = np.zeros((n - 1, ANCHORS + 1))
+        root = 2 * n - 2
+        for k in range(root):
+            mass[self.up[k]] += mass[k]
+            if self.side[k]:
+                ones[root - self.up[k]] = mass[k]
+        share = np.clip(ones / mass[n:][::-1], 1e-6, 1 - 1e-6)
+        self.odds = np.log(share / (1 - share)).astype(np.float32)
+        self.pairs = pairs.astype(np.float32)
+        del self.up, self.side, self.weights
+
+    def spread(self, leaf: np.ndarray, token_before: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The decisions of tokens, one token after the other: number by token, first by token, node, bit, hash of node and token before."""
+        depth = self.depth[leaf]
+        start = np.cumsum(depth) - depth
+        spot = np.repeat(self.first[leaf] - start, depth) + np.arange(int(depth.sum()))
+        node = self.node.take(spot).astype(np.int64)
+        return depth, start, node, self.bit.take(spot), np.repeat(token_before * 0x2545F491, depth) + node * 0x9E3779B1
+
+
+def _pair_cell(pair: np.ndarray) -> np.ndarray:
+    return (pair >> 7) & (PAIR_CELLS - 1)
+
+
+def code_words(flat: np.ndarray, lengths: np.ndarray, head: Head, tree: Tree) -> np.ndarray:
+    """Bits of each text, as :func:`code_texts`, with every decision of a word coded by mixed predictors.
+
+    Tables and weights of a text run on from its first token to its last.  All decisions of a token are predicted before
+    any of them is learned.  Texts of like length are coded side by side.
+    """
+    past = _History(flat, lengths, head)
+    starts = np.cumsum(lengths) - lengths
+    order = np.argsort(-lengths, kind="stable")
+    out = np.zeros(len(lengths))
+    for k in range(0, len(order), SIDE):
+        some = order[k : k + SIDE]
+        out[some] = _code_side(starts[some], lengths[some], past, head, tree)
+    return out
+
+
+def _chance(x: np.ndarray) -> np.ndarray:
+    """The chance of log-odds, which are cut to 15 either way in place."""
+    np.minimum(np.maximum(x, np.float32(-15), out=x), np.float32(15), out=x)
+    return 1 / (1 + np.exp(-x))
+
+
+def _code_side(starts: np.ndarray, lengths: np.ndarray, past: _History, head: Head, tree: Tree) -> np.ndarray:
+    """Bits of texts, the longest first."""
+    count, longest, gates = len(lengths), int(lengths[0]), int(tree.depth.max())
+    tables = np.zeros(2 * count * WORD_SLOTS, dtype=np.float32)
+    weights = np.repeat(np.array(WORD_WEIGHTS, dtype=np.float32), count * gates)
+    again = np.zeros(2 * count * SLOTS, dtype=np.float32)
+    again_weights = np.repeat(np.array([1.0, 0.4, 0.4], dtype=np.float32), count)
+    lanes, bits = np.arange(count), np.zeros(count)
+    active = np.searchsorted(-lengths, -np.arange(longest), side="left")  # texts with a token at each step
+    step = 0
+    while step < longest:
+        widths = active[step : step + max(1, STEP_TOKENS // int(active[step]))]  # steps with a bounded number of tokens
+        lane = np.concatenate([lanes[:m] for m in widths.tolist()])
+        here = starts[lane] + np.repeat(np.arange(step, step + len(widths)), widths)
+        edges = np.concatenate([[0], np.cumsum(widths)])
+        before, token_before, leaf = past.before[here], past.token_before[here], past.known[here]
+        depth, start, node, bit, pair = tree.spread(leaf, token_before)
+        x = np.empty((4, len(node)), dtype=np.float32)
+        x[0] = tree.odds.ravel().take(node * (ANCHORS + 1) + np.repeat(past.leader[here], depth))
+        zeros, ones = tree.pairs.take(_pair_cell(pair), axis=0).T
+        share = PAIR_SMOOTH / (1 + np.exp(-x[0]))
+        x[1] = np.log((ones + share) / (zeros + (np.float32(PAIR_SMOOTH) - share)))
+        slots = np.empty((2, len(node)), dtype=np.int64)
+        slots[0] = ((np.repeat(before * 0x85EB, depth) + node * 0x9E3779B1) >> 5) & (WORD_SLOTS - 1)
+        slots[1] = (pair >> 5) & (WORD_SLOTS - 1)
+        slots += np.repeat(lane * WORD_SLOTS, depth)
+        slots[1] += count * WORD_SLOTS
+        gate = np.repeat(lane * gates - start, depth) + np.arange(len(node)) + (np.arange(4) * (count * gates))[:, None]
+        bit = bit.astype(np.float32)
+        chances = np.empty(len(node), dtype=np.float32)
+        cuts = np.append(start, len(node))[edges].tolist()
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            s, g, inputs = slots[:, a:b], gate[:, a:b], x[:, a:b]
+            inputs[2:] = tables[s]
+            w = weights[g]
+            chances[a:b] = p = _chance((w * inputs).sum(0))
+            err = bit[a:b] - p
+            tables[s] = inputs[2:] + np.float32(TABLE_RATE) * err
+            weights[g] = w + (np.float32(WEIGHT_RATE) * err) * inputs
+        fresh = np.multiply.reduceat(np.abs(1 - bit - chances).astype(np.float64), start)
+        # a word beyond the head is drawn from the corpus once a text: what comes again costs its repeat, as its share is not known here
+        fresh[(leaf == head.size) & (past.seen[here] > 0)] = 0.0
+        slots = np.stack([(before >> 4) & (SLOTS - 1), (token_before >> 3) & (SLOTS - 1)]) + lane * SLOTS
+        slots[1] += count * SLOTS
+        gate = lane + (np.arange(3) * count)[:, None]
+        x = np.empty((3, len(here)), dtype=np.float32)
+        x[0], repeat, both = past.chance[here], past.repeat[here], np.empty(len(here))
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            s, g, inputs = slots[:, a:b], gate[:, a:b], x[:, a:b]
+            inputs[1:] = again[s]
+            w = again_weights[g]
+            p = _chance((w * inputs).sum(0))
+            same = p * repeat[a:b]
+            both[a:b] = total = same + (1 - p) * fresh[a:b]
+            err = (same / total - p).astype(np.float32)
+            again[s] = inputs[1:] + np.float32(TABLE_RATE) * err
+            again_weights[g] = w + (np.float32(WEIGHT_RATE) * err) * inputs
+        bits -= np.bincount(lane, weights=np.log2(both), minlength=count)
+        step += len(widths)
+    return bits
+
+
 def _coded(texts: list[str | None], head: Head) -> tuple[np.ndarray, np.ndarray, list[dict[bytes, int]]]:
     """Numbers of the tokens of all texts, one text after the other, the texts' lengths, and their words beyond the head."""
     number, parts, others, lengths = head.number.__getitem__, [], [], []
     for t in texts:
         words = words_of(t)
-        codes = list(map(number, words))
+        codes = np.array(list(map(number, words)), dtype=np.int64)
         own: dict[bytes, int] = {}
-        if -1 in codes:
-            for k, c in enumerate(codes):
-                if c < 0:
-                    codes[k] = own.setdefault(words[k], head.size + len(own))
-        parts.append(np.array(codes, dtype=np.int64))
+        for k in np.flatnonzero(codes < 0).tolist():
+            codes[k] = own.setdefault(words[k], head.size + len(own))
+        parts.append(codes)
         others.append(own)
         lengths.append(len(codes))
     return np.concatenate(parts), np.array(lengths), others
 
 
-def _runs(texts: list[str | None], most: int = 5_000_000):
+def _runs(texts: list[str | None], most: int = TEXT_RUN):
     """(first, end) of runs of texts of bounded size; a longer text is a run of its own."""
     first = size = 0
     for k, t in enumerate(texts):
@@ -257,43 +443,51 @@ def _runs(texts: list[str | None], most: int = 5_000_000):
         yield first, len(texts)
 
 
-def leader_counts(texts: DataFrame, head: Head) -> np.ndarray:
+def corpus_cells(texts: DataFrame, head: Head, tree: Tree | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """Counts of head words (and of all others, last) by the leader before them, over a column ``text``.
 
-    The result has a fixed number of cells.
+    With a tree also the counts of zeros and ones of its nodes by a hash of node and token before.  Both have a fixed
+    number of cells.
     """
-    handle = texts.sparkSession.sparkContext.broadcast(head)
+    handle = texts.sparkSession.sparkContext.broadcast((head, tree))
     width = head.size + 1
+    size = (ANCHORS + 1) * width
+    most = size + (2 * PAIR_CELLS if tree else 0)
 
     def rows(batches):
-        h = handle.value
-        cells = np.zeros((ANCHORS + 1) * width, dtype=np.int64)
+        h, tr = handle.value
+        cells = np.zeros(most, dtype=np.int64)
         for (column,) in batches:
             for first, end in _runs(column):
                 flat, lengths, _ = _coded(column[first:end], h)
-                known = np.minimum(flat, h.size)
-                leader = leaders(known, np.cumsum(lengths) - lengths, lengths, h)
-                cells += np.bincount(leader * width + known, minlength=len(cells))
+                known, starts = np.minimum(flat, h.size), np.cumsum(lengths) - lengths
+                leader = leaders(known, starts, lengths, h)
+                cells[:size] += np.bincount(leader * width + known, minlength=size)
+                if tr:
+                    before = _token_before(known, starts)
+                    for k in range(0, len(known), STEP_TOKENS):
+                        _, _, _, bit, pair = tr.spread(known[k : k + STEP_TOKENS], before[k : k + STEP_TOKENS])
+                        cells[size:] += np.bincount(2 * _pair_cell(pair) + bit, minlength=2 * PAIR_CELLS)
         at = np.flatnonzero(cells)
         if len(at):
             yield at.astype(np.int32), cells[at]
 
     found = map_tasks(texts.select("text"), rows, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros((ANCHORS + 1) * width)
+    out = np.zeros(most)
     out[found["cell"].to_numpy()] = found["n"].to_numpy()
-    return out.reshape(ANCHORS + 1, width)
+    return out[:size].reshape(ANCHORS + 1, width), out[size:].reshape(-1, 2) if tree else None
 
 
-def _scan(docs: DataFrame, head: Head) -> DataFrame:
+def _scan(docs: DataFrame, head: Head, tree: Tree | None) -> DataFrame:
     """Per row: bits and base of the head words, and the other words with their numbers, once each."""
-    handle = docs.sparkSession.sparkContext.broadcast(head)
+    handle = docs.sparkSession.sparkContext.broadcast((head, tree))
 
     def rows(columns):
-        h = handle.value
+        h, tr = handle.value
         ids, texts = columns
-        for first, end in _runs(texts):
+        for first, end in _runs(texts, WORD_RUN if tr else TEXT_RUN):
             flat, lengths, others = _coded(texts[first:end], h)
-            bits = code_texts(flat, lengths, h)
+            bits = code_words(flat, lengths, h, tr) if tr else code_texts(flat, lengths, h)
             for k, got in enumerate(np.split(flat, np.cumsum(lengths)[:-1])):
                 in_head = got[got < h.size]
                 tf = np.bincount(got[got >= h.size] - h.size, minlength=len(others[k])).tolist() if others[k] else []
@@ -420,9 +614,45 @@ def _frequent(counts: DataFrame) -> list[tuple[str, int]]:
     return sorted(((r["token"], r["c"]) for r in short.where(F.col("step") >= least).select("token", "c").collect()), key=lambda x: (-x[1], x[0]))
 
 
-def score(docs: DataFrame) -> DataFrame:
+def _tail_bits(rare: DataFrame, table: np.ndarray, head: Head) -> DataFrame:
+    """Per row: known tokens, base and bits of its words beyond the head: (row, token, tf, c), c null if never seen."""
+    new_bits = -math.log2(head.new)
+    share = math.log2(1 - head.new) - math.log2(max(1, head.tail))
+    handle = rare.sparkSession.sparkContext.broadcast(table)
+    schema = pa.schema([("row", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("bits", pa.float64())])
+
+    def rows(batches):
+        row, base, words = [], [], []
+
+        def spelled():
+            columns = [row, [0] * len(row), base, [new_bits + b for b in spell(words, handle.value)]]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+        for batch in batches:
+            unseen = batch.column(4).is_valid()
+            yield pa.RecordBatch.from_arrays([c.filter(pc.invert(unseen)) for c in batch.columns[:4]], schema=schema)
+            for to, c in ((row, 0), (base, 2), (words, 4)):
+                to += batch.column(c).filter(unseen).to_pylist()
+            if len(words) >= SPELLED:
+                yield spelled()
+                row, base, words = [], [], []
+        if words:
+            yield spelled()
+
+    seen = F.col("c").isNotNull()
+    columns = rare.select(
+        "row", F.when(seen, F.col("tf")).otherwise(0).cast("long").alias("known"), (F.col("tf") * F.log10(F.coalesce("c", F.lit(0)) + 0.1)).alias("base"),
+        F.when(seen, -F.log2(F.col("c")) - share).alias("bits"), F.when(~seen, F.col("token")).alias("unseen"),
+    )
+    return columns.mapInArrow(rows, "row long, known long, base double, bits double")
+
+
+def score(docs: DataFrame, whole: bool = False) -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
+    With ``whole`` every decision of a word is coded by mixed predictors, which run on through the text
+    (:func:`code_words`); without it classes alone are, in lanes (:func:`code_texts`).
+
     Texts whose id has remainder 0 modulo 10 are held out of training, rows without id too.  Null and empty texts are the
     end alone, with bits per byte 0; repeated rows are scored and, in training, counted each.
     """
@@ -430,24 +660,18 @@ def score(docs: DataFrame) -> DataFrame:
     counts = saved(corpus_counts(docs.where(remains != 0)))
     totals = counts.agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"), F.sum((F.col("c") == 1).cast("long")).alias("once")).first()
     head = Head(_frequent(counts), totals["n"] or 0, totals["v"], totals["once"] or 0)
-    head.learn_leaders(leader_counts(docs.where(remains != 0), head))
+    tree = Tree(head) if whole else None
+    by_leader, pairs = corpus_cells(docs.where(remains != 0), head, tree)
+    if whole:
+        tree.learn(head, by_leader, pairs)
+    else:
+        head.learn_leaders(by_leader)
     table = spelling(counts)
-    scanned = saved(_scan(docs, head).withColumn("row", F.monotonically_increasing_id()))
+    scanned = saved(_scan(docs, head, tree).withColumn("row", F.monotonically_increasing_id()))
 
+    # one pass over the words beyond the head: the look-up is not made again for those never seen
     rare = scanned.select("row", F.explode("others").alias("w")).select("row", "w.token", "w.tf").join(counts, "token", "left")
-    new_bits = -math.log2(head.new)
-    share = math.log2(1 - head.new) - math.log2(max(1, head.tail))
-    known = rare.where("c is not null").select(
-        "row", F.col("tf").cast("long").alias("known"), (F.col("tf") * F.log10(F.col("c") + 0.1)).alias("base"), (-F.log2(F.col("c")) - share).alias("bits")
-    )
-    handle = docs.sparkSession.sparkContext.broadcast(table)
-
-    def rows(columns):
-        for row, tf, bits in zip(columns[0], columns[2], spell(columns[1], handle.value), strict=True):
-            yield row, 0, tf * -1.0, new_bits + bits
-
-    unseen = map_batches(rare.where("c is null").select("row", "token", "tf"), rows, "row long, known long, base double, bits double", most=20_000)
-    extra = known.unionByName(unseen).groupBy("row").agg(F.sum("known").alias("k"), F.sum("base").alias("b"), F.sum("bits").alias("x"))
+    extra = _tail_bits(rare, table, head).groupBy("row").agg(F.sum("known").alias("k"), F.sum("base").alias("b"), F.sum("bits").alias("x"))
     full = scanned.drop("others").join(extra, "row", "left")
     bits = F.col("bits") + F.coalesce("x", F.lit(0.0))
     return full.select(

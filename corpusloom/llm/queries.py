@@ -34,7 +34,7 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.score(read(spark, sf_dir, "documents"))
+    return lm.score(read(spark, sf_dir, "documents"), whole=True)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -604,6 +604,146 @@ def test_chances_of_the_next_token_sum_to_at_most_one(others):
     assert 0.9 < total <= 1.0 + 1e-3, total
 
 
+def scalar_word_bits(tokens, head, tree, odds, pairs):
+    """The bits of one text, every decision of its words by mixed predictors from the first token to the last, with plain numbers."""
+    squash = lambda x: 1 / (1 + math.exp(-max(-15, min(15, x))))
+    bits, used, lead = 0.0, Counter(), lm.ANCHORS
+    delta, weight = [Counter(), Counter()], {}
+    again, again_weight = [Counter(), Counter()], [1.0, 0.4, 0.4]
+    for at, token in enumerate(tokens):
+        word = min(token, head.size)
+        before, token_before = (0, 7) if at == 0 else ((int(head.cls[min(tokens[at - 1], head.size)]) + 1) * 0x9E37, min(tokens[at - 1], head.size) * 0x85EB)
+        fresh, made = 1.0, []
+        for k in range(int(tree.depth[word])):
+            node, bit = (int(x[tree.first[word] + k]) for x in (tree.node, tree.bit))
+            share, pair = squash(odds[node, lead]), token_before * 0x2545F491 + node * 0x9E3779B1
+            zeros, ones = (pairs[pair >> 7 & lm.PAIR_CELLS - 1, b] for b in (0, 1))
+            slots = [(before * 0x85EB + node * 0x9E3779B1) >> 5 & lm.WORD_SLOTS - 1, pair >> 5 & lm.WORD_SLOTS - 1]
+            x = [odds[node, lead], math.log((ones + lm.PAIR_SMOOTH * share) / (zeros + lm.PAIR_SMOOTH * (1 - share))), *(delta[j][slots[j]] for j in range(2))]
+            w = weight.get(k, lm.WORD_WEIGHTS)
+            p = squash(sum(a * b for a, b in zip(w, x)))
+            fresh *= p if bit else 1 - p
+            made.append((slots, x, w, bit - p))
+        for k, (slots, x, w, err) in enumerate(made):
+            for j in range(2):
+                delta[j][slots[j]] = x[2 + j] + lm.TABLE_RATE * err
+            weight[k] = [a + lm.WEIGHT_RATE * err * b for a, b in zip(w, x)]
+        if word == head.size and token in tokens[:at]:
+            fresh = 0.0
+        slots = [(before >> 4) % lm.SLOTS, (token_before >> 3) % lm.SLOTS]
+        x = [math.log((at + 1) / (at + 301)) + lm.REPEAT, *(again[j][slots[j]] for j in range(2))]
+        p = squash(sum(a * b for a, b in zip(again_weight, x)))
+        same = p * tokens[:at].count(token) / max(at, 1)
+        bits -= math.log2(same + (1 - p) * fresh)
+        err = same / (same + (1 - p) * fresh) - p
+        for j in range(2):
+            again[j][slots[j]] = x[1 + j] + lm.TABLE_RATE * err
+        again_weight = [a + lm.WEIGHT_RATE * err * b for a, b in zip(again_weight, x)]
+        spot = int(head.anchor[word])
+        if spot >= 0:
+            used[spot] += 1
+            lead = min(used, key=lambda k: (-used[k], k))
+    return bits
+
+
+def test_query_codes_every_decision_of_a_word_by_mixed_predictors(spark, rng, tmp_path, monkeypatch):
+    """op7_lm_score against a scalar coder: bits of words inside their class too, and texts of over 512 tokens in one piece."""
+    from corpusloom.llm.queries import queries
+
+    monkeypatch.setattr(lm, "HEAD", 40)
+    texts = {k: " ".join(rng.choice("ab") * (1 + min(int(rng.expovariate(0.2)), 30)) for _ in range(1_300 if k in (4, 10, 15) else 60)) for k in range(1, 40)}
+    texts |= {40: "", 41: None, 42: "new words come twice here new words", 43: "A"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r["doc_id"]: r for r in queries()["op7_lm_score"](spark, str(tmp_path)).collect()}
+    assert rows.keys() == texts.keys()
+    trained = [t for k, t in texts.items() if zlib.crc32(str(k).encode()) % 10]
+    counts = Counter(w for t in trained for w in lm.words_of(t))
+    ranked = lm._frequent(spark.createDataFrame([(w.decode(), n) for w, n in counts.items()], "token string, c long"))
+    head = lm.Head(ranked, sum(counts.values()), len(counts), sum(n == 1 for n in counts.values()))
+    assert 10 < head.size < len(counts)
+    tree = lm.Tree(head)
+    paths = [[(int(tree.node[a + k]), int(tree.bit[a + k])) for k in range(n)] for a, n in zip(tree.first, tree.depth)]
+    assert sum(2.0**-n for n in tree.depth) == 1.0 and {p[0][0] for p in paths} == {0} and len({tuple(p) for p in paths}) == head.size + 1
+
+    def coded(text):
+        own = {}
+        return [head.number[w] if w in head.number else own.setdefault(w, head.size + len(own)) for w in lm.words_of(text)], own
+
+    by_leader, pairs = np.zeros((lm.ANCHORS + 1, head.size + 1)), np.zeros((lm.PAIR_CELLS, 2))
+    for t in trained:
+        used, best, token_before = Counter(), lm.ANCHORS, 7
+        for token in coded(t)[0]:
+            word = min(token, head.size)
+            by_leader[best, word] += 1
+            for node, bit in paths[word]:
+                pairs[(token_before * 0x2545F491 + node * 0x9E3779B1) >> 7 & lm.PAIR_CELLS - 1, bit] += 1
+            token_before = word * 0x85EB
+            if head.anchor[word] >= 0:
+                used[int(head.anchor[word])] += 1
+                best = min(used, key=lambda k: (-used[k], k))
+    every = [*(n for _, n in ranked), head.tail + head.once + 0.5]
+    odds = np.zeros((head.size, lm.ANCHORS + 1))
+    for lead in range(lm.ANCHORS + 1):
+        sums = np.zeros((head.size, 2))
+        for leaf, path in enumerate(paths):
+            own = by_leader[lead, leaf] * (1 + head.once / head.tail if leaf == head.size else 1) + lm.SMOOTH * every[leaf] / sum(every)
+            for node, bit in path:
+                sums[node, bit] += own
+        odds[:, lead] = np.log(sums[:, 1] / sums[:, 0])
+    table = np.zeros((len(lm.ORDERS), lm.SPELL_SLOTS, 2))
+    for w in counts:
+        if w:
+            for _, slots, bit in lm._walk([w]):
+                for k, slot in enumerate(slots):
+                    table[k, slot[0], bit[0]] += 1
+    for k, t in texts.items():
+        tokens, own = coded(t)
+        bits = scalar_word_bits(tokens, head, tree, odds, pairs)
+        for w in own:
+            if c := counts[w]:
+                bits -= math.log2(1 - head.new) + math.log2(c / max(1, head.tail))
+            else:
+                bits += lm.spell([w.decode()], table)[0] - math.log2(head.new)
+        assert abs(rows[k]["score"] + bits * math.log10(2)) <= 1e-3 * bits, k
+        base = sum(math.log10((counts[w] + 0.1) / (head.total + 0.1 * (len(counts) + 1))) for w in lm.words_of(t))
+        assert abs(rows[k]["base_score"] - base) <= 1e-9 * abs(base) and rows[k]["n_known"] == sum(counts[w] > 0 for w in lm.words_of(t))
+
+
+@pytest.mark.parametrize("others", [0, 1, 20, 300])
+def test_chances_of_the_next_whole_word_sum_to_one_at_most(others):
+    """As for the classes: over the head, the words beyond it that the text has, and all that it has not."""
+    head = lm.Head([("", 40)] + [(f"w{k}", 30 - k) for k in range(20)], 40 + sum(range(11, 31)) + 500, 400, 100)
+    rng = random.Random(others)
+    tree = lm.Tree(head)
+    by_leader = np.array([[rng.randrange(9) for _ in range(head.size + 1)] for _ in range(lm.ANCHORS + 1)], dtype=float)
+    tree.learn(head, by_leader, np.array([[rng.randrange(9), rng.randrange(9)] for _ in range(lm.PAIR_CELLS)]))
+    text = [head.size + k for k in range(others)] + [rng.randrange(head.size) for _ in range(min(others, 40))]
+    text += text[:7]
+    bits = lambda t: float(lm.code_words(np.array(t), np.array([len(t)]), head, tree)[0])
+    prefix = bits(text) if text else 0.0
+    total = sum(2.0 ** (prefix - bits([*text, token])) for token in [*range(head.size), *sorted({t for t in text if t >= head.size}), head.size + others])
+    assert 0.9 < total <= 1.0 + 1e-3, total
+
+
+def test_whole_words_do_not_depend_on_what_is_coded_beside_them(monkeypatch):
+    """Texts alone, together, in another order and in small groups and stretches cost the same; an untrained head works too."""
+    rng = random.Random(3)
+    head = lm.Head([("", 40)] + [(f"w{k}", 300 // (k + 1)) for k in range(60)], 3_000, 400, 100)
+    tree = lm.Tree(head)
+    tree.learn(head, np.ones((lm.ANCHORS + 1, head.size + 1)), np.ones((lm.PAIR_CELLS, 2)))
+    texts = [[rng.randrange(head.size + 9) for _ in range(n)] for n in (1, 700, 3, 40, 1, 1_500, 40)]
+    code = lambda some: lm.code_words(np.array([t for x in some for t in x]), np.array([len(x) for x in some]), head, tree)
+    want = [code([x])[0] for x in texts]
+    assert np.allclose(code(texts), want, rtol=1e-5) and np.allclose(code(texts[::-1])[::-1], want, rtol=1e-5)
+    monkeypatch.setattr(lm, "SIDE", 2)
+    monkeypatch.setattr(lm, "STEP_TOKENS", 5)
+    assert np.allclose(code(texts), want, rtol=1e-5)
+    none = lm.Head([], 0, 0, 0)
+    tree = lm.Tree(none)
+    tree.learn(none, np.zeros((lm.ANCHORS + 1, 1)), np.zeros((lm.PAIR_CELLS, 2)))
+    assert lm.code_words(np.array([0, 1, 0]), np.array([3]), none, tree)[0] > 0
+
+
 def test_spelling_sums_to_at_most_one():
     """All words of up to two letters of a small alphabet, spelled with a table learned from some of them."""
     import numpy as np
