@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import map_batches, map_tasks, remainder, saved
+from corpusloom.llm.common import map_tasks, remainder, saved
 
 #: Words that every task knows, and bytes of such a word at most: the bound of what is broadcast.
 HEAD, HEAD_BYTES = 1 << 16, 64
@@ -44,14 +43,14 @@ REPEAT = -1.5
 TAIL, CLASS_BITS = 7, 3
 #: Whole words: slots of a text's table, weights at the start (leader, token before, and the text's own two), texts side by
 #: side and tokens of a stretch, cells of the corpus table of nodes after a token, and the weight of the leader's share there.
-WORD_SLOTS, WORD_WEIGHTS, SIDE, STEP_TOKENS = 1 << 10, (0.5, 0.5, 0.4, 0.4), 512, 20_000
+WORD_SLOTS, WORD_WEIGHTS, SIDE, STEP_TOKENS = 1 << 10, (0.5, 0.5, 0.4, 0.4), 256, 4_000
 PAIR_CELLS, PAIR_SMOOTH = 1 << 17, 16.0
-#: Characters that are coded at once, in lanes and as whole texts.
-TEXT_RUN, WORD_RUN = 5_000_000, 12_000_000
+#: Bytes of texts that are coded at once, in lanes and as whole texts.
+TEXT_RUN, WORD_RUN = 5_000_000, 10_000_000
 #: Slots of a spelling table, orders of its contexts, rate of its weights.
 SPELL_SLOTS, ORDERS, SPELL_RATE = 1 << 15, (1, 2, 3, 4), 0.02
-#: Words that a task counts before it hands them on, and unseen words that it spells at once.
-FLUSH, SPELLED = 200_000, 20_000
+#: Unseen words that a task spells at once.
+SPELLED = 20_000
 END = b""
 
 
@@ -62,28 +61,36 @@ def words_of(text: str | None) -> list[bytes]:
     return words
 
 
-def corpus_counts(texts: DataFrame) -> DataFrame:
-    """(token, c) over a column ``text``; counted in tasks first."""
+def _words(texts: pa.Array) -> pa.ListArray:
+    """:func:`words_of` for many texts at once, as strings."""
+    texts = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    # a space at the end makes the last word empty; an empty text is one empty word as it stands
+    ended = pc.binary_join_element_wise(texts, pa.scalar("", texts.type), pa.scalar(" ", texts.type))
+    return pc.ascii_split_whitespace(pc.if_else(pc.equal(texts, ""), texts, ended))
 
-    def rows(batches):
-        counts: Counter[bytes] = Counter()
-        for (column,) in batches:
-            for t in column:
-                counts.update(words_of(t))
-                if len(counts) >= FLUSH:
-                    yield [w.decode("utf-8", "surrogatepass") for w in counts], list(counts.values())
-                    counts = Counter()
-        if counts:
-            yield [w.decode("utf-8", "surrogatepass") for w in counts], list(counts.values())
 
-    return map_tasks(texts.select("text"), rows, "token string, c long").groupBy("token").agg(F.sum("c").alias("c"))
+def _runs(texts: pa.Array, most: int):
+    """Runs of texts of bounded size; a longer text is a run of its own."""
+    first = size = 0
+    for k, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+        if k > first and size + n > most:
+            yield texts.slice(first, k - first)
+            first, size = k, 0
+        size += n
+    if len(texts):
+        yield texts.slice(first)
 
 
-class _Numbers(dict):
-    """Word -> number, -1 for words that are not in the head."""
+def corpus_counts(texts: DataFrame) -> DataFrame:
+    """(token, c) over a column ``text``; counted in tasks first."""
+
+    def rows(batches):
+        for batch in batches:
+            for run in _runs(batch.column(0), WORD_RUN):
+                found = pc.value_counts(_words(run).flatten())
+                yield pa.RecordBatch.from_arrays([found.field("values").cast(pa.string()), found.field("counts")], ["token", "c"])
 
-    def __missing__(self, word: bytes) -> int:
-        return -1
+    return texts.select("text").mapInArrow(rows, "token string, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
 class Head:
@@ -95,8 +102,9 @@ class Head:
 
     def __init__(self, ranked: list[tuple[str, int]], total: int, types: int, once: int):
         self.total, self.types, self.once = total, types, once
-        self.number = _Numbers((t.encode("utf-8", "surrogatepass"), k) for k, (t, _) in enumerate(ranked))
+        self.number = {t.encode("utf-8", "surrogatepass"): k for k, (t, _) in enumerate(ranked)}
         self.size = len(ranked)
+        self.words = pa.array([t for t, _ in ranked], pa.string())
         self.count = np.array([c for _, c in ranked] + [0], dtype=np.int64)  # the last one stands for words beyond
         self.tail = max(0, total - int(self.count.sum()))
         self.base_head = np.log10(self.count + 0.1)
@@ -189,30 +197,37 @@ def _token_before(known: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 
 class _History:
-    """What is known before each token of texts that lie one after the other."""
+    """What is known before each token of texts that lie one after the other, in narrow types: a task holds many tokens."""
 
     def __init__(self, flat: np.ndarray, lengths: np.ndarray, head: Head):
         total = len(flat)
-        self.of = np.repeat(np.arange(len(lengths)), lengths)
         starts = np.cumsum(lengths) - lengths
-        self.at = np.arange(total) - starts[self.of]
+        self.of = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+        self.at = (np.arange(total) - np.repeat(starts, lengths)).astype(np.int32)
         # earlier occurrences of the same token in the same text
-        key = self.of * (int(flat.max()) + 1) + flat
-        order = np.argsort(key, kind="stable")
+        key = flat * total
+        key += np.arange(total)
+        key.sort()
+        token, order = np.divmod(key, total)
         new = np.ones(total, dtype=bool)
-        new[1:] = key[order][1:] != key[order][:-1]
-        first = np.maximum.accumulate(np.where(new, np.arange(total), 0))
-        self.seen = np.empty(total, dtype=np.int64)
-        self.seen[order] = np.arange(total) - first
-        self.repeat = (self.seen / np.maximum(self.at, 1)).astype(np.float32)
-        self.known = np.minimum(flat, head.size)
-        self.cls = head.cls[self.known]
-        self.leader = leaders(self.known, starts, lengths, head)
-        self.before = np.roll(self.cls, 1) + 1
+        new[1:] = (token[1:] != token[:-1]) | (self.of[order[1:]] != self.of[order[:-1]])
+        del key, token
+        seen = np.arange(total) - np.maximum.accumulate(np.where(new, np.arange(total), 0))
+        self.repeat = np.empty(total, dtype=np.float32)
+        self.repeat[order] = seen / np.maximum(self.at[order], 1)
+        del seen, order, new
+        known = np.minimum(flat, head.size)
+        self.leader = leaders(known, starts, lengths, head).astype(np.int8)
+        self.token_before = _token_before(known, starts).astype(np.uint32)
+        self.before = (np.roll(head.cls[known], 1) + 1).astype(np.int32)
         self.before[starts] = 0
-        self.before = self.before * 0x9E37
-        self.token_before = _token_before(self.known, starts)
-        self.chance = (np.log((self.at + 1.0) / (self.at + 301.0)) + REPEAT).astype(np.float32)
+        self.before *= 0x9E37
+        self.known = known.astype(np.int32)
+
+
+def _repeat_prior(at: np.ndarray) -> np.ndarray:
+    """Log-odds that a token at a place repeats an earlier one."""
+    return (np.log((at + 1.0) / (at + 301.0)) + REPEAT).astype(np.float32)
 
 
 def code_texts(flat: np.ndarray, lengths: np.ndarray, head: Head) -> np.ndarray:
@@ -222,10 +237,10 @@ def code_texts(flat: np.ndarray, lengths: np.ndarray, head: Head) -> np.ndarray:
     its text.
     """
     past = _History(flat, lengths, head)
-    total, of, at, known, cls, leader = len(flat), past.of, past.at, past.known, past.cls, past.leader
-    before, token_before, repeat, chance = past.before, past.token_before, past.repeat, past.chance
+    total, of, at, known, leader, repeat = len(flat), past.of, past.at, past.known, past.leader, past.repeat
+    before, token_before, cls, chance = past.before.astype(np.int64), past.token_before.astype(np.int64), head.cls[known], _repeat_prior(at)
     # a word beyond the head is drawn from the corpus once a text: what comes again costs its repeat, as its share is not known here
-    fresh = np.where((known == head.size) & (past.seen > 0), np.float32(0), head.word[leader, known])
+    fresh = np.where((known == head.size) & (repeat > 0), np.float32(0), head.word[leader, known])
 
     step = at % LANE
     lane_first = step == 0
@@ -360,7 +375,7 @@ def _code_side(starts: np.ndarray, lengths: np.ndarray, past: _History, head: He
     tables = np.zeros(2 * count * WORD_SLOTS, dtype=np.float32)
     weights = np.repeat(np.array(WORD_WEIGHTS, dtype=np.float32), count * gates)
     again = np.zeros(2 * count * SLOTS, dtype=np.float32)
-    again_weights = np.repeat(np.array([1.0, 0.4, 0.4], dtype=np.float32), count)
+    again_weights = np.repeat(np.array([[1.0], [0.4], [0.4]], dtype=np.float32), count, axis=1)
     lanes, bits = np.arange(count), np.zeros(count)
     active = np.searchsorted(-lengths, -np.arange(longest), side="left")  # texts with a token at each step
     step = 0
@@ -369,7 +384,7 @@ def _code_side(starts: np.ndarray, lengths: np.ndarray, past: _History, head: He
         lane = np.concatenate([lanes[:m] for m in widths.tolist()])
         here = starts[lane] + np.repeat(np.arange(step, step + len(widths)), widths)
         edges = np.concatenate([[0], np.cumsum(widths)])
-        before, token_before, leaf = past.before[here], past.token_before[here], past.known[here]
+        before, token_before, leaf = past.before[here].astype(np.int64), past.token_before[here].astype(np.int64), past.known[here]
         depth, start, node, bit, pair = tree.spread(leaf, token_before)
         x = np.empty((4, len(node)), dtype=np.float32)
         x[0] = tree.odds.ravel().take(node * (ANCHORS + 1) + np.repeat(past.leader[here], depth))
@@ -395,52 +410,35 @@ def _code_side(starts: np.ndarray, lengths: np.ndarray, past: _History, head: He
             weights[g] = w + (np.float32(WEIGHT_RATE) * err) * inputs
         fresh = np.multiply.reduceat(np.abs(1 - bit - chances).astype(np.float64), start)
         # a word beyond the head is drawn from the corpus once a text: what comes again costs its repeat, as its share is not known here
-        fresh[(leaf == head.size) & (past.seen[here] > 0)] = 0.0
+        repeat = past.repeat[here]
+        fresh[(leaf == head.size) & (repeat > 0)] = 0.0
         slots = np.stack([(before >> 4) & (SLOTS - 1), (token_before >> 3) & (SLOTS - 1)]) + lane * SLOTS
         slots[1] += count * SLOTS
-        gate = lane + (np.arange(3) * count)[:, None]
         x = np.empty((3, len(here)), dtype=np.float32)
-        x[0], repeat, both = past.chance[here], past.repeat[here], np.empty(len(here))
+        x[0], both = _repeat_prior(past.at[here]), np.empty(len(here))
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            s, g, inputs = slots[:, a:b], gate[:, a:b], x[:, a:b]
+            s, inputs, w = slots[:, a:b], x[:, a:b], again_weights[:, : b - a]  # the first texts are those that go on
             inputs[1:] = again[s]
-            w = again_weights[g]
             p = _chance((w * inputs).sum(0))
             same = p * repeat[a:b]
             both[a:b] = total = same + (1 - p) * fresh[a:b]
             err = (same / total - p).astype(np.float32)
             again[s] = inputs[1:] + np.float32(TABLE_RATE) * err
-            again_weights[g] = w + (np.float32(WEIGHT_RATE) * err) * inputs
+            w += (np.float32(WEIGHT_RATE) * err) * inputs
         bits -= np.bincount(lane, weights=np.log2(both), minlength=count)
         step += len(widths)
     return bits
 
 
-def _coded(texts: list[str | None], head: Head) -> tuple[np.ndarray, np.ndarray, list[dict[bytes, int]]]:
-    """Numbers of the tokens of all texts, one text after the other, the texts' lengths, and their words beyond the head."""
-    number, parts, others, lengths = head.number.__getitem__, [], [], []
-    for t in texts:
-        words = words_of(t)
-        codes = np.array(list(map(number, words)), dtype=np.int64)
-        own: dict[bytes, int] = {}
-        for k in np.flatnonzero(codes < 0).tolist():
-            codes[k] = own.setdefault(words[k], head.size + len(own))
-        parts.append(codes)
-        others.append(own)
-        lengths.append(len(codes))
-    return np.concatenate(parts), np.array(lengths), others
-
-
-def _runs(texts: list[str | None], most: int = TEXT_RUN):
-    """(first, end) of runs of texts of bounded size; a longer text is a run of its own."""
-    first = size = 0
-    for k, t in enumerate(texts):
-        if k > first and size + len(t or "") > most:
-            yield first, k
-            first, size = k, 0
-        size += len(t or "")
-    if texts:
-        yield first, len(texts)
+def _coded(texts: pa.Array, head: Head) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Numbers of the tokens of all texts, one text after the other, the texts' lengths, and what the numbers beyond the head stand for."""
+    split = _words(texts)
+    words = split.flatten()
+    flat = pc.fill_null(pc.index_in(words, value_set=head.words.cast(words.type)), -1).to_numpy().astype(np.int64)
+    others = np.flatnonzero(flat < 0)
+    named = words.take(pa.array(others)).dictionary_encode()
+    flat[others] = head.size + named.indices.to_numpy()
+    return flat, pc.list_value_length(split).to_numpy().astype(np.int64), named.dictionary
 
 
 def corpus_cells(texts: DataFrame, head: Head, tree: Tree | None = None) -> tuple[np.ndarray, np.ndarray | None]:
@@ -457,22 +455,22 @@ def corpus_cells(texts: DataFrame, head: Head, tree: Tree | None = None) -> tupl
     def rows(batches):
         h, tr = handle.value
         cells = np.zeros(most, dtype=np.int64)
-        for (column,) in batches:
-            for first, end in _runs(column):
-                flat, lengths, _ = _coded(column[first:end], h)
+        for batch in batches:
+            for run in _runs(batch.column(0), TEXT_RUN):
+                flat, lengths, _ = _coded(run, h)
                 known, starts = np.minimum(flat, h.size), np.cumsum(lengths) - lengths
                 leader = leaders(known, starts, lengths, h)
                 cells[:size] += np.bincount(leader * width + known, minlength=size)
                 if tr:
                     before = _token_before(known, starts)
-                    for k in range(0, len(known), STEP_TOKENS):
-                        _, _, _, bit, pair = tr.spread(known[k : k + STEP_TOKENS], before[k : k + STEP_TOKENS])
+                    for k in range(0, len(known), 20_000):
+                        *_, bit, pair = tr.spread(known[k : k + 20_000], before[k : k + 20_000])
                         cells[size:] += np.bincount(2 * _pair_cell(pair) + bit, minlength=2 * PAIR_CELLS)
         at = np.flatnonzero(cells)
         if len(at):
-            yield at.astype(np.int32), cells[at]
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(cells[at])], ["cell", "n"])
 
-    found = map_tasks(texts.select("text"), rows, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    found = texts.select("text").mapInArrow(rows, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(most)
     out[found["cell"].to_numpy()] = found["n"].to_numpy()
     return out[:size].reshape(ANCHORS + 1, width), out[size:].reshape(-1, 2) if tree else None
@@ -481,24 +479,32 @@ def corpus_cells(texts: DataFrame, head: Head, tree: Tree | None = None) -> tupl
 def _scan(docs: DataFrame, head: Head, tree: Tree | None) -> DataFrame:
     """Per row: bits and base of the head words, and the other words with their numbers, once each."""
     handle = docs.sparkSession.sparkContext.broadcast((head, tree))
+    other = pa.struct([("token", pa.string()), ("tf", pa.int32())])
+
+    def scanned(texts, h, tr):
+        flat, lengths, named = _coded(texts, h)
+        bits = code_words(flat, lengths, h, tr) if tr else code_texts(flat, lengths, h)
+        of, inside = np.repeat(np.arange(len(lengths)), lengths), flat < h.size
+        base = np.bincount(of[inside], weights=h.base_head[flat[inside]], minlength=len(lengths)) - lengths * h.base_each
+        key, tf = np.unique(of[~inside] * max(1, len(named)) + flat[~inside] - h.size, return_counts=True)
+        text, word = np.divmod(key, max(1, len(named)))
+        words = pa.StructArray.from_arrays([named.take(pa.array(word)).cast(pa.string()), pa.array(tf, pa.int32())], fields=list(other))
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(lengths)))])
+        return [lengths, np.bincount(of[inside], minlength=len(lengths)), base, bits, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), words)]
 
-    def rows(columns):
+    def rows(batches):
         h, tr = handle.value
-        ids, texts = columns
-        for first, end in _runs(texts, WORD_RUN if tr else TEXT_RUN):
-            flat, lengths, others = _coded(texts[first:end], h)
-            bits = code_words(flat, lengths, h, tr) if tr else code_texts(flat, lengths, h)
-            for k, got in enumerate(np.split(flat, np.cumsum(lengths)[:-1])):
-                in_head = got[got < h.size]
-                tf = np.bincount(got[got >= h.size] - h.size, minlength=len(others[k])).tolist() if others[k] else []
-                base = float(h.base_head[in_head].sum()) - len(got) * h.base_each
-                yield (
-                    ids[first + k], len((texts[first + k] or "").encode("utf-8", "surrogatepass")), len(got), len(in_head), base, float(bits[k]),
-                    [{"token": w.decode("utf-8", "surrogatepass"), "tf": n} for w, n in zip(others[k], tf, strict=True)],
-                )
+        names = ["doc_id", "n_bytes", "n_tokens", "n_head", "base", "bits", "others"]
+        for batch in batches:
+            at = 0
+            for run in _runs(batch.column(1), WORD_RUN if tr else TEXT_RUN):
+                size = pc.fill_null(pc.binary_length(run), 0).cast(pa.int64())
+                made = pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(run)), size, *(x if isinstance(x, pa.Array) else pa.array(x) for x in scanned(run, h, tr))], names)
+                yield from (made.slice(k, 1024) for k in range(0, len(run), 1024))
+                at += len(run)
 
     schema = "doc_id long, n_bytes long, n_tokens long, n_head long, base double, bits double, others array<struct<token: string, tf: int>>"
-    return map_batches(docs.select(F.col("doc_id").cast("long"), F.col("text")), rows, schema, most=1024)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInArrow(rows, schema)
 
 
 # --- spelling of unseen words -------------------------------------------------------------------------------------
@@ -516,7 +522,7 @@ def _contexts(data: np.ndarray, pos: int) -> list[np.ndarray]:
 
 
 def _slots(context: np.ndarray, partial: np.ndarray) -> np.ndarray:
-    return (((context * np.uint64(0x9E3779B1) + partial.astype(np.uint64) * np.uint64(0x85EBCA6B)) >> np.uint64(9)) % np.uint64(SPELL_SLOTS)).astype(np.int64)
+    return (((context * np.uint64(0x9E3779B1) + partial.astype(np.uint64) * np.uint64(0x85EBCA6B)) >> np.uint64(9)) & np.uint64(SPELL_SLOTS - 1)).view(np.int64)
 
 
 def _walk(words: list[bytes]):

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -744,6 +745,24 @@ def test_whole_words_do_not_depend_on_what_is_coded_beside_them(monkeypatch):
     assert lm.code_words(np.array([0, 1, 0]), np.array([3]), none, tree)[0] > 0
 
 
+def test_whole_words_on_odd_rows(docs, empty):
+    """Null, empty, blank and repeated rows and a text of 30,000 words; an empty table."""
+    rows, texts = lm.score(docs, whole=True).collect(), Counter()
+    assert len(rows) == docs.count() and lm.score(empty, whole=True).count() == 0
+    for r in docs.collect():
+        texts[r["doc_id"], len(lm.words_of(r["text"]))] += 1
+    assert Counter((r["doc_id"], r["n_tokens"]) for r in rows) == texts
+    assert all(math.isfinite(r["score"]) and r["score"] < 0 and r["base_score"] < 0 for r in rows)
+    assert len({r["score"] for r in rows if r["doc_id"] == 2}) == 1 and {r["bits_per_byte"] for r in rows if r["doc_id"] in (4, 5)} == {0.0}
+
+
+def test_words_of_many_texts_equal_those_of_one():
+    rng = random.Random(1)
+    texts = [None, "", " ", "\t\n", "a", " a", "a ", "AÉb \x0b\x0c c\r\nd", " x\u3000y  z", "a\x00b \x1c\x1d\x85"]
+    texts += ["".join(rng.choice(" \t\n\x0b\x0c\rabAÉ漢\x1c\x85\xa0") for _ in range(rng.randrange(30))) for _ in range(500)]
+    assert [[w.encode() for w in got] for got in lm._words(pa.array(texts)).to_pylist()] == [lm.words_of(t) for t in texts]
+
+
 def test_spelling_sums_to_at_most_one():
     """All words of up to two letters of a small alphabet, spelled with a table learned from some of them."""
     import numpy as np
