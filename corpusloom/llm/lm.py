@@ -330,104 +330,163 @@ class Tree:
             if self.side[k]:
                 ones[root - self.up[k]] = mass[k]
         share = np.clip(ones / mass[n:][::-1], 1e-6, 1 - 1e-6)
-        self.odds = np.log(share / (1 - share)).astype(np.float32)
+        self.odds = np.ascontiguousarray(np.log(share / (1 - share)).astype(np.float32).T)  # nodes near the root lie together
         self.pairs = pairs.astype(np.float32)
         del self.up, self.side, self.weights
 
     def spread(self, leaf: np.ndarray, token_before: np.ndarray) -> tuple[np.ndarray, ...]:
-        """The decisions of tokens, one token after the other: number by token, first by token, node, bit, hash of node and token before."""
-        depth = self.depth[leaf]
+        """The decisions of tokens, one token after the other: number by token, first by token, node, bit, hash of node, hash of node and token before.
+
+        Hashes are of 32 bits; no use of them looks further.
+        """
+        depth = self.depth.take(leaf)
         start = np.cumsum(depth) - depth
-        spot = np.repeat(self.first[leaf] - start, depth) + np.arange(int(depth.sum()))
-        node = self.node.take(spot).astype(np.int64)
-        return depth, start, node, self.bit.take(spot), np.repeat(token_before * 0x2545F491, depth) + node * 0x9E3779B1
+        spot = np.repeat(self.first.take(leaf) - start, depth)
+        spot += np.arange(len(spot))
+        node = self.node.take(spot)
+        hashed = node.view(np.uint32) * np.uint32(0x9E3779B1)
+        pair = np.repeat(token_before.astype(np.uint32) * np.uint32(0x2545F491), depth)
+        pair += hashed
+        return depth, start, node, self.bit.take(spot), hashed, pair
 
 
 def _pair_cell(pair: np.ndarray) -> np.ndarray:
-    return (pair >> 7) & (PAIR_CELLS - 1)
+    return ((pair >> np.uint32(7)) & np.uint32(PAIR_CELLS - 1)).astype(np.int64)
 
 
 def code_words(flat: np.ndarray, lengths: np.ndarray, head: Head, tree: Tree) -> np.ndarray:
     """Bits of each text, as :func:`code_texts`, with every decision of a word coded by mixed predictors.
 
     Tables and weights of a text run on from its first token to its last.  All decisions of a token are predicted before
-    any of them is learned.  Texts of like length are coded side by side.
+    any of them is learned.  Texts are coded side by side, in rows that go on with another text, and new tables, where one ends.
     """
     past = _History(flat, lengths, head)
-    starts = np.cumsum(lengths) - lengths
-    order = np.argsort(-lengths, kind="stable")
-    out = np.zeros(len(lengths))
-    for k in range(0, len(order), SIDE):
-        some = order[k : k + SIDE]
-        out[some] = _code_side(starts[some], lengths[some], past, head, tree)
-    return out
+    row, offset, ends = _in_rows(lengths)
+    widths = np.searchsorted(-ends, -np.arange(int(ends[0])), side="left")  # rows with a token at each step
+    begins = np.cumsum(widths) - widths
+    here = np.empty(len(flat), dtype=np.int64)  # tokens, one step after the other
+    here[begins.take(past.at + np.repeat(offset, lengths)) + np.repeat(row, lengths)] = np.arange(len(flat))
+    coder, step, bits = _Rows(len(ends), head, tree), 0, np.zeros(len(lengths))
+    while step < len(widths):
+        some = widths[step : step + max(1, STEP_TOKENS // int(widths[step]))]  # steps with a bounded number of tokens
+        now = here[begins[step] : begins[step] + int(some.sum())]
+        bits -= np.bincount(past.of[now], weights=np.log2(coder.code(now, some, past)), minlength=len(lengths))
+        step += len(some)
+    return bits
+
+
+def _in_rows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The row of each text and where in it the text begins, and the rows' ends, the last one first: SIDE rows at most, of like length."""
+    count = min(SIDE, -(-int(lengths.sum()) // int(lengths.max())))
+    row, offset = np.empty(len(lengths), dtype=np.int64), np.empty(len(lengths), dtype=np.int64)
+    heap = [(0, k) for k in range(count)]
+    for text in np.argsort(-lengths, kind="stable").tolist():
+        offset[text], row[text] = heap[0]
+        heapq.heapreplace(heap, (heap[0][0] + int(lengths[text]), heap[0][1]))
+    heap.sort(reverse=True)
+    rank = np.empty(count, dtype=np.int64)
+    rank[[k for _, k in heap]] = np.arange(count)
+    return rank[row], offset, np.array([end for end, _ in heap])
 
 
 def _chance(x: np.ndarray) -> np.ndarray:
-    """The chance of log-odds, which are cut to 15 either way in place."""
+    """The chance of log-odds, which are overwritten; beyond 15 either way they count as 15."""
     np.minimum(np.maximum(x, np.float32(-15), out=x), np.float32(15), out=x)
-    return 1 / (1 + np.exp(-x))
-
-
-def _code_side(starts: np.ndarray, lengths: np.ndarray, past: _History, head: Head, tree: Tree) -> np.ndarray:
-    """Bits of texts, the longest first."""
-    count, longest, gates = len(lengths), int(lengths[0]), int(tree.depth.max())
-    tables = np.zeros(2 * count * WORD_SLOTS, dtype=np.float32)
-    weights = np.repeat(np.array(WORD_WEIGHTS, dtype=np.float32), count * gates)
-    again = np.zeros(2 * count * SLOTS, dtype=np.float32)
-    again_weights = np.repeat(np.array([[1.0], [0.4], [0.4]], dtype=np.float32), count, axis=1)
-    lanes, bits = np.arange(count), np.zeros(count)
-    active = np.searchsorted(-lengths, -np.arange(longest), side="left")  # texts with a token at each step
-    step = 0
-    while step < longest:
-        widths = active[step : step + max(1, STEP_TOKENS // int(active[step]))]  # steps with a bounded number of tokens
-        lane = np.concatenate([lanes[:m] for m in widths.tolist()])
-        here = starts[lane] + np.repeat(np.arange(step, step + len(widths)), widths)
+    np.exp(np.negative(x, out=x), out=x)
+    x += np.float32(1)
+    return np.reciprocal(x, out=x)
+
+
+class _Rows:
+    """Tables and weights of texts that are coded side by side, one text a row at a time.
+
+    Four weights of a decision stand together and move as one number of 16 bytes.
+    """
+
+    def __init__(self, count: int, head: Head, tree: Tree):
+        self.head, self.tree, self.gates = head, tree, int(tree.depth.max())
+        self.tables = np.empty((2, count * WORD_SLOTS), dtype=np.float32)
+        self.weights = np.empty(count * self.gates, dtype=np.complex128)
+        self.again = np.empty((2, count * SLOTS), dtype=np.float32)
+        self.again_weights = np.empty((3, count), dtype=np.float32)
+
+    def code(self, here: np.ndarray, widths: np.ndarray, past: _History) -> np.ndarray:
+        """The chances of the tokens ``here``, which are those of some steps; the first rows are those that go on."""
         edges = np.concatenate([[0], np.cumsum(widths)])
-        before, token_before, leaf = past.before[here].astype(np.int64), past.token_before[here].astype(np.int64), past.known[here]
-        depth, start, node, bit, pair = tree.spread(leaf, token_before)
+        row = np.arange(len(here)) - np.repeat(edges[:-1], widths)
+        at = past.at.take(here)
+        begun: dict[int, list[int]] = {}
+        for k in np.flatnonzero(at == 0).tolist():
+            begun.setdefault(int(np.searchsorted(edges, k, side="right")) - 1, []).append(int(row[k]))
+        leaf, repeat, before, token_before = (x.take(here) for x in (past.known, past.repeat, past.before, past.token_before))
+        fresh = self._words(row, edges, begun, leaf, past.leader.take(here), before, token_before)
+        # a word beyond the head is drawn from the corpus once a text: what comes again costs its repeat, as its share is not known here
+        fresh[(leaf == self.head.size) & (repeat > 0)] = 0.0
+        return self._repeats(row, edges, begun, at, before, token_before, repeat, fresh)
+
+    def _words(self, row, edges, begun, leaf, leader, before, token_before) -> np.ndarray:
+        """The chance of each token's word by its decisions."""
+        tree, gates = self.tree, self.gates
+        depth, start, node, bit, hashed, pair = tree.spread(leaf, token_before)
         x = np.empty((4, len(node)), dtype=np.float32)
-        x[0] = tree.odds.ravel().take(node * (ANCHORS + 1) + np.repeat(past.leader[here], depth))
-        zeros, ones = tree.pairs.take(_pair_cell(pair), axis=0).T
-        share = PAIR_SMOOTH / (1 + np.exp(-x[0]))
-        x[1] = np.log((ones + share) / (zeros + (np.float32(PAIR_SMOOTH) - share)))
-        slots = np.empty((2, len(node)), dtype=np.int64)
-        slots[0] = ((np.repeat(before * 0x85EB, depth) + node * 0x9E3779B1) >> 5) & (WORD_SLOTS - 1)
-        slots[1] = (pair >> 5) & (WORD_SLOTS - 1)
-        slots += np.repeat(lane * WORD_SLOTS, depth)
-        slots[1] += count * WORD_SLOTS
-        gate = np.repeat(lane * gates - start, depth) + np.arange(len(node)) + (np.arange(4) * (count * gates))[:, None]
+        spot = np.repeat(leader.astype(np.int64) * tree.odds.shape[1], depth)
+        spot += node
+        tree.odds.ravel().take(spot, out=x[0], mode="clip")  # all are within it, and this mode writes in place
+        share = np.negative(x[0])
+        share = np.float32(PAIR_SMOOTH) / (np.exp(share, out=share) + np.float32(1))
+        zeros, ones = tree.pairs.view(np.complex64).ravel().take(_pair_cell(pair)).view(np.float32).reshape(-1, 2).T
+        ones = ones + share
+        ones /= zeros + (np.float32(PAIR_SMOOTH) - share)
+        np.log(ones, out=x[1])
+        hashed += np.repeat(before.astype(np.uint32) * np.uint32(0x85EB), depth)
+        base = np.repeat(row * WORD_SLOTS, depth)
+        by_class = ((hashed >> np.uint32(5)) & np.uint32(WORD_SLOTS - 1)) + base
+        by_token = ((pair >> np.uint32(5)) & np.uint32(WORD_SLOTS - 1)) + base
+        gate = np.repeat(row * gates - start, depth)
+        gate += np.arange(len(node))
         bit = bit.astype(np.float32)
-        chances = np.empty(len(node), dtype=np.float32)
+        wrong = np.empty(len(node), dtype=np.float32)
+        first, second = self.tables
+        packed = np.empty((int(np.diff(edges).max()) * gates, 4), dtype=np.float32)
         cuts = np.append(start, len(node))[edges].tolist()
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            s, g, inputs = slots[:, a:b], gate[:, a:b], x[:, a:b]
-            inputs[2:] = tables[s]
-            w = weights[g]
-            chances[a:b] = p = _chance((w * inputs).sum(0))
-            err = bit[a:b] - p
-            tables[s] = inputs[2:] + np.float32(TABLE_RATE) * err
-            weights[g] = w + (np.float32(WEIGHT_RATE) * err) * inputs
-        fresh = np.multiply.reduceat(np.abs(1 - bit - chances).astype(np.float64), start)
-        # a word beyond the head is drawn from the corpus once a text: what comes again costs its repeat, as its share is not known here
-        repeat = past.repeat[here]
-        fresh[(leaf == head.size) & (repeat > 0)] = 0.0
-        slots = np.stack([(before >> 4) & (SLOTS - 1), (token_before >> 3) & (SLOTS - 1)]) + lane * SLOTS
-        slots[1] += count * SLOTS
-        x = np.empty((3, len(here)), dtype=np.float32)
-        x[0], both = _repeat_prior(past.at[here]), np.empty(len(here))
-        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-            s, inputs, w = slots[:, a:b], x[:, a:b], again_weights[:, : b - a]  # the first texts are those that go on
-            inputs[1:] = again[s]
-            p = _chance((w * inputs).sum(0))
+        for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            if k in begun:
+                self.tables.reshape(2, -1, WORD_SLOTS)[:, begun[k]] = 0
+                self.weights.reshape(-1, gates)[begun[k]] = np.array(WORD_WEIGHTS, dtype=np.float32).view(np.complex128)
+            s, t, g, inputs = by_class[a:b], by_token[a:b], gate[a:b], x[:, a:b]
+            inputs[2], inputs[3] = first[s], second[t]
+            w = np.ascontiguousarray(self.weights[g].view(np.float32).reshape(-1, 4).T)
+            err = np.subtract(bit[a:b], _chance(np.einsum("ij,ij->j", w, inputs)), out=wrong[a:b])
+            gone = np.float32(TABLE_RATE) * err
+            first[s], second[t] = inputs[2] + gone, inputs[3] + gone
+            w += (np.float32(WEIGHT_RATE) * err) * inputs
+            to = packed[: b - a]
+            to.T[:] = w
+            self.weights[g] = to.view(np.complex128).ravel()
+        return np.multiply.reduceat(1 - np.abs(wrong).astype(np.float64), start)
+
+    def _repeats(self, row, edges, begun, at, before, token_before, repeat, fresh) -> np.ndarray:
+        """The chance of each token with that of repeating an earlier one."""
+        first, second = self.again
+        base = row * SLOTS
+        by_class = ((before >> 4) & (SLOTS - 1)) + base
+        by_token = ((token_before >> np.uint32(3)) & np.uint32(SLOTS - 1)) + base
+        x = np.empty((3, len(row)), dtype=np.float32)
+        x[0], both = _repeat_prior(at), np.empty(len(row))
+        for k, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)):
+            if k in begun:
+                self.again.reshape(2, -1, SLOTS)[:, begun[k]] = 0
+                self.again_weights[:, begun[k]] = np.array([[1.0], [0.4], [0.4]], dtype=np.float32)
+            s, t, inputs, w = by_class[a:b], by_token[a:b], x[:, a:b], self.again_weights[:, : b - a]
+            inputs[1], inputs[2] = first[s], second[t]
+            p = _chance(np.einsum("ij,ij->j", w, inputs))
             same = p * repeat[a:b]
             both[a:b] = total = same + (1 - p) * fresh[a:b]
             err = (same / total - p).astype(np.float32)
-            again[s] = inputs[1:] + np.float32(TABLE_RATE) * err
+            gone = np.float32(TABLE_RATE) * err
+            first[s], second[t] = inputs[1] + gone, inputs[2] + gone
             w += (np.float32(WEIGHT_RATE) * err) * inputs
-        bits -= np.bincount(lane, weights=np.log2(both), minlength=count)
-        step += len(widths)
-    return bits
+        return both
 
 
 def _coded(texts: pa.Array, head: Head) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -464,7 +523,7 @@ def corpus_cells(texts: DataFrame, head: Head, tree: Tree | None = None) -> tupl
                 if tr:
                     before = _token_before(known, starts)
                     for k in range(0, len(known), 20_000):
-                        *_, bit, pair = tr.spread(known[k : k + 20_000], before[k : k + 20_000])
+                        *_, bit, _, pair = tr.spread(known[k : k + 20_000], before[k : k + 20_000])
                         cells[size:] += np.bincount(2 * _pair_cell(pair) + bit, minlength=2 * PAIR_CELLS)
         at = np.flatnonzero(cells)
         if len(at):
@@ -510,38 +569,35 @@ def _scan(docs: DataFrame, head: Head, tree: Tree | None) -> DataFrame:
 # --- spelling of unseen words -------------------------------------------------------------------------------------
 
 
-def _contexts(data: np.ndarray, pos: int) -> list[np.ndarray]:
-    """A hash of the last 1..4 bytes before ``pos`` for each row of bytes."""
-    out = []
-    for n in ORDERS:
-        h = np.full(len(data), n * 0x9E3779B1, dtype=np.uint64)
+def _contexts(data: np.ndarray, pos: int, count: int) -> np.ndarray:
+    """A hash of the last 1..4 bytes before ``pos``, by order, for the first words of ``data``, which holds a byte of all words a row."""
+    out = np.empty((len(ORDERS), count), dtype=np.uint32)
+    for n, h in zip(ORDERS, out, strict=True):
+        h[:] = n * 0x9E3779B1 & 0xFFFFFFFF
         for k in range(pos - n, pos):
-            h = (h * np.uint64(0x100000001B3) + (data[:, k].astype(np.uint64) if k >= 0 else np.uint64(257))) & np.uint64(0xFFFFFFFF)
-        out.append(h)
+            h *= np.uint32(0x1B3)
+            h += data[k, :count] if k >= 0 else np.uint32(257)
     return out
 
 
-def _slots(context: np.ndarray, partial: np.ndarray) -> np.ndarray:
-    return (((context * np.uint64(0x9E3779B1) + partial.astype(np.uint64) * np.uint64(0x85EBCA6B)) >> np.uint64(9)) & np.uint64(SPELL_SLOTS - 1)).view(np.int64)
-
-
 def _walk(words: list[bytes]):
     """For each bit of each word and its closing space: (rows, slots by order, bit)."""
     lengths = np.array([len(w) + 1 for w in words])
     order = np.argsort(-lengths, kind="stable")
     width = int(lengths.max())
-    data = np.zeros((len(words), width), dtype=np.uint8)
-    for k, w in enumerate(words):
-        data[k, : len(w) + 1] = np.frombuffer(w + b" ", dtype=np.uint8)
-    for pos in range(width):
-        rows = order[: int((lengths > pos).sum())]
-        part = data[rows]
-        contexts = _contexts(part[:, : pos + 1], pos)
-        partial = np.ones(len(rows), dtype=np.int64)
+    data = np.zeros((width, len(words)), dtype=np.uint8)
+    for k, at in enumerate(order.tolist()):
+        data[: len(words[at]) + 1, k] = np.frombuffer(words[at] + b" ", dtype=np.uint8)
+    counts = np.searchsorted(-lengths[order], -np.arange(width), side="left").tolist()  # words with a byte at each place
+    for pos, count in enumerate(counts):
+        rows = order[:count]
+        contexts = _contexts(data, pos, count) * np.uint32(0x9E3779B1)
+        partial = np.ones(count, dtype=np.uint32)
         for b in range(7, -1, -1):
-            bit = (part[:, pos] >> b) & 1
-            yield rows, [_slots(c, partial) for c in contexts], bit
-            partial = 2 * partial + bit
+            bit = (data[pos, :count] >> b) & 1
+            yield rows, ((contexts + partial * np.uint32(0x85EBCA6B)) >> np.uint32(9)) & np.uint32(SPELL_SLOTS - 1), bit
+            partial += partial
+            partial += bit
 
 
 def _chunks(words: list[str], most: int = 4096, size: int = 4_000_000):
@@ -559,6 +615,7 @@ def _chunks(words: list[str], most: int = 4096, size: int = 4_000_000):
 def spelling(counts: DataFrame) -> np.ndarray:
     """Counts of zeros and ones by order and slot, over all words of the corpus, each once."""
     cells = len(ORDERS) * SPELL_SLOTS * 2
+    by_order = np.arange(len(ORDERS), dtype=np.uint32)[:, None] * np.uint32(SPELL_SLOTS)
 
     def rows(batches):
         table = np.zeros(cells, dtype=np.int64)
@@ -566,8 +623,8 @@ def spelling(counts: DataFrame) -> np.ndarray:
             hit, size = [], 0
             for run in _chunks([w for w in column if w]):
                 for _, slots, bit in _walk(run):
-                    hit += [(k * SPELL_SLOTS + s) * 2 + bit for k, s in enumerate(slots)]
-                    size += len(ORDERS) * len(bit)
+                    hit.append(((slots + by_order) * np.uint32(2) + bit).ravel())
+                    size += slots.size
                     if size > 2_000_000:
                         table += np.bincount(np.concatenate(hit), minlength=cells)
                         hit, size = [], 0
@@ -588,17 +645,22 @@ def spell(words: list[str], table: np.ndarray) -> list[float]:
     out: dict[bytes, float] = {}
     n = table.sum(2)
     stretch = np.log((table[:, :, 1] + 0.4) / (table[:, :, 0] + 0.4))
-    trust = np.minimum(np.log1p(n), 6.0) / 6.0
+    known = np.log1p(n)
+    told = (stretch * np.minimum(known, 6.0) / 6.0).ravel()
+    gates = np.minimum(known[-1].astype(np.int64), 3)
+    by_order = np.arange(len(ORDERS))[:, None] * SPELL_SLOTS
     for run in _chunks(list(dict.fromkeys(words))):
         cost = np.zeros(len(run))
-        weight = np.tile(np.array([0.15, 0.25, 0.4, 0.5]), (len(run), 4, 1))
+        weight = np.repeat(np.array([[0.15], [0.25], [0.4], [0.5]]), 4 * len(run), axis=1)
         for rows, slots, bit in _walk(run):
-            x = np.stack([stretch[k, s] * trust[k, s] for k, s in enumerate(slots)], axis=1)
-            gate = np.minimum(np.log1p(n[-1, slots[-1]]).astype(np.int64), 3)
-            w = weight[rows, gate]
-            p = np.clip(_squash((w * x).sum(1)), 1e-4, 1 - 1e-4)
+            x = told.take(slots + by_order)
+            spot = rows * 4 + gates.take(slots[-1])
+            w = weight.take(spot, axis=1)
+            p = np.clip(_squash((w * x).sum(0)), 1e-4, 1 - 1e-4)
             cost[rows] -= np.log2(np.where(bit > 0, p, 1 - p))
-            weight[rows, gate] = w + SPELL_RATE * (bit - p)[:, None] * x
+            w += SPELL_RATE * (bit - p) * x
+            for k, own in enumerate(weight):
+                own[spot] = w[k]
         out.update(zip(run, cost.tolist(), strict=True))
     return [out[w.encode("utf-8", "surrogatepass")] for w in words]
 
@@ -676,7 +738,7 @@ def score(docs: DataFrame, whole: bool = False) -> DataFrame:
     scanned = saved(_scan(docs, head, tree).withColumn("row", F.monotonically_increasing_id()))
 
     # one pass over the words beyond the head: the look-up is not made again for those never seen
-    rare = scanned.select("row", F.explode("others").alias("w")).select("row", "w.token", "w.tf").join(counts, "token", "left")
+    rare = scanned.select("row", F.explode("others").alias("w")).select("row", "w.token", "w.tf").join(counts.hint("shuffle_hash"), "token", "left")
     extra = _tail_bits(rare, table, head).groupBy("row").agg(F.sum("known").alias("k"), F.sum("base").alias("b"), F.sum("bits").alias("x"))
     full = scanned.drop("others").join(extra, "row", "left")
     bits = F.col("bits") + F.coalesce("x", F.lit(0.0))

@@ -745,6 +745,29 @@ def test_whole_words_do_not_depend_on_what_is_coded_beside_them(monkeypatch):
     assert lm.code_words(np.array([0, 1, 0]), np.array([3]), none, tree)[0] > 0
 
 
+def test_steps_of_whole_words_are_those_of_the_longest_text_or_of_a_fair_share(monkeypatch):
+    """Coding costs by the step: where a short text ends another one goes on, instead of waiting for the long ones."""
+    rng = random.Random(4)
+    head = lm.Head([("", 40)] + [(f"w{k}", 300 // (k + 1)) for k in range(60)], 3_000, 400, 100)
+    tree = lm.Tree(head)
+    tree.learn(head, np.ones((lm.ANCHORS + 1, head.size + 1)), np.ones((lm.PAIR_CELLS, 2)))
+    monkeypatch.setattr(lm, "SIDE", 4)
+    calls, chance = [], lm._chance
+    monkeypatch.setattr(lm, "_chance", lambda x: calls.append(len(x)) or chance(x))
+    for lengths, steps in (([100] * 6 + [900] + [100] * 6, 900), ([300, 10] * 8, 620), ([5], 5)):
+        calls.clear()
+        lm.code_words(np.array([rng.randrange(head.size) for _ in range(sum(lengths))]), np.array(lengths), head, tree)
+        assert steps <= len(calls) / 2 <= 1.05 * steps, (lengths, len(calls))  # one for the words and one for the repeats of each step
+
+
+def test_words_beyond_the_head_are_looked_up_without_sorting_them(docs, monkeypatch):
+    """The join by token of the query's plan is hashed; its rows are the most of the query."""
+    monkeypatch.setattr(lm, "HEAD", 40)
+    plan = lm.score(docs, whole=True)._jdf.queryExecution().executedPlan().toString()
+    joins = [x for x in plan.splitlines() if "Join" in x and "token" in x]
+    assert joins and all("HashJoin" in x for x in joins), plan
+
+
 def test_whole_words_on_odd_rows(docs, empty):
     """Null, empty, blank and repeated rows and a text of 30,000 words; an empty table."""
     rows, texts = lm.score(docs, whole=True).collect(), Counter()
