@@ -438,22 +438,36 @@ def seed_entities(spark, d):
     return retrieval.seed_entities(_prepared(spark, d), _graph(spark, d)["entities"]).select("q", "entity_id", "seed_rank", F.round("score", 4).alias("score"))
 
 
-def _paths(spark, d):
-    g, asked = _graph(spark, d), _prepared(spark, d)
-    seeds = retrieval.seed_entities(asked, g["entities"])
-    near = retrieval.direct_paths(asked, seeds, g["mentions"], g["chunks"], g["legal_cases"])
-    far = retrieval.related_paths(asked, seeds, g["related_to"], g["entities"], g["mentions"], g["chunks"], g["legal_cases"])
-    return near, far
+def _stored_chunks(spark, d):
+    """The chunks as written and read again, where more than one table is made of them: texts are cut once."""
+    path = _folder(spark, "chunks")
+    _chunks(spark, d).write.option("compression", "zstd").parquet(path)
+    return spark.read.parquet(path)
+
+
+def _seeded(spark, d):
+    """The graph, the questions and their seeds.  Entities are counted first, which keeps the entities of chunks once."""
+    g, asked = graph.build_graph(_stored_chunks(spark, d), PROSE), _prepared(spark, d)
+    g["entities"] = io.saved(g["entities"])
+    return g, asked, io.saved(retrieval.seed_entities(asked, g["entities"]))
+
+
+def _near(g, asked, seeds):
+    return retrieval.direct_paths(asked, seeds, g["mentions"], g["chunks"], g["legal_cases"])
+
+
+def _far(g, asked, seeds):
+    return retrieval.related_paths(asked, seeds, g["related_to"], g["entities"], g["mentions"], g["chunks"], g["legal_cases"])
 
 
 @_query
 def direct_paths(spark, d):
-    return _paths(spark, d)[0].select("q", "seed_rank", "mention_rank", "chunk_id", "path", "flow", F.round("score", 4).alias("score"))
+    return _near(*_seeded(spark, d)).select("q", "seed_rank", "mention_rank", "chunk_id", "path", "flow", F.round("score", 4).alias("score"))
 
 
 @_query
 def related_paths(spark, d):
-    return _paths(spark, d)[1].select("q", "seed_rank", "edge_rank", "mention_rank", "chunk_id", "path", "flow", F.round("score", 4).alias("score"))
+    return _far(*_seeded(spark, d)).select("q", "seed_rank", "edge_rank", "mention_rank", "chunk_id", "path", "flow", F.round("score", 4).alias("score"))
 
 
 def _stored(spark, d):
@@ -479,8 +493,8 @@ def stored_related_paths(spark, d):
 
 @_query
 def prune_paths(spark, d):
-    near, far = _paths(spark, d)
-    return context.prune_paths(near.unionByName(far)).drop("text", "block")
+    seeded = _seeded(spark, d)
+    return context.prune_paths(_near(*seeded).unionByName(_far(*seeded))).drop("text", "block")
 
 
 @_query

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.operators import adjacency, chunking, graph, loads, postings, retrieval, vectors
+from corpusloom.operators import adjacency, chunking, context, graph, loads, postings, retrieval, vectors
 from corpusloom.packs import LEGAL
 from corpusloom.sources import io
 from corpusloom.streaming.ingest import stream_graph
@@ -152,3 +152,55 @@ def test_psv_keeps_quotes_and_backslashes(spark, tmp_path):
     got = spark.read.schema("citation_id string, citation_text string").csv(f"{tmp_path}/citations", sep="|", header=True, quote="\u0000", escape="\u0000", emptyValue="", nullValue="\u0000")
     back = got.select(*[F.regexp_replace(F.coalesce(c, F.lit("")), r'\\(["\\])', "$1").alias(c) for c in got.columns])
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+
+
+def rows_made(spark, make):
+    """What ``make`` gives, and the most rows that a step of any query inside it made."""
+    store, bus = spark._jsparkSession.sharedState().statusStore(), spark.sparkContext._jsc.sc().listenerBus()
+    bus.waitUntilEmpty(30_000)
+    known, most = {e.executionId() for e in each(store.executionsList())}, 0
+    got = make()
+    bus.waitUntilEmpty(30_000)
+    for e in each(store.executionsList()):
+        if e.executionId() not in known:
+            told = {x._1(): x._2() for x in each(store.executionMetrics(e.executionId()))}
+            counts = [told.get(m.accumulatorId(), "0") for m in each(e.metrics()) if m.name() == "number of output rows"]
+            most = max([most, *[int(c.replace(",", "")) for c in counts]])
+    return got, most
+
+
+def each(seq):
+    at = seq.iterator()
+    while at.hasNext():
+        yield at.next()
+
+
+@pytest.fixture(scope="module")
+def hub(spark):
+    """Two entities of 20,000 chunks each, which all of 50 questions ask for, and an edge between them."""
+    ids = F.format_string("c%05d", "id")
+    mentions = spark.range(20_000).select(ids.alias("chunk_id"), F.explode(F.array(F.lit("a"), F.lit("b"))).alias("entity_id"), F.lit(1).cast("long").alias("weight"))
+    related = spark.createDataFrame([("a", "b", "CO_OCCURS_WITH", 20_000)], "from_entity_id string, to_entity_id string, relation_type string, weight long")
+    entities = spark.createDataFrame([("a", "waiver", "CONCEPT", 20_000), ("b", "contract", "CONCEPT", 20_000)], "entity_id string, name string, type string, frequency long")
+    chunks = spark.range(20_000).select(ids.alias("chunk_id"), F.lit("s").alias("source_id"), F.col("id").cast("int").alias("chunk_index"), F.lit(2).alias("token_count"), F.lit("waiver contract").alias("text"))
+    cases = spark.createDataFrame([("s", "State")], "case_id string, case_name string")
+    asked = retrieval.prepare_questions(spark.range(50).select(F.col("id").alias("q"), F.lit("waiver of a contract").alias("question")))
+    return asked, retrieval.seed_entities(asked, entities), related, entities, mentions, chunks, cases
+
+
+def test_direct_paths_of_a_hub_count_its_mentions_once(spark, hub):
+    asked, seeds, _, _, mentions, chunks, cases = hub
+    rows, most = rows_made(spark, lambda: retrieval.direct_paths(asked, seeds, mentions, chunks, cases).collect())
+    assert len(rows) == 50 * 2 * 12 and {r["chunk_id"] for r in rows} == {f"c{k:05}" for k in range(12)}
+    assert all(r["mention_rank"] == int(r["chunk_id"][1:]) + 1 for r in rows)
+    assert most <= 50_000  # not questions times mentions
+
+
+def test_prune_paths_deals_texts_out_once(spark, hub):
+    asked, seeds, related, entities, mentions, chunks, cases = hub
+    paths = retrieval.direct_paths(asked, seeds, mentions, chunks, cases)
+    kept = context.prune_paths(paths)
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Evidence" in line for line in plan.splitlines() if "collect_list" in line or "min(struct" in line)
+    rows = kept.where("q = 7").orderBy("place").collect()
+    assert [r["place"] for r in rows] == list(range(1, 8)) and all(r["block"].endswith(f"{r['path']}\nEvidence: {r['text']}") for r in rows)
