@@ -204,3 +204,10 @@ def test_prune_paths_deals_texts_out_once(spark, hub):
     assert not any("Evidence" in line for line in plan.splitlines() if "collect_list" in line or "min(struct" in line)
     rows = kept.where("q = 7").orderBy("place").collect()
     assert [r["place"] for r in rows] == list(range(1, 8)) and all(r["block"].endswith(f"{r['path']}\nEvidence: {r['text']}") for r in rows)
+
+
+def test_related_paths_of_a_hub_count_its_mentions_once(spark, hub):
+    asked, seeds, related, entities, mentions, chunks, cases = hub
+    rows, most = rows_made(spark, lambda: retrieval.related_paths(asked, seeds, related, entities, mentions, chunks, cases).collect())
+    assert len(rows) == 50 * 2 * 8 and {r["chunk_id"] for r in rows} == {f"c{k:05}" for k in range(8)} and {r["edge_rank"] for r in rows} == {1}
+    assert most <= 50_000
