@@ -3,38 +3,25 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+import re
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from corpusloom.functions.text import tokenize
-from corpusloom.operators.best import best_rows
+from corpusloom.operators.best import KEPT_WORDS, best_rows
 
 #: Fixed value: dimensions of a hashed vector.
 DIMS = 4096
-
-
-@F.pandas_udf(T.StructType([T.StructField("idx", T.IntegerType()), T.StructField("sign", T.IntegerType())]))
-def blake_slot(tokens: pd.Series) -> pd.DataFrame:
-    """Dimension and sign of a token from its 8-byte blake2b, for DIMS dimensions."""
-    h = [int.from_bytes(hashlib.blake2b(t.encode(), digest_size=8).digest(), "big") for t in tokens]
-    return pd.DataFrame({"idx": [x % DIMS for x in h], "sign": [-1 if x >> 63 else 1 for x in h]})
-
-
-def md5_slot(token: Column, dims: int = DIMS) -> Column:
-    """(idx, sign) of a token from its md5, by built-in functions alone."""
-    h = F.md5(token.cast("binary"))
-    idx = F.pmod(F.conv(F.substring(h, 1, 8), 16, 10).cast("long"), F.lit(dims)).cast("int")
-    sign = F.when(F.substring(h, 9, 1) >= "8", -1).otherwise(1)
-    return F.struct(idx.alias("idx"), sign.alias("sign"))
+#: Tokens of a text in lower case.
+_TOKEN = re.compile(r"[a-z][a-z0-9_]+")
 
 
 def slot_of(hashing: str) -> Callable[[str], tuple[int, int]]:
-    """Dimension and sign of a token, for work inside tasks; the same as :func:`md5_slot` and :func:`blake_slot`."""
+    """Dimension and sign of a token, of its md5 or of its 8-byte blake2b, for work inside tasks."""
 
     def md5(token: str) -> tuple[int, int]:
         h = hashlib.md5(token.encode(), usedforsecurity=False).hexdigest()
@@ -47,28 +34,92 @@ def slot_of(hashing: str) -> Callable[[str], tuple[int, int]]:
     return {"md5": md5, "blake2b": blake2b}[hashing]
 
 
-def hashed_counts(df: DataFrame, key: str, text: str, hashing: str = "md5") -> DataFrame:
-    """(key, idx, w): signed token counts a dimension, without zeros.  Blake hashes are made once a distinct token.
+def hashed_rows(df: DataFrame, key: str, text: str, hashing: str = "md5") -> DataFrame:
+    """(key, idx, w, norm), one row a key: dimensions in order, signed token counts without zeros, the vector's length.
 
-    Texts are dealt out by key once, which all that follows by key keeps to; their tokens are not.
+    Texts are counted where they are; of their vectors those of one key are brought together and added up.  Null keys are
+    left out, and so are texts without tokens.
     """
-    held = df.select(key, text).repartition(key)
-    tokens = held.select(key, F.explode(tokenize(F.col(text))).alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias("tf"))
-    if hashing == "md5":
-        slots = tokens.withColumn("s", md5_slot(F.col("token")))
-    elif hashing == "blake2b":
-        vocabulary = tokens.select("token").distinct().withColumn("s", blake_slot("token"))
-        slots = tokens.join(vocabulary, "token")
-    else:
-        raise ValueError(f"unknown hashing {hashing}")
-    return slots.groupBy(key, F.col("s.idx").alias("idx")).agg(F.sum(F.col("tf") * F.col("s.sign")).alias("w")).where("w <> 0")
+    slot, held = slot_of(hashing), df.select(key, F.lower(text).alias("low")).where(F.col(key).isNotNull() & F.col("low").isNotNull())
+    lists = "idx array<int>, w array<long>"
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple[int, int]] = {}
+        for batch in batches:
+            ends, dims, counts = [0], [], []
+            for low in batch.column(1).to_pylist():
+                row: dict[int, int] = {}
+                for token, n in Counter(_TOKEN.findall(low)).items():
+                    if (s := known.get(token)) is None:
+                        if len(known) >= KEPT_WORDS:
+                            known.clear()
+                        s = known[token] = slot(token)
+                    row[s[0]] = row.get(s[0], 0) + n * s[1]
+                dims += row.keys()
+                counts += row.values()
+                ends.append(len(dims))
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(ends, np.array(dims, np.int32)), _lists(ends, np.array(counts, np.int64))], [key, "idx", "w"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, parts = None, []
+
+        def close() -> tuple[np.ndarray, np.ndarray]:
+            dims, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+            if len(parts) > 1:
+                dims, at = np.unique(dims, return_inverse=True)
+                total = np.zeros(len(dims), np.int64)
+                np.add.at(total, at, counts)
+                counts = total
+            order = np.argsort(dims, kind="stable")
+            order = order[counts[order] != 0]
+            return dims[order], counts[order]
+
+        def made(keys: list, rows: list) -> pa.RecordBatch:
+            kept = [n for n, r in enumerate(rows) if len(r[0])]
+            rows, ends = [rows[n] for n in kept], np.cumsum([0, *[len(rows[n][0]) for n in kept]])
+            norms = [float(np.sqrt(float((c * c).sum()))) for _, c in rows]
+            dims, counts = (np.concatenate([r[n] for r in rows]) if rows else np.zeros(0, kind) for n, kind in ((0, np.int32), (1, np.int64)))
+            return pa.RecordBatch.from_arrays([pa.array([keys[n] for n in kept], kind_of_key), _lists(ends, dims), _lists(ends, counts), pa.array(norms, pa.float64())], [key, "idx", "w", "norm"])
+
+        kind_of_key = None
+        for batch in batches:
+            keys, rows, kind_of_key = [], [], batch.schema.field(0).type
+            for k, own in zip(batch.column(0).to_pylist(), zip(_arrays(batch.column(1)), _arrays(batch.column(2)), strict=True), strict=True):
+                if k != now:
+                    if parts:
+                        keys.append(now)
+                        rows.append(close())
+                    now, parts = k, []
+                parts.append(own)
+                if len(parts) > 1_000:
+                    parts[:] = [close()]
+            yield made(keys, rows)
+        if parts:
+            yield made([now], [close()])
+
+    kind = df.schema[key].dataType.simpleString()
+    counted = held.mapInArrow(count, f"`{key}` {kind}, {lists}").where(F.size("idx") > 0)
+    return counted.repartition(key).sortWithinPartitions(key).mapInArrow(add, f"`{key}` {kind}, {lists}, norm double")
+
+
+def _lists(ends: list[int] | np.ndarray, values: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
+
+
+def _arrays(column: pa.ListArray) -> list[np.ndarray]:
+    """The lists of a column as arrays."""
+    ends = column.offsets.to_numpy()
+    return np.split(column.values.to_numpy()[ends[0] : ends[-1]], ends[1:-1] - ends[0]) if len(column) else []
+
+
+def entries(rows: DataFrame, key: str) -> DataFrame:
+    """(key, idx, w, norm) with a row a dimension, of rows with a vector each."""
+    return rows.select(key, F.explode(F.arrays_zip("idx", "w")).alias("e"), "norm").select(key, "e.idx", "e.w", "norm")
 
 
 def hashed_embedding(df: DataFrame, key: str, text: str, hashing: str = "md5") -> DataFrame:
     """(key, idx, w, norm): counts and the vector's length; texts without tokens have no rows."""
-    counts = hashed_counts(df, key, text, hashing)
-    norms = counts.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return counts.join(norms, key)
+    return entries(hashed_rows(df, key, text, hashing), key)
 
 
 def l2_normalize(vector: Column) -> Column:

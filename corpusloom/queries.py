@@ -355,8 +355,8 @@ def sparse_scores(spark, d):
 @_query
 def sparse_topk(spark, d):
     """The best chunks by sparse cosine, from stored postings."""
-    path, (index, asked) = _folder(spark, "postings"), _sparse(spark, d)
-    index.write.parquet(f"{path}/index")
+    path, asked = _folder(spark, "postings"), vectors.hashed_embedding(_questions(spark, d), "q", "question")
+    vectors.hashed_rows(_chunks(spark, d), "id", "text").write.option("compression", "zstd").parquet(f"{path}/index")
     index = spark.read.parquet(f"{path}/index")
     postings.write_postings(index, f"{path}/blocks")
     return postings.sparse_topk(spark.read.parquet(f"{path}/blocks"), index, asked, 8).select("q", "rank", "id", F.round("score", 6).alias("score"))

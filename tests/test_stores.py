@@ -211,3 +211,47 @@ def test_related_paths_of_a_hub_count_its_mentions_once(spark, hub):
     rows, most = rows_made(spark, lambda: retrieval.related_paths(asked, seeds, related, entities, mentions, chunks, cases).collect())
     assert len(rows) == 50 * 2 * 8 and {r["chunk_id"] for r in rows} == {f"c{k:05}" for k in range(8)} and {r["edge_rank"] for r in rows} == {1}
     assert most <= 50_000
+
+
+@pytest.mark.parametrize("few", [0, 32])
+def test_postings_deal_out_no_entries(spark, tmp_path, monkeypatch, few):
+    """Fifty questions that ask for the same common dimensions, over small parts: not an entry a question."""
+    monkeypatch.setattr(postings, "PART", 2_000)
+    monkeypatch.setattr(postings, "FEW", few)
+    rng = random.Random(3)
+    words = [f"word{k}" for k in range(40)]
+    texts = [(f"t{k % 590:03}", " ".join(rng.choices(words, k=60))) for k in range(600)] + [(None, "word1"), ("empty", ""), ("null", None)]
+    df = spark.createDataFrame(texts, "id string, text string").repartition(3)
+    asked = vectors.hashed_embedding(spark.createDataFrame([(q, " ".join(rng.choices(words, k=12))) for q in range(50)], "q int, text string"), "q", "text")
+    vectors.hashed_rows(df, "id", "text").write.parquet(f"{tmp_path}/i")
+    index = spark.read.parquet(f"{tmp_path}/i")
+    flat = vectors.entries(index, "id")
+    n = flat.count()
+    want = {}
+    for r in vectors.sparse_scores(flat, asked).collect():
+        want.setdefault(r["q"], []).append((-round(r["score"], 9), r["id"]))
+    want = sorted((q, i, n) for q, rows in want.items() for n, (_, i) in enumerate(sorted(x for x in rows if x[0] < 0)[:4], 1))
+
+    def search():
+        postings.write_postings(index, f"{tmp_path}/b", 64)
+        return postings.sparse_topk(spark.read.parquet(f"{tmp_path}/b"), index, asked, 4).collect()
+
+    got, most = rows_made(spark, search)
+    assert sorted((r["q"], r["id"], r["rank"]) for r in got) == want and len(want) == 200
+    assert spark.read.parquet(f"{tmp_path}/b").select("part").distinct().count() > 5
+    assert all(r["n_read"] <= r["n_blocks"] for r in got) and most <= 2 * n  # questions times entries before
+
+
+def test_vectors_of_one_key_add_up(spark):
+    """Rows of a key in several partitions are one vector, and counts that cancel out leave no dimension."""
+    rows = [(k % 3, f"alpha beta{k % 5} beta") for k in range(40)] + [(7, "!"), (8, None), (None, "alpha")]
+    for hashing in ("md5", "blake2b"):
+        got = vectors.hashed_rows(spark.createDataFrame(rows, "k int, text string").repartition(5), "k", "text", hashing).collect()
+        slot, want = vectors.slot_of(hashing), {}
+        for k, text in rows[:40]:
+            for token in text.split():
+                idx, sign = slot(token)
+                own = want.setdefault(k, {})
+                own[idx] = own.get(idx, 0) + sign
+        assert {r["k"]: dict(zip(r["idx"], r["w"], strict=True)) for r in got} == {k: {d: n for d, n in v.items() if n} for k, v in want.items()}
+        assert len(got) == 3 and all(abs(r["norm"] - sum(w * w for w in r["w"]) ** 0.5) < 1e-9 and r["idx"] == sorted(r["idx"]) for r in got)
