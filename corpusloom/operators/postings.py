@@ -159,8 +159,8 @@ def sparse_topk(blocks: DataFrame, index: DataFrame, queries: DataFrame, k: int)
     blocks of a query's weightiest dimensions tell in which parts it is scored first, by all of its blocks there, and the
     k-th of these scores is a bound.  Dimensions that together cannot reach it are not read elsewhere, nor are blocks whose
     entries cannot with all other dimensions at their best; what is read adds up to partial scores.  Where few rows of a part
-    may reach the bound, these are scored by the index, otherwise the part is by all of the query's blocks.  The result is
-    that of scoring all rows.  Null ids, rows without entries and queries without any have no result.  ``n_read`` counts the
+    may reach the bound, these are scored by the index, otherwise the part is by all of the query's blocks, as are at once
+    the parts of a query that would not be spared half of its blocks.  The result is that of scoring all rows.  Null ids, rows without entries and queries without any have no result.  ``n_read`` counts the
     blocks read under the bound, not those that give it.
     """
     asked = saved(queries.where("norm > 0 and q is not null").select("q", "idx", F.col("w").alias("qw"), F.col("norm").alias("qnorm")))
@@ -190,11 +190,15 @@ def sparse_topk(blocks: DataFrame, index: DataFrame, queries: DataFrame, k: int)
     ruled = ruled.withColumn("rest", F.sum(F.when(~F.col("open"), F.col("most")).otherwise(0.0)).over(by_q))
     wanted = ruled.where("open").join(meta, "idx").withColumn("gain", best("top", "low")).where(F.col("gain") + F.col("all") - F.col("most") >= F.col("least"))
     wanted = saved(wanted.select("q", "part", "block", "qw", "qnorm", "least", "rest"))
-    found = saved(_scored(blocks, wanted))
-    rest = whole(found.where("id is null").select("q", "part").join(opening, ["q", "part"], "left_anti"))
+    counts = bounds.groupBy("q").agg(F.sum("n").alias("n_blocks"))
+    much = wanted.groupBy("q").agg(F.count(F.lit(1)).alias("n")).join(counts, "q").where(F.col("n") * 2 >= F.col("n_blocks")).select("q")
+    fewer = wanted.join(much, "q", "left_anti")
+    found = saved(_scored(blocks, fewer))
+    parts = found.where("id is null").select("q", "part").unionByName(wanted.join(much, "q", "left_semi").select("q", "part").distinct())
+    rest = whole(parts.join(opening, ["q", "part"], "left_anti"))
     scored = first.unionByName(_scored(blocks, rest, k)).select("q", "id", "score")
     scored = scored.unionByName(_exact(found.where("id is not null").select("q", "id"), index, asked)).dropDuplicates(["q", "id"])
     ranked = scored.where("score > 0").withColumn("rank", F.row_number().over(kth)).where(F.col("rank") <= k)
-    read = wanted.select("q", "block").unionByName(rest.select("q", "block")).distinct().groupBy("q").agg(F.count(F.lit(1)).alias("n_read"))
-    told = bounds.groupBy("q").agg(F.sum("n").alias("n_blocks")).join(read, "q", "left")
+    read = fewer.select("q", "block").unionByName(rest.select("q", "block")).distinct().groupBy("q").agg(F.count(F.lit(1)).alias("n_read"))
+    told = counts.join(read, "q", "left")
     return ranked.join(told, "q").select("q", "id", "score", "rank", "n_blocks", F.coalesce("n_read", F.lit(0)).alias("n_read"))
